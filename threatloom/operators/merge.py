@@ -1,0 +1,19 @@
+"""Upsert of one frame into another by key."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+
+from threatloom.operators.dedup import first_wins
+
+
+def merge_latest(base: DataFrame, updates: DataFrame, key: str, newest: Sequence[Column | str]) -> DataFrame:
+    """`base` with the rows of `updates` inserted or replacing those of the same key.
+
+    `newest` orders updates of one key, winner first.
+    """
+    latest = first_wins(updates, [key], newest).select(*base.columns)
+    kept = base.join(latest.select(key), key, "left_anti").select(*base.columns)
+    return kept.unionByName(latest)
