@@ -40,9 +40,9 @@ def attach_matches(
 
     Each distinct text is encoded and looked up once, however many findings share it.
     """
-    probes = findings.select(F.md5(text).alias("query_id"), F.col(text).alias("__text"))
-    distinct = probes.where(F.col("query_id").isNotNull()).groupBy("query_id").agg(F.first("__text").alias("__text"))
-    matches = knn_join(embed_text(distinct, "__text", encoder=encoder), collection, k, **knn_options)
+    distinct = findings.select(text).where(F.col(text).isNotNull()).distinct()
+    probes = distinct.select(F.md5(text).alias("query_id"), text)
+    matches = knn_join(embed_text(probes, text, encoder=encoder), collection, k, **knn_options)
     nearest = collect_matches(matches, collection, out=out)
     joined = findings.withColumn("query_id", F.md5(text)).join(nearest, "query_id", "left").drop("query_id")
     empty = F.array().cast(joined.schema[out].dataType)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,8 @@ SCORE_DIGITS = 6
 # rows x 384 floats x 8 bytes is about 100 MB per Python worker
 BROADCAST_ROWS = 32_768
 BLOCK_ROWS = 16_384
-# queries multiplied at once, so that a score matrix stays within about 256 MB
-_SCORED_CELLS = 32 << 20
+# scores computed at once, 64 MB
+_SCORED_CELLS = 8 << 20
 
 
 def knn_join(
@@ -51,6 +51,8 @@ def knn_join(
     """
     left = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
     right = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vector).alias("vector"))
+    # an upper bound on the usable rows, read off file footers where the side is a plain table
+    corpus_rows = right.select("id").count()
     left, right = (side.where(F.col("vector").isNotNull()) for side in (left, right))
     schema = T.StructType([
         left.schema["query_id"],
@@ -58,9 +60,15 @@ def knn_join(
         T.StructField("score", T.DoubleType()),
         T.StructField("rank", T.IntegerType()),
     ])
-    if right.select("id").limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if corpus_rows <= broadcast_rows:
         return _against_broadcast(left, right, k, schema)
-    return _against_blocks(left, right, k, schema, block_rows)
+    return _against_blocks(left, right, k, schema, blocks=(
+        _blocks(left.select("query_id").count(), block_rows), _blocks(corpus_rows, block_rows)
+    ))
+
+
+def _blocks(rows: int, block_rows: int) -> int:
+    return max(1, -(-rows // block_rows))
 
 
 def _against_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
@@ -76,12 +84,11 @@ def _against_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: T.
     return queries.mapInArrow(score, schema)
 
 
-def _against_blocks(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, block_rows: int) -> DataFrame:
-    query_blocks = -(-max(queries.count(), 1) // block_rows)
-    corpus_blocks = -(-max(corpus.count(), 1) // block_rows)
+def _against_blocks(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, blocks: tuple[int, int]) -> DataFrame:
+    query_blocks, corpus_blocks = blocks
 
-    def block(column: str, blocks: int) -> F.Column:
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+    def block(column: str, count: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
 
     left = queries.select(
         "*", block("query_id", query_blocks).alias("q_block"),
@@ -140,15 +147,14 @@ def _best(queries: pa.Table, ids: np.ndarray, matrix: np.ndarray, k: int, schema
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Owner row, column, score and rank of the best `k` of each row, ties by id."""
-    scores = np.round(scores, SCORE_DIGITS) + 0.0  # no negative zero
     k = min(k, scores.shape[1])
-    # everything as good as the k-th best takes part, so ties are not cut blindly
+    # whatever may round to the k-th best score takes part, so ties are not cut blindly
     kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    owner, column = np.nonzero(scores >= kth[:, None])
-    order = np.lexsort((ids[column], -scores[owner, column], owner))
-    owner, column = owner[order], column[order]
+    owner, column = np.nonzero(scores >= kth[:, None] - 2 * 10.0**-SCORE_DIGITS)
+    score = np.round(scores[owner, column], SCORE_DIGITS) + 0.0  # no negative zero
+    order = np.lexsort((ids[column], -score, owner))
+    owner, column, score = owner[order], column[order], score[order]
     first_of_row = np.searchsorted(owner, np.arange(scores.shape[0]))
     rank = np.arange(len(owner)) - first_of_row[owner] + 1
     kept = rank <= k
-    owner, column, rank = owner[kept], column[kept], rank[kept]
-    return owner, column, scores[owner, column], rank.astype(np.int32)
+    return owner[kept], column[kept], score[kept], rank[kept].astype(np.int32)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +31,12 @@ def severity_totals(findings: DataFrame, severity: str = "severity") -> DataFram
     return findings.agg(*per_level, F.count("*").alias("total"))
 
 
-def coverage(snippets: DataFrame, group: str = "cwe_id", label: str = "label") -> DataFrame:
+def coverage(snippets: DataFrame, group: Sequence[str] = ("cwe_id",), label: str = "label") -> DataFrame:
     """Vulnerable, safe and total rows per group, in one aggregation."""
     def rows_labelled(value: str) -> Column:
         return F.count_if(F.col(label) == value)
 
-    counts = snippets.groupBy(group).agg(
+    counts = snippets.groupBy(*group).agg(
         rows_labelled(VULNERABLE).alias("vulnerable"), rows_labelled(SAFE).alias("safe")
     )
     return counts.withColumn("total", F.col("vulnerable") + F.col("safe"))

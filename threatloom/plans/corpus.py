@@ -16,6 +16,8 @@ from threatloom.operators.points import snippet_points
 from threatloom.sources.collection import Collection
 from threatloom.sources.labelled import snippet_rows
 
+_ORDER = ("source_rank", "order_text", "order_pos", "cwe_id", "label", "code_snippet")
+
 
 def tree_snippets(tree: DataFrame) -> DataFrame:
     """Snippet rows of a scanned tree (rel_path, cwe_id, language, text).
@@ -46,8 +48,7 @@ def dedup_snippets(snippets: DataFrame, dedup_on: str = "id") -> DataFrame:
     The 32-bit id also merges a few different snippets; `dedup_on="id_key"`
     compares the whole key instead.
     """
-    order = ["source_rank", "order_text", "order_pos", "cwe_id", "label", "code_snippet"]
-    return first_wins(snippets, [dedup_on], order)
+    return first_wins(snippets, [dedup_on], _ORDER)
 
 
 def build_corpus(
@@ -56,5 +57,8 @@ def build_corpus(
     """De-duplicate, embed and upsert; returns the stored collection, from which statistics are taken."""
     collection.create()
     unique = dedup_snippets(snippets, dedup_on)
-    collection.upsert(snippet_points(embed_text(unique, "text", encoder=encoder)))
+    if dedup_on != "id":
+        # different keys may still share an id, and the collection is keyed by it: the last one stays
+        unique = first_wins(unique, ["id"], [F.col(name).desc() for name in _ORDER])
+    collection.upsert(snippet_points(embed_text(unique, "text", encoder=encoder)), unique=True)
     return collection.read()

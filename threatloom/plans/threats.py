@@ -22,9 +22,10 @@ _FEED_ORDER = ("published", "last_modified", "cve_id", "description", "severity"
 def threat_records(
     feed: DataFrame, *, since: str | None = None, until: str | None = None, limited: bool = False
 ) -> DataFrame:
-    """Records answering at least one query, first-wins by CVE id over the query order, with id and text.
+    """Records answering at least one query, one per CVE id, with id and text.
 
-    `limited` applies the per-query record limits, which lose data; without them
+    Of several states of a CVE the last modified one stays, then the first over
+    the query order. `limited` applies the per-query record limits, which lose data; without them
     the union of the queries is never spelled out, the first query answered is
     a row-local lookup.
     """
@@ -34,7 +35,14 @@ def threat_records(
     else:
         ranks = query_ranks(F.col("cwe_ids"), F.col("description"), F.col("severity"))
         matched = recent.withColumn("query_rank", F.get(ranks, F.lit(0))).where(F.col("query_rank").isNotNull())
-    return with_text_and_id(first_wins(matched, ["cve_id"], ["query_rank", *_FEED_ORDER]))
+    order = [F.col("last_modified").desc(), "query_rank", *_FEED_ORDER]
+    return with_text_and_id(first_wins(matched, ["cve_id"], order))
+
+
+def threat_points(records: DataFrame, encoder: Callable[[], Encoder] = hashed_tokens) -> DataFrame:
+    """Embedded points of the records, one per id: of CVEs sharing a 32-bit id the last one stays."""
+    order = [F.col("query_rank").desc(), *[F.col(name).desc() for name in _FEED_ORDER]]
+    return cve_points(embed_text(first_wins(records, ["id"], order), "text", encoder=encoder))
 
 
 def ingest_threats(
@@ -55,6 +63,6 @@ def ingest_threats(
     records = threat_records(feed, since=watermark.read(), until=until, limited=limited)
     if records.isEmpty():
         return False
-    collection.upsert(cve_points(embed_text(records, "text", encoder=encoder)))
+    collection.upsert(threat_points(records, encoder), unique=True)
     watermark.save(until)
     return True

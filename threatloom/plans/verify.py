@@ -30,8 +30,8 @@ def verify_findings(
     code text is looked up once. An empty corpus lets every finding pass.
     """
     keyed = findings.withColumn("query_id", F.md5(text))
-    probes = keyed.groupBy("query_id").agg(F.first(text).alias("__text"))
-    matches = knn_join(embed_text(probes, "__text", encoder=encoder), snippets, k)
+    probes = findings.select(text).distinct().withColumn("query_id", F.md5(text))
+    matches = knn_join(embed_text(probes, text, encoder=encoder), snippets, k)
     labels = snippets.select("id", F.col("payload.label").alias("label"))
     verdicts = vote(matches, labels, k, definite=definite)
     nearest = collect_matches(matches, snippets, out="top_matches")

@@ -9,6 +9,7 @@ Deltas are folded into a new base once there are `compact_every` of them.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,18 +39,22 @@ class Collection:
         self._write(self._spark.createDataFrame([], self._schema), 0, "base", "")
         return True
 
-    def upsert(self, rows: DataFrame, *, newest: list[Column] | None = None, batch_key: str = "") -> bool:
+    def upsert(
+        self, rows: DataFrame, *, newest: Sequence[Column | str] = (), unique: bool = False, batch_key: str = ""
+    ) -> bool:
         """Insert rows, replacing those with the same key.
 
-        `newest` orders rows of one key within this batch, winner first. A
-        `batch_key` seen before makes the call a no-op and returns False.
+        `newest` orders rows of one key within this batch, winner first;
+        `unique` says there is one row per key already. A `batch_key` seen
+        before makes the call a no-op and returns False.
         """
         commits = self._commits()
         if batch_key and any(c.batch_key == batch_key for c in commits):
             return False
         names = self._schema.fieldNames()
-        order = newest or [F.col(n).desc() for n in _orderable(self._schema, self._key)]
-        latest = first_wins(rows, [self._key], order).select(*names)
+        if not unique:
+            rows = first_wins(rows, [self._key], newest or [F.col(n).desc() for n in names if n != self._key])
+        latest = rows.select(*names)
         version = max((c.version for c in commits), default=0) + 1
         self._write(latest, version, "delta", batch_key)
         if sum(c.kind == "delta" for c in _live(commits)) + 1 >= self._compact_every:
@@ -102,7 +107,3 @@ def _live(commits: list) -> list:
     """The newest base and the deltas after it."""
     bases = [i for i, c in enumerate(commits) if c.kind == "base"]
     return commits[bases[-1]:] if bases else commits
-
-
-def _orderable(schema: T.StructType, key: str) -> list[str]:
-    return [f.name for f in schema.fields if f.name != key and not isinstance(f.dataType, (T.MapType, T.VariantType))]

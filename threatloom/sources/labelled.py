@@ -39,6 +39,7 @@ def labelled_rows(
     are dropped. `row_order` names a LONG column giving the dataset's row order;
     without one, rows are ordered by content so that re-runs agree.
     """
+    raw, columns, row_order = _unambiguous(raw, columns, row_order)
     slots = {
         "code": first_usable(raw, columns["code"]),
         "cwe_id": normalize_cwe(first_usable(raw, columns["cwe"])),
@@ -68,6 +69,15 @@ def labelled_rows(
     )
 
 
+def _unambiguous(
+    raw: DataFrame, columns: Mapping[str, tuple[str, ...]], row_order: str | None
+) -> tuple[DataFrame, dict[str, tuple[str, ...]], str | None]:
+    """Rename by position: some datasets have columns that differ only in case."""
+    renamed = {name: f"c{at}" for at, name in enumerate(raw.columns)}
+    present = {slot: tuple(renamed[n] for n in names if n in renamed) for slot, names in columns.items()}
+    return raw.toDF(*renamed.values()), present, renamed[row_order] if row_order else None
+
+
 def dataset_a(raw: DataFrame, row_order: str | None = None) -> DataFrame:
     return labelled_rows(
         raw, const.DATASET_A_COLUMNS, source=const.DATASET_A_SOURCE,

@@ -10,12 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from threatloom.operators.embed import Encoder, embed_text, hashed_tokens
-from threatloom.operators.points import cve_points
-from threatloom.plans.threats import threat_records
+from threatloom.operators.embed import Encoder, hashed_tokens
+from threatloom.plans.threats import threat_points, threat_records
 from threatloom.schemas import CVE_FEED
 from threatloom.sources.collection import Collection
 
@@ -35,16 +32,14 @@ def run_available(
 ) -> None:
     """Ingest everything that has arrived, then stop.
 
-    Within a batch and across batches the last modified record of a CVE wins.
-    A batch repeated after a failure is recognised and not applied twice.
+    Within a batch the last modified state of a CVE wins, across batches the last
+    delivered one. A batch repeated after a failure is recognised and not applied twice.
     """
     collection.create()
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         records = threat_records(prepare(batch) if prepare else batch)
-        collection.upsert(
-            cve_points(embed_text(records, "text", encoder=encoder)), batch_key=f"{checkpoint}#{batch_id}"
-        )
+        collection.upsert(threat_points(records, encoder), unique=True, batch_key=f"{checkpoint}#{batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(apply)
