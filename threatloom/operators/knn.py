@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from threatloom.operators.dedup import limit_per_group
 
 SCORE_DIGITS = 6
-# rows x 384 floats x 8 bytes is about 100 MB per Python worker
-BROADCAST_ROWS = 32_768
+# vector elements of a collection that is broadcast: 32,768 vectors of 384, 100 MB per Python worker
+BROADCAST_CELLS = 12 << 20
 BLOCK_ROWS = 16_384
 # scores computed at once, 64 MB
 _SCORED_CELLS = 8 << 20
@@ -41,7 +41,7 @@ def knn_join(
     query_vector: str = "embedding",
     corpus_id: str = "id",
     corpus_vector: str = "embedding",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_cells: int = BROADCAST_CELLS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(query_id, id, score, rank) of the `k` most similar rows, rank 1 first.
@@ -51,20 +51,20 @@ def knn_join(
     """
     left = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
     right = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vector).alias("vector"))
-    # an upper bound on the usable rows, read off file footers where the side is a plain table
+    # counted without their vectors, which are not read or computed for it
     corpus_rows = right.select("id").count()
-    left, right = (side.where(F.col("vector").isNotNull()) for side in (left, right))
+    usable_left, usable_right = (side.where(F.col("vector").isNotNull()) for side in (left, right))
     schema = T.StructType([
         left.schema["query_id"],
         T.StructField("id", T.LongType()),
         T.StructField("score", T.DoubleType()),
         T.StructField("rank", T.IntegerType()),
     ])
-    if corpus_rows <= broadcast_rows:
-        return _against_broadcast(left, right, k, schema)
-    return _against_blocks(left, right, k, schema, blocks=(
-        _blocks(left.select("query_id").count(), block_rows), _blocks(corpus_rows, block_rows)
-    ))
+    sample = usable_right.select(F.size("vector")).first()
+    if corpus_rows * (sample[0] if sample else 0) <= broadcast_cells:
+        return _against_broadcast(usable_left, usable_right, k, schema)
+    blocks = _blocks(left.select("query_id").count(), block_rows), _blocks(corpus_rows, block_rows)
+    return _against_blocks(usable_left, usable_right, k, schema, blocks)
 
 
 def _blocks(rows: int, block_rows: int) -> int:
@@ -72,7 +72,7 @@ def _blocks(rows: int, block_rows: int) -> int:
 
 
 def _against_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    # at most `broadcast_rows` rows, checked by the caller
+    # its size was checked by the caller
     ids, matrix = _unit_rows(corpus.toArrow(), "id")
     shared = queries.sparkSession.sparkContext.broadcast((ids.to_numpy(), matrix))
 

@@ -34,7 +34,8 @@ def threat_records(
         matched = limit_queries(matched_queries(recent), _FEED_ORDER)
     else:
         ranks = query_ranks(F.col("cwe_ids"), F.col("description"), F.col("severity"))
-        matched = recent.withColumn("query_rank", F.get(ranks, F.lit(0))).where(F.col("query_rank").isNotNull())
+        # exploding the first rank keeps matching records only and, unlike a filter, tests each query once
+        matched = recent.withColumn("query_rank", F.explode(F.slice(ranks, 1, 1)))
     order = [F.col("last_modified").desc(), "query_rank", *_FEED_ORDER]
     return with_text_and_id(first_wins(matched, ["cve_id"], order))
 
@@ -61,8 +62,7 @@ def ingest_threats(
     """
     collection.create()
     records = threat_records(feed, since=watermark.read(), until=until, limited=limited)
-    if records.isEmpty():
-        return False
-    collection.upsert(threat_points(records, encoder), unique=True)
-    watermark.save(until)
-    return True
+    fetched = collection.upsert(threat_points(records, encoder), unique=True) > 0
+    if fetched:
+        watermark.save(until)
+    return fetched

@@ -327,7 +327,7 @@ STAGE_COUNTS = f"""SELECT 'read' AS stage, count(*) AS n FROM {_FLAGS}
 
 
 def _source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SOURCE_FILES.frame(spark, sf_dir).select("rel_path", "text")
+    return SOURCE_FILES.frame(spark, sf_dir, heavy=True).select("rel_path", "text")
 
 
 def extract_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,7 +359,7 @@ EXTRACT_FUNCTIONS_LINES = f"""
 def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lands the source texts as files in one folder per weakness, then scans that tree."""
     root = run_dir(spark, "tree")
-    SOURCE_FILES.frame(spark, sf_dir).select("cwe_dir", "text").write.partitionBy("cwe_dir").text(root)
+    SOURCE_FILES.frame(spark, sf_dir, heavy=True).select("cwe_dir", "text").write.partitionBy("cwe_dir").text(root)
     tree = scan_source_tree(spark, root, suffixes=("txt",))
     in_scope = tree.where(F.col("cwe_id").isin(*TARGET_CWES))
     found = labelled_functions(in_scope, carry=["rel_path", "cwe_id", "language"])
@@ -397,7 +397,7 @@ HASH_EMBED = f"""SELECT doc_id, bucket, round(weight, 6) AS weight
 
 def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tree and both datasets to a stored collection; coverage by weakness and source."""
-    tree = SOURCE_FILES.frame(spark, sf_dir).select(
+    tree = SOURCE_FILES.frame(spark, sf_dir, heavy=True).select(
         "rel_path", tx.cwe_from_path(F.col("rel_path")).alias("cwe_id"),
         tx.language_of(F.col("rel_path")).alias("language"), "text",
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threatloom.constants import TARGET_CWES
 from threatloom.schemas import CVE_FEED
+from threatloom.session import spread
 
 Expr = str | tuple[str, str]  # one text for both engines, or (Spark, DuckDB)
 
@@ -20,12 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(index: str, items: Sequence[str | None]) -> str:
+def pick(index: str, items: Sequence[str]) -> str:
     """SQL choosing the item at a position."""
-    cases = " ".join(
-        f"WHEN {i} THEN " + ("NULL" if item is None else f"'{item}'") for i, item in enumerate(items)
-    )
-    return f"CASE {index} {cases} END"
+    return f"split_part('{'|'.join(items)}', '|', cast({index} + 1 as int))"
 
 
 def text_of(expr: str) -> str:
@@ -44,8 +42,10 @@ class StandIn:
     steps: tuple[dict[str, Expr], ...]
     join_on: str | None = None
 
-    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+    def frame(self, spark: SparkSession, sf_dir: str, *, heavy: bool = False) -> DataFrame:
+        """`heavy` spreads the rows over all cores for the work to come."""
         df = table(spark, sf_dir, self.tables[0])
+        df = spread(df) if heavy else df
         for other in self.tables[1:]:
             df = df.join(table(spark, sf_dir, other), self.join_on, "left")
         return self.derive(df)
@@ -113,7 +113,7 @@ SOURCE_FILES = StandIn(
 _RAW_CWES = (
     "CWE-119", "120", "CWE121", "CWE-122", "cwe 125", "CWE-787", "CWE-416", "CWE-415", "CWE-476", "190",
     "CWE-191", "CWE-134", "CWE-362", "CWE-78", "CWE-20", "NVD-CWE-noinfo", "CWE-79", "", "CWE-119,CWE-120",
-    "CWE-0120", None, "CWE-999",
+    "CWE-0120", "none", "CWE-999",
 )
 
 

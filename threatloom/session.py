@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,6 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan over all cores, before heavy per-row work, when it has fewer partitions than that.
+
+    Splits of many files are left as they are; only a scan of few large pieces is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one run."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,25 +41,25 @@ class Collection:
 
     def upsert(
         self, rows: DataFrame, *, newest: Sequence[Column | str] = (), unique: bool = False, batch_key: str = ""
-    ) -> bool:
-        """Insert rows, replacing those with the same key.
+    ) -> int:
+        """Insert rows, replacing those with the same key; the number of rows written.
 
         `newest` orders rows of one key within this batch, winner first;
         `unique` says there is one row per key already. A `batch_key` seen
-        before makes the call a no-op and returns False.
+        before makes the call a no-op.
         """
         commits = self._commits()
         if batch_key and any(c.batch_key == batch_key for c in commits):
-            return False
+            return 0
         names = self._schema.fieldNames()
         if not unique:
             rows = first_wins(rows, [self._key], newest or [F.col(n).desc() for n in names if n != self._key])
         latest = rows.select(*names)
         version = max((c.version for c in commits), default=0) + 1
-        self._write(latest, version, "delta", batch_key)
+        written = self._write(latest, version, "delta", batch_key)
         if sum(c.kind == "delta" for c in _live(commits)) + 1 >= self._compact_every:
             self.compact()
-        return True
+        return written
 
     def read(self) -> DataFrame:
         """Latest row of every key."""
@@ -91,9 +91,15 @@ class Collection:
             return self._spark.createDataFrame([], schema)
         return self._spark.read.schema(schema).parquet(*folders)
 
-    def _write(self, rows: DataFrame, version: int, kind: str, batch_key: str) -> None:
+    def _write(self, rows: DataFrame, version: int, kind: str, batch_key: str) -> int:
+        """Write a folder, then commit it by its log line; an empty delta is not committed."""
         folder = f"{self._root}/data/{kind}-{version:08d}-{uuid.uuid4().hex[:8]}"
-        rows.withColumn(_VERSION, F.lit(version).cast("long")).write.parquet(folder)
+        seen = Observation()
+        counted = rows.withColumn(_VERSION, F.lit(version).cast("long")).observe(seen, F.count(F.lit(1)).alias("rows"))
+        counted.write.parquet(folder)
+        written = seen.get["rows"]
+        if kind == "delta" and not written:
+            return 0
         entry = [F.lit(version).cast("long"), F.lit(kind), F.lit(folder), F.lit(batch_key)]
         names = ["version", "kind", "folder", "batch_key"]
         (
@@ -101,6 +107,7 @@ class Collection:
             .select(*[column.alias(name) for column, name in zip(entry, names)])
             .write.mode("append").json(f"{self._root}/log")
         )
+        return written
 
 
 def _live(commits: list) -> list:
