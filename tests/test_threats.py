@@ -10,7 +10,7 @@ from threatloom.plans.threats import ingest_threats, threat_records
 from threatloom.schemas import CVE_FEED, CVE_POINT
 from threatloom.sources.collection import Collection
 from threatloom.sources.dimensions import target_cwes
-from threatloom.sources.feed import flatten_cves, read_feed, with_text_and_id
+from threatloom.sources.feed import flatten_cves, read_feed, with_text
 from threatloom.sources.state import Watermark
 from threatloom.streaming.ingest import feed_stream, run_available
 
@@ -61,7 +61,7 @@ def test_flatten(flat):
 
 
 def test_text(flat):
-    rows = {r.cve_id: r.text for r in with_text_and_id(flat).collect()}
+    rows = {r.cve_id: r.text for r in with_text(flat).collect()}
     assert rows["CVE-1"] == "CVE-1: A buffer overflow Weakness: CWE-120, CWE-119, CWE-79."
     assert rows["CVE-5"] == "CVE-5: A buffer overflow"
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from threatloom.constants import TREE_SOURCE
 from threatloom.operators.extract import all_functions
 from threatloom.plans.corpus import dedup_snippets, tree_snippets
+from threatloom.sources.labelled import with_text
 from threatloom.sources.tree import read_sources, scan_tree
 
 FILES = {
@@ -52,7 +53,7 @@ def test_scan_reads_only_the_two_suffixes(spark, root):
 
 
 def test_labelled_functions(spark, root):
-    rows = tree_snippets(scan_tree(spark, root)).collect()
+    rows = with_text(tree_snippets(scan_tree(spark, root))).collect()
     found = {(r.file_path, r.function_name): r for r in rows}
     assert set(found) == {
         ("CWE121_Stack/s01/a_bad.c", "CWE121_bad"),

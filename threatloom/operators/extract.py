@@ -1,7 +1,7 @@
 """Function extraction over a corpus of source texts.
 
 Finding the closing brace needs a walk over the text, so each file goes through
-a small Python helper in `mapInPandas`; files are independent and never leave
+a small Python helper in `mapInArrow`; files are independent and never leave
 their partition. Only the columns needed are sent to it.
 """
 
@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from threatloom.constants import LABELLED_HEADER, MIN_FUNCTION_CHARS
-from threatloom.functions.text import label_from_name, strip
+from threatloom.functions.text import label_from_name
 
 _LABELLED = re.compile(LABELLED_HEADER, re.MULTILINE | re.IGNORECASE)
 _BRACE = re.compile(r"[{}]")
@@ -42,19 +43,21 @@ def spans(files: DataFrame, finder: Finder, found: T.StructType, *, text: str =
     """Apply `finder` to every text; each tuple it yields becomes a row next to the carried columns."""
     source = files.select(*carry, text)
     schema = T.StructType([*[source.schema[c] for c in carry], *found.fields])
-    names = found.fieldNames()
+    types = to_arrow_schema(found)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, origin = [], []
-            for at, value in enumerate(batch[text]):
-                hits = list(finder(value)) if value else []
-                rows.extend(hits)
-                origin.extend([at] * len(hits))
-            out = batch[list(carry)].iloc[origin].reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(rows, columns=names)], axis=1)
+            for at, value in enumerate(batch.column(text).to_pylist()):
+                for hit in finder(value) if value else ():
+                    rows.append(hit)
+                    origin.append(at)
+            if rows:
+                columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), types.types)]
+                carried = batch.select(list(carry)).take(pa.array(origin))
+                yield pa.RecordBatch.from_arrays([*carried.columns, *columns], names=schema.fieldNames())
 
-    return source.mapInPandas(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def closing_braces(text: str) -> dict[int, int]:
@@ -78,7 +81,7 @@ def _labelled_spans(text: str) -> Iterator[tuple]:
             partner = closing_braces(text)
         # an unbalanced body leaves only the header text
         end = partner[opening] + 1 if opening in partner else opening
-        yield header.group(1), text[header.start():end], header.start()
+        yield header.group(1), text[header.start():end].strip(), header.start()
 
 
 def labelled_functions(files: DataFrame, *, text: str = "text", carry: Sequence[str]) -> DataFrame:
@@ -88,7 +91,7 @@ def labelled_functions(files: DataFrame, *, text: str = "text", carry: Sequence[
     """
     found = T.StructType([
         T.StructField("function_name", T.StringType()),
-        T.StructField("raw_snippet", T.StringType()),
+        T.StructField("code_snippet", T.StringType()),
         T.StructField("start_offset", T.LongType()),
     ])
     candidates = files.where(F.col(text).rlike("(?i)bad|good"))
@@ -96,7 +99,7 @@ def labelled_functions(files: DataFrame, *, text: str = "text", carry: Sequence[
     return functions.select(
         *carry,
         "function_name",
-        strip(F.col("raw_snippet")).alias("code_snippet"),
+        "code_snippet",
         label_from_name(F.col("function_name")).alias("label"),
         "start_offset",
     )

@@ -14,7 +14,7 @@ from threatloom.operators.embed import Encoder, embed_text, hashed_tokens
 from threatloom.operators.extract import labelled_functions
 from threatloom.operators.points import snippet_points
 from threatloom.sources.collection import Collection
-from threatloom.sources.labelled import snippet_rows
+from threatloom.sources.labelled import snippet_rows, with_text
 
 _ORDER = ("source_rank", "order_text", "order_pos", "cwe_id", "label", "code_snippet")
 
@@ -60,5 +60,5 @@ def build_corpus(
     if dedup_on != "id":
         # different keys may still share an id, and the collection is keyed by it: the last one stays
         unique = first_wins(unique, ["id"], [F.col(name).desc() for name in _ORDER])
-    collection.upsert(snippet_points(embed_text(unique, "text", encoder=encoder)), unique=True)
+    collection.upsert(snippet_points(embed_text(with_text(unique), "text", encoder=encoder)), unique=True)
     return collection.read()

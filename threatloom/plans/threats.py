@@ -12,7 +12,7 @@ from threatloom.operators.embed import Encoder, embed_text, hashed_tokens
 from threatloom.operators.match import limit_queries, matched_queries, modified_between, query_ranks
 from threatloom.operators.points import cve_points
 from threatloom.sources.collection import Collection
-from threatloom.sources.feed import flatten_cves, with_text_and_id
+from threatloom.sources.feed import flatten_cves, with_id, with_text
 from threatloom.sources.state import Watermark
 
 # order of the records of one query, and of re-deliveries of one record
@@ -22,7 +22,7 @@ _FEED_ORDER = ("published", "last_modified", "cve_id", "description", "severity"
 def threat_records(
     feed: DataFrame, *, since: str | None = None, until: str | None = None, limited: bool = False
 ) -> DataFrame:
-    """Records answering at least one query, one per CVE id, with id and text.
+    """Records answering at least one query, one per CVE id, with the record id.
 
     Of several states of a CVE the last modified one stays, then the first over
     the query order. `limited` applies the per-query record limits, which lose data; without them
@@ -37,13 +37,14 @@ def threat_records(
         # exploding the first rank keeps matching records only and, unlike a filter, tests each query once
         matched = recent.withColumn("query_rank", F.explode(F.slice(ranks, 1, 1)))
     order = [F.col("last_modified").desc(), "query_rank", *_FEED_ORDER]
-    return with_text_and_id(first_wins(matched, ["cve_id"], order))
+    return with_id(first_wins(matched, ["cve_id"], order))
 
 
 def threat_points(records: DataFrame, encoder: Callable[[], Encoder] = hashed_tokens) -> DataFrame:
     """Embedded points of the records, one per id: of CVEs sharing a 32-bit id the last one stays."""
     order = [F.col("query_rank").desc(), *[F.col(name).desc() for name in _FEED_ORDER]]
-    return cve_points(embed_text(first_wins(records, ["id"], order), "text", encoder=encoder))
+    unique = first_wins(records, ["id"], order)
+    return cve_points(embed_text(with_text(unique), "text", encoder=encoder))
 
 
 def ingest_threats(

@@ -10,14 +10,18 @@ from threatloom.operators.findings import explode_verdicts, findings_of, report_
 from threatloom.operators.score import join_responses
 from threatloom.operators.stats import severity_summary, severity_totals
 from threatloom.plans.scan import scan_with_responses
-from threatloom.plans.threats import threat_points, threat_records
+from threatloom.plans.threats import ingest_threats
 from threatloom.queries.snippets import sql_token_weights
 from threatloom.queries.standins import ANSWERS, FINDINGS_SQL, VERDICTS_SQL, feed, table
 from threatloom.queries.threats import TEXT_SQL, THREAT_ROWS_SQL
+from threatloom.schemas import CVE_POINT
+from threatloom.session import run_dir
+from threatloom.sources.collection import Collection
+from threatloom.sources.state import Watermark
 
 
 def json_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = ANSWERS.frame(spark, sf_dir).select("event_id", vd.verdict_array(F.col("response")).alias("verdicts"))
+    answers = ANSWERS.frame(spark, sf_dir, heavy=True).select("event_id", vd.verdict_array(F.col("response")).alias("verdicts"))
     first = F.get(F.col("verdicts.cwe_id"), F.lit(0))
     return answers.select(
         "event_id", F.size("verdicts").cast("long").alias("n_verdicts"), F.coalesce(first, F.lit("")).alias("first_cwe")
@@ -31,7 +35,7 @@ JSON_FALLBACK = f"""SELECT event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'v
 
 
 def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ANSWERS.frame(spark, sf_dir).select(
+    return ANSWERS.frame(spark, sf_dir, heavy=True).select(
         "event_id", "name", "code", F.lit(3).alias("start_line"), F.lit(6).alias("end_line"), "file_path", "response"
     )
 
@@ -74,7 +78,7 @@ FINDING_NORMALIZE = """SELECT p_partkey, replace(upper(p_name), ' ', '-') AS cwe
 
 
 def finding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ANSWERS.frame(spark, sf_dir)
+    rows = ANSWERS.frame(spark, sf_dir, heavy=True)
     numbers = F.transform(
         F.sequence(F.lit(0), F.col("k") % 6),
         lambda i: F.when(i % 2 == 0, F.concat(F.lit("CVE-"), i + F.col("k"))).otherwise(""),
@@ -139,11 +143,13 @@ RESPONSES_JOIN = """SELECT q.conv_id, q.turn, md5(q.text) AS prompt_md5, coalesc
 
 
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source texts to functions, stored answers to findings, each with its five nearest threats."""
-    files = ANSWERS.frame(spark, sf_dir)
-    threats = threat_points(threat_records(feed(spark, sf_dir)))
+    """Threats ingested; source texts to functions, stored answers to findings, each with its five nearest threats."""
+    root = run_dir(spark, "scan")
+    threats = Collection(spark, f"{root}/threats", CVE_POINT)
+    ingest_threats(feed(spark, sf_dir), threats, Watermark(spark, f"{root}/watermark"))
+    files = ANSWERS.frame(spark, sf_dir, heavy=True)
     found = scan_with_responses(
-        files.select("file_path", "text"), files.select("file_path", "name", "response"), threats
+        files.select("file_path", "text"), files.select("file_path", "name", "response"), threats.read()
     )
     return found.select(
         "function_name", "file_path", "start_line", "end_line", "cwe_id", "severity", "description", "verdict_pos",

@@ -25,7 +25,7 @@ from threatloom.queries.standins import (
     table,
 )
 from threatloom.schemas import SNIPPET_PAYLOAD, SNIPPET_POINT
-from threatloom.session import run_dir
+from threatloom.session import run_dir, spread
 from threatloom.sources.collection import Collection
 from threatloom.sources.labelled import dataset_a, dataset_b
 from threatloom.sources.tree import scan_tree as scan_source_tree
@@ -376,7 +376,8 @@ SCAN_TREE = f"""SELECT cwe_dir AS folder, {_DIR_CWE} AS cwe_id, 'C' AS language,
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = token_weights(table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    weights = token_weights(docs, "doc_id", "text")
     return weights.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 

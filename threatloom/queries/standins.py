@@ -206,7 +206,7 @@ def nested_feed(rows: DataFrame) -> DataFrame:
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested_feed(FEED.frame(spark, sf_dir))
+    return nested_feed(FEED.frame(spark, sf_dir, heavy=True))
 
 
 # The flat record as SQL, with arrays as joined text.

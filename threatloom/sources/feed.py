@@ -45,10 +45,10 @@ def flatten_cves(feed: DataFrame, *, severity_at: int = 1, score_at: int = 2) ->
     return flat.where(F.col("description") != "")
 
 
-def with_text_and_id(cves: DataFrame) -> DataFrame:
-    """Add the text to embed and the stable id of each CVE."""
-    return cves.select(
-        stable_id(F.col("cve_id")).alias("id"),
-        cve_text(F.col("cve_id"), F.col("description"), F.col("cwe_ids")).alias("text"),
-        "*",
-    )
+def with_id(cves: DataFrame) -> DataFrame:
+    return cves.withColumn("id", stable_id(F.col("cve_id")))
+
+
+def with_text(cves: DataFrame) -> DataFrame:
+    """Add the text to embed; best after de-duplication, which then moves each description once, not twice."""
+    return cves.withColumn("text", cve_text(F.col("cve_id"), F.col("description"), F.col("cwe_ids")))

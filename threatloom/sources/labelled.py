@@ -19,7 +19,7 @@ from threatloom.functions.text import (
 )
 
 SNIPPET_COLUMNS = (
-    "id", "id_key", "text", "code_snippet", "label", "cwe_id", "source",
+    "id", "id_key", "code_snippet", "label", "cwe_id", "source",
     "language", "function_name", "file_path", "source_rank", "order_text", "order_pos",
 )
 
@@ -123,7 +123,10 @@ def snippet_rows(
         order_text.alias("order_text"),
         order_pos.cast("long").alias("order_pos"),
     )
+    return shaped.withColumn("id", stable_id(F.col("id_key"))).select(*SNIPPET_COLUMNS)
+
+
+def with_text(snippets: DataFrame) -> DataFrame:
+    """Add the text to embed; best after de-duplication, which then moves each snippet once, not twice."""
     text = snippet_text(F.col("cwe_id"), F.col("language"), F.col("label"), F.col("code_snippet"))
-    return shaped.select(
-        "*", stable_id(F.col("id_key")).alias("id"), text.alias("text")
-    ).select(*SNIPPET_COLUMNS)
+    return snippets.withColumn("text", text)
