@@ -1,6 +1,7 @@
 """Labelled datasets, de-duplication and statistics."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,3 +138,12 @@ def test_build_corpus_stores_points(spark, rows_a, tmp_path):
     assert stored.where(F.size("embedding") != 384).count() == 0
     by_key = build_corpus(rows_a, Collection(spark, str(tmp_path / "k"), SNIPPET_POINT), dedup_on="id_key")
     assert by_key.count() == stored.count()
+
+
+def test_stage_counts_are_observed(spark, rows_a):
+    from threatloom.operators.stats import observed
+
+    seen = Observation("labelled")
+    rows = observed(rows_a, seen)
+    assert rows.count() == 7
+    assert seen.get == {"rows": 7}

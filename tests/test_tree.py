@@ -134,3 +134,24 @@ def test_read_sources_keeps_line_ends(spark, root):
     [row] = read_sources(spark, f"{root}/CWE121_Stack/g.c").collect()
     assert row.text.count("\r\n") == 7
     assert row.file_path.endswith("CWE121_Stack/g.c") and row.file_path.startswith("/")
+
+
+def scanned_files(df):
+    """Files opened by the scan of an executed plan."""
+    found = []
+
+    def walk(node):
+        if node.nodeName().startswith("Scan"):
+            found.append(node.metrics().get("numFiles").get().value())
+        children = node.children()
+        for at in range(children.size()):
+            walk(children.apply(at))
+
+    df.collect()
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_files_out_of_scope_are_not_opened(spark, root):
+    assert scanned_files(scan_tree(spark, root)) == [7]
+    assert scanned_files(tree_snippets(scan_tree(spark, root))) == [5]

@@ -8,7 +8,6 @@ whole Arrow batches. The default needs no model: hashed token counts.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -22,31 +21,43 @@ from threatloom.constants import VECTOR_SIZE
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
-_TOKEN = re.compile(r"[a-z0-9]+")
+_TOKEN_BYTES = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+_TO_TOKENS = bytes(byte if byte in _TOKEN_BYTES else 32 for byte in range(256))
 _CACHED_TOKENS = 1_000_000
 
 
+class _Buckets(dict):
+    """Token -> bucket, remembered up to a bound."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self._dim = dim
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= _CACHED_TOKENS:
+            self.clear()
+        bucket = self[token] = int(hashlib.md5(token).hexdigest()[:8], 16) % self._dim
+        return bucket
+
+
 def hashed_tokens(dim: int = VECTOR_SIZE) -> Encoder:
     """Counts of lower-case ASCII tokens in `dim` md5 buckets, scaled to length 1.
 
     Text without tokens gives the zero vector, which is similar to nothing.
     """
-    buckets: dict[str, int] = {}
-
-    def bucket(token: str) -> int:
-        known = buckets.get(token)
-        if known is None:
-            if len(buckets) >= _CACHED_TOKENS:
-                buckets.clear()
-            known = buckets[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
-        return known
+    bucket_of = _Buckets(dim).__getitem__
 
     def encode(texts: Sequence[str]) -> np.ndarray:
-        counts = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            hits = [bucket(token) for token in _TOKEN.findall((text or "").lower())]
-            counts[row] = np.bincount(hits, minlength=dim) if hits else 0.0
-        lengths = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        hits, tokens_of = [], []
+        for text in texts:
+            # what is not ASCII becomes a `?`, and with the rest of the non-token bytes a blank
+            tokens = (text or "").lower().encode("ascii", "replace").translate(_TO_TOKENS).split()
+            hits.extend(map(bucket_of, tokens))
+            tokens_of.append(len(tokens))
+        rows = np.repeat(np.arange(len(texts)) * dim, tokens_of)
+        cells = rows + np.fromiter(hits, np.int64, len(hits))
+        counts = np.bincount(cells, minlength=len(texts) * dim).reshape(-1, dim).astype(np.float64)
+        lengths = np.sqrt(np.einsum("ij,ij->i", counts, counts))[:, None]
         return np.divide(counts, lengths, out=counts, where=lengths > 0)
 
     return encode

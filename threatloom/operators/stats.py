@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threatloom.constants import SAFE, SEVERITY_LEVELS, VULNERABLE
@@ -46,6 +46,6 @@ def count_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def observed(df: DataFrame, name: str) -> DataFrame:
-    """Let the row count of a stage be read off whatever action runs it."""
-    return df.observe(name, F.count(F.lit(1)).alias("rows"))
+def observed(df: DataFrame, seen: Observation) -> DataFrame:
+    """Let the row count of a stage be read off whatever action runs it, without a pass of its own."""
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"))

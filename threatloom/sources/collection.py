@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatloom.operators.dedup import first_wins
+from threatloom.operators.stats import observed
 from threatloom.sources.state import read_if_present
 
 _LOG_SCHEMA = "version long, kind string, folder string, batch_key string"
@@ -95,8 +96,7 @@ class Collection:
         """Write a folder, then commit it by its log line; an empty delta is not committed."""
         folder = f"{self._root}/data/{kind}-{version:08d}-{uuid.uuid4().hex[:8]}"
         seen = Observation()
-        counted = rows.withColumn(_VERSION, F.lit(version).cast("long")).observe(seen, F.count(F.lit(1)).alias("rows"))
-        counted.write.parquet(folder)
+        observed(rows.withColumn(_VERSION, F.lit(version).cast("long")), seen).write.parquet(folder)
         written = seen.get["rows"]
         if kind == "delta" and not written:
             return 0

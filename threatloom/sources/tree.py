@@ -13,10 +13,11 @@ SOURCE_SUFFIXES = ("c", "cpp")
 
 
 def scan_files(spark: SparkSession, path: str | Sequence[str], suffixes: Sequence[str] = SOURCE_SUFFIXES) -> DataFrame:
-    """(path, content) of every file below `path` with one of the suffixes.
+    """(location, path, content) of every file below `path` with one of the suffixes.
 
     Files that vanish or cannot be read give no rows. The glob prunes the
-    listing, so other files are never opened.
+    listing, and so does a filter on `location`, the path as file metadata:
+    files ruled out by either are never opened.
     """
     return (
         spark.read.format("binaryFile")
@@ -25,7 +26,11 @@ def scan_files(spark: SparkSession, path: str | Sequence[str], suffixes: Sequenc
         .option("ignoreMissingFiles", "true")
         .option("ignoreCorruptFiles", "true")
         .load(path)
-        .select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content")
+        .select(
+            F.col("_metadata.file_path").alias("location"),
+            F.regexp_replace("path", r"^file:/*", "/").alias("path"),
+            "content",
+        )
     )
 
 
@@ -45,7 +50,7 @@ def scan_tree(spark: SparkSession, root: str, suffixes: Sequence[str] = SOURCE_S
     path = F.col("path")
     return files.select(
         relative_to(path, F.lit(root)).alias("rel_path"),
-        cwe_from_path(path).alias("cwe_id"),
+        cwe_from_path(F.col("location")).alias("cwe_id"),
         language_of(path).alias("language"),
         read_text(F.col("content")).alias("text"),
     )
