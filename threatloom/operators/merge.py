@@ -15,5 +15,13 @@ def merge_latest(base: DataFrame, updates: DataFrame, key: str, newest: Sequence
     `newest` orders updates of one key, winner first.
     """
     latest = first_wins(updates, [key], newest).select(*base.columns)
-    kept = base.join(latest.select(key), key, "left_anti").select(*base.columns)
-    return kept.unionByName(latest)
+    return without_keys(base, updates, key).unionByName(latest)
+
+
+def without_keys(base: DataFrame, changed: DataFrame, key: str) -> DataFrame:
+    """Rows of `base` whose key is not among those of `changed`.
+
+    Only the distinct keys are joined: few of them are broadcast, many meet the
+    base in a shuffle, and a key changed often weighs no more than any other.
+    """
+    return base.join(changed.select(key).distinct(), key, "left_anti").select(*base.columns)

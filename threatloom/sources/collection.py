@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatloom.operators.dedup import first_wins
+from threatloom.operators.merge import without_keys
 from threatloom.operators.stats import observed
 from threatloom.sources.state import read_if_present
 
@@ -69,11 +70,10 @@ class Collection:
         deltas = [c.folder for c in live if c.kind == "delta"]
         if not deltas:
             return self._load(base).drop(_VERSION)
-        changed = first_wins(self._load(deltas), [self._key], [F.col(_VERSION).desc()])
-        if not base:
-            return changed.drop(_VERSION)
-        untouched = self._load(base).join(changed.select(self._key), self._key, "left_anti")
-        return untouched.unionByName(changed).drop(_VERSION).select(*self._schema.fieldNames())
+        changes = self._load(deltas)
+        # one delta already holds one row per key
+        latest = changes if len(deltas) == 1 else first_wins(changes, [self._key], [F.col(_VERSION).desc()])
+        return without_keys(self._load(base), changes, self._key).unionByName(latest).drop(_VERSION)
 
     def compact(self) -> None:
         """Fold the deltas into a new base."""
