@@ -26,13 +26,12 @@ def shuffled_rows(df):
     found = []
 
     def walk(node):
-        if "ShuffleQueryStage" in node.nodeName():
-            node = node.plan()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return walk(node.plan())
         if node.nodeName() == "Exchange":
             found.append(node.metrics().get("shuffleRecordsWritten").get().value())
-        if node.nodeName() == "AdaptiveSparkPlan":
-            node = node.executedPlan()
-            return walk(node)
         children = node.children()
         for at in range(children.size()):
             walk(children.apply(at))
