@@ -34,7 +34,10 @@ def random_vectors(n, dim, seed):
     return [(i, [float(x) for x in rng.integers(-2, 3, dim)]) for i in range(n)]
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_cells": 0, "block_rows": 7}, {"broadcast_cells": 0}])
+# collection broadcast, queries broadcast (160 elements against 244), small blocks, one block
+@pytest.mark.parametrize(
+    "options", [{}, {"broadcast_cells": 200}, {"broadcast_cells": 0, "block_rows": 7}, {"broadcast_cells": 0}]
+)
 def test_knn_equals_brute_force(spark, options):
     queries, corpus = random_vectors(40, 4, 1), random_vectors(60, 4, 2)
     corpus.append((100, [0.0] * 4))
@@ -46,7 +49,7 @@ def test_knn_equals_brute_force(spark, options):
     assert got == brute_force(queries, corpus, 5)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_cells": 0}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_cells": 7}, {"broadcast_cells": 0}])
 def test_knn_edges(spark, options):
     queries = spark.createDataFrame([("q", [1.0, 0.0]), ("zero", [0.0, 0.0]), ("none", None)], "query_id string, embedding array<float>")
     corpus = spark.createDataFrame([(2, [2.0, 0.0]), (1, [1.0, 0.0]), (3, [-1.0, 0.0]), (4, None)], VECTORS)

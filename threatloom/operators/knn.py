@@ -1,11 +1,12 @@
 """Exact nearest neighbours of many query vectors in a collection, by cosine.
 
-Scoring is a matrix product per block inside Arrow batches. If the collection
-is small enough to broadcast, queries are scored where they lie and nothing is
-shuffled. Otherwise both sides are cut into blocks of bounded size and every
-(query block, collection block) cell is one task-sized group that keeps its
-best `k` per query; a ranked window merges the cells. No path writes out pairs
-beyond those `k`.
+Scoring is a matrix product per block inside Arrow batches. A collection small
+enough to broadcast goes to the queries, and nothing is shuffled. Failing that,
+queries few enough to broadcast go to the collection: each partition keeps its
+best `k` per query and only those are shuffled. If both sides are large, they
+are cut into blocks of bounded size and every (query block, collection block)
+cell is one task-sized group that keeps its best `k` per query; a ranked window
+merges the cells. No path writes out pairs beyond those `k`.
 
 Scores are rounded before ranking, so that the result does not depend on the
 order in which a product was summed; ties go to the smaller id.
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from threatloom.operators.dedup import limit_per_group
 
 SCORE_DIGITS = 6
-# vector elements of a collection that is broadcast: 32,768 vectors of 384, 100 MB per Python worker
+# vector elements of a side that is broadcast: 32,768 vectors of 384, 100 MB per Python worker
 BROADCAST_CELLS = 12 << 20
 BLOCK_ROWS = 16_384
 # scores computed at once, 64 MB
@@ -51,7 +52,7 @@ def knn_join(
     """
     left = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
     right = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vector).alias("vector"))
-    # counted without their vectors, which are not read or computed for it
+    # both sides are counted without their vectors, which are not read or computed for it
     corpus_rows = right.select("id").count()
     usable_left, usable_right = (side.where(F.col("vector").isNotNull()) for side in (left, right))
     schema = T.StructType([
@@ -61,17 +62,21 @@ def knn_join(
         T.StructField("rank", T.IntegerType()),
     ])
     sample = usable_right.select(F.size("vector")).first()
-    if corpus_rows * (sample[0] if sample else 0) <= broadcast_cells:
-        return _against_broadcast(usable_left, usable_right, k, schema)
-    blocks = _blocks(left.select("query_id").count(), block_rows), _blocks(corpus_rows, block_rows)
-    return _against_blocks(usable_left, usable_right, k, schema, blocks)
+    dim = sample[0] if sample else 0
+    if corpus_rows * dim <= broadcast_cells:
+        return _with_corpus_broadcast(usable_left, usable_right, k, schema)
+    query_rows = left.select("query_id").count()
+    if query_rows * dim <= broadcast_cells:
+        return _with_queries_broadcast(usable_left, usable_right, k, schema)
+    blocks = _blocks(query_rows, block_rows), _blocks(corpus_rows, block_rows)
+    return _by_blocks(usable_left, usable_right, k, schema, blocks)
 
 
 def _blocks(rows: int, block_rows: int) -> int:
     return max(1, -(-rows // block_rows))
 
 
-def _against_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+def _with_corpus_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
     # its size was checked by the caller
     ids, matrix = _unit_rows(corpus.toArrow(), "id")
     shared = queries.sparkSession.sparkContext.broadcast((ids.to_numpy(), matrix))
@@ -84,7 +89,27 @@ def _against_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: T.
     return queries.mapInArrow(score, schema)
 
 
-def _against_blocks(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, blocks: tuple[int, int]) -> DataFrame:
+def _with_queries_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+    # its size was checked by the caller
+    table = queries.toArrow()
+    shared = queries.sparkSession.sparkContext.broadcast(_unit_rows(table, "query_id"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, vectors = shared.value
+        best = tuple(np.zeros(0, dtype) for dtype in (np.int64, np.int64, np.float64))
+        for batch in batches:
+            ids, matrix = _unit_rows(pa.Table.from_batches([batch]), "id")
+            found = _best_indices(vectors, ids.to_numpy(), matrix, k)
+            owner, found_ids, scores = (np.concatenate(pair) for pair in zip(best, found))
+            kept, _ = _ranked(owner, found_ids, scores, k)
+            best = owner[kept], found_ids[kept], scores[kept]
+        kept, rank = _ranked(*best, k)
+        yield from _as_table(query_ids, *(column[kept] for column in best), rank, schema).to_batches()
+
+    return _merged(corpus.mapInArrow(score, schema), k)
+
+
+def _by_blocks(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, blocks: tuple[int, int]) -> DataFrame:
     query_blocks, corpus_blocks = blocks
 
     def block(column: str, count: int) -> Column:
@@ -104,9 +129,13 @@ def _against_blocks(queries: DataFrame, corpus: DataFrame, k: int, schema: T.Str
         return _best(some_queries, ids.to_numpy(), matrix, k, schema)
 
     cell = ["q_block", "c_block"]
-    best_of_cells = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(score, schema)
+    return _merged(left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(score, schema), k)
+
+
+def _merged(partial: DataFrame, k: int) -> DataFrame:
+    """The best `k` per query of the partial results."""
     order = [F.col("score").desc(), F.col("id")]
-    merged = limit_per_group(best_of_cells.drop("rank"), ["query_id"], order, k, rank_name="rank")
+    merged = limit_per_group(partial.drop("rank"), ["query_id"], order, k, rank_name="rank")
     return merged.select("query_id", "id", "score", "rank")
 
 
@@ -125,36 +154,45 @@ def _unit_rows(table: pa.Table, key: str) -> tuple[pa.ChunkedArray, np.ndarray]:
 def _best(queries: pa.Table, ids: np.ndarray, matrix: np.ndarray, k: int, schema: T.StructType) -> pa.Table:
     """The `k` best collection rows of each query of a block."""
     query_ids, vectors = _unit_rows(queries, "query_id")
-    step = max(1, _SCORED_CELLS // max(len(ids), 1))
+    owner, found, score = _best_indices(vectors, ids, matrix, k)
+    kept, rank = _ranked(owner, found, score, k)
+    return _as_table(query_ids, owner[kept], found[kept], score[kept], rank, schema)
+
+
+def _best_indices(vectors: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Query row, id and score of at least the best `k` of each query, ties included."""
     parts = []
     if len(ids):
+        step = max(1, _SCORED_CELLS // len(ids))
+        nth = len(ids) - min(k, len(ids))
         for at in range(0, len(vectors), step):
-            owner, column, score, rank = _top(vectors[at:at + step] @ matrix.T, ids, k)
-            parts.append((owner + at, ids[column], score, rank))
-    owner, found, score, rank = (
-        np.concatenate(columns) if parts else np.zeros(0, dtype)
-        for columns, dtype in zip(zip(*parts) if parts else [()] * 4, (np.int64, np.int64, np.float64, np.int32))
-    )
-    return pa.table(
-        {
-            "query_id": pc.take(query_ids, pa.array(owner, pa.int64())),
-            "id": pa.array(found, pa.int64()),
-            "score": pa.array(score, pa.float64()),
-            "rank": pa.array(rank, pa.int32()),
-        }
-    ).select(schema.fieldNames())
-
-
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """Owner row, column, score and rank of the best `k` of each row, ties by id."""
-    k = min(k, scores.shape[1])
-    # whatever may round to the k-th best score takes part, so ties are not cut blindly
-    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    owner, column = np.nonzero(scores >= kth[:, None] - 2 * 10.0**-SCORE_DIGITS)
-    score = np.round(scores[owner, column], SCORE_DIGITS) + 0.0  # no negative zero
-    order = np.lexsort((ids[column], -score, owner))
-    owner, column, score = owner[order], column[order], score[order]
-    first_of_row = np.searchsorted(owner, np.arange(scores.shape[0]))
-    rank = np.arange(len(owner)) - first_of_row[owner] + 1
-    kept = rank <= k
-    return owner[kept], column[kept], score[kept], rank[kept].astype(np.int32)
+            scores = vectors[at:at + step] @ matrix.T
+            # whatever may round to the k-th best score takes part, so ties are not cut blindly
+            kth = np.partition(scores, nth, axis=1)[:, nth]
+            owner, column = np.nonzero(scores >= kth[:, None] - 2 * 10.0**-SCORE_DIGITS)
+            score = np.round(scores[owner, column], SCORE_DIGITS) + 0.0  # no negative zero
+            kept, _ = _ranked(owner, ids[column], score, k)
+            parts.append((owner[kept] + at, ids[column[kept]], score[kept]))
+    if not parts:
+        return tuple(np.zeros(0, dtype) for dtype in (np.int64, np.int64, np.float64))
+    return tuple(np.concatenate(columns) for columns in zip(*parts))
+
+
+def _ranked(owner: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the best `k` of each owner, best first with ties by id, and their ranks."""
+    order = np.lexsort((ids, -score, owner))
+    ordered = owner[order]
+    rank = np.arange(len(ordered)) - np.searchsorted(ordered, ordered) + 1
+    return order[rank <= k], rank[rank <= k]
+
+
+def _as_table(
+    query_ids: pa.ChunkedArray, owner: np.ndarray, ids: np.ndarray, score: np.ndarray, rank: np.ndarray, schema: T.StructType
+) -> pa.Table:
+    columns = {
+        "query_id": pc.take(query_ids, pa.array(owner, pa.int64())),
+        "id": pa.array(ids, pa.int64()),
+        "score": pa.array(score, pa.float64()),
+        "rank": pa.array(rank.astype(np.int32), pa.int32()),
+    }
+    return pa.table(columns).select(schema.fieldNames())

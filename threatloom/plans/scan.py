@@ -14,6 +14,7 @@ from threatloom.operators.enrich import attach_matches
 from threatloom.operators.extract import all_functions
 from threatloom.operators.findings import findings_of
 from threatloom.operators.score import Responder, join_responses, score_text
+from threatloom.session import stored
 
 
 def prompts(files: DataFrame) -> DataFrame:
@@ -25,8 +26,11 @@ def scan_with_model(
     files: DataFrame, responder: Callable[[], Responder], threats: DataFrame,
     *, k: int = MATCHES_PER_FINDING, encoder: Callable[[], Encoder] = hashed_tokens,
 ) -> DataFrame:
-    """Findings with their nearest threats, asking a text model about each function."""
-    answered = score_text(prompts(files), "prompt", responder)
+    """Findings with their nearest threats, asking a text model about each function.
+
+    Answers are stored first, so that no function is asked about twice.
+    """
+    answered = stored(score_text(prompts(files), "prompt", responder).drop("prompt"), "answers")
     return attach_matches(findings_of(answered), threats, k=k, encoder=encoder)
 
 

@@ -54,7 +54,7 @@ KNN_TOPK = f"SELECT query_id, id, score, rank FROM {_RANKED} WHERE rank <= {_K}"
 
 
 def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As `knn_topk`, over the blocks used when the collection is too large to broadcast."""
+    """As `knn_topk`, over the blocks used when both sides are too large to broadcast."""
     return knn_join(_probes(spark, sf_dir), _collection(spark, sf_dir), _K, broadcast_cells=0, block_rows=512)
 
 
