@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threatloom.constants import MATCHES_PER_FINDING
 from threatloom.operators.embed import Encoder, embed_text, hashed_tokens
 from threatloom.operators.knn import knn_join
+from threatloom.session import stored
 
 
 def collect_matches(matches: DataFrame, corpus: DataFrame, *, corpus_id: str = "id", payload: str = "payload", out: str) -> DataFrame:
@@ -38,11 +39,13 @@ def attach_matches(
 ) -> DataFrame:
     """Every finding with the payloads of its `k` nearest entries, best first; an empty array without any.
 
-    Each distinct text is encoded and looked up once, however many findings share it.
+    Each distinct text is encoded and looked up once, however many findings share it;
+    the encoded texts are stored, as the look-up needs their number before their vectors.
     """
     distinct = findings.select(text).where(F.col(text).isNotNull()).distinct()
     probes = distinct.select(F.md5(text).alias("query_id"), text)
-    matches = knn_join(embed_text(probes, text, encoder=encoder), collection, k, **knn_options)
+    encoded = stored(embed_text(probes, text, encoder=encoder).select("query_id", "embedding"), "probes")
+    matches = knn_join(encoded, collection, k, **knn_options)
     nearest = collect_matches(matches, collection, out=out)
     joined = findings.withColumn("query_id", F.md5(text)).join(nearest, "query_id", "left").drop("query_id")
     empty = F.array().cast(joined.schema[out].dataType)

@@ -94,8 +94,7 @@ def labelled_functions(files: DataFrame, *, text: str = "text", carry: Sequence[
         T.StructField("code_snippet", T.StringType()),
         T.StructField("start_offset", T.LongType()),
     ])
-    candidates = files.where(F.col(text).rlike("(?i)bad|good"))
-    functions = spans(candidates, _labelled_spans, found, text=text, carry=carry)
+    functions = spans(files, _labelled_spans, found, text=text, carry=carry)
     return functions.select(
         *carry,
         "function_name",

@@ -28,10 +28,10 @@ def scan_with_model(
 ) -> DataFrame:
     """Findings with their nearest threats, asking a text model about each function.
 
-    Answers are stored first, so that no function is asked about twice.
+    The bare findings are stored first, so that no function is asked about twice.
     """
-    answered = stored(score_text(prompts(files), "prompt", responder).drop("prompt"), "answers")
-    return attach_matches(findings_of(answered), threats, k=k, encoder=encoder)
+    found = stored(findings_of(score_text(prompts(files), "prompt", responder)), "findings")
+    return attach_matches(found, threats, k=k, encoder=encoder)
 
 
 def scan_with_responses(
@@ -40,4 +40,4 @@ def scan_with_responses(
 ) -> DataFrame:
     """As `scan_with_model`, with stored answers (file_path, name, response)."""
     answered = join_responses(all_functions(files), responses, ["file_path", "name"])
-    return attach_matches(findings_of(answered), threats, k=k, encoder=encoder)
+    return attach_matches(stored(findings_of(answered), "findings"), threats, k=k, encoder=encoder)

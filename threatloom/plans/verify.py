@@ -12,6 +12,7 @@ from threatloom.operators.embed import Encoder, embed_text, hashed_tokens
 from threatloom.operators.enrich import collect_matches
 from threatloom.operators.knn import knn_join
 from threatloom.operators.vote import keep_verified, vote
+from threatloom.session import stored
 
 
 def verify_findings(
@@ -31,7 +32,8 @@ def verify_findings(
     """
     keyed = findings.withColumn("query_id", F.md5(text))
     probes = findings.select(text).distinct().withColumn("query_id", F.md5(text))
-    matches = knn_join(embed_text(probes, text, encoder=encoder), snippets, k)
+    encoded = stored(embed_text(probes, text, encoder=encoder).select("query_id", "embedding"), "probes")
+    matches = knn_join(encoded, snippets, k)
     labels = snippets.select("id", F.col("payload.label").alias("label"))
     verdicts = vote(matches, labels, k, definite=definite)
     nearest = collect_matches(matches, snippets, out="top_matches")
