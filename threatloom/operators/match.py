@@ -15,10 +15,6 @@ from threatloom.constants import CWE_QUERY_LIMIT, KEYWORD_GROUPS, KEYWORD_QUERY_
 from threatloom.operators.dedup import limit_per_group
 
 
-def carries_target(cwe_ids: Column, targets: Sequence[str] = TARGET_CWES) -> Column:
-    return F.arrays_overlap(cwe_ids, F.array(*[F.lit(t) for t in targets]))
-
-
 def keyword_hit(description: Column, severity: Column, phrase: Column, wanted: Column) -> Column:
     """Same severity, and the phrase occurs in the description in any case."""
     return (severity == wanted) & F.lower(description).contains(F.lower(phrase))

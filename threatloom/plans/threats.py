@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,11 +60,13 @@ def ingest_threats(
     """One ingestion run; False, with the watermark untouched, when nothing was fetched.
 
     The watermark is saved after the upsert: a crash in between repeats the run,
-    which the upsert makes harmless.
+    which the upsert makes harmless. It is the end of the window read or, without
+    one, the time the run began, so that changes made meanwhile are not missed.
     """
+    began = datetime.now(timezone.utc).isoformat()
     collection.create()
     records = threat_records(feed, since=watermark.read(), until=until, limited=limited)
     fetched = collection.upsert(threat_points(records, encoder), unique=True) > 0
     if fetched:
-        watermark.save(until)
+        watermark.save(until or began)
     return fetched
