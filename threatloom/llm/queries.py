@@ -5,6 +5,9 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op4_decontaminate": "decontaminate",
+    "op5_packing": "packing",
+    "op7_simhash": "simhash",
     "op10_quality_rules": "quality_rules",
 }
 _loaded = {name: importlib.import_module(f"threatloom.llm.{module}") for name, module in _MODULES.items()}
