@@ -5,6 +5,9 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_line_dedup": "line_dedup",
+    "op2_warc": "warc",
+    "op3_token_shards": "token_shards",
     "op4_decontaminate": "decontaminate",
     "op5_packing": "packing",
     "op7_simhash": "simhash",
