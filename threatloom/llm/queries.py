@@ -10,7 +10,10 @@ _MODULES = {
     "op3_token_shards": "token_shards",
     "op4_decontaminate": "decontaminate",
     "op5_packing": "packing",
+    "op6_rule_ensemble": "rule_ensemble",
     "op7_simhash": "simhash",
+    "op8_secrets": "secrets",
+    "op9_toxicity": "toxicity",
     "op10_quality_rules": "quality_rules",
 }
 _loaded = {name: importlib.import_module(f"threatloom.llm.{module}") for name, module in _MODULES.items()}
