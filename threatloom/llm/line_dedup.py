@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threatloom.llm.scratch import store
+from threatloom.llm.scratch import once, store
 
 WHITE = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 10
@@ -51,7 +51,7 @@ def _half_keys(w: Column, n: Column) -> list[Column]:
 def line_hashes(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row per line with words: its place, its hashes and, where it is long enough, those of its halves."""
     lines = documents.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n"))).select(
-        "doc_id", "th", F.col("pos").alias("line_no"), _words(F.col("col")).alias("w")
+        "doc_id", "th", F.col("pos").alias("line_no"), once(_words(F.col("col"))).alias("w")
     )
     sized = lines.withColumn("n", F.size("w")).where("n > 0")
     keys = _half_keys(F.col("w"), F.col("n"))
@@ -206,7 +206,7 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept)
     return (
-        joined.withColumn("_kept", text)
+        joined.withColumn("_kept", once(text))
         .where(F.col("_drops").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
         .select(*(F.col("_kept" if c == "text" else c).alias(c) for c in documents.columns))
     )

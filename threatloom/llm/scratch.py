@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threatloom.session import run_dir
 
@@ -32,3 +33,8 @@ def drop_table(spark: SparkSession, path: str) -> None:
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether a frame has at most `rows` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def once(column: Column) -> Column:
+    """The column, computed where it is defined: a filter on it is not moved below, which would compute it again there."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
