@@ -28,7 +28,8 @@ BLOCK_WORDS = 200_000
 #: A document with more than this share of its words hit goes; of others the hit spans go.
 MAX_COVERAGE = 0.5
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: words in text that is not lower-cased yet
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
@@ -222,11 +223,11 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, cleaned: bool = False,
                   block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every document row with `_found`: its words, hit words, items, hit runs and, if asked for, the text without them
+    """Every document row with `_found` (which replaces a column of this name): its words, hit words, items, hit runs and, if asked for, the text without them
     (null where nothing is hit). Nothing is shuffled; each block of items is broadcast, its size is bounded."""
     spark = documents.sparkSession
     empty = "named_struct('n_words', 0L, 'n_hit', 0L, 'items', array(), 'runs', array(), 'text', null)"
-    frame = documents.withColumn("_found", F.expr(empty).cast(FOUND))
+    frame = documents.drop("_found").withColumn("_found", F.expr(empty).cast(FOUND))
     for block in item_blocks(benchmark, block_words):
         frame = frame.mapInArrow(_scanner(spark.sparkContext.broadcast(block), window, cleaned), frame.schema)
     return frame
@@ -235,9 +236,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                   max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """Documents with hit spans cut out; those with more than `max_coverage` of their words hit go."""
-    found = contamination(documents, benchmark, window, cleaned=True)
+    inner = {c: f"c{i}" for i, c in enumerate(documents.columns) if c != "text"}  # apart from the names used here
+    found = contamination(documents.withColumnsRenamed(inner), benchmark, window, cleaned=True)
     return found.where(F.col("_found.n_hit") <= max_coverage * F.col("_found.n_words")).select(
-        *(F.coalesce("_found.text", "text").alias(c) if c == "text" else c for c in documents.columns)
+        *(F.coalesce("_found.text", "text").alias(c) if c == "text" else F.col(inner[c]).alias(c) for c in documents.columns)
     )
 
 

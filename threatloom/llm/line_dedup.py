@@ -192,15 +192,18 @@ def line_drops(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _joined(documents: DataFrame, drops: DataFrame) -> DataFrame:
-    hashed = documents.withColumn("_th", F.xxhash64("text"))
+    """Documents with `_drops` and `_near`, null where no line goes."""
     drops = drops.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_dth"), F.col("drops").alias("_drops"),
                          F.col("near").alias("_near"))
-    return hashed.join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_dth")), "left")
+    return documents.withColumn("_th", F.xxhash64("text")).join(
+        drops, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_dth")), "left"
+    )
 
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents without repeated and near-repeated lines. A document that loses all its words goes."""
-    joined = _joined(documents, line_drops(documents, min_words))
+    rows = documents.select("doc_id", "text", F.struct("*").alias("_row"))  # apart from the names used here
+    joined = _joined(rows, line_drops(documents, min_words))
     kept = F.array_join(
         F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col("_drops"), i)), "\n"
     )
@@ -208,7 +211,7 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return (
         joined.withColumn("_kept", once(text))
         .where(F.col("_drops").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-        .select(*(F.col("_kept" if c == "text" else c).alias(c) for c in documents.columns))
+        .select(*(F.col("_kept" if c == "text" else f"_row.`{c}`").alias(c) for c in documents.columns))
     )
 
 
@@ -216,15 +219,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many go and which."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     sized = documents.select(
-        "doc_id", F.xxhash64("text").alias("_th"),
-        F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"),
+        "doc_id", "text", F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines")
     )
-    drops = line_drops(documents).withColumnsRenamed({"doc_id": "_doc", "th": "_dth"})
-    joined = sized.join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_dth")), "left")
+    joined = _joined(sized, line_drops(documents))
     return joined.select(
-        "doc_id", "n_lines", F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("n_near"),
-        F.coalesce(F.array_join("drops", ","), F.lit("")).alias("dropped"),
+        "doc_id", "n_lines", F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("_near"), F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce(F.array_join("_drops", ","), F.lit("")).alias("dropped"),
     )
 
 

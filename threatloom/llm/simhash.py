@@ -219,11 +219,12 @@ def one_per_group(documents: DataFrame, shingle: int = SHINGLE_WORDS, bits: int
     groups = near_duplicates(documents, shingle, bits)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("text")
+    rows = documents.select("doc_id", "text", F.struct("*").alias("_row"))  # apart from the names used here
     return (
-        documents.join(gone, "doc_id", "left_anti")
+        rows.join(gone, "doc_id", "left_anti")
         .withColumn("_nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order)))
         .where("_nth = 1")
-        .select(*documents.columns)
+        .select("_row.*")
     )
 
 

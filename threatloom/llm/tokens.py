@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -13,6 +12,7 @@ import regex
 EOT_ID = 1
 CACHE_WORDS = 300_000
 _WORD_END = b"\xff"
+_LAST_LATIN = "\u024f"
 #: ASCII separators that `str.split` takes for white space and the tokenizer does not.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -29,7 +29,8 @@ class WordBpe:
     """The ids `tokenizers` gives for a lower-casing word BPE, looked up by white-space separated word.
 
     Words the bounded cache lacks are merged by `tiktoken`, with the end of a word as a byte of its own that UTF-8 never
-    has. Texts with strings of special tokens or unusual separators are given to `tokenizers` whole.
+    has. Words with letters beyond the Latin blocks, and texts with strings of special tokens or unusual separators, are
+    given to `tokenizers` as they are.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -63,11 +64,14 @@ class WordBpe:
         """Ids of a word the young cache lacks. A full cache becomes the old one, so that words in use stay known."""
         ids = self._old.get(word)
         if ids is None:
-            lowered = word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
-            ranks: list[int] = []
-            for piece in [lowered] if lowered.isascii() and lowered.isalpha() else _PIECE.findall(lowered):
-                ranks += self._merge.encode_single_piece(piece.encode() + _WORD_END)
-            ids = array("H", map(self._id_of_rank.__getitem__, ranks)).tobytes()
+            if max(word) > _LAST_LATIN:
+                ids = array("H", self._whole.encode(word, add_special_tokens=False).ids).tobytes()
+            else:
+                lowered = word.lower()  # composed letters only, so that there is nothing to normalise
+                ranks: list[int] = []
+                for piece in [lowered] if lowered.isascii() and lowered.isalpha() else _PIECE.findall(lowered):
+                    ranks += self._merge.encode_single_piece(piece.encode() + _WORD_END)
+                ids = array("H", map(self._id_of_rank.__getitem__, ranks)).tobytes()
         if len(self._words) >= self._bound:
             self._old, self._words = self._words, {}
         self._words[word] = ids
