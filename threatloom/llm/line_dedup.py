@@ -26,7 +26,7 @@ from threatloom.llm.scratch import once, store
 
 WHITE = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 10
-#: At most so many document ids with candidate lines are broadcast; more are joined by a shuffle.
+#: At most so many rows of keys, or of documents with candidate lines, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _LINE = ["h1", "h2", "n"]
 
@@ -61,15 +61,22 @@ def line_hashes(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
+def _semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is among `keys`: by broadcast if those are few, else by a shuffle."""
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+
 def _lines_with_partner(distinct: DataFrame) -> DataFrame:
     """Distinct lines that share a half with another one."""
-    dealt = distinct.where("k0 IS NOT NULL").select(*_LINE, "first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
+    dealt = distinct.where("k0 IS NOT NULL").select("h1", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
     shared = dealt.groupBy("k").count().where("count > 1").select("k")
-    return dealt.join(shared, "k", "left_semi").drop("k").distinct()
+    wanted = store(dealt.join(shared, "k", "left_semi").select("h1").distinct(), "partner-lines")
+    return _semi(distinct.where("k0 IS NOT NULL"), wanted, "h1").select(*_LINE, "first")
 
 
 def _with_words(documents: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines with their words, fetched from the documents at their first places."""
+    """Lines with their words, fetched from the documents at their first places, and a number `line` in their order."""
     wanted = store(
         lines.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.th").alias("_th"))
         .agg(F.collect_list(F.struct(*_LINE, "first")).alias("_wanted")),
@@ -84,26 +91,28 @@ def _with_words(documents: DataFrame, lines: DataFrame) -> DataFrame:
     picked = F.transform(
         F.col("_wanted"), lambda x: F.struct(x.alias("line"), F.get(F.col("_lines"), x["first"]["line_no"]).alias("text"))
     )
-    return split.select(F.explode(picked).alias("x")).select("x.line.*", _words(F.col("x.text")).alias("w")).dropDuplicates(_LINE)
+    worded = split.select(F.explode(picked).alias("x")).select("x.line.*", _words(F.col("x.text")).alias("w"))
+    # numbered once in a stored table, so that the numbers stay what they are
+    return worded.dropDuplicates(_LINE).orderBy("first").withColumn("line", F.monotonically_increasing_id())
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
     """Hashed keys of all variants: a row per deleted word `at`, and one with `at` -1 for the whole line."""
-    words = lines.select(*_LINE, "first", F.posexplode("w").alias("at", "word"))
+    words = lines.select("line", "n", F.posexplode("w").alias("at", "word"))
     # sums of 40-bit values stay exact for lines of millions of words
 
     def value(seed: int, place: Column) -> Column:
         return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "word", place), 24)
 
     terms = words.select(
-        *_LINE, "first", "at",
+        "line", "n", "at",
         *[value(seed, F.col("at")).alias(f"a{seed}") for seed in (1, 2)],
         *[value(seed, F.col("at") - 1).alias(f"b{seed}") for seed in (1, 2)],
     )
-    line = Window.partitionBy(*_LINE)
+    line = Window.partitionBy("line")
     upto = line.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = terms.select(
-        *_LINE, "first", "at",
+        "line", "n", "at",
         *[
             # words before the place, and words after it moved up by one
             (F.sum(f"a{s}").over(upto) - F.col(f"a{s}") + F.sum(f"b{s}").over(line) - F.sum(f"b{s}").over(upto)).alias(f"v{s}")
@@ -117,40 +126,37 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
         F.when(last, F.struct(F.lit(-1).alias("at"), F.col("n").alias("size"), F.col("whole1").alias("v1"),
                               F.col("whole2").alias("v2"))),
     )
-    return summed.select(*_LINE, "first", F.explode(F.array_compact(variants)).alias("x")).select(
-        *_LINE, "first", "x.*"
+    return summed.select("line", F.explode(F.array_compact(variants)).alias("x")).select("line", "x.*").withColumn(
+        "key", F.xxhash64("size", "v1", "v2")
     )
 
 
+def _shared_variants(variants: DataFrame) -> DataFrame:
+    """Variants whose key another line has too."""
+    shared = variants.groupBy("key").count().where("count > 1").select("key")
+    return _semi(variants, store(shared, "shared-variants"), "key")
+
+
 def _near_pairs(variants: DataFrame) -> DataFrame:
     """Pairs (later line, earlier line, place) whose variants are equal."""
     key = ["size", "v1", "v2"]
-    own = F.struct(*_LINE, "first")
     cut = variants.where("at >= 0")
     # replacements: lines without the word of the same place; each meets the earliest of its key
-    earliest = cut.groupBy(*key, "at").agg(F.count("*").alias("lines"), F.min(F.struct("first", *_LINE)).alias("e"))
-    earliest = earliest.where("lines > 1").select(*key, "at", F.col("e").alias("early"))
-    replaced = cut.join(earliest, [*key, "at"]).where("first > early.first").select(
-        own.alias("late"), F.struct("early.h1", "early.h2", "early.n", "early.first").alias("early"), "at"
-    )
+    earliest = cut.groupBy(*key, "at").agg(F.min("line").alias("early"))
+    replaced = cut.join(earliest, [*key, "at"]).where("line > early").select(F.col("line").alias("late"), "early", "at")
     # insertions: a line without a word is another whole line
-    whole = variants.where("at < 0").select(*key, own.alias("short"))
-    grown = cut.select(*key, "at", own.alias("long")).join(whole, key)
-    inserted = grown.select(
-        F.when(F.col("long.first") > F.col("short.first"), F.col("long")).otherwise(F.col("short")).alias("late"),
-        F.when(F.col("long.first") > F.col("short.first"), F.col("short")).otherwise(F.col("long")).alias("early"),
-        "at",
+    whole = variants.where("at < 0").select(*key, F.col("line").alias("short"))
+    inserted = cut.join(whole, key).select(
+        F.greatest("line", "short").alias("late"), F.least("line", "short").alias("early"), "at"
     )
     return replaced.union(inserted)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Later lines of pairs that are one word edit apart."""
-    words = lines.select(F.struct(*_LINE).alias("key"), "w")
     both = (
-        pairs.select(F.struct("late.h1", "late.h2", "late.n").alias("late"), F.struct("early.h1", "early.h2", "early.n").alias("early"), "at")
-        .join(words.select(F.col("key").alias("late"), F.col("w").alias("wl")), "late")
-        .join(words.select(F.col("key").alias("early"), F.col("w").alias("we")), "early")
+        pairs.join(lines.select(F.col("line").alias("late"), *_LINE, F.col("w").alias("wl")), "late")
+        .join(lines.select(F.col("line").alias("early"), F.col("w").alias("we")), "early")
     )
 
     def before(w: str) -> Column:
@@ -166,19 +172,26 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
         .when(longer == -1, after("wl", 0) == after("we", 1))
         .otherwise(False)
     )
-    return both.where(same).select("late.*").distinct()
+    return both.where(same).select(*_LINE).distinct()
 
 
 def line_drops(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document with lines to drop: `doc_id`, `th` (hash of its text), `drops` and, of those, `near` line numbers."""
     lines = store(line_hashes(documents, min_words), "lines")
     distinct = store(
-        lines.groupBy(*_LINE).agg(F.min("place").alias("first"), *[F.any_value(f"k{i}").alias(f"k{i}") for i in range(4)]),
+        lines.groupBy(*_LINE).agg(
+            F.min("place").alias("first"), F.count("*").alias("times"),
+            *[F.any_value(f"k{i}").alias(f"k{i}") for i in range(4)],
+        ),
         "distinct-lines",
     )
     candidates = store(_with_words(documents, _lines_with_partner(distinct)), "candidate-lines")
-    near = _verified(_near_pairs(store(_neighbourhood(candidates), "line-variants")), candidates)
-    marked = distinct.select(*_LINE, "first").join(near.withColumn("near", F.lit(True)), _LINE, "left")
+    variants = store(_neighbourhood(candidates), "line-variants")
+    near = store(_verified(_near_pairs(store(_shared_variants(variants), "met-variants")), candidates), "near-lines")
+    marked = distinct.select(*_LINE, "first", "times").join(near.withColumn("near", F.lit(True)), _LINE, "left")
+    marked = store(marked.where("times > 1 OR near").drop("times"), "marked-lines")
+    if marked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        marked = F.broadcast(marked)
     fates = lines.select(*_LINE, "place").join(marked, _LINE)
     repeated = F.col("place") > F.col("first")
     return (
