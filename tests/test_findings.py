@@ -124,7 +124,7 @@ def test_scan(spark, threats):
     assert [m.cve_id for m in row.cve_matches] == ["CVE-0", "CVE-1"]
     assert report_rows(found).first().related_cves == "CVE-0, CVE-1"
 
-    responses = prompts(files).select("file_path", "name", F.lit(responder()("strcpy")).alias("response"))
+    responses = prompts(files).select("file_path", "name", "start_line", F.lit(responder()("strcpy")).alias("response"))
     stored = scan_with_responses(files, responses, threats.limit(0))
     assert {(r.function_name, len(r.cve_matches)) for r in stored.collect()} == {("copy", 0), ("safe_one", 0)}
     assert {r.related_cves for r in report_rows(stored).collect()} == {"none"}

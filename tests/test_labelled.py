@@ -1,5 +1,7 @@
 """Labelled datasets, de-duplication and statistics."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -40,13 +42,16 @@ def test_dataset_a(rows_a):
     rows = {r.order_pos: r for r in rows_a.collect()}
     assert set(rows) == {0, 2, 7, 8, 9, 10, 11}
     assert rows[0].cwe_id == "CWE-119" and rows[0].code_snippet == "void before(void) {}"
-    assert rows[2].file_path == "unknown" and rows[2].id_key == "bigvul:unknown:int a;"
+    assert rows[2].file_path == "unknown" and rows[2].id_key == "bigvul:unknown:" + hashlib.md5(b"int a;").hexdigest()
     assert rows[10].code_snippet == "y" * 512
     assert rows[11].code_snippet == "z" * 512 + "..."
 
 
-def test_versions_sharing_a_prefix_collapse_to_the_first(rows_a):
+def test_versions_sharing_a_prefix(spark, rows_a):
     kept = {r.order_pos for r in dedup_snippets(rows_a).collect()}
+    assert 7 in kept and 8 in kept
+    short = dataset_a(spark.createDataFrame(A_ROWS, A_SCHEMA), row_order="row", id_chars=32)
+    kept = {r.order_pos for r in dedup_snippets(short, "id").collect()}
     assert 7 in kept and 8 not in kept
 
 

@@ -84,3 +84,22 @@ def test_first_point_equals_brute_force(spark, spans, points, width):
         if inside:
             expected[n] = inside[0]
     assert {r.span: (r.at, r.name) for r in found} == expected
+
+
+def test_rows_without_a_key_are_refused(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
+    collection = Collection(spark, str(tmp_path / "c"), schema)
+    collection.create()
+    collection.upsert(spark.createDataFrame([(1, "a")], schema))
+    with pytest.raises(ValueError, match="without id"):
+        collection.upsert(spark.createDataFrame([(2, "b"), (None, "c")], schema))
+    assert [tuple(r) for r in collection.read().collect()] == [(1, "a")]
+
+
+def test_older_states_are_left_out(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.LongType())])
+    collection = Collection(spark, str(tmp_path / "c"), schema, compact_every=2)
+    collection.create()
+    for rows in ([(1, 5), (2, 5)], [(1, 4), (2, 6), (3, None)], [(1, 5), (2, 1), (3, 1)]):
+        collection.upsert(spark.createDataFrame(rows, schema), state=F.col("v"))
+    assert sorted(tuple(r) for r in collection.read().collect()) == [(1, 5), (2, 6), (3, 1)]

@@ -146,3 +146,24 @@ def test_stream_sees_only_new_files(spark, tmp_path):
     assert rows == {"CVE-1": "A buffer overflow", "CVE-2": "new buffer overflow", "CVE-3": "A buffer overflow"}
     run_available(feed_stream(spark, path), collection, checkpoint)
     assert collection.read().count() == 3
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_stream_gives_the_full_load_in_any_order(spark, tmp_path, order):
+    states = [
+        [cve("CVE-1", "A buffer overflow, first", modified="2024-01-01T00:00:00"), cve("CVE-2", modified="2024-02-01T00:00:00")],
+        [cve("CVE-1", "A buffer overflow, last", modified="2024-05-01T00:00:00"), {**cve("CVE-3"), "id": None}],
+        [cve("CVE-1", "A buffer overflow, between", modified="2024-02-01T00:00:00"), cve("CVE-4")],
+    ]
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    collection = Collection(spark, str(tmp_path / "c"), CVE_POINT, compact_every=2)
+    for n, at in enumerate(order):
+        lines = [json.dumps(r) for r in states[at]] + ['{"id": "CVE-9", "desc']
+        (folder / f"{n}.json").write_text("\n".join(lines))
+        run_available(feed_stream(spark, str(folder), max_files=1), collection, str(tmp_path / "checkpoint"))
+    stored = {r.cve_id: r.description for r in collection.read().select("payload.*").collect()}
+    full = Collection(spark, str(tmp_path / "full"), CVE_POINT)
+    ingest_threats(read_feed(spark, str(folder)), full, Watermark(spark, str(tmp_path / "w")))
+    assert stored == {r.cve_id: r.description for r in full.read().select("payload.*").collect()}
+    assert stored["CVE-1"] == "A buffer overflow, last" and set(stored) == {"CVE-1", "CVE-2", "CVE-4"}

@@ -74,19 +74,19 @@ def test_labelled_functions(spark, root):
     assert (mixed.label, mixed.code_snippet) == ("vulnerable", "int goodBadMix(int n)")
 
 
-def test_ids_are_unsigned_32_bit(spark, root):
+def test_ids_are_60_bit(spark, root):
     import hashlib
 
     rows = tree_snippets(scan_tree(spark, root)).collect()
     for r in rows:
         key = f"{TREE_SOURCE}:{r.file_path}:{r.function_name}"
-        assert r.id == int(hashlib.md5(key.encode()).hexdigest()[:8], 16)
+        assert r.id == int(hashlib.md5(key.encode()).hexdigest()[:15], 16)
 
 
 def test_tree_order_is_c_then_cpp(spark, root):
     tree = scan_tree(spark, root)
     same_id = tree_snippets(tree).withColumn("id", F.lit(1).cast("long"))
-    kept = dedup_snippets(same_id).collect()
+    kept = dedup_snippets(same_id, "id").collect()
     assert [(r.file_path, r.function_name) for r in kept] == [("CWE121_Stack/f.c", "goodBadMix")]
 
 
@@ -155,3 +155,36 @@ def scanned_files(df):
 def test_files_out_of_scope_are_not_opened(spark, root):
     assert scanned_files(scan_tree(spark, root)) == [7]
     assert scanned_files(tree_snippets(scan_tree(spark, root))) == [5]
+
+
+@pytest.mark.parametrize("header", [
+    "__attribute__((noinline)) int f(int a) {", "int f(int a) __attribute__((x)) {", "std::string f(int q) {",
+    "void f(int (*cb)(int, int (*)(void))) {", "static const\nunsigned int f(void)\n{", "MACRO(x)\nint f(int a) {",
+])
+def test_headers_found(header):
+    from threatloom.operators.extract import _function_spans
+
+    assert [hit[0] for hit in _function_spans(f"int a;\n{header}\n  return g(1);\n}}\n")] == ["f"]
+
+
+@pytest.mark.parametrize("text", ["word\n", "\n", "int a(\n", "void bad\n", "x { } ", "f((("])
+def test_extraction_is_linear(text):
+    import time
+
+    from threatloom.operators.extract import _function_spans, _labelled_spans
+
+    def seconds(copies):
+        source, start = text * copies, time.process_time()
+        list(_function_spans(source))
+        list(_labelled_spans(source))
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(100_000) < 5  # quadratic patterns took minutes
+
+
+def test_blank_lines_before_a_labelled_header():
+    from threatloom.operators.extract import _labelled_spans
+
+    text = "int a;\n\n \n  void one_bad()\n{\n}\n\n\nint two_good(int a)\n{\n}"
+    assert [(name, at) for name, _, at in _labelled_spans(text)] == [("one_bad", 7), ("two_good", text.index("\n\nint two"))]

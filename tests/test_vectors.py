@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threatloom.functions.vectors import cosine
-from threatloom.operators.embed import embed_text, hashed_tokens, token_weights
+from threatloom.operators.embed import embed_text, hashed_tokens
 from threatloom.operators.knn import knn_join
 from threatloom.operators.vote import keep_verified, vote
 from threatloom.plans.verify import verify_findings
@@ -64,15 +64,6 @@ def test_cosine_of_a_zero_vector_is_null(spark):
     assert [r.s for r in df.select(F.round(cosine("a", "b"), 9).alias("s")).collect()] == [None, 1.0]
 
 
-def test_encoder_equals_its_sql_form(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    dense = embed_text(docs, "text").select("doc_id", F.posexplode("embedding").alias("bucket", "w")).where("w <> 0")
-    sparse = token_weights(docs, "doc_id", "text")
-    both = dense.join(sparse, ["doc_id", "bucket"], "full_outer")
-    assert both.where("w IS NULL OR weight IS NULL OR abs(w - weight) > 1e-6").count() == 0
-    assert dense.count() > 0
-
-
 def test_encoder_edges():
     vectors = hashed_tokens(8)(["", "Abc abc!", None])
     assert not vectors[0].any() and not vectors[2].any()
@@ -108,3 +99,11 @@ def test_verify(spark):
     assert set(rows) == {"f"}
     assert rows["f"].verdict == "vulnerable" and [m.text for m in rows["f"].top_matches] == ["strcpy buffer", "strcpy buffer bound"]
     assert verify_findings(findings, points.limit(0), k=2).count() == 3
+
+
+@pytest.mark.parametrize("vectors", [[[], [1.0, 0.0]], [[1.0], [1.0, 0.0]]])
+def test_ragged_vectors_are_refused(spark, vectors):
+    corpus = spark.createDataFrame(list(enumerate(vectors)), "id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="dimensions"):
+        knn_join(queries, corpus, 1, broadcast_cells=10)

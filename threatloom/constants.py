@@ -46,6 +46,8 @@ DATASET_B_COLUMNS = {
 
 VECTOR_SIZE = 384
 SNIPPET_CHARS = 512
+# The short ids and code prefixes merge different records; stored records use the long ones.
+SHORT_ID_DIGITS, RECORD_ID_DIGITS = 8, 15
 ID_CODE_CHARS = 32
 MIN_FUNCTION_CHARS = 20
 CPE_KEPT = 5
@@ -54,9 +56,9 @@ MATCHES_PER_FINDING = 5
 CWE_QUERY_LIMIT = 500
 KEYWORD_QUERY_LIMIT = 200
 
-# Header line of a labelled test function (multi-line, any case).
+# Header line of a labelled test function (multi-line, any case), without the blank lines before it.
 LABELLED_HEADER = (
-    r"^\s*(?:void|int|char\s*\*?|static\s+void)\s+"
+    r"^[^\S\n]*(?:void|int|char\s*\*?|static\s+void)\s+"
     r"(\w*(?:bad|good)\w*)\s*\([^)]*\)\s*\{?\s*$"
 )
 

@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.constants import SAFE, SNIPPET_CHARS, UNKNOWN, VULNERABLE
+from threatloom.constants import RECORD_ID_DIGITS, SAFE, SHORT_ID_DIGITS, SNIPPET_CHARS, UNKNOWN, VULNERABLE
 
 # Unicode white space plus the four information separators that count as blank too.
 _BLANK = r"[\s\x1c-\x1f]"
 
 
-def stable_id(key: Column) -> Column:
-    """Unsigned 32-bit id: the first 8 hex digits of the key's md5, as a LONG."""
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+def stable_id(key: Column, hex_digits: int = SHORT_ID_DIGITS) -> Column:
+    """The first hex digits of the key's md5 as a LONG; by default an unsigned 32-bit id."""
+    return F.conv(F.substring(F.md5(key), 1, hex_digits), 16, 10).cast("long")
+
+
+def record_id(key: Column) -> Column:
+    """Id of a stored record: 60 bits of the key's md5, so that a billion keys share none to speak of."""
+    return stable_id(key, RECORD_ID_DIGITS)
 
 
 def truncate(text: Column, max_chars: int = SNIPPET_CHARS) -> Column:

@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from threatloom.constants import VECTOR_SIZE
 
@@ -77,18 +76,3 @@ def embed_text(
 
     vector = F.arrow_udf(encode, T.ArrayType(T.FloatType()))
     return df.withColumn(out, vector(F.col(text)))
-
-
-def token_weights(df: DataFrame, key: str, text: str, dim: int = VECTOR_SIZE) -> DataFrame:
-    """The default encoding in sparse form, one row (key, bucket, weight), all in Spark SQL.
-
-    A row's tokens are counted per bucket before the shuffle, so at most `dim`
-    rows of each text travel. `key` has to be unique.
-    """
-    # lower-casing also maps a few non-ASCII letters into a-z, as the encoder does
-    tokens = F.split(F.lower(F.col(text)), "[^a-z0-9]+")
-    words = df.select(key, F.explode(tokens).alias("token")).where(F.col("token") != "")
-    hashed = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long")
-    counts = words.groupBy(key, (hashed % dim).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
-    return counts.select(key, "bucket", (F.col("n") / length).alias("weight"))

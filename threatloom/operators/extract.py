@@ -28,12 +28,15 @@ _NOT_CODE = re.compile(
     r'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'',
     re.DOTALL | re.MULTILINE,
 )
-# One or more specifier words, a plain name, a parameter list, an opening brace.
-_ANY_HEADER = re.compile(
-    r"^[ \t]*(?P<start>(?:[A-Za-z_]\w*\s+)+)(?P<name>[A-Za-z_]\w*)\s*"
-    r"\((?:[^(){};]|\([^(){};]*\))*\)\s*\{",
-    re.MULTILINE,
-)
+# What may stand in a header besides specifiers, name and parameters.
+_ATTRIBUTE = re.compile(r"\b(?:__attribute__|__declspec|alignas|_Alignas)\s*\(|\[\[")
+_TEMPLATE = re.compile(r"<[^<>(){};]*>")
+_AFTER = re.compile(r"\s*(?:(?:const|volatile|noexcept|override|final)\b\s*)*")
+_NAME = re.compile(r"(?<![\w:*&])[A-Za-z_]\w*\Z")
+_BOUNDARY = re.compile(r"[;{}]")
+_PAREN = re.compile(r"[()]")
+_NOT_NEWLINE = re.compile(r"[^\n]")
+_NO_SPECIFIER = "()*&=,:#~[]<>+-/!?|^%."
 _KEYWORDS = frozenset(("if", "for", "while", "switch", "return", "else", "do", "sizeof", "case"))
 
 Finder = Callable[[str], Iterable[tuple]]
@@ -72,16 +75,22 @@ def closing_braces(text: str) -> dict[int, int]:
 
 
 def _labelled_spans(text: str) -> Iterator[tuple]:
-    partner = None
+    partner, last_end = None, 0
     for header in _LABELLED.finditer(text):
         opening = text.find("{", header.start())
         if opening < 0:
             return
         if partner is None:
             partner = closing_braces(text)
+        # a header begins with the blank lines before it
+        start = header.start()
+        blank = len(text[last_end:start].rstrip()) + last_end
+        if blank < start:
+            start = blank if blank == 0 or text[blank - 1] == "\n" else text.index("\n", blank, start) + 1
+        last_end = header.end()
         # an unbalanced body leaves only the header text
         end = partner[opening] + 1 if opening in partner else opening
-        yield header.group(1), text[header.start():end].strip(), header.start()
+        yield header.group(1), text[start:end].strip(), start
 
 
 def labelled_functions(files: DataFrame, *, text: str = "text", carry: Sequence[str]) -> DataFrame:
@@ -105,33 +114,89 @@ def labelled_functions(files: DataFrame, *, text: str = "text", carry: Sequence[
 
 
 def _blanked(hit: re.Match) -> str:
-    return "".join("\n" if c == "\n" else " " for c in hit.group())
+    return _NOT_NEWLINE.sub(" ", hit.group())
+
+
+def _groups(header: str) -> list[tuple[int, int]]:
+    """Outermost parentheses of a header: opening and closing place, in order."""
+    found, depth, opening = [], 0, 0
+    for hit in _PAREN.finditer(header):
+        if hit.group() == "(":
+            opening = opening if depth else hit.start()
+            depth += 1
+        elif depth:
+            depth -= 1
+            if not depth:
+                found.append((opening, hit.start()))
+    return found
+
+
+def _without_attributes(header: str) -> str:
+    """The header with attributes and template arguments blanked, places unchanged."""
+    groups = None
+    for hit in reversed(list(_ATTRIBUTE.finditer(header))):
+        if hit.group() == "[[":
+            end = header.find("]]", hit.end()) + 2
+        else:
+            groups = groups if groups is not None else _groups(header)
+            end = next((close + 1 for opening, close in groups if opening == hit.end() - 1), 0)
+        if end > hit.start():
+            header = header[: hit.start()] + _NOT_NEWLINE.sub(" ", header[hit.start():end]) + header[end:]
+    before = None
+    while before != header:
+        before, header = header, _TEMPLATE.sub(_blanked, header)
+    return header
+
+
+def _definition(header: str) -> tuple[str, int] | None:
+    """Name and place of the first specifier of a function whose body begins after `header`."""
+    if "(" not in header:
+        return None
+    clean = _without_attributes(header)
+    groups = _groups(clean)
+    if not groups or not _AFTER.fullmatch(clean, groups[-1][1] + 1):
+        return None
+    head = clean[: groups[-1][0]].rstrip()
+    name = _NAME.search(head)
+    if not name or name.group() in _KEYWORDS:
+        return None
+    # specifiers are words, perhaps with a scope; anything else ends what belongs to this definition
+    specifiers = head[: name.start()].replace("::", "__")
+    first = max((specifiers.rfind(c) for c in _NO_SPECIFIER), default=-1) + 1
+    words = specifiers[first:].split()
+    if not words or words[0] in _KEYWORDS:
+        return None
+    return name.group(), first + len(specifiers[first:]) - len(specifiers[first:].lstrip())
 
 
 def _function_spans(text: str) -> Iterator[tuple]:
     code_only = _NOT_CODE.sub(_blanked, text)
     partner = None
-    line, counted_to = 1, 0
-    for header in _ANY_HEADER.finditer(code_only):
-        if header["name"] in _KEYWORDS or header["start"].split(None, 1)[0] in _KEYWORDS:
+    line, counted_to, begin = 1, 0, 0
+    # the texts between boundaries do not overlap, so each is looked at once
+    for boundary in _BOUNDARY.finditer(code_only):
+        header_at, begin = begin, boundary.end()
+        found = _definition(code_only[header_at:boundary.start()]) if boundary.group() == "{" else None
+        if found is None:
             continue
         if partner is None:
             partner = closing_braces(code_only)
-        closing = partner.get(header.end() - 1)
+        closing = partner.get(boundary.start())
         if closing is None:
             continue
-        start = header.start("start")
+        name, offset = found
+        start = header_at + offset
         line += text.count("\n", counted_to, start)
         counted_to = start
         code = text[start:closing + 1]
-        yield header["name"], code, line, line + code.count("\n")
+        yield name, code, line, line + code.count("\n")
 
 
 def all_functions(files: DataFrame, *, text: str = "text", path: str = "file_path") -> DataFrame:
     """Every function definition with a plain name: name, code, first and last line (from 1), file.
 
-    An approximation of the C grammar: definitions returning a pointer, methods,
-    K&R parameter lists and macro-made definitions are not found. Functions
+    An approximation of the C grammar: attributes, scoped result types and nested parameter lists are
+    understood; definitions returning a pointer, methods, K&R parameter lists and macro-made definitions are not found. Functions
     shorter than the minimum are dropped.
     """
     found = T.StructType([

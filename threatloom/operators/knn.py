@@ -52,8 +52,6 @@ def knn_join(
     """
     left = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("vector"))
     right = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(corpus_vector).alias("vector"))
-    # both sides are counted without their vectors, which are not read or computed for it
-    corpus_rows = right.select("id").count()
     usable_left, usable_right = (side.where(F.col("vector").isNotNull()) for side in (left, right))
     schema = T.StructType([
         left.schema["query_id"],
@@ -61,17 +59,28 @@ def knn_join(
         T.StructField("score", T.DoubleType()),
         T.StructField("rank", T.IntegerType()),
     ])
-    sample = usable_right.select(F.size("vector")).first()
-    dim = sample[0] if sample else 0
+    corpus_rows, dim = _shape(usable_right, "collection")
     if corpus_rows * dim <= broadcast_cells:
         return _with_corpus_broadcast(usable_left, usable_right, k, schema)
-    query_rows = left.select("query_id").count()
+    query_rows, query_dim = _shape(usable_left, "queries")
+    if query_rows and query_dim != dim:
+        raise ValueError(f"queries have {query_dim} dimensions, the collection {dim}")
     if query_rows * dim <= broadcast_cells:
         return _with_queries_broadcast(usable_left, usable_right, k, schema)
     blocks = _blocks(query_rows, block_rows), _blocks(corpus_rows, block_rows)
     return _by_blocks(usable_left, usable_right, k, schema, blocks)
 
 
+def _shape(side: DataFrame, what: str) -> tuple[int, int]:
+    """Number and dimension of the vectors of one side, from all of them."""
+    seen = side.agg(
+        F.count("*").alias("rows"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most")
+    ).first()
+    if seen.rows and not (seen.least == seen.most and seen.least > 0):
+        raise ValueError(f"vectors of the {what} have between {seen.least} and {seen.most} dimensions")
+    return seen.rows, seen.most or 0
+
+
 def _blocks(rows: int, block_rows: int) -> int:
     return max(1, -(-rows // block_rows))
 

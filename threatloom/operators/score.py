@@ -4,33 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Responder = Callable[[str], str]
+#: Answers to a list of prompts, in their order; an answer may be an exception.
+BatchResponder = Callable[[Sequence[str]], Sequence["str | Exception | None"]]
 
+PROMPTS_PER_CALL = 32
+ERROR_CHARS = 500
 
-def score_text(df: DataFrame, prompt: str, responder: Callable[[], Responder], out: str = "response") -> DataFrame:
-    """Add the model's answer to each prompt; null where the model failed.
 
-    The factory is called once per task.
-    """
-
-    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ask = responder()
+def one_by_one(ask: Responder) -> BatchResponder:
+    """A responder of single prompts as one of lists: a failed call fails alone."""
 
-        def guarded(text: str | None) -> str | None:
+    def answer(prompts: Sequence[str]) -> list[str | Exception | None]:
+        out: list[str | Exception | None] = []
+        for prompt in prompts:
             try:
-                return ask(text)
-            except Exception:  # noqa: BLE001 - a failed call is a function without findings
-                return None
+                out.append(ask(prompt))
+            except Exception as error:  # noqa: BLE001 - reported in the row's error column
+                out.append(error)
+        return out
+
+    return answer
+
+
+def score_text(
+    df: DataFrame, prompt: str, responder: Callable[[], Responder], out: str = "response", error: str = "response_error"
+) -> DataFrame:
+    """Add the model's answer to each prompt and, where the model failed, its error, asking prompt by prompt."""
+    return score_batches(df, prompt, lambda: one_by_one(responder()), out, error)
 
+
+def score_batches(
+    df: DataFrame, prompt: str, responder: Callable[[], BatchResponder], out: str = "response",
+    error: str = "response_error", prompts_per_call: int = PROMPTS_PER_CALL,
+) -> DataFrame:
+    """As `score_text`, asking about up to `prompts_per_call` prompts at once.
+
+    The factory is called once per task. A call that raises is an error of all its prompts; a null prompt is not asked
+    about and has neither answer nor error.
+    """
+    answer_type = T.StructType([T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
+
+    def answers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ask = responder()
         for batch in batches:
-            yield batch.map(guarded).astype(object)
+            prompts = batch.to_pylist()
+            rows: list[tuple] = [(None, None)] * len(prompts)
+            asked = [i for i, text in enumerate(prompts) if text is not None]
+            for at in range(0, len(asked), prompts_per_call):
+                places = asked[at : at + prompts_per_call]
+                try:
+                    found = list(ask([prompts[i] for i in places]))
+                    if len(found) != len(places):
+                        raise ValueError(f"{len(found)} answers to {len(places)} prompts")
+                except Exception as failure:  # noqa: BLE001 - reported in the rows' error column
+                    found = [failure] * len(places)
+                for i, value in zip(places, found):
+                    failed = isinstance(value, Exception)
+                    rows[i] = (None, f"{type(value).__name__}: {value}"[:ERROR_CHARS]) if failed else (value, None)
+            yield pa.StructArray.from_arrays(
+                [pa.array([r[n] for r in rows], pa.string()) for n in (0, 1)], names=["answer", "error"]
+            )
 
-    answer.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(out, F.pandas_udf(answer, "string")(F.col(prompt)))
+    scored = df.withColumn("__scored", F.arrow_udf(answers, answer_type)(F.col(prompt)))
+    return scored.withColumns({out: F.col("__scored.answer"), error: F.col("__scored.error")}).drop("__scored")
 
 
 def join_responses(df: DataFrame, responses: DataFrame, on: Sequence[str], out: str = "response") -> DataFrame:

@@ -42,17 +42,16 @@ def tree_snippets(tree: DataFrame) -> DataFrame:
     )
 
 
-def dedup_snippets(snippets: DataFrame, dedup_on: str = "id") -> DataFrame:
-    """First row per id over tree, dataset A, dataset B.
+def dedup_snippets(snippets: DataFrame, dedup_on: str = "id_key") -> DataFrame:
+    """First row per key over tree, dataset A, dataset B.
 
-    The 32-bit id also merges a few different snippets; `dedup_on="id_key"`
-    compares the whole key instead.
+    With short ids, `dedup_on="id"` also merges a few snippets of different keys.
     """
     return first_wins(snippets, [dedup_on], _ORDER)
 
 
 def build_corpus(
-    snippets: DataFrame, collection: Collection, *, encoder: Callable[[], Encoder] = hashed_tokens, dedup_on: str = "id"
+    snippets: DataFrame, collection: Collection, *, encoder: Callable[[], Encoder] = hashed_tokens, dedup_on: str = "id_key"
 ) -> DataFrame:
     """De-duplicate, embed and upsert; returns the stored collection, from which statistics are taken."""
     collection.create()

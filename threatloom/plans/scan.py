@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -24,20 +25,30 @@ def prompts(files: DataFrame) -> DataFrame:
 
 def scan_with_model(
     files: DataFrame, responder: Callable[[], Responder], threats: DataFrame,
-    *, k: int = MATCHES_PER_FINDING, encoder: Callable[[], Encoder] = hashed_tokens,
+    *, k: int = MATCHES_PER_FINDING, encoder: Callable[[], Encoder] = hashed_tokens, failures: str = "report",
 ) -> DataFrame:
     """Findings with their nearest threats, asking a text model about each function.
 
-    The bare findings are stored first, so that no function is asked about twice.
+    The answers are stored first, so that no function is asked about twice. Functions about which the model
+    failed are counted in a warning or, with `failures="raise"`, end the scan.
     """
-    found = stored(findings_of(score_text(prompts(files), "prompt", responder)), "findings")
-    return attach_matches(found, threats, k=k, encoder=encoder)
+    answered = stored(score_text(prompts(files), "prompt", responder), "answers")
+    failed = answered.where(F.col("response_error").isNotNull())
+    if example := failed.select("response_error").first():
+        message = f"the model failed on {failed.count()} functions, for example: {example[0]}"
+        if failures == "raise":
+            raise RuntimeError(message)
+        warnings.warn(message, stacklevel=2)
+    return attach_matches(findings_of(answered), threats, k=k, encoder=encoder)
 
 
 def scan_with_responses(
     files: DataFrame, responses: DataFrame, threats: DataFrame,
     *, k: int = MATCHES_PER_FINDING, encoder: Callable[[], Encoder] = hashed_tokens,
 ) -> DataFrame:
-    """As `scan_with_model`, with stored answers (file_path, name, response)."""
-    answered = join_responses(all_functions(files), responses, ["file_path", "name"])
+    """As `scan_with_model`, with stored answers (file_path, name, start_line, response).
+
+    A name may stand in a file more than once; the line tells its functions apart.
+    """
+    answered = join_responses(all_functions(files), responses, ["file_path", "name", "start_line"])
     return attach_matches(stored(findings_of(answered), "findings"), threats, k=k, encoder=encoder)

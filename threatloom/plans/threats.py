@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.operators.dedup import first_wins
@@ -41,6 +41,11 @@ def threat_records(
     return with_id(first_wins(matched, ["cve_id"], order))
 
 
+def cve_state() -> Column:
+    """When the record of a stored point was last modified; null where that is no timestamp."""
+    return F.try_to_timestamp(F.col("payload.last_modified"))
+
+
 def threat_points(records: DataFrame, encoder: Callable[[], Encoder] = hashed_tokens) -> DataFrame:
     """Embedded points of the records, one per id: of CVEs sharing a 32-bit id the last one stays."""
     order = [F.col("query_rank").desc(), *[F.col(name).desc() for name in _FEED_ORDER]]
@@ -66,7 +71,7 @@ def ingest_threats(
     began = datetime.now(timezone.utc).isoformat()
     collection.create()
     records = threat_records(feed, since=watermark.read(), until=until, limited=limited)
-    fetched = collection.upsert(threat_points(records, encoder), unique=True) > 0
+    fetched = collection.upsert(threat_points(records, encoder), unique=True, state=cve_state()) > 0
     if fetched:
         watermark.save(until or began)
     return fetched

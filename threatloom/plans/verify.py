@@ -33,7 +33,8 @@ def verify_findings(
     keyed = findings.withColumn("query_id", F.md5(text))
     probes = findings.select(text).distinct().withColumn("query_id", F.md5(text))
     encoded = stored(embed_text(probes, text, encoder=encoder).select("query_id", "embedding"), "probes")
-    matches = knn_join(encoded, snippets, k)
+    # read twice below: by the vote and for the payloads
+    matches = stored(knn_join(encoded, snippets, k), "matches")
     labels = snippets.select("id", F.col("payload.label").alias("label"))
     verdicts = vote(matches, labels, k, definite=definite)
     nearest = collect_matches(matches, snippets, out="top_matches")

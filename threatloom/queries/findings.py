@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.functions import verdicts as vd
 from threatloom.operators.findings import explode_verdicts, findings_of, report_rows
-from threatloom.operators.score import join_responses
+from threatloom.operators.score import join_responses, score_batches
 from threatloom.operators.stats import severity_summary, severity_totals
 from threatloom.plans.scan import scan_with_responses
 from threatloom.plans.threats import ingest_threats
@@ -136,6 +138,24 @@ def responses_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", "turn", "prompt_md5", F.coalesce(F.md5("response"), F.lit("none")).alias("response_md5"))
 
 
+def _last_word() -> Callable[[Sequence[str]], list[str | Exception]]:
+    """A responder that answers with the prompt's last word and fails on prompts of an odd length."""
+
+    def answer(prompts: Sequence[str]) -> list[str | Exception]:
+        return [ValueError("odd") if len(p) % 2 else p.split(" ")[-1] for p in prompts]
+
+    return answer
+
+
+def score_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn put to a responder in batches, with the failures kept apart."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return score_batches(turns, "text", _last_word).select("conv_id", "turn", "response", "response_error")
+
+
+SCORE_RESPONSES = """SELECT conv_id, turn, CASE WHEN length(text) % 2 = 0 THEN string_split(text, ' ')[-1] END AS response,
+        CASE WHEN length(text) % 2 = 1 THEN 'ValueError: odd' END AS response_error FROM conversations"""
+
 RESPONSES_JOIN = """SELECT q.conv_id, q.turn, md5(q.text) AS prompt_md5, coalesce(md5(a.text), 'none') AS response_md5
     FROM conversations q LEFT JOIN conversations a
       ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
@@ -149,7 +169,8 @@ def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ingest_threats(feed(spark, sf_dir), threats, Watermark(spark, f"{root}/watermark"))
     files = ANSWERS.frame(spark, sf_dir, heavy=True)
     found = scan_with_responses(
-        files.select("file_path", "text"), files.select("file_path", "name", "response"), threats.read()
+        files.select("file_path", "text"),
+        files.select("file_path", "name", F.lit(3).alias("start_line"), "response"), threats.read(),
     )
     return found.select(
         "function_name", "file_path", "start_line", "end_line", "cwe_id", "severity", "description", "verdict_pos",
@@ -194,5 +215,6 @@ QUERIES = {
     "severity_summary": (severity_summary_query, SEVERITY_SUMMARY),
     "severity_total": (severity_total, SEVERITY_TOTAL),
     "responses_join": (responses_join, RESPONSES_JOIN),
+    "score_responses": (score_responses, SCORE_RESPONSES),
     "scan_findings": (scan_findings, SCAN_FINDINGS),
 }

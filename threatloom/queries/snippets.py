@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.constants import PROMPT_HEAD, PROMPT_TAIL, TARGET_CWES, TREE_SOURCE
+from threatloom.constants import ID_CODE_CHARS, PROMPT_HEAD, PROMPT_TAIL, TARGET_CWES, TREE_SOURCE
 from threatloom.functions import text as tx
 from threatloom.functions.templates import prompt, snippet_text
 from threatloom.operators.dedup import first_wins
-from threatloom.operators.embed import token_weights
+from threatloom.operators.embed import embed_text
 from threatloom.operators.extract import all_functions, labelled_functions
 from threatloom.operators.points import payload_of
 from threatloom.operators.stats import count_by, coverage
@@ -25,7 +25,7 @@ from threatloom.queries.standins import (
     table,
 )
 from threatloom.schemas import SNIPPET_PAYLOAD, SNIPPET_POINT
-from threatloom.session import run_dir, spread
+from threatloom.session import run_dir
 from threatloom.sources.collection import Collection
 from threatloom.sources.labelled import dataset_a, dataset_b
 from threatloom.sources.tree import scan_tree as scan_source_tree
@@ -33,8 +33,12 @@ from threatloom.sources.tree import scan_tree as scan_source_tree
 _TARGETS = sql_in(TARGET_CWES)
 
 
-def sql_id(key: str) -> str:
-    return f"cast('0x' || substr(md5({key}), 1, 8) AS BIGINT)"
+def sql_id(key: str, digits: int = 8) -> str:
+    return f"cast('0x' || substr(md5({key}), 1, {digits}) AS BIGINT)"
+
+
+def sql_record_id(key: str) -> str:
+    return sql_id(key, 15)
 
 
 def sql_truncate(text: str) -> str:
@@ -210,12 +214,12 @@ LABEL_MAP = """SELECT doc_id, CASE quality + toxic WHEN 1 THEN 'vulnerable' ELSE
 # --- datasets, union, de-duplication, statistics ----------------------------------------------
 
 
-def _sql_dataset(standin: str, source: str, prefix: str, rank: int) -> str:
+def _sql_dataset(standin: str, source: str, prefix: str, rank: int, code_key: str = "md5(code)", digits: int = 15) -> str:
     return f"""(
-    SELECT *, {sql_id("id_key")} AS id, {rank} AS source_rank, md5(code) AS order_text, 0 AS order_pos,
+    SELECT *, {sql_id("id_key", digits)} AS id, {rank} AS source_rank, md5(code) AS order_text, 0 AS order_pos,
            {sql_truncate("code")} AS code_snippet, '{source}' AS source, 'C' AS language,
            '' AS function_name, cve AS file_path
-    FROM (SELECT *, '{prefix}:' || cve || ':' || substr(code, 1, 32) AS id_key
+    FROM (SELECT *, '{prefix}:' || cve || ':' || {code_key} AS id_key
           FROM (SELECT coalesce(nullif(code_1, ''), nullif(code_2, ''), '') AS code,
                        {sql_cwe("coalesce(nullif(cwe_1, ''), nullif(cwe_2, ''), '')")} AS cwe_id,
                        coalesce(nullif(cve_1, ''), nullif(cve_2, ''), 'unknown') AS cve,
@@ -290,6 +294,22 @@ def _sql_first(*sources: str) -> str:
 COVERAGE_PIVOT = f"SELECT {_COVERAGE} FROM {_sql_first(A_SQL, B_SQL)} GROUP BY cwe_id"
 
 
+def coverage_short_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `coverage_pivot`, with the short ids over code prefixes, which merge different functions."""
+    snippets = union_all(
+        dataset_a(dataset_a_raw(spark, sf_dir), id_chars=ID_CODE_CHARS),
+        dataset_b(dataset_b_raw(spark, sf_dir), id_chars=ID_CODE_CHARS),
+    )
+    return coverage(dedup_snippets(snippets, "id")).orderBy("cwe_id")
+
+
+_SHORT = [
+    _sql_dataset(DATASET_A.sql(), "BigVul", "bigvul", 1, "substr(code, 1, 32)", 8),
+    _sql_dataset(DATASET_B.sql(), "PrimeVul", "primevul", 2, "substr(code, 1, 32)", 8),
+]
+COVERAGE_SHORT_IDS = f"SELECT {_COVERAGE} FROM {_sql_first(*_SHORT)} GROUP BY cwe_id"
+
+
 def count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_by(table(spark, sf_dir, "documents"), "source")
 
@@ -376,9 +396,9 @@ SCAN_TREE = f"""SELECT cwe_dir AS folder, {_DIR_CWE} AS cwe_id, 'C' AS language,
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    weights = token_weights(docs, "doc_id", "text")
-    return weights.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cells = embed_text(docs, "text").select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
+    return cells.where("weight > 0").select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
 def sql_token_weights(source: str, key: str, text: str) -> str:
@@ -389,7 +409,7 @@ def sql_token_weights(source: str, key: str, text: str) -> str:
               WHERE token <> '' GROUP BY 1, 2))"""
 
 
-HASH_EMBED = f"""SELECT doc_id, bucket, round(weight, 6) AS weight
+HASH_EMBED = f"""SELECT doc_id, bucket, round(cast(cast(weight AS FLOAT) AS DOUBLE), 6) AS weight
     FROM {sql_token_weights("documents", "doc_id", "text")}"""
 
 
@@ -409,7 +429,7 @@ def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage(stored.select("payload.cwe_id", "payload.source", "payload.label"), ("cwe_id", "source"))
 
 
-_TREE = f"""(SELECT *, {sql_id("id_key")} AS id FROM (
+_TREE = f"""(SELECT *, {sql_record_id("id_key")} AS id FROM (
     SELECT '{TREE_SOURCE}:' || rel_path || ':' || function_name AS id_key, 0 AS source_rank,
            CASE WHEN suffix = '.c' THEN '0:' ELSE '1:' END || rel_path AS order_text, pos AS order_pos,
            {_DIR_CWE} AS cwe_id, label, {sql_truncate("code_snippet")} AS code_snippet, '{TREE_SOURCE}' AS source
@@ -441,6 +461,7 @@ QUERIES = {
     "union_sources": (union_sources, UNION_SOURCES),
     "dedup_first": (dedup_first, DEDUP_FIRST),
     "coverage_pivot": (coverage_pivot, COVERAGE_PIVOT),
+    "coverage_short_ids": (coverage_short_ids, COVERAGE_SHORT_IDS),
     "count_by_source": (count_by_source, COUNT_BY_SOURCE),
     "stage_counts": (stage_counts, STAGE_COUNTS),
     "extract_blocks": (extract_blocks, EXTRACT_BLOCKS),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.operators.merge import merge_latest
 from threatloom.operators.range_join import first_point_in_span
 from threatloom.queries.standins import FEED, nested_feed, table
 from threatloom.queries.threats import STORED_SQL, stored_threats
@@ -18,14 +17,22 @@ from threatloom.streaming.ingest import run_available
 def upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders, with line items as a batch of changes: some replace an order, some are new, many share a key."""
     base = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"),
+        F.lit(None).cast("timestamp_ntz").alias("shipped"), F.lit(0).alias("line"),
     )
     updates = table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") + 7000).alias("id"), F.col("l_extendedprice").alias("price"),
-        F.col("l_linestatus").alias("status"), "l_shipdate", "l_linenumber",
+        F.col("l_linestatus").alias("status"), F.col("l_shipdate").alias("shipped"), F.col("l_linenumber").alias("line"),
     )
-    newest = [F.col(c).desc() for c in ("l_shipdate", "l_linenumber", "price", "status")]
-    return merge_latest(base, updates, "id", newest)
+    # three deliveries in no order of time, folded twice on the way
+    collection = Collection(spark, run_dir(spark, "orders"), updates.schema, compact_every=2)
+    collection.create()
+    state = F.struct("shipped", "line", "price", "status")
+    collection.upsert(base, unique=True)
+    for part in range(3):
+        some = updates.where(F.expr(f"pmod(hash(price, line), 3) = {part}"))
+        collection.upsert(some, newest=[state.desc()], state=state)
+    return collection.read().select("id", "price", "status")
 
 
 UPSERT_BY_ID = """

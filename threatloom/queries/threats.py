@@ -12,7 +12,7 @@ from threatloom.operators.dedup import first_wins, limit_per_group
 from threatloom.operators.match import by_target, keyword_matches, matched_queries, modified_between
 from threatloom.operators.match import limit_queries as limit_feed_queries
 from threatloom.plans.threats import ingest_threats
-from threatloom.queries.snippets import sql_id
+from threatloom.queries.snippets import sql_record_id
 from threatloom.queries.standins import FEED, FLAT_CVES_SQL, feed, nested_feed, table
 from threatloom.schemas import CVE_POINT
 from threatloom.session import run_dir
@@ -181,7 +181,7 @@ def threat_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Last state of each CVE, then the first query it answers; of CVEs sharing an id the last in feed order.
-LATEST_SQL = f"""(SELECT *, {sql_id("cve_id")} AS id FROM (
+LATEST_SQL = f"""(SELECT *, {sql_record_id("cve_id")} AS id FROM (
     SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY last_modified DESC, query_rank) AS rn
     FROM {_MATCHED}) WHERE rn = 1)"""
 THREAT_ROWS_SQL = f"""(SELECT * FROM (

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from threatloom.operators.dedup import first_wins
 from threatloom.operators.merge import without_keys
-from threatloom.operators.stats import observed
 from threatloom.sources.state import read_if_present
 
 _LOG_SCHEMA = "version long, kind string, folder string, batch_key string"
@@ -42,13 +41,16 @@ class Collection:
         return True
 
     def upsert(
-        self, rows: DataFrame, *, newest: Sequence[Column | str] = (), unique: bool = False, batch_key: str = ""
+        self, rows: DataFrame, *, newest: Sequence[Column | str] = (), unique: bool = False, batch_key: str = "",
+        state: Column | None = None,
     ) -> int:
         """Insert rows, replacing those with the same key; the number of rows written.
 
         `newest` orders rows of one key within this batch, winner first;
         `unique` says there is one row per key already. A `batch_key` seen
-        before makes the call a no-op.
+        before makes the call a no-op. Where `state` is given, a row whose state is
+        older than that of the stored row is left out, so that deliveries may come in
+        any order. Rows without a key are refused.
         """
         commits = self._commits()
         if batch_key and any(c.batch_key == batch_key for c in commits):
@@ -57,6 +59,8 @@ class Collection:
         if not unique:
             rows = first_wins(rows, [self._key], newest or [F.col(n).desc() for n in names if n != self._key])
         latest = rows.select(*names)
+        if state is not None:
+            latest = self._not_older(latest, state)
         version = max((c.version for c in commits), default=0) + 1
         written = self._write(latest, version, "delta", batch_key)
         if sum(c.kind == "delta" for c in _live(commits)) + 1 >= self._compact_every:
@@ -75,6 +79,13 @@ class Collection:
         latest = changes if len(deltas) == 1 else first_wins(changes, [self._key], [F.col(_VERSION).desc()])
         return without_keys(self._load(base), changes, self._key).unionByName(latest).drop(_VERSION)
 
+    def _not_older(self, rows: DataFrame, state: Column) -> DataFrame:
+        held = self.read().select(F.col(self._key).alias("__key"), state.alias("__held"))
+        coming = rows.withColumn("__state", state)
+        joined = coming.join(held, F.col(self._key) == F.col("__key"), "left")
+        older = F.col("__held").isNotNull() & (F.col("__state").isNull() | (F.col("__state") < F.col("__held")))
+        return joined.where(~older).select(*rows.columns)
+
     def compact(self) -> None:
         """Fold the deltas into a new base."""
         commits = self._commits()
@@ -96,7 +107,12 @@ class Collection:
         """Write a folder, then commit it by its log line; an empty delta is not committed."""
         folder = f"{self._root}/data/{kind}-{version:08d}-{uuid.uuid4().hex[:8]}"
         seen = Observation()
-        observed(rows.withColumn(_VERSION, F.lit(version).cast("long")), seen).write.parquet(folder)
+        counted = rows.withColumn(_VERSION, F.lit(version).cast("long")).observe(
+            seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(self._key).isNull()).alias("keyless")
+        )
+        counted.write.parquet(folder)
+        if seen.get["keyless"]:
+            raise ValueError(f"{seen.get['keyless']} rows without {self._key}; nothing was committed")
         written = seen.get["rows"]
         if kind == "delta" and not written:
             return 0

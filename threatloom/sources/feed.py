@@ -8,19 +8,23 @@ from pyspark.sql import types as T
 
 from threatloom.constants import CPE_KEPT, UNKNOWN
 from threatloom.functions.templates import cve_text
-from threatloom.functions.text import stable_id
+from threatloom.functions.text import record_id
 from threatloom.schemas import CVE_FEED
 
 # The corrupt-record column has to be declared for malformed lines to be told apart.
-_READ_SCHEMA = T.StructType([*CVE_FEED.fields, T.StructField("_corrupt_record", T.StringType())])
+FEED_LINES = T.StructType([*CVE_FEED.fields, T.StructField("_corrupt_record", T.StringType())])
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Well-formed records of a folder of JSON lines; malformed lines are skipped."""
-    lines = spark.read.schema(_READ_SCHEMA).option("mode", "PERMISSIVE").json(path)
+def well_formed(lines: DataFrame) -> DataFrame:
+    """Records of lines read with `FEED_LINES`: malformed lines and records without an id are skipped."""
     return lines.where(F.col("_corrupt_record").isNull() & F.col("id").isNotNull()).drop("_corrupt_record")
 
 
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Well-formed records of a folder of JSON lines."""
+    return well_formed(spark.read.schema(FEED_LINES).option("mode", "PERMISSIVE").json(path))
+
+
 def flatten_cves(feed: DataFrame, *, severity_at: int = 1, score_at: int = 2) -> DataFrame:
     """One flat row per CVE with a description.
 
@@ -46,7 +50,7 @@ def flatten_cves(feed: DataFrame, *, severity_at: int = 1, score_at: int = 2) ->
 
 
 def with_id(cves: DataFrame) -> DataFrame:
-    return cves.withColumn("id", stable_id(F.col("cve_id")))
+    return cves.withColumn("id", record_id(F.col("cve_id")))
 
 
 def with_text(cves: DataFrame) -> DataFrame:

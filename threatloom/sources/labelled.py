@@ -14,6 +14,7 @@ from threatloom.functions.text import (
     label_from_target,
     normalize_cwe,
     not_blank,
+    record_id,
     stable_id,
     truncate,
 )
@@ -32,9 +33,13 @@ def labelled_rows(
     id_prefix: str,
     source_rank: int,
     row_order: str | None = None,
+    id_chars: int | None = None,
 ) -> DataFrame:
     """Normalise one dataset to snippet rows.
 
+    A row's key holds the md5 of its whole code. With `id_chars` it holds that many characters of it and
+    the record id is short, which merges versions of a function that begin alike.
+
     Rows with blank code, a weakness out of scope, or a target other than 0/1
     are dropped. `row_order` names a LONG column giving the dataset's row order;
     without one, rows are ordered by content so that re-runs agree.
@@ -57,8 +62,9 @@ def labelled_rows(
         snippet=truncate(F.col("code")),
         id_key=F.concat(
             F.lit(f"{id_prefix}:"), F.col("cve"), F.lit(":"),
-            F.substring("code", 1, const.ID_CODE_CHARS),
+            F.substring("code", 1, id_chars) if id_chars else F.md5("code"),
         ),
+        short_id=id_chars is not None,
         language=F.lit("C"),
         function_name=F.lit(""),
         file_path=F.col("cve"),
@@ -78,17 +84,17 @@ def _unambiguous(
     return raw.toDF(*renamed.values()), present, renamed[row_order] if row_order else None
 
 
-def dataset_a(raw: DataFrame, row_order: str | None = None) -> DataFrame:
+def dataset_a(raw: DataFrame, row_order: str | None = None, id_chars: int | None = None) -> DataFrame:
     return labelled_rows(
         raw, const.DATASET_A_COLUMNS, source=const.DATASET_A_SOURCE,
-        id_prefix=const.DATASET_A_PREFIX, source_rank=1, row_order=row_order,
+        id_prefix=const.DATASET_A_PREFIX, source_rank=1, row_order=row_order, id_chars=id_chars,
     )
 
 
-def dataset_b(raw: DataFrame, row_order: str | None = None) -> DataFrame:
+def dataset_b(raw: DataFrame, row_order: str | None = None, id_chars: int | None = None) -> DataFrame:
     return labelled_rows(
         raw, const.DATASET_B_COLUMNS, source=const.DATASET_B_SOURCE,
-        id_prefix=const.DATASET_B_PREFIX, source_rank=2, row_order=row_order,
+        id_prefix=const.DATASET_B_PREFIX, source_rank=2, row_order=row_order, id_chars=id_chars,
     )
 
 
@@ -104,6 +110,7 @@ def snippet_rows(
     source_rank: int,
     order_text: Column,
     order_pos: Column,
+    short_id: bool = False,
 ) -> DataFrame:
     """Shape rows holding `label` and `cwe_id` into SNIPPET_COLUMNS.
 
@@ -123,7 +130,8 @@ def snippet_rows(
         order_text.alias("order_text"),
         order_pos.cast("long").alias("order_pos"),
     )
-    return shaped.withColumn("id", stable_id(F.col("id_key"))).select(*SNIPPET_COLUMNS)
+    key = F.col("id_key")
+    return shaped.withColumn("id", stable_id(key) if short_id else record_id(key)).select(*SNIPPET_COLUMNS)
 
 
 def with_text(snippets: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +12,10 @@ _SCHEMA = "last_run string"
 
 def read_if_present(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """JSON-lines table at `path`, or None before its first write."""
-    try:
-        return spark.read.schema(schema).json(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return spark.read.schema(schema).json(path)
 
 
 class Watermark:

@@ -12,14 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threatloom.operators.embed import Encoder, hashed_tokens
-from threatloom.plans.threats import threat_points, threat_records
-from threatloom.schemas import CVE_FEED
+from threatloom.plans.threats import cve_state, threat_points, threat_records
 from threatloom.sources.collection import Collection
+from threatloom.sources.feed import FEED_LINES, well_formed
 
 
 def feed_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Landed JSON-lines files as a stream of raw CVE records."""
-    return spark.readStream.schema(CVE_FEED).option("maxFilesPerTrigger", max_files).json(path)
+    """Landed JSON-lines files as a stream of raw CVE records, well-formed ones as in a batch."""
+    lines = spark.readStream.schema(FEED_LINES).option("maxFilesPerTrigger", max_files).option("mode", "PERMISSIVE")
+    return well_formed(lines.json(path))
 
 
 def run_available(
@@ -32,14 +33,15 @@ def run_available(
 ) -> None:
     """Ingest everything that has arrived, then stop.
 
-    Within a batch the last modified state of a CVE wins, across batches the last
-    delivered one. A batch repeated after a failure is recognised and not applied twice.
+    The last modified state of a CVE wins, in whatever order its states are delivered. A batch repeated after a failure is recognised and not applied twice.
     """
     collection.create()
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         records = threat_records(prepare(batch) if prepare else batch)
-        collection.upsert(threat_points(records, encoder), unique=True, batch_key=f"{checkpoint}#{batch_id}")
+        collection.upsert(
+            threat_points(records, encoder), unique=True, batch_key=f"{checkpoint}#{batch_id}", state=cve_state()
+        )
 
     query = (
         stream.writeStream.foreachBatch(apply)
