@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threatloom.llm.components import connected_components
@@ -82,20 +82,29 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFram
     return texts.mapInArrow(_fingerprints(shingle), f"doc_id {id_type}, fp long")
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >= 1 << 63 else value
+def _mix(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """One 64-bit key of two words and a number, by multiplications that wrap."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
 
 
-def _bucket_keys() -> Column:
-    """The buckets of a fingerprint: one for each pair of blocks, from the distances to all pivots within them."""
-    blocks = [
-        F.xxhash64(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p))).bitwiseAND(F.lit(_signed(mask))))
-                     for p in PIVOTS])
-        for mask in _BLOCK_MASKS
-    ]
-    return F.array(*[
-        F.xxhash64(F.lit(n), blocks[i], blocks[j]) for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))
-    ])
+def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint with its buckets: one for each pair of blocks, from the distances to all pivots within them."""
+    for batch in batches:
+        fps = batch.column("fp").to_numpy().view(np.uint64)
+        blocks = []
+        for mask in _BLOCK_MASKS:
+            # a block has at most 11 bits, so that 16 distances of four bits make one word
+            word = np.zeros(len(fps), np.uint64)
+            for n, pivot in enumerate(PIVOTS):
+                word |= np.bitwise_count((fps ^ np.uint64(pivot)) & np.uint64(mask)).astype(np.uint64) << np.uint64(4 * n)
+            blocks.append(word)
+        keys = [_mix(blocks[i], blocks[j], n) for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.tile(fps, len(keys)).view(np.int64)), pa.array(np.concatenate(keys).view(np.int64))],
+            names=["fp", "key"])
 
 
 def _close(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, bits: int) -> np.ndarray:
@@ -176,7 +185,7 @@ def near_links(marks: DataFrame, bits: int = MAX_BITS, bucket: int = BUCKET) ->
     """Links `a`, `b` between distinct fingerprints `fp` that join all fingerprints at most `bits` apart."""
     if bits >= BLOCKS - 1:
         raise ValueError(f"{BLOCKS} blocks find at most {BLOCKS - 2} differing bits")
-    dealt = marks.select("fp", F.explode(_bucket_keys()).alias("key"))
+    dealt = marks.select("fp").mapInArrow(_bucket_rows, "fp long, key long")
     large = dealt.groupBy("key").count().where(F.col("count") > bucket).select(
         "key", F.ceil(F.col("count") / bucket).cast("int").alias("chunks")
     )
