@@ -188,3 +188,13 @@ def test_blank_lines_before_a_labelled_header():
 
     text = "int a;\n\n \n  void one_bad()\n{\n}\n\n\nint two_good(int a)\n{\n}"
     assert [(name, at) for name, _, at in _labelled_spans(text)] == [("one_bad", 7), ("two_good", text.index("\n\nint two"))]
+
+
+def test_a_named_file_needs_no_suffix(spark, tmp_path):
+    (tmp_path / "a.cc").write_text("int f(int a) { return a; }")
+    (tmp_path / "b.c").write_text("int g(int a) { return a; }")
+    (tmp_path / "c.h").write_text("int h(int a) { return a; }")
+    named = read_sources(spark, str(tmp_path / "a.cc"))
+    assert [r.name for r in all_functions(named).collect()] == ["f"]
+    both = read_sources(spark, [str(tmp_path), str(tmp_path / "a.cc")])
+    assert sorted(r.name for r in all_functions(both).collect()) == ["f", "g"]

@@ -12,20 +12,25 @@ from threatloom.functions.text import cwe_from_path, language_of, relative_to
 SOURCE_SUFFIXES = ("c", "cpp")
 
 
-def scan_files(spark: SparkSession, path: str | Sequence[str], suffixes: Sequence[str] = SOURCE_SUFFIXES) -> DataFrame:
-    """(location, path, content) of every file below `path` with one of the suffixes.
-
-    Files that vanish or cannot be read give no rows. The glob prunes the
-    listing, and so does a filter on `location`, the path as file metadata:
-    files ruled out by either are never opened.
+def scan_files(
+    spark: SparkSession, path: str | Sequence[str], suffixes: Sequence[str] | None = SOURCE_SUFFIXES, strict: bool = False
+) -> DataFrame:
+    """(location, path, content) of every file below `path` with one of the suffixes, or of every file.
+
+    Files that vanish or cannot be read give no rows or, with `strict`, end the job.
+    The glob prunes the listing, and so does a filter on `location`, the path as
+    file metadata: files ruled out by either are never opened.
     """
-    return (
+    reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
-        .load(path)
+        .option("ignoreMissingFiles", str(not strict).lower())
+        .option("ignoreCorruptFiles", str(not strict).lower())
+    )
+    if suffixes is not None:
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
+    return (
+        reader.load(path)
         .select(
             F.col("_metadata.file_path").alias("location"),
             F.regexp_replace("path", r"^file:/*", "/").alias("path"),
@@ -56,7 +61,23 @@ def scan_tree(spark: SparkSession, root: str, suffixes: Sequence[str] = SOURCE_S
     )
 
 
-def read_sources(spark: SparkSession, path: str | Sequence[str], suffixes: Sequence[str] = SOURCE_SUFFIXES) -> DataFrame:
-    """(file_path, text) of one file, several, or a whole tree, line ends kept."""
-    files = scan_files(spark, path, suffixes)
+def _is_file(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(target) and system.getFileStatus(target).isFile()
+
+
+def read_sources(
+    spark: SparkSession, path: str | Sequence[str], suffixes: Sequence[str] = SOURCE_SUFFIXES, strict: bool = False
+) -> DataFrame:
+    """(file_path, text) of one file, several, or a whole tree, line ends kept.
+
+    The suffixes choose the files of a tree; a file that is named is read whatever it is called.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    named = [p for p in paths if _is_file(spark, p)]
+    trees = [p for p in paths if p not in named]
+    parts = [scan_files(spark, named, None, strict)] if named else []
+    parts += [scan_files(spark, trees, suffixes, strict)] if trees or not named else []
+    files = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return files.select(F.col("path").alias("file_path"), raw_text(F.col("content")).alias("text"))
