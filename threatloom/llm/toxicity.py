@@ -32,7 +32,8 @@ TRAINING_ROWS = 30_000
 MODULUS, HELD_OUT = 5, 0
 MIN_TEXTS = 3
 MIN_WEIGHT = 2.0
-STEM_CHARS = 5
+#: Lengths of stems that may enter.
+STEM_CHARS = (4, 5, 6, 7, 8)
 #: A stem needs so many different words, so that it is more than one of them.
 MIN_STEM_WORDS = 3
 THRESHOLD = 0.5
@@ -109,9 +110,13 @@ class Matcher:
         return sum(w for w, _ in kept.values()), len(folded), [(b + 1, e) for b, (_, e) in sorted(kept.items())]
 
 
-def density(total: float, words: int) -> float:
-    """Weight per thousand words on a log scale; very short texts count as 20 words."""
-    return math.log1p(1000 * total / max(words, 20))
+def features(total: float, words: int) -> tuple[float, float]:
+    """Weight per thousand words and per square root of the words, on log scales; very short texts count as 20 words.
+
+    The first is the normalised sum; the second keeps a long text with several hits apart from one with a chance hit.
+    """
+    size = max(words, 20)
+    return math.log1p(1000 * total / size), math.log1p(10 * total / math.sqrt(size))
 
 
 _matchers: dict[str, Matcher] = {}
@@ -170,8 +175,13 @@ def learn_lexicon(training: DataFrame, min_texts: int = MIN_TEXTS, min_weight: f
     ratio = 2 * (toxic * F.log(toxic / (both * share)) + F.when(clean > 0, clean * F.log(clean / (both * (1 - share)))).otherwise(0))
     words = store(_counted(training.mapInArrow(_document_words, "word string, label int")), "toxic-words")
     stems = (
-        words.where(F.length("word") > STEM_CHARS)
-        .groupBy(F.substring("word", 1, STEM_CHARS).alias("word"))
+        words.select(
+            "toxic", "clean",
+            F.explode(F.array_compact(F.array(*[
+                F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_CHARS
+            ]))).alias("word"),
+        )
+        .groupBy("word")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("words"))
         .where(f"words >= {MIN_STEM_WORDS}")
         .drop("words")
@@ -194,14 +204,15 @@ def learn_exceptions(training: DataFrame, lexicon: Lexicon, min_texts: int = MIN
     return lexicon._replace(exceptions=(*lexicon.exceptions, *sorted(r.word for r in rows)))
 
 
-def _scorer(key: str, lexicon: Broadcast, slope: float, bias: float):
+def _scorer(key: str, lexicon: Broadcast, slopes: tuple[float, ...], bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, lexicon)
         for batch in batches:
             scores, counts = [], []
             for text in batch.column("text").to_pylist():
                 total, words, places = matcher.hits(text)
-                scores.append(1 / (1 + math.exp(-min(max(slope * density(total, words) + bias, -30), 30))))
+                margin = bias + sum(s * x for s, x in zip(slopes, features(total, words)))
+                scores.append(1 / (1 + math.exp(-min(max(margin, -30), 30))))
                 counts.append(len(places))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-2], pa.array(scores, pa.float64()), pa.array(counts, pa.int64())],
@@ -210,23 +221,24 @@ def _scorer(key: str, lexicon: Broadcast, slope: float, bias: float):
     return run
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
     """Logistic curve by Newton steps, with a small ridge."""
-    w = np.zeros(2)
     design = np.column_stack([x, np.ones(len(x))])
+    w, ridge = np.zeros(design.shape[1]), np.full(design.shape[1], 1e-2)
+    ridge[-1] = 1e-4
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag([1e-2, 1e-4])
-        step = np.linalg.solve(hessian, design.T @ (y - p) - np.array([1e-2, 1e-4]) * w)
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge)
+        step = np.linalg.solve(hessian, design.T @ (y - p) - ridge * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1])
+    return tuple(w[:-1].tolist()), float(w[-1])
 
 
 class ToxicityModel(NamedTuple):
     lexicon: Lexicon
-    slope: float
+    slopes: tuple[float, ...]
     bias: float
 
 
@@ -234,8 +246,9 @@ def _densities(key: str, lexicon: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, lexicon)
         for batch in batches:
-            values = [density(*matcher.hits(t)[:2]) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.float64()), batch.column("label")], names=["x", "label"])
+            values = [features(*matcher.hits(t)[:2]) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([v[i] for v in values], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("label")], names=["x1", "x2", "label"])
 
     return run
 
@@ -252,18 +265,18 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
     lexicon = learn_lexicon(training)._replace(exceptions=exceptions)
     lexicon = learn_exceptions(training, lexicon)
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)
-    pairs = training.mapInArrow(_densities(uuid.uuid4().hex, shared), "x double, label int").toPandas()
+    pairs = training.mapInArrow(_densities(uuid.uuid4().hex, shared), "x1 double, x2 double, label int").toPandas()
     y = pairs["label"].to_numpy(float)
     if not len(y):
-        return ToxicityModel(lexicon, 0.0, -30.0)
-    return ToxicityModel(lexicon, *_calibrate(pairs["x"].to_numpy(float), y))
+        return ToxicityModel(lexicon, (0.0, 0.0), -30.0)
+    return ToxicityModel(lexicon, *_calibrate(pairs[["x1", "x2"]].to_numpy(float), y))
 
 
 def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """Documents with `score` and `n_hits`, which replace columns of these names."""
     shared = documents.sparkSession.sparkContext.broadcast(model.lexicon)
     frame = documents.drop("score", "n_hits").withColumns({"score": F.lit(0.0), "n_hits": F.lit(0).cast("long")})
-    return frame.mapInArrow(_scorer(uuid.uuid4().hex, shared, model.slope, model.bias), frame.schema)
+    return frame.mapInArrow(_scorer(uuid.uuid4().hex, shared, model.slopes, model.bias), frame.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
