@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-import hashlib
+import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from threatloom.llm import (
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import plain  # noqa: E402
+from threatloom.llm import (  # noqa: E402
     components, decontaminate, line_dedup, packing, quality_rules, secrets, simhash, token_shards, tokens,
 )
-from threatloom.session import run_dir
+from threatloom.session import run_dir  # noqa: E402
 
 WORD = st.sampled_from(["a", "b", "c", "d"])
 
@@ -158,33 +161,9 @@ def test_runs_are_cut():
 
 # -- SimHash -----------------------------------------------------------------------------------------------------
 
-def plain_fingerprint(text):
-    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
-    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def plain_components(marks, bits):
-    ids = list(range(len(marks)))
-
-    def root(x):
-        while ids[x] != x:
-            x = ids[x]
-        return x
-
-    for i in range(len(marks)):
-        for j in range(i):
-            if (marks[i] ^ marks[j]).bit_count() <= bits:
-                a, b = sorted((root(i), root(j)))
-                ids[b] = a
-    return [root(i) for i in range(len(marks))]
-
-
 def test_fingerprints(texts):
     for text in [*list(texts.values())[:40], None, "", "a", "A b c", "x y z w v", "Ä ä\x1f"]:
-        assert simhash.fingerprint(text) == plain_fingerprint(text)
+        assert simhash.fingerprint(text) == plain.fingerprint(text)
 
 
 @pytest.mark.parametrize("bucket", [4096, 3])
@@ -200,7 +179,7 @@ def test_links_and_components(spark, bucket):
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in marks]
     links = simhash.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"), bucket=bucket)
     found = {r.a: r.b for r in components.connected_components(links).collect()}
-    plain = plain_components(marks, 4)
+    plain = plain.components(marks, 4)
     least = defaultdict(list)
     for s, c in zip(signed, plain):
         least[c].append(s)
@@ -218,24 +197,13 @@ def test_components_of_chains_and_stars(spark):
 def test_near_duplicates(spark, texts):
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     ids = sorted(texts)
-    marks = [plain_fingerprint(texts[i]) for i in ids]
-    plain = {i: ids[c] for i, c in zip(ids, plain_components(marks, 4))}
+    marks = [plain.fingerprint(texts[i]) for i in ids]
+    plain = {i: ids[c] for i, c in zip(ids, plain.components(marks, 4))}
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == plain
 
 
 # -- lines -------------------------------------------------------------------------------------------------------
 
-def word_edits(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return 2
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
-
-
 def test_line_dedup(spark):
     draw = random.Random(3)
     base = [[draw.choice("abcdefgh") for _ in range(draw.randint(3, 9))] for _ in range(12)]
@@ -247,18 +215,8 @@ def test_line_dedup(spark):
             words[at : at + draw.choice((0, 1))] = [draw.choice("abcdefgh")] * draw.choice((0, 1))
         lines.append(" ".join(words))
     docs = ["\n".join(lines[i : i + 8] + ["", " "]) for i in range(0, 160, 8)]
-    seen, want = [], {}
-    for d, text in enumerate(docs):
-        gone = []
-        for n, line in enumerate(text.split("\n")):
-            words = line.split()
-            if not words:
-                continue
-            if any(words == s or min(len(words), len(s)) >= 4 and word_edits(words, s) <= 1 for s in seen):
-                gone.append(n)
-            seen.append(words)
-        if gone:
-            want[d] = gone
+    want = plain.line_drops(dict(enumerate(docs)), 4)
+    assert want
     got = {r.doc_id: r.drops for r in line_dedup.line_drops(docs_of(spark, docs), min_words=4).collect()}
     assert got == want
 
@@ -282,32 +240,15 @@ def test_rules(spark, texts):
         assert row.base_failed == (len(words) < 50 or 100 * len(repeated) > 50 * len(words))
 
 
-def spark_xxh(*parts):
-    """XXH64 of strings in Spark's way: each hash seeds the next."""
-    seed = 42
-    for part in parts:
-        seed = xxhash.xxh64_intdigest(part.encode(), seed)
-    return seed - (1 << 64) if seed >= 1 << 63 else seed
-
-
 def test_log_ratio(spark, texts):
     docs = dict(list(texts.items())[:80])
     trusted = set(list(docs)[::3])
-    buckets, smoothing = 64, quality_rules.SMOOTHING
-    raw, target, grams = np.zeros(buckets), np.zeros(buckets), {}
-    for doc_id, text in docs.items():
-        words = re.findall(r"[^\x20\x09-\x0D]+", text)
-        held = [spark_xxh(w) % buckets for w in words]
-        held += [spark_xxh(w, v) % buckets for w, v in zip(words, [*words[1:], ""])]
-        grams[doc_id] = held
-        np.add.at(raw, held, 1)
-        if doc_id in trusted:
-            np.add.at(target, held, 1)
-    ratio = np.log((target + smoothing) / (raw * target.sum() / raw.sum() + smoothing))
+    buckets = 64
+    ratios = plain.log_ratios(docs, trusted, buckets, quality_rules.SMOOTHING)
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
     for row in quality_rules.quality_rules(frame, ids, buckets=buckets).collect():
-        assert row.log_ratio == pytest.approx(ratio[grams[row.doc_id]].mean(), abs=1e-6)
+        assert row.log_ratio == pytest.approx(ratios[row.doc_id], abs=1e-6)
         assert row.kept == (not row.base_failed and row.log_ratio >= quality_rules.THRESHOLD)
 
 

@@ -182,7 +182,7 @@ def central_directory(uri: str) -> tuple[bytes, int]:
         raise ValueError(f"{uri}: not a ZIP package")
     tail_at = max(0, size - 22 - 0xFFFF - 20)
     tail = read_range(uri, tail_at, size - tail_at)
-    at = tail.rfind(b"PK\x05\x06")
+    at = tail.rfind(b"PK\x05\x06", 0, len(tail) - 18)  # the record has 22 bytes
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
         at = tail.rfind(b"PK\x05\x06", 0, at)  # the mark may also stand in the comment
     if at < 0:
