@@ -325,10 +325,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(documents: DataFrame, docs: int = TRAINING_DOCS, windows: int = TRAINING_WINDOWS) -> Crf | None:
-    """Train on about `docs` documents that a hash of their text chooses, at most `windows` windows of each kind."""
+    """Train on the texts of about `docs` documents that a hash chooses, each once, and at most `windows` windows of each kind."""
     total = documents.count()
     share = int(min(1.0, docs / max(total, 1)) * 1_000_000)
-    sample = documents.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    chosen = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share
+    sample = documents.select("text").where(chosen).distinct()  # copies would crowd out other texts
     found = sample.mapInArrow(
         _windows, "tokens array<string>, begin int, end int, of_file array<int>, labels array<int>, secret int, rank string"
     )
