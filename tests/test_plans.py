@@ -56,3 +56,11 @@ def test_span_join_has_no_cross_join(spark, sf_dir):
     spans = orders.select("o_custkey", F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 9).alias("b"))
     text = plan(first_point_in_span(spans, points, ["o_custkey"], start="a", end="b", position="at", value=["n"], bin_width=100))
     assert "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_no_exchange_before_row_local_work(spark, sf_dir):
+    from threatloom.queries import QUERIES
+
+    for name in ("keyword_match", "hash_embed"):
+        text = plan(QUERIES[name](spark, sf_dir))
+        assert text.replace("BroadcastExchange", "").count("Exchange") == 0, name

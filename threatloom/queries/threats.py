@@ -180,6 +180,15 @@ def threat_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_threats(collection.read())
 
 
+def incremental_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run up to a moment and one from the watermark it saved: together a full load."""
+    root = run_dir(spark, "runs")
+    collection, mark = Collection(spark, f"{root}/collection", CVE_POINT), Watermark(spark, f"{root}/watermark")
+    ingest_threats(feed(spark, sf_dir), collection, mark, until="2024-01-12T00:00:00")
+    ingest_threats(feed(spark, sf_dir), collection, mark)
+    return stored_threats(collection.read())
+
+
 # Last state of each CVE, then the first query it answers; of CVEs sharing an id the last in feed order.
 LATEST_SQL = f"""(SELECT *, {sql_record_id("cve_id")} AS id FROM (
     SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY last_modified DESC, query_rank) AS rn
@@ -205,4 +214,5 @@ QUERIES = {
     "limit_queries": (limit_queries, LIMIT_QUERIES),
     "iso_timestamp": (iso_timestamp, ISO_TIMESTAMP),
     "threat_ingest": (threat_ingest, STORED_SQL),
+    "incremental_runs": (incremental_runs, STORED_SQL),
 }
