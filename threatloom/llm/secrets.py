@@ -75,6 +75,15 @@ def _step(value: float, bounds: tuple) -> int:
     return sum(value >= b for b in bounds)
 
 
+def _named(text: str) -> bool:
+    """Whether a text names secrets; every name has a part that is quickly looked for."""
+    t = text.lower()
+    if not ("pass" in t or "pwd" in t or "secret" in t or "token" in t or "api" in t or "credential" in t or "bearer" in t
+            or "auth" in t):
+        return False
+    return bool(_NAMES.search(text))
+
+
 class _ShapeTable(dict):
     """Code point -> a, A or 0 for letters and digits, itself otherwise; filled as code points are met."""
 
@@ -108,14 +117,14 @@ def _shape_features(shape: str) -> tuple[tuple[int, ...], bool, bool]:
 def own_features(token: str) -> tuple[tuple[int, ...], int]:
     """Indexes of a token's own features, and its role."""
     found, sign, digits = _shape_features(token.translate(_SHAPE))
-    if _NAMES.search(token):
+    if _named(token):
         return (*found, _OWN - 3), 3 if sign else 1
     return found, 2 if sign else 4 if digits else 5
 
 
 def file_features(text: str) -> list[int]:
     """Whether the file assigns, names secrets, has an access key mark."""
-    return [i for i, on in enumerate(("=" in text, bool(_NAMES.search(text)), "AKIA" in text)) if on]
+    return [i for i, on in enumerate(("=" in text, _named(text), "AKIA" in text)) if on]
 
 
 # -- the field ---------------------------------------------------------------------------------------------------
