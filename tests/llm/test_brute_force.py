@@ -179,11 +179,11 @@ def test_links_and_components(spark, bucket):
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in marks]
     links = simhash.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"), bucket=bucket)
     found = {r.a: r.b for r in components.connected_components(links).collect()}
-    plain = plain.components(marks, 4)
+    groups = plain.components(marks, 4)
     least = defaultdict(list)
-    for s, c in zip(signed, plain):
+    for s, c in zip(signed, groups):
         least[c].append(s)
-    for s, c in zip(signed, plain):
+    for s, c in zip(signed, groups):
         assert found.get(s, s) == min(least[c])
 
 
@@ -198,8 +198,8 @@ def test_near_duplicates(spark, texts):
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     ids = sorted(texts)
     marks = [plain.fingerprint(texts[i]) for i in ids]
-    plain = {i: ids[c] for i, c in zip(ids, plain.components(marks, 4))}
-    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == plain
+    want = {i: ids[c] for i, c in zip(ids, plain.components(marks, 4))}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == want
 
 
 # -- lines -------------------------------------------------------------------------------------------------------
