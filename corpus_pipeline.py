@@ -5,7 +5,7 @@ Parquet and read again. All but the last return the columns of `documents`.
 
 1. quality rules: documents that fail the rules or read unlike trusted ones go;
 2. line dedup: lines that stand earlier, alike or nearly alike, go, and documents left without words;
-3. SimHash near-dedup: of each group of near-duplicates the smallest doc_id stays;
+3. near-dedup: of documents joined by a Jaccard similarity of 0.8 over five-word shingles the smallest doc_id stays;
 4. benchmark decontamination: passages of test items are cut out, documents that are mostly such passages go;
 5. packing: the documents' tokens, in pieces placed into sequences.
 

@@ -11,6 +11,9 @@ blocks. Each distinct fingerprint is dealt to the 15 buckets of its block pairs;
 bucket only links that join two parts are emitted. A bucket of more than `BUCKET` fingerprints is dealt as pairs of
 chunks, so that no task holds more than two chunks of one bucket at once.
 
+The pipeline's stage does not go by fingerprints, which say little about a similarity of 0.8: `one_per_group` joins documents
+by the exact similarity of their sets of shingles (module `similar`).
+
 A null or empty text has fingerprint zero and links like any other. Rows that share a doc_id are one document with
 several texts; each row is reported. A null doc_id never becomes a component's id unless all its members have none.
 """
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 from threatloom.llm.components import connected_components
 from threatloom.llm.scratch import store
+from threatloom.llm.similar import SIMILAR_SHINGLE, SIMILARITY, shingle_hashes, similar_groups
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -48,16 +52,8 @@ _BLOCK_MASKS = [
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
-    """64-bit fingerprint of one text; bytes.split separates at ASCII white space only."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    size = min(shingle, len(words))
-    begins = np.concatenate(([0], ends[: len(words) - size] + 1)).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(begins, ends[size - 1 :].tolist())], "<u8")
+    """64-bit fingerprint of one text; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # bounds the memory of very long texts
         part = hashes[at : at + (1 << 16)]
@@ -220,12 +216,12 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE_WORDS, bits: in
     )
 
 
-def one_per_group(documents: DataFrame, shingle: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
-    """Documents without their near-duplicates: of each component the smallest doc_id stays.
+def one_per_group(documents: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Documents without their near-duplicates: of each component of similar documents the smallest doc_id stays.
 
     Of rows that share a doc_id the one with the smallest text stays; rows without a doc_id all stay.
     """
-    groups = near_duplicates(documents, shingle, bits)
+    groups = similar_groups(documents, shingle, similarity)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("text")
     rows = documents.select("doc_id", "text", F.struct("*").alias("_row"))  # apart from the names used here
