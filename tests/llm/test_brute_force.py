@@ -252,6 +252,37 @@ def test_log_ratio(spark, texts):
         assert row.kept == (not row.base_failed and row.log_ratio >= quality_rules.THRESHOLD)
 
 
+def test_buckets_grow_with_the_documents(spark):
+    draw = random.Random(4)
+    docs = {i: " ".join(f"v{draw.randrange(10**9)}" for _ in range(5000)) for i in range(250)}
+    docs |= {250: None, 251: "", 252: "one", 253: docs[1]}
+    frame = spark.createDataFrame([*docs.items(), (1, docs[1]), (1, "other text"), (None, docs[2])], "doc_id long, text string")
+    trusted = set(range(0, 250, 3))
+    buckets = quality_rules.bucket_number(frame)
+    assert buckets == 1 << 15  # 2.5 million distinct n-grams, at most 128 a bucket
+    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    rows = quality_rules.quality_rules(frame, ids).collect()
+    assert len(rows) == len(docs) + 3
+    # the same by the plain version, over the same rows: repeated ones under ids of their own
+    every = {**docs, "again": docs[1], "other": "other text", "null": docs[2]}
+    mean = plain.log_ratios(every, trusted, buckets, quality_rules.SMOOTHING)
+    for row in rows:
+        key = "null" if row.doc_id is None else "other" if row.text == "other text" else row.doc_id
+        assert row.log_ratio == pytest.approx(mean[key], abs=2e-6)
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_joined_ratios_equal_the_constant(spark, texts, monkeypatch, broadcast):
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in list(texts)[::3]], "doc_id long")
+    want = {r.doc_id: r.log_ratio for r in quality_rules.quality_rules(frame, ids, buckets=1 << 10).collect()}
+    monkeypatch.setattr(quality_rules, "BUCKETS", 1 << 8)
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(quality_rules, "BROADCAST_BUCKETS", broadcast)
+    got = {r.doc_id: r.log_ratio for r in quality_rules.quality_rules(frame, ids, buckets=1 << 10).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 # -- secrets -----------------------------------------------------------------------------------------------------
 
 def plain_secrets(text):
