@@ -15,6 +15,8 @@ _MODULES = {
     "op8_secrets": "secrets",
     "op9_toxicity": "toxicity",
     "op10_quality_rules": "quality_rules",
+    "op12_url_filters": "url_filters",
+    "op13_filter_audit": "filter_audit",
 }
 _loaded = {name: importlib.import_module(f"threatloom.llm.{module}") for name, module in _MODULES.items()}
 
