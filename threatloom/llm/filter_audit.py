@@ -6,7 +6,7 @@ squares problem over coalitions with the Shapley kernel as weights and the const
 filters remove. Its normal equations do not depend on the counts: they are solved once, in rationals, for the coefficients
 that turn coalition counts into values, and Spark applies these to whole numbers.
 
-Failing is decided within the row but for equal texts: those are met by a digest, grouped before any shuffle. A null text is
+Failing is decided text by text in Arrow batches but for equal texts: those meet by a digest, grouped before any shuffle. A null text is
 empty. A null id has no smaller and no larger one, so its row neither fails the test of equal texts nor makes others fail
 it; rows that repeat an id do not fail it for each other. An id with several labels counts as good (toxic) if one says so.
 A null `lang` is the part ''. An empty table has no parts. Further columns are left alone.
@@ -14,51 +14,64 @@ A null `lang` is the part ''. An empty table has no parts. Further columns are l
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import string
+from collections.abc import Iterator
 from fractions import Fraction
 from math import comb, factorial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm.quality_rules import split_words
-from threatloom.llm.scratch import once, store
+from threatloom.llm.scratch import store
 
 FILTERS = "ABCDE"
 MIN_WORDS = 100
 MIN_DISTINCT_PERCENT = 80
 MAX_UPPER_PERCENT = 10
-MARKS = r"[#$%&*|]"
+MARKS = b"#$%&*|"
 MEASURES = ("n", "good", "toxic")
+_UPPER = string.ascii_uppercase.encode()
+
+
+def own_mask(text: str) -> int:
+    """The filters A to D that a text fails; bytes.split separates at ASCII white space only."""
+    raw = text.encode()
+    words = raw.split()
+    upper = len(raw) - len(raw.translate(None, _UPPER))
+    failures = (
+        len(words) < MIN_WORDS,
+        100 * len(set(words)) < MIN_DISTINCT_PERCENT * len(words),
+        100 * upper > MAX_UPPER_PERCENT * len(text),
+        len(raw.translate(None, MARKS)) < len(raw),
+    )
+    return sum(1 << at for at, fails in enumerate(failures) if fails)
 
 
-def own_failures(text: Column, words: Column) -> list[Column]:
-    """Failing of the filters A to D, from a document's text and words."""
-    n, chars = F.size(words), F.length(text)
-    upper = chars - F.length(F.translate(text, string.ascii_uppercase, ""))
-    return [
-        n < MIN_WORDS,
-        F.lit(100) * F.size(F.array_distinct(words)) < F.lit(MIN_DISTINCT_PERCENT) * n,
-        F.lit(100) * upper > F.lit(MAX_UPPER_PERCENT) * chars,
-        text.rlike(MARKS),
-    ]
-
-
-def _mask(failures: list[Column]) -> Column:
-    return sum((F.when(fails, F.lit(1 << at)).otherwise(0) for at, fails in enumerate(failures)), F.lit(0)).cast("int")
+def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Id, part, digest of the text and mask of every document."""
+    for batch in batches:
+        own, digests = [], []
+        for value in batch.column("text"):
+            text = value.as_py() or ""
+            own.append(own_mask(text))
+            digests.append(hashlib.sha256(text.encode()).digest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("part"), pa.array(digests, pa.binary()), pa.array(own, pa.int32())],
+            names=["doc_id", "part", "digest", "own"],
+        )
 
 
 def failure_counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, n, good, toxic): rows of each part by the filters they fail, bit 0 for the first filter."""
-    texts = documents.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("_text"))
-    worded = texts.withColumn("_words", once(split_words(F.col("_text"))))
+    texts = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), "text")
+    id_type = texts.schema["doc_id"].dataType.simpleString()
     narrow = store(
-        worded.select(
-            "doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.unhex(F.sha2("_text", 256)).alias("digest"),
-            _mask(own_failures(F.col("_text"), F.col("_words"))).alias("own"),
-        ).groupBy("digest", "doc_id", "part", "own").agg(F.count("*").alias("n")),
+        texts.mapInArrow(_masked, f"doc_id {id_type}, part string, digest binary, own int")
+        .groupBy("digest", "doc_id", "part", "own").agg(F.count("*").alias("n")),
         "audit-documents",
     )
     # one id per text: joined by text and id, a text with many copies is spread over its ids
@@ -85,10 +98,8 @@ def coalition_removals(counts: DataFrame, filters: int = len(FILTERS)) -> DataFr
     """Per part `total` and, for each measure, an array of what every coalition of filters removes."""
 
     def removed(measure: str) -> Column:
-        return F.array(*[
-            F.coalesce(F.sum(F.when(F.col("mask").bitwiseAND(F.lit(s)) != 0, F.col(measure))), F.lit(0)).cast("long")
-            for s in range(1 << filters)
-        ]).alias(measure)
+        sums = [f"coalesce(sum({measure}) FILTER (WHERE mask & {s} <> 0), 0L)" for s in range(1 << filters)]
+        return F.expr(f"array({', '.join(sums)})").alias(measure)
 
     return counts.groupBy("part").agg(F.sum("n").cast("long").alias("total"), *[removed(m) for m in MEASURES])
 
@@ -151,14 +162,11 @@ def order_steps(filters: str = FILTERS) -> list[dict]:
 def audit(removals: DataFrame, filters: str = FILTERS) -> DataFrame:
     """A row per part, order and step, from the table of coalitions."""
     full = (1 << len(filters)) - 1
-    values = [
-        sum((F.lit(c) * F.get(F.col("n"), F.lit(s)) for s, c in enumerate(row) if c), F.lit(0).cast("long"))
-        for row in shapley_sums(len(filters))
-    ]
+    values = [" + ".join(f"({c}L * n[{s}])" for s, c in enumerate(row) if c) for row in shapley_sums(len(filters))]
     steps = F.from_json(
         F.lit(json.dumps(order_steps(filters))), "array<struct<filter_order: string, step: int, at: int, before: int>>"
     )
-    rows = removals.withColumn("values", F.array(*values)).withColumn("s", F.explode(steps)).select("*", "s.*")
+    rows = removals.withColumn("values", F.expr(f"array({', '.join(values)})")).withColumn("s", F.explode(steps)).select("*", "s.*")
     own = F.expr("shiftleft(1, at)")
     with_it = F.col("before").bitwiseOR(own)
 
@@ -196,7 +204,7 @@ SQL = rf"""
                + CASE WHEN 100 * len(list_distinct(words)) < {MIN_DISTINCT_PERCENT} * len(words) THEN 2 ELSE 0 END
                + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {MAX_UPPER_PERCENT} * length(t)
                       THEN 4 ELSE 0 END
-               + CASE WHEN regexp_matches(t, '{MARKS}') THEN 8 ELSE 0 END AS own FROM worded),
+               + CASE WHEN regexp_matches(t, '[{MARKS.decode()}]') THEN 8 ELSE 0 END AS own FROM worded),
     known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
     masks AS (
         SELECT part, own + CASE WHEN doc_id > first_id THEN 16 ELSE 0 END AS mask, count(*) AS n,
