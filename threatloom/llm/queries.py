@@ -15,6 +15,7 @@ _MODULES = {
     "op8_secrets": "secrets",
     "op9_toxicity": "toxicity",
     "op10_quality_rules": "quality_rules",
+    "op11_conversation_repair": "conversation_repair",
     "op12_url_filters": "url_filters",
     "op13_filter_audit": "filter_audit",
 }
