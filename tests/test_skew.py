@@ -7,7 +7,7 @@ from threatloom.operators.dedup import first_wins, limit_per_group
 from threatloom.operators.embed import embed_text
 from threatloom.operators.enrich import attach_matches
 from threatloom.operators.knn import knn_join
-from threatloom.operators.merge import merge_latest
+from threatloom.sources.collection import Collection
 from threatloom.operators.range_join import first_point_in_span
 
 ROWS = 120_000
@@ -55,9 +55,13 @@ def test_limit_moves_few_rows_of_the_hot_group(hot):
     assert max(shuffled_rows(kept)) < ROWS
 
 
-def test_merge_with_a_key_changed_very_often(spark, hot):
+def test_upsert_of_a_key_changed_very_often(spark, hot, tmp_path):
     base = spark.range(2000).select(F.col("id").alias("key"), F.lit(-1).cast("long").alias("id"))
-    merged = {r.key: r.id for r in merge_latest(base, hot, "key", [F.col("id").desc()]).collect()}
+    collection = Collection(spark, str(tmp_path / "c"), base.schema, key="key")
+    collection.create()
+    collection.upsert(base, unique=True)
+    collection.upsert(hot.select("key", "id"), newest=[F.col("id").desc()])
+    merged = {r.key: r.id for r in collection.read().collect()}
     newest = {r.key: r.id for r in hot.groupBy("key").agg(F.max("id").alias("id")).collect()}
     assert merged == {**{k: -1 for k in range(2000)}, **newest}
 

@@ -6,7 +6,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.operators.merge import merge_latest
 from threatloom.operators.range_join import first_point_in_span
 from threatloom.sources.collection import Collection
 
@@ -17,14 +16,6 @@ def rows(df):
     return {r.id: r.v for r in df.collect()}
 
 
-def test_merge_latest_is_idempotent(spark):
-    base = spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA)
-    updates = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "id long, v string, seq int")
-    once = merge_latest(base, updates, "id", [F.col("seq").desc()])
-    assert rows(once) == {1: "a", 2: "d", 3: "e"}
-    assert rows(merge_latest(once, updates, "id", [F.col("seq").desc()])) == rows(once)
-
-
 def test_create_is_idempotent(spark, tmp_path):
     collection = Collection(spark, str(tmp_path / "c"), SCHEMA)
     assert collection.create()
@@ -33,29 +24,81 @@ def test_create_is_idempotent(spark, tmp_path):
     assert collection.read().columns == ["id", "v"]
 
 
-def test_repeated_batch_is_a_no_op(spark, tmp_path):
+def test_repeated_delivery_changes_nothing(spark, tmp_path):
     collection = Collection(spark, str(tmp_path / "c"), SCHEMA)
-    first = spark.createDataFrame([(1, "a")], SCHEMA)
-    assert collection.upsert(first, batch_key="0") == 1
-    assert collection.upsert(spark.createDataFrame([(1, "b")], SCHEMA), batch_key="1") == 1
-    assert collection.upsert(first, batch_key="0") == 0
-    assert rows(collection.read()) == {1: "b"}
+    collection.create()
+    first = spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA)
+    assert collection.upsert(first, state=F.col("v")) == 2
+    assert collection.upsert(first, state=F.col("v")) == 0
+    assert collection.upsert(spark.createDataFrame([(1, "b")], SCHEMA), state=F.col("v")) == 1
+    assert collection.upsert(first, state=F.col("v")) == 0
+    assert collection.upsert(first.limit(0), state=F.col("v")) == 0
+    assert rows(collection.read()) == {1: "b", 2: "b"}
 
 
-def test_an_open_read_survives_later_upserts(spark, tmp_path):
-    collection = Collection(spark, str(tmp_path / "c"), SCHEMA, compact_every=2)
+def bucket_files(root):
+    return {str(f): f.stat().st_mtime_ns for f in sorted(root.glob("data/key_bucket=*/*.parquet"))}
+
+
+def test_untouched_buckets_are_neither_read_nor_written(spark, tmp_path):
+    collection = Collection(spark, str(tmp_path / "c"), SCHEMA, buckets=8)
+    collection.create()
+    collection.upsert(spark.createDataFrame([(i, "a") for i in range(200)], SCHEMA))
+    before = bucket_files(tmp_path / "c")
+    assert len(before) == 8
+    one = spark.createDataFrame([(7, "b")], SCHEMA)
+    bucket = one.select(F.pmod(F.xxhash64("id"), F.lit(8))).first()[0]
+    held = collection.held_in([bucket])
+    assert {f.split("/")[-2] for f in held.inputFiles()} != set() and "PartitionFilters: [isnotnull(key_bucket" in plan(held)
+    assert scanned_files(held) == 1
+    collection.upsert(one)
+    after = bucket_files(tmp_path / "c")
+    assert [f for f in before if after.get(f) == before[f]] == [f for f in before if f"key_bucket={bucket}/" not in f]
+    assert rows(collection.read()) == {i: "b" if i == 7 else "a" for i in range(200)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().treeString()
+
+
+def scanned_files(df):
+    """Files the one scan of a frame has opened."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    while node.children().size():
+        node = node.children().apply(0)
+    return node.metrics().get("numFiles").get().value()
+
+
+def test_a_failed_delivery_leaves_the_collection(spark, tmp_path):
+    collection = Collection(spark, str(tmp_path / "c"), SCHEMA)
     collection.create()
     collection.upsert(spark.createDataFrame([(1, "a")], SCHEMA))
-    before = collection.read()
-    for value in "bcd":
-        collection.upsert(spark.createDataFrame([(1, value), (2, value)], SCHEMA))
-    assert rows(before) == {1: "a"}
-    assert rows(collection.read()) == {1: "d", 2: "d"}
+    broken = spark.createDataFrame([(1, "b")], SCHEMA).withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        collection.upsert(broken)
+    assert rows(collection.read()) == {1: "a"}
+
+
+def test_buckets_are_those_of_the_creation(spark, tmp_path):
+    first = Collection(spark, str(tmp_path / "c"), SCHEMA, buckets=3)
+    first.create()
+    first.upsert(spark.createDataFrame([(i, "a") for i in range(50)], SCHEMA))
+    later = Collection(spark, str(tmp_path / "c"), SCHEMA, buckets=7)
+    assert not later.create()
+    later.upsert(spark.createDataFrame([(i, "b") for i in range(25)], SCHEMA))
+    assert rows(first.read()) == {i: "b" if i < 25 else "a" for i in range(50)}
 
 
-@pytest.mark.parametrize("compact_every", [2, 100])
-def test_sequence_of_upserts_equals_a_dict(spark, tmp_path, compact_every):
-    collection = Collection(spark, str(tmp_path / "c"), SCHEMA, compact_every=compact_every)
+def test_upsert_needs_a_collection(spark, tmp_path):
+    with pytest.raises(ValueError, match="create"):
+        Collection(spark, str(tmp_path / "c"), SCHEMA).upsert(spark.createDataFrame([(1, "a")], SCHEMA))
+
+
+@pytest.mark.parametrize("buckets", [1, 16])
+def test_sequence_of_upserts_equals_a_dict(spark, tmp_path, buckets):
+    collection = Collection(spark, str(tmp_path / "c"), SCHEMA, buckets=buckets)
+    collection.create()
     expected = {}
     for step in range(5):
         batch = {i: f"{step}-{i}" for i in range(step * 3, step * 3 + 6)}
@@ -98,7 +141,7 @@ def test_rows_without_a_key_are_refused(spark, tmp_path):
 
 def test_older_states_are_left_out(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.LongType())])
-    collection = Collection(spark, str(tmp_path / "c"), schema, compact_every=2)
+    collection = Collection(spark, str(tmp_path / "c"), schema, buckets=2)
     collection.create()
     for rows in ([(1, 5), (2, 5)], [(1, 4), (2, 6), (3, None)], [(1, 5), (2, 1), (3, 1)]):
         collection.upsert(spark.createDataFrame(rows, schema), state=F.col("v"))

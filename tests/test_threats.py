@@ -1,6 +1,7 @@
 """CVE feed, query matching, ingestion and its state."""
 
 import json
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,9 +95,13 @@ def test_limits(spark):
 
 
 def test_modified_between_keeps_both_ends(spark):
-    df = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "m string")
-    assert [r.m for r in modified_between(df, "m", "b", "c").orderBy("m").collect()] == ["b", "c"]
-    assert modified_between(df, "m", None).count() == 4
+    moments = ["2024-01-01", "2024-01-02T00:00:00", "2024-01-02T10:00:00+14:00", "2024-01-03 00:00:00.000Z", "2024-01-03T00:00:01", "", "x", None]
+    df = spark.createDataFrame([(m,) for m in moments], "m string")
+    kept = modified_between(df, "m", "2024-01-02", "2024-01-03").collect()
+    assert sorted(r.m for r in kept) == ["2024-01-02T00:00:00", "2024-01-03 00:00:00.000Z"]
+    kept = modified_between(df, "m", "2024-01-01T20:00:00Z").collect()
+    assert sorted(r.m for r in kept) == sorted([moments[1], moments[2], moments[3], moments[4]])
+    assert modified_between(df, "m", None).count() == len(moments)
 
 
 def test_watermark(spark, tmp_path):
@@ -114,18 +119,38 @@ def test_ingestion_in_runs_equals_full_load(spark, tmp_path):
     late = [cve(f"CVE-{i}", description="changed buffer overflow", modified="2024-02-01") for i in range(15, 25)]
     collection = Collection(spark, str(tmp_path / "c"), CVE_POINT)
     mark = Watermark(spark, str(tmp_path / "w"))
-    assert ingest_threats(spark.createDataFrame(early, CVE_FEED), collection, mark, until="2024-01-15")
-    assert mark.read() == "2024-01-15"
+    assert ingest_threats(spark.createDataFrame(early, CVE_FEED), collection, mark)
+    assert mark.read() == "2024-01-01T00:00:00.000000" and mark.since() == "2023-12-31T00:00:00.000000"
     feed = spark.createDataFrame(early + late, CVE_FEED)
     assert ingest_threats(feed, collection, mark, until="2024-02-15")
     assert not ingest_threats(feed, collection, mark, until="2024-03-01")
-    assert mark.read() == "2024-02-15"
+    assert mark.read() == "2024-02-01T00:00:00.000000"
     whole = Collection(spark, str(tmp_path / "whole"), CVE_POINT)
     ingest_threats(feed, whole, Watermark(spark, str(tmp_path / "w2")))
     assert collection.read().exceptAll(whole.read()).count() == 0
     assert collection.read().count() == whole.read().count() == 25
 
 
+def test_a_record_that_lands_late_is_read(spark, tmp_path):
+    mark = Watermark(spark, str(tmp_path / "w"), overlap=timedelta(hours=6))
+    collection = Collection(spark, str(tmp_path / "c"), CVE_POINT)
+    first = [cve("CVE-1", modified="2024-01-02T12:00:00Z")]
+    landed = [cve("CVE-2", modified="2024-01-02T07:00:00"), cve("CVE-3", modified="2024-01-02T05:00:00")]
+    assert ingest_threats(spark.createDataFrame(first, CVE_FEED), collection, mark)
+    assert ingest_threats(spark.createDataFrame(first + landed, CVE_FEED), collection, mark)
+    # modified five hours before the highest record: within the overlap; seven hours before: not
+    assert {r.cve_id for r in collection.read().select("payload.*").collect()} == {"CVE-1", "CVE-2"}
+
+
+def test_newest_state_by_time_not_by_text(spark):
+    states = [cve("CVE-1", "A buffer overflow, older", modified="2024-01-02T01:00:00+14:00"),
+              cve("CVE-1", "A buffer overflow, newer", modified="2024-01-01T23:00:00Z"),
+              cve("CVE-2", "A buffer overflow, dated", modified="2020-01-01"),
+              cve("CVE-2", "A buffer overflow, undated", modified="someday")]
+    rows = {r.cve_id: r.description for r in threat_records(spark.createDataFrame(states, CVE_FEED)).collect()}
+    assert rows == {"CVE-1": "A buffer overflow, newer", "CVE-2": "A buffer overflow, dated"}
+
+
 def test_nothing_fetched_leaves_the_watermark(spark, tmp_path):
     mark = Watermark(spark, str(tmp_path / "w"))
     collection = Collection(spark, str(tmp_path / "c"), CVE_POINT)
@@ -148,6 +173,29 @@ def test_stream_sees_only_new_files(spark, tmp_path):
     assert collection.read().count() == 3
 
 
+@pytest.mark.parametrize("splits", [1, 2, 5])
+def test_stream_of_any_splits_gives_the_batch(spark, tmp_path, splits):
+    states = [cve(f"CVE-{n % 7}", f"A buffer overflow, state {n}", modified=f"2024-01-{(n * 11) % 28 + 1:02}T{n % 24:02}:00:00")
+              for n in range(40)]
+    folder = tmp_path / "feed"
+    for at in range(splits):
+        land(folder, states[at::splits], "not a line")
+    collection = Collection(spark, str(tmp_path / "c"), CVE_POINT, buckets=2)
+    run_available(feed_stream(spark, str(folder), max_files=1), collection, str(tmp_path / "checkpoint"))
+    want = {r.cve_id: r.description for r in threat_records(spark.createDataFrame(states, CVE_FEED)).collect()}
+    assert {r.cve_id: r.description for r in collection.read().select("payload.*").collect()} == want
+
+
+def test_stream_leaves_newer_states_of_batches(spark, tmp_path):
+    collection = Collection(spark, str(tmp_path / "c"), CVE_POINT)
+    newer = [cve("CVE-1", "A buffer overflow, by batch", modified="2024-05-01")]
+    ingest_threats(spark.createDataFrame(newer, CVE_FEED), collection, Watermark(spark, str(tmp_path / "w")))
+    path = land(tmp_path / "landed", [cve("CVE-1", modified="2024-02-01"), cve("CVE-2")])
+    run_available(feed_stream(spark, path), collection, str(tmp_path / "checkpoint"))
+    rows = {r.cve_id: r.description for r in collection.read().select("payload.*").collect()}
+    assert rows == {"CVE-1": "A buffer overflow, by batch", "CVE-2": "A buffer overflow"}
+
+
 @pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
 def test_stream_gives_the_full_load_in_any_order(spark, tmp_path, order):
     states = [
@@ -157,7 +205,7 @@ def test_stream_gives_the_full_load_in_any_order(spark, tmp_path, order):
     ]
     folder = tmp_path / "feed"
     folder.mkdir()
-    collection = Collection(spark, str(tmp_path / "c"), CVE_POINT, compact_every=2)
+    collection = Collection(spark, str(tmp_path / "c"), CVE_POINT, buckets=2)
     for n, at in enumerate(order):
         lines = [json.dumps(r) for r in states[at]] + ['{"id": "CVE-9", "desc']
         (folder / f"{n}.json").write_text("\n".join(lines))

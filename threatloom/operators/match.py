@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threatloom.constants import CWE_QUERY_LIMIT, KEYWORD_GROUPS, KEYWORD_QUERY_LIMIT, TARGET_CWES
 from threatloom.operators.dedup import limit_per_group
@@ -65,9 +66,19 @@ def by_target(df: DataFrame, tags: str, targets: DataFrame, target: str = "cwe_i
     return exploded.join(F.broadcast(targets), target)
 
 
+def moment_of(df: DataFrame, column: str) -> Column:
+    """A column of moments as timestamps: text is parsed, in any ISO form and zone, and null where it is no moment."""
+    kind = df.schema[column].dataType
+    return F.try_to_timestamp(F.col(column)) if isinstance(kind, T.StringType) else F.col(column)
+
+
 def modified_between(df: DataFrame, moment: str, since: str | None, until: str | None = None) -> DataFrame:
-    """Records modified in [since, until]; without `since` nothing is filtered (full load)."""
+    """Records modified in [since, until], compared as moments; without `since` nothing is filtered (full load).
+
+    Records without a legible moment are in a full load only. On a column of timestamps the filter reaches the scan.
+    """
     if since is None:
         return df
-    kept = df.where(F.col(moment) >= F.lit(since))
-    return kept.where(F.col(moment) <= F.lit(until)) if until is not None else kept
+    at = moment_of(df, moment)
+    kept = df.where(at >= F.to_timestamp(F.lit(since)))
+    return kept.where(at <= F.to_timestamp(F.lit(until))) if until is not None else kept

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from threatloom.functions.text import iso_utc
 from threatloom.operators.dedup import first_wins
 from threatloom.operators.embed import Encoder, embed_text, hashed_tokens
 from threatloom.operators.match import limit_queries, matched_queries, modified_between, query_ranks
@@ -20,6 +20,23 @@ from threatloom.sources.state import Watermark
 _FEED_ORDER = ("published", "last_modified", "cve_id", "description", "severity", "cvss_score", "cwe_ids", "cpe")
 
 
+def record_order() -> list[Column]:
+    """Of several states of a CVE the last modified comes first, then the first query answered; illegible moments are oldest.
+
+    All ascending, so that a sort and the minimum of a struct agree.
+    """
+    age = F.coalesce(-F.unix_micros(F.try_to_timestamp("last_modified")), F.lit((1 << 63) - 1))
+    return [age.alias("age"), F.col("query_rank"), *[F.col(name) for name in _FEED_ORDER]]
+
+
+def answering(feed: DataFrame, *, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Flat records answering at least one query, with the rank of the first; row-local, so for a stream as well."""
+    recent = modified_between(flatten_cves(feed), "last_modified", since, until)
+    ranks = query_ranks(F.col("cwe_ids"), F.col("description"), F.col("severity"))
+    # exploding the first rank keeps matching records only and, unlike a filter, tests each query once
+    return recent.withColumn("query_rank", F.explode(F.slice(ranks, 1, 1)))
+
+
 def threat_records(
     feed: DataFrame, *, since: str | None = None, until: str | None = None, limited: bool = False
 ) -> DataFrame:
@@ -30,15 +47,12 @@ def threat_records(
     the union of the queries is never spelled out, the first query answered is
     a row-local lookup.
     """
-    recent = modified_between(flatten_cves(feed), "last_modified", since, until)
     if limited:
+        recent = modified_between(flatten_cves(feed), "last_modified", since, until)
         matched = limit_queries(matched_queries(recent), _FEED_ORDER)
     else:
-        ranks = query_ranks(F.col("cwe_ids"), F.col("description"), F.col("severity"))
-        # exploding the first rank keeps matching records only and, unlike a filter, tests each query once
-        matched = recent.withColumn("query_rank", F.explode(F.slice(ranks, 1, 1)))
-    order = [F.col("last_modified").desc(), "query_rank", *_FEED_ORDER]
-    return with_id(first_wins(matched, ["cve_id"], order))
+        matched = answering(feed, since=since, until=until)
+    return with_id(first_wins(matched, ["cve_id"], record_order()))
 
 
 def cve_state() -> Column:
@@ -47,7 +61,7 @@ def cve_state() -> Column:
 
 
 def threat_points(records: DataFrame, encoder: Callable[[], Encoder] = hashed_tokens) -> DataFrame:
-    """Embedded points of the records, one per id: of CVEs sharing a 32-bit id the last one stays."""
+    """Embedded points of the records, one per id: of CVEs sharing an id the last one stays."""
     order = [F.col("query_rank").desc(), *[F.col(name).desc() for name in _FEED_ORDER]]
     unique = first_wins(records, ["id"], order)
     return cve_points(embed_text(with_text(unique), "text", encoder=encoder))
@@ -62,16 +76,19 @@ def ingest_threats(
     until: str | None = None,
     limited: bool = False,
 ) -> bool:
-    """One ingestion run; False, with the watermark untouched, when nothing was fetched.
+    """One ingestion run; False, with the watermark untouched, when nothing new was found.
 
-    The watermark is saved after the upsert: a crash in between repeats the run,
-    which the upsert makes harmless. It is the end of the window read or, without
-    one, the time the run began, so that changes made meanwhile are not missed.
+    Records are read from the watermark less its overlap on; what was read before is recognised by its state. The watermark
+    is saved after the upsert, as the highest moment of modification read: a crash in between repeats the run, which the
+    upsert makes harmless.
     """
-    began = datetime.now(timezone.utc).isoformat()
     collection.create()
-    records = threat_records(feed, since=watermark.read(), until=until, limited=limited)
+    seen = Observation()
+    modified = F.try_to_timestamp("last_modified")
+    records = threat_records(feed, since=watermark.since(), until=until, limited=limited).observe(
+        seen, iso_utc(F.max(modified)).alias("highest")
+    )
     fetched = collection.upsert(threat_points(records, encoder), unique=True, state=cve_state()) > 0
-    if fetched:
-        watermark.save(until or began)
+    if fetched and seen.get["highest"]:
+        watermark.save(seen.get["highest"])
     return fetched

@@ -205,20 +205,38 @@ def nested_feed(rows: DataFrame) -> DataFrame:
     return rows.select(*[parts[f.name].cast(f.dataType).alias(f.name) for f in CVE_FEED.fields])
 
 
-def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested_feed(FEED.frame(spark, sf_dir))
+def feed(spark: SparkSession, sf_dir: str, source: StandIn = FEED) -> DataFrame:
+    return nested_feed(source.frame(spark, sf_dir))
 
 
-# The flat record as SQL, with arrays as joined text.
-FLAT_CVES_SQL = f"""(
+def flat_cves_sql(source: StandIn) -> str:
+    """The flat record as SQL, with the moment it was modified at."""
+    return f"""(
     SELECT cve_id, descr AS description,
            CASE WHEN score_len = 3 THEN cast(score_num AS DOUBLE) END AS cvss_score,
            CASE WHEN score_len = 3 THEN score_sev ELSE 'UNKNOWN' END AS severity,
            list_slice([cwe_1, cwe_2, cwe_3], 1, n_cwe) AS cwe_ids,
            list_slice(['cpe:2.3:a:v1', 'cpe:2.3:a:v2', 'cpe:2.3:a:v3', 'cpe:2.3:a:v4', 'cpe:2.3:a:v5'],
                       1, n_cpe) AS cpe,
-           modified AS published, modified AS last_modified
-    FROM {FEED.sql()} WHERE descr <> '')"""
+           modified AS published, modified AS last_modified, ts AS modified_at
+    FROM {source.sql()} WHERE descr <> '')"""
+
+
+FLAT_CVES_SQL = flat_cves_sql(FEED)
+
+# The same feed with moments in three forms, whose order as text is not their order in time.
+_FORMS = (
+    ("date_format(ts, 'yyyy-MM-dd\\'T\\'HH:mm:ss.SSSSSS')", "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')"),
+    ("date_format(ts - interval 5 hours, 'yyyy-MM-dd HH:mm:ss.SSSSSS') || '-05:00'",
+     "strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S.%f') || '-05:00'"),
+    ("date_format(ts + interval 14 hours, 'yyyy-MM-dd\\'T\\'HH:mm:ss.SSSSSS') || '+14:00'",
+     "strftime(ts + INTERVAL 14 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '+14:00'"),
+)
+_MIXED = tuple(
+    f"CASE k % 3 WHEN 0 THEN {_FORMS[0][e]} WHEN 1 THEN {_FORMS[1][e]} ELSE {_FORMS[2][e]} END" for e in (0, 1)
+)
+MIXED_FEED = StandIn(FEED.tables, (FEED.steps[0], {**FEED.steps[1], "modified": _MIXED}))
+FLAT_MIXED_SQL = flat_cves_sql(MIXED_FEED)
 
 # --- answers of a text model: one function per event -----------------------------------------
 

@@ -11,7 +11,7 @@ from threatloom.queries.threats import STORED_SQL, stored_threats
 from threatloom.schemas import CVE_POINT
 from threatloom.session import run_dir
 from threatloom.sources.collection import Collection
-from threatloom.streaming.ingest import run_available
+from threatloom.streaming.ingest import feed_stream, run_available
 
 
 def upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") + 7000).alias("id"), F.col("l_extendedprice").alias("price"),
         F.col("l_linestatus").alias("status"), F.col("l_shipdate").alias("shipped"), F.col("l_linenumber").alias("line"),
     )
-    # three deliveries in no order of time, folded twice on the way
-    collection = Collection(spark, run_dir(spark, "orders"), updates.schema, compact_every=2)
+    # three deliveries in no order of time
+    collection = Collection(spark, run_dir(spark, "orders"), updates.schema)
     collection.create()
     state = F.struct("shipped", "line", "price", "status")
     collection.upsert(base, unique=True)
@@ -70,16 +70,19 @@ RANGE_FIRST = f"""SELECT event_id, purchase_id, waited FROM (
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of CVE records, ingested into a new collection, read back."""
+    """The feed landed as four files in no order of time, with broken lines and records without an id, read file by file."""
     root = run_dir(spark, "stream")
-    schema = table(spark, sf_dir, "events").schema
-    # a pattern, as the stream source takes a plain path for a folder and the table may be one file
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    records = nested_feed(FEED.frame(spark, sf_dir))
+    line, dealt = F.to_json(F.struct("*")), F.pmod(F.hash("id", "published", "lastModified"), F.lit(4))
+    lines = records.select(line.alias("line"), dealt.alias("file"), F.to_json(F.struct(*records.columns[1:])).alias("nameless"))
+    odd = F.pmod(F.hash("line"), F.lit(10))
+    # besides every line, one in ten once more without its id and one in ten cut short
+    extra = F.when(odd == 0, F.array("nameless")).when(odd == 1, F.array(F.expr("left(line, length(line) - 1)")))
+    landed = lines.select("file", F.explode(F.concat(F.array("line"), F.coalesce(extra, F.array().cast("array<string>")))).alias("value"))
+    # one file for each; a file is read by one micro-batch
+    landed.repartition(4, "file").write.partitionBy("file").text(f"{root}/landed")
     collection = Collection(spark, f"{root}/collection", CVE_POINT)
-    run_available(
-        stream, collection, f"{root}/checkpoint",
-        prepare=lambda batch: nested_feed(FEED.derive(batch)),
-    )
+    run_available(feed_stream(spark, f"{root}/landed/*", max_files=1), collection, f"{root}/checkpoint")
     return stored_threats(collection.read())
 
 

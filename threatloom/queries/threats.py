@@ -13,7 +13,7 @@ from threatloom.operators.match import by_target, keyword_matches, matched_queri
 from threatloom.operators.match import limit_queries as limit_feed_queries
 from threatloom.plans.threats import ingest_threats
 from threatloom.queries.snippets import sql_record_id
-from threatloom.queries.standins import FEED, FLAT_CVES_SQL, feed, nested_feed, table
+from threatloom.queries.standins import FEED, FLAT_CVES_SQL, FLAT_MIXED_SQL, MIXED_FEED, feed, nested_feed, table
 from threatloom.schemas import CVE_POINT
 from threatloom.session import run_dir
 from threatloom.sources.collection import Collection
@@ -87,12 +87,13 @@ KEYWORD_MATCH = f"""SELECT cve_id, last_modified, keyword, query_rank
 
 
 def incremental_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = _shown(flatten_cves(feed(spark, sf_dir)))
+    """A window over moments written in several forms and zones."""
+    flat = _shown(flatten_cves(feed(spark, sf_dir, MIXED_FEED)))
     return modified_between(flat, "last_modified", "2024-01-10T00:00:00", "2024-01-20T12:00:00")
 
 
-INCREMENTAL_SINCE = f"""SELECT {_SHOWN_SQL} FROM {FLAT_CVES_SQL}
-    WHERE last_modified BETWEEN '2024-01-10T00:00:00' AND '2024-01-20T12:00:00'"""
+INCREMENTAL_SINCE = f"""SELECT {_SHOWN_SQL} FROM {FLAT_MIXED_SQL}
+    WHERE modified_at BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'"""
 
 
 def incremental_full(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,13 +107,17 @@ def union_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched.select("cve_id", "last_modified", F.col("query_rank").cast("int").alias("query_rank"))
 
 
-_MATCHED = f"""(
-    SELECT c.*, t.query_rank FROM {FLAT_CVES_SQL} c
+def _matched_sql(flat: str) -> str:
+    return f"""(
+    SELECT c.*, t.query_rank FROM {flat} c
     JOIN {_TARGET_ROWS} t(cwe_id, query_rank) ON list_contains(c.cwe_ids, t.cwe_id)
     UNION ALL
-    SELECT c.*, k.query_rank FROM {FLAT_CVES_SQL} c
+    SELECT c.*, k.query_rank FROM {flat} c
     JOIN {_KEYWORD_ROWS} k(keyword, wanted, query_rank)
       ON c.severity = k.wanted AND contains(lower(c.description), k.keyword))"""
+
+
+_MATCHED = _matched_sql(FLAT_CVES_SQL)
 UNION_QUERIES = f"SELECT cve_id, last_modified, query_rank FROM {_MATCHED}"
 
 
@@ -181,22 +186,31 @@ def threat_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run up to a moment and one from the watermark it saved: together a full load."""
+    """A run up to a moment and one from the watermark it saved: together a full load. Moments are in several forms."""
     root = run_dir(spark, "runs")
     collection, mark = Collection(spark, f"{root}/collection", CVE_POINT), Watermark(spark, f"{root}/watermark")
-    ingest_threats(feed(spark, sf_dir), collection, mark, until="2024-01-12T00:00:00")
-    ingest_threats(feed(spark, sf_dir), collection, mark)
+    landed = feed(spark, sf_dir, MIXED_FEED)
+    ingest_threats(modified_between(landed, "lastModified", "0001-01-01", "2024-01-12T00:00:00"), collection, mark)
+    ingest_threats(landed, collection, mark)
     return stored_threats(collection.read())
 
 
-# Last state of each CVE, then the first query it answers; of CVEs sharing an id the last in feed order.
-LATEST_SQL = f"""(SELECT *, {sql_record_id("cve_id")} AS id FROM (
-    SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY last_modified DESC, query_rank) AS rn
-    FROM {_MATCHED}) WHERE rn = 1)"""
-THREAT_ROWS_SQL = f"""(SELECT * FROM (
+def _rows_sql(flat: str) -> str:
+    """Last state of each CVE, then the first query it answers; of CVEs sharing an id the last in feed order."""
+    latest = f"""(SELECT *, {sql_record_id("cve_id")} AS id FROM (
+    SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY modified_at DESC, query_rank) AS rn
+    FROM {_matched_sql(flat)}) WHERE rn = 1)"""
+    return f"""(SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY query_rank DESC, published DESC) AS in_id
-    FROM {LATEST_SQL}) WHERE in_id = 1)"""
-STORED_SQL = f"SELECT id, 384 AS dims, {_SHOWN_SQL} FROM {THREAT_ROWS_SQL}"
+    FROM {latest}) WHERE in_id = 1)"""
+
+
+def _stored_sql(flat: str) -> str:
+    return f"SELECT id, 384 AS dims, {_SHOWN_SQL} FROM {_rows_sql(flat)}"
+
+
+THREAT_ROWS_SQL = _rows_sql(FLAT_CVES_SQL)
+STORED_SQL = _stored_sql(FLAT_CVES_SQL)
 TEXT_SQL = _TEXT_SQL
 
 
@@ -214,5 +228,5 @@ QUERIES = {
     "limit_queries": (limit_queries, LIMIT_QUERIES),
     "iso_timestamp": (iso_timestamp, ISO_TIMESTAMP),
     "threat_ingest": (threat_ingest, STORED_SQL),
-    "incremental_runs": (incremental_runs, STORED_SQL),
+    "incremental_runs": (incremental_runs, _stored_sql(FLAT_MIXED_SQL)),
 }

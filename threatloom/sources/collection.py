@@ -1,132 +1,117 @@
-"""A keyed collection stored as parquet: created once, upserted by key, read as its latest state.
+"""A keyed collection: Parquet in hash buckets of the key, created once, upserted by key, read as its latest state.
 
-An upsert writes only the changed rows as a new delta folder and then appends
-one line to the commit log; nothing already written is touched, so a reader
-sees the state before or after, and a failed or repeated job leaves it intact.
-Deltas are folded into a new base once there are `compact_every` of them.
+An upsert finds the buckets its rows fall into, reads and rewrites these by dynamic partition overwrite and leaves all others
+untouched, so that its cost follows the delivery, not the collection. A job that fails leaves the files as they were; they
+are replaced when it ends, bucket by bucket. There is one writer at a time, and a frame read before an upsert is read again
+after it. Repeating a delivery changes nothing.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatloom.operators.dedup import first_wins
-from threatloom.operators.merge import without_keys
+from threatloom.session import run_dir
 from threatloom.sources.state import read_if_present
 
-_LOG_SCHEMA = "version long, kind string, folder string, batch_key string"
-_VERSION = "commit_version"
+BUCKETS = 8
+_BUCKET = "key_bucket"
+_COMING, _STATE, _HELD, _PLACE = "__coming", "__state", "__held", "__place"
 
 
 class Collection:
     def __init__(
-        self, spark: SparkSession, root: str, schema: T.StructType, key: str = "id", compact_every: int = 16
+        self, spark: SparkSession, root: str, schema: T.StructType, key: str = "id", buckets: int = BUCKETS
     ):
+        """`buckets` counts when the collection is created; about 1 GB each is a good size."""
         self._spark = spark
         self._root = root.rstrip("/")
         self._schema = schema
         self._key = key
-        self._compact_every = compact_every
+        self._buckets = buckets
 
     def create(self) -> bool:
         """Set up an empty collection; False when it is already there."""
-        if self._commits():
+        if self._settings() is not None:
             return False
-        self._write(self._spark.createDataFrame([], self._schema), 0, "base", "")
+        empty = self._spark.createDataFrame([], self._table_schema())
+        empty.write.mode("overwrite").partitionBy(_BUCKET).parquet(self._data())
+        settings = self._spark.range(1).select(F.lit(self._buckets).alias("buckets"))
+        settings.write.json(f"{self._root}/settings")
         return True
 
     def upsert(
-        self, rows: DataFrame, *, newest: Sequence[Column | str] = (), unique: bool = False, batch_key: str = "",
-        state: Column | None = None,
+        self, rows: DataFrame, *, newest: Sequence[Column | str] = (), unique: bool = False, state: Column | None = None
     ) -> int:
-        """Insert rows, replacing those with the same key; the number of rows written.
+        """Insert rows, replacing those with the same key; the number of keys that are new or changed.
 
-        `newest` orders rows of one key within this batch, winner first;
-        `unique` says there is one row per key already. A `batch_key` seen
-        before makes the call a no-op. Where `state` is given, a row whose state is
-        older than that of the stored row is left out, so that deliveries may come in
-        any order. Rows without a key are refused.
+        `newest` orders rows of one key within this delivery, winner first; `unique` says there is one row per key already.
+        Where `state` is given, a row whose state is older than that of the stored row is left out, so that deliveries may
+        come in any order, and rows of the same state do not count as changed. Rows without a key are refused.
         """
-        commits = self._commits()
-        if batch_key and any(c.batch_key == batch_key for c in commits):
-            return 0
         names = self._schema.fieldNames()
         if not unique:
             rows = first_wins(rows, [self._key], newest or [F.col(n).desc() for n in names if n != self._key])
-        latest = rows.select(*names)
-        if state is not None:
-            latest = self._not_older(latest, state)
-        version = max((c.version for c in commits), default=0) + 1
-        written = self._write(latest, version, "delta", batch_key)
-        if sum(c.kind == "delta" for c in _live(commits)) + 1 >= self._compact_every:
-            self.compact()
-        return written
-
-    def read(self) -> DataFrame:
-        """Latest row of every key."""
-        live = _live(self._commits())
-        base = [c.folder for c in live if c.kind == "base"]
-        deltas = [c.folder for c in live if c.kind == "delta"]
-        if not deltas:
-            return self._load(base).drop(_VERSION)
-        changes = self._load(deltas)
-        # one delta already holds one row per key
-        latest = changes if len(deltas) == 1 else first_wins(changes, [self._key], [F.col(_VERSION).desc()])
-        return without_keys(self._load(base), changes, self._key).unionByName(latest).drop(_VERSION)
-
-    def _not_older(self, rows: DataFrame, state: Column) -> DataFrame:
-        held = self.read().select(F.col(self._key).alias("__key"), state.alias("__held"))
-        coming = rows.withColumn("__state", state)
-        joined = coming.join(held, F.col(self._key) == F.col("__key"), "left")
-        older = F.col("__held").isNotNull() & (F.col("__state").isNull() | (F.col("__state") < F.col("__held")))
-        return joined.where(~older).select(*rows.columns)
-
-    def compact(self) -> None:
-        """Fold the deltas into a new base."""
-        commits = self._commits()
-        version = max((c.version for c in commits), default=0) + 1
-        self._write(self.read(), version, "base", "")
-
-    def _commits(self) -> list:
-        # one short line per upsert since creation
-        log = read_if_present(self._spark, f"{self._root}/log", _LOG_SCHEMA)
-        return [] if log is None else sorted(log.collect(), key=lambda c: (c.version, c.folder))
-
-    def _load(self, folders: list[str]) -> DataFrame:
-        schema = T.StructType([*self._schema.fields, T.StructField(_VERSION, T.LongType())])
-        if not folders:
-            return self._spark.createDataFrame([], schema)
-        return self._spark.read.schema(schema).parquet(*folders)
-
-    def _write(self, rows: DataFrame, version: int, kind: str, batch_key: str) -> int:
-        """Write a folder, then commit it by its log line; an empty delta is not committed."""
-        folder = f"{self._root}/data/{kind}-{version:08d}-{uuid.uuid4().hex[:8]}"
+        buckets = self._settings()
+        if buckets is None:
+            raise ValueError(f"no collection at {self._root}: create it first")
+        bucket = F.pmod(F.xxhash64(self._key), F.lit(buckets)).cast("int")
+        coming = rows.select(*names, bucket.alias(_BUCKET))
         seen = Observation()
-        counted = rows.withColumn(_VERSION, F.lit(version).cast("long")).observe(
-            seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(self._key).isNull()).alias("keyless")
-        )
-        counted.write.parquet(folder)
+        # the delivery is read twice below, and may be dear to compute
+        path = run_dir(self._spark, "delivery")
+        coming.observe(
+            seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(self._key).isNull()).alias("keyless"),
+            F.collect_set(_BUCKET).alias("buckets"),
+        ).write.parquet(path)
         if seen.get["keyless"]:
-            raise ValueError(f"{seen.get['keyless']} rows without {self._key}; nothing was committed")
-        written = seen.get["rows"]
-        if kind == "delta" and not written:
+            raise ValueError(f"{seen.get['keyless']} rows without {self._key}; nothing was written")
+        if not seen.get["rows"]:
             return 0
-        entry = [F.lit(version).cast("long"), F.lit(kind), F.lit(folder), F.lit(batch_key)]
-        names = ["version", "kind", "folder", "batch_key"]
+        coming = self._spark.read.schema(self._table_schema()).parquet(path)
+        return self._rewrite(coming, self.held_in(seen.get["buckets"]), state)
+
+    def read(self) -> DataFrame:
+        """The row of every key."""
+        return self._load().drop(_BUCKET)
+
+    def held_in(self, buckets: Sequence[int]) -> DataFrame:
+        """Stored rows of some buckets, and no other file."""
+        return self._load().where(F.col(_BUCKET).isin(list(buckets)))
+
+    def _rewrite(self, coming: DataFrame, held: DataFrame, state: Column | None) -> int:
+        stateless = state is None
+        both = coming.withColumn(_COMING, F.lit(True)).unionByName(held.withColumn(_COMING, F.lit(False)))
+        # one shuffle, by bucket: it serves the comparison by key as well as the write
+        dealt = both.withColumn(_STATE, F.lit(None).cast("int") if stateless else state).repartition(_BUCKET)
+        # a key has at most two rows, so that after a row that comes and wins stands the one it replaces
+        of_key = Window.partitionBy(_BUCKET, self._key).orderBy(F.col(_STATE).desc_nulls_last(), F.col(_COMING).desc())
+        ranked = dealt.withColumns({_HELD: F.lead(F.struct(_STATE)).over(of_key), _PLACE: F.row_number().over(of_key)})
+        kept = ranked.where(F.col(_PLACE) == 1)
+        same = F.col(_HELD).isNotNull() & F.col(_STATE).eqNullSafe(F.col(f"{_HELD}.{_STATE}"))
+        fresh = F.lit(True) if stateless else ~same
+        changed = Observation()
         (
-            self._spark.range(1)
-            .select(*[column.alias(name) for column, name in zip(entry, names)])
-            .write.mode("append").json(f"{self._root}/log")
+            kept.observe(changed, F.count_if(F.col(_COMING) & fresh).alias("rows"))
+            .select(*self._schema.fieldNames(), _BUCKET)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(self._data())
         )
-        return written
+        return changed.get["rows"]
+
+    def _data(self) -> str:
+        return f"{self._root}/data"
+
+    def _table_schema(self) -> T.StructType:
+        return T.StructType([*self._schema.fields, T.StructField(_BUCKET, T.IntegerType())])
 
+    def _load(self) -> DataFrame:
+        return self._spark.read.schema(self._table_schema()).parquet(self._data())
 
-def _live(commits: list) -> list:
-    """The newest base and the deltas after it."""
-    bases = [i for i, c in enumerate(commits) if c.kind == "base"]
-    return commits[bases[-1]:] if bases else commits
+    def _settings(self) -> int | None:
+        """Number of buckets, or None before the collection is created."""
+        found = read_if_present(self._spark, f"{self._root}/settings", "buckets int")
+        return None if found is None else found.first()[0]

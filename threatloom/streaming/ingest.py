@@ -3,6 +3,11 @@
 The stream's checkpoint takes the place of the time-window watermark: each run
 sees exactly the files that arrived since the last one, so records changed
 while a run is under way are not missed.
+
+The newest state of each CVE is kept by the stream itself, in the state of a streaming aggregation. Each micro-batch gives
+the CVEs it touched, in their newest state, and these are upserted into the buckets they belong to: nothing is joined with
+the collection as a whole. The state is as large as the records; with many of them set
+`spark.sql.streaming.stateStore.providerClass` to the RocksDB provider.
 """
 
 from __future__ import annotations
@@ -10,11 +15,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threatloom.operators.embed import Encoder, hashed_tokens
-from threatloom.plans.threats import cve_state, threat_points, threat_records
+from threatloom.plans.threats import answering, cve_state, record_order, threat_points
 from threatloom.sources.collection import Collection
-from threatloom.sources.feed import FEED_LINES, well_formed
+from threatloom.sources.feed import FEED_LINES, well_formed, with_id
 
 
 def feed_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -23,28 +29,35 @@ def feed_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     return well_formed(lines.json(path))
 
 
+def newest_records(stream: DataFrame) -> DataFrame:
+    """The newest state of each CVE that answers a query, by the rules of a batch; keyed streaming state.
+
+    In update mode a micro-batch gives the CVEs it has met, also where their newest state came before.
+    """
+    matched = answering(stream)
+    newest = F.min_by(F.struct(*matched.columns), F.struct(*record_order())).alias("record")
+    return with_id(matched.groupBy("cve_id").agg(newest).select("record.*"))
+
+
 def run_available(
     stream: DataFrame,
     collection: Collection,
     checkpoint: str,
     *,
-    prepare: Callable[[DataFrame], DataFrame] | None = None,
     encoder: Callable[[], Encoder] = hashed_tokens,
 ) -> None:
     """Ingest everything that has arrived, then stop.
 
-    The last modified state of a CVE wins, in whatever order its states are delivered. A batch repeated after a failure is recognised and not applied twice.
+    The last modified state of a CVE wins, in whatever order its states are delivered, also against states that
+    batch runs have stored. A micro-batch repeated after a failure changes nothing.
     """
     collection.create()
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        records = threat_records(prepare(batch) if prepare else batch)
-        collection.upsert(
-            threat_points(records, encoder), unique=True, batch_key=f"{checkpoint}#{batch_id}", state=cve_state()
-        )
+    def apply(records: DataFrame, batch_id: int) -> None:
+        collection.upsert(threat_points(records, encoder), unique=True, state=cve_state())
 
     query = (
-        stream.writeStream.foreachBatch(apply)
+        newest_records(stream).writeStream.outputMode("update").foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
