@@ -13,6 +13,7 @@ from threatloom.operators.dedup import first_wins
 from threatloom.operators.embed import Encoder, embed_text, hashed_tokens
 from threatloom.operators.extract import labelled_functions
 from threatloom.operators.points import snippet_points
+from threatloom.session import stored
 from threatloom.sources.collection import Collection
 from threatloom.sources.labelled import snippet_rows, with_text
 
@@ -53,11 +54,13 @@ def dedup_snippets(snippets: DataFrame, dedup_on: str = "id_key") -> DataFrame:
 def build_corpus(
     snippets: DataFrame, collection: Collection, *, encoder: Callable[[], Encoder] = hashed_tokens, dedup_on: str = "id_key"
 ) -> DataFrame:
-    """De-duplicate, embed and upsert; returns the stored collection, from which statistics are taken."""
+    """De-duplicate, embed and upsert; returns the stored collection, from which statistics are taken.
+
+    The de-duplicated rows are stored without vectors; the upsert encodes them as it writes. Should two different keys share
+    an id, which 60 bits make all but impossible, the upsert keeps one of them.
+    """
     collection.create()
-    unique = dedup_snippets(snippets, dedup_on)
-    if dedup_on != "id":
-        # different keys may still share an id, and the collection is keyed by it: the last one stays
-        unique = first_wins(unique, ["id"], [F.col(name).desc() for name in _ORDER])
-    collection.upsert(snippet_points(embed_text(with_text(unique), "text", encoder=encoder)), unique=True)
+    unique = stored(dedup_snippets(snippets, dedup_on), "snippets")
+    points = snippet_points(embed_text(with_text(unique), "text", encoder=encoder))
+    collection.upsert(points, unique=True, stored=True)
     return collection.read()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.functions.text import iso_utc
@@ -12,6 +12,7 @@ from threatloom.operators.dedup import first_wins
 from threatloom.operators.embed import Encoder, embed_text, hashed_tokens
 from threatloom.operators.match import limit_queries, matched_queries, modified_between, query_ranks
 from threatloom.operators.points import cve_points
+from threatloom.session import stored
 from threatloom.sources.collection import Collection
 from threatloom.sources.feed import flatten_cves, with_id, with_text
 from threatloom.sources.state import Watermark
@@ -61,10 +62,8 @@ def cve_state() -> Column:
 
 
 def threat_points(records: DataFrame, encoder: Callable[[], Encoder] = hashed_tokens) -> DataFrame:
-    """Embedded points of the records, one per id: of CVEs sharing an id the last one stays."""
-    order = [F.col("query_rank").desc(), *[F.col(name).desc() for name in _FEED_ORDER]]
-    unique = first_wins(records, ["id"], order)
-    return cve_points(embed_text(with_text(unique), "text", encoder=encoder))
+    """Embedded points of the records."""
+    return cve_points(embed_text(with_text(records), "text", encoder=encoder))
 
 
 def ingest_threats(
@@ -83,12 +82,9 @@ def ingest_threats(
     upsert makes harmless.
     """
     collection.create()
-    seen = Observation()
-    modified = F.try_to_timestamp("last_modified")
-    records = threat_records(feed, since=watermark.since(), until=until, limited=limited).observe(
-        seen, iso_utc(F.max(modified)).alias("highest")
-    )
-    fetched = collection.upsert(threat_points(records, encoder), unique=True, state=cve_state()) > 0
-    if fetched and seen.get["highest"]:
-        watermark.save(seen.get["highest"])
+    records = stored(threat_records(feed, since=watermark.since(), until=until, limited=limited), "records")
+    fetched = collection.upsert(threat_points(records, encoder), unique=True, stored=True, state=cve_state()) > 0
+    highest = records.agg(iso_utc(F.max(F.try_to_timestamp("last_modified")))).first()[0] if fetched else None
+    if highest:
+        watermark.save(highest)
     return fetched

@@ -166,7 +166,7 @@ def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threats ingested; source texts to functions, stored answers to findings, each with its five nearest threats."""
     root = run_dir(spark, "scan")
     threats = Collection(spark, f"{root}/threats", CVE_POINT)
-    ingest_threats(feed(spark, sf_dir), threats, Watermark(spark, f"{root}/watermark"))
+    ingest_threats(feed(spark, sf_dir, heavy=True), threats, Watermark(spark, f"{root}/watermark"))
     files = ANSWERS.frame(spark, sf_dir, heavy=True)
     found = scan_with_responses(
         files.select("file_path", "text"),

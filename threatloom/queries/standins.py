@@ -205,8 +205,8 @@ def nested_feed(rows: DataFrame) -> DataFrame:
     return rows.select(*[parts[f.name].cast(f.dataType).alias(f.name) for f in CVE_FEED.fields])
 
 
-def feed(spark: SparkSession, sf_dir: str, source: StandIn = FEED) -> DataFrame:
-    return nested_feed(source.frame(spark, sf_dir))
+def feed(spark: SparkSession, sf_dir: str, source: StandIn = FEED, *, heavy: bool = False) -> DataFrame:
+    return nested_feed(source.frame(spark, sf_dir, heavy=heavy))
 
 
 def flat_cves_sql(source: StandIn) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.operators.range_join import first_point_in_span
-from threatloom.queries.standins import FEED, nested_feed, table
+from threatloom.queries.standins import feed, table
 from threatloom.queries.threats import STORED_SQL, stored_threats
 from threatloom.schemas import CVE_POINT
 from threatloom.session import run_dir
@@ -28,7 +28,7 @@ def upsert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     collection = Collection(spark, run_dir(spark, "orders"), updates.schema)
     collection.create()
     state = F.struct("shipped", "line", "price", "status")
-    collection.upsert(base, unique=True)
+    collection.upsert(base, unique=True, stored=True)
     for part in range(3):
         some = updates.where(F.expr(f"pmod(hash(price, line), 3) = {part}"))
         collection.upsert(some, newest=[state.desc()], state=state)
@@ -72,7 +72,7 @@ RANGE_FIRST = f"""SELECT event_id, purchase_id, waited FROM (
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed landed as four files in no order of time, with broken lines and records without an id, read file by file."""
     root = run_dir(spark, "stream")
-    records = nested_feed(FEED.frame(spark, sf_dir))
+    records = feed(spark, sf_dir, heavy=True)
     line, dealt = F.to_json(F.struct("*")), F.pmod(F.hash("id", "published", "lastModified"), F.lit(4))
     lines = records.select(line.alias("line"), dealt.alias("file"), F.to_json(F.struct(*records.columns[1:])).alias("nameless"))
     odd = F.pmod(F.hash("line"), F.lit(10))

@@ -122,7 +122,7 @@ UNION_QUERIES = f"SELECT cve_id, last_modified, query_rank FROM {_MATCHED}"
 
 
 def dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = matched_queries(flatten_cves(feed(spark, sf_dir)))
+    matched = matched_queries(flatten_cves(feed(spark, sf_dir, heavy=True)))
     first = first_wins(matched, ["cve_id"], ["query_rank", "published"])
     return _shown(first)
 
@@ -181,7 +181,7 @@ def threat_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full ingestion run into a new collection, read back."""
     root = run_dir(spark, "threats")
     collection = Collection(spark, f"{root}/collection", CVE_POINT)
-    ingest_threats(feed(spark, sf_dir), collection, Watermark(spark, f"{root}/watermark"))
+    ingest_threats(feed(spark, sf_dir, heavy=True), collection, Watermark(spark, f"{root}/watermark"))
     return stored_threats(collection.read())
 
 
@@ -189,7 +189,7 @@ def incremental_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run up to a moment and one from the watermark it saved: together a full load. Moments are in several forms."""
     root = run_dir(spark, "runs")
     collection, mark = Collection(spark, f"{root}/collection", CVE_POINT), Watermark(spark, f"{root}/watermark")
-    landed = feed(spark, sf_dir, MIXED_FEED)
+    landed = feed(spark, sf_dir, MIXED_FEED, heavy=True)
     ingest_threats(modified_between(landed, "lastModified", "0001-01-01", "2024-01-12T00:00:00"), collection, mark)
     ingest_threats(landed, collection, mark)
     return stored_threats(collection.read())

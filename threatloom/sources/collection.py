@@ -45,11 +45,14 @@ class Collection:
         return True
 
     def upsert(
-        self, rows: DataFrame, *, newest: Sequence[Column | str] = (), unique: bool = False, state: Column | None = None
+        self, rows: DataFrame, *, newest: Sequence[Column | str] = (), unique: bool = False, stored: bool = False,
+        state: Column | None = None,
     ) -> int:
         """Insert rows, replacing those with the same key; the number of keys that are new or changed.
 
         `newest` orders rows of one key within this delivery, winner first; `unique` says there is one row per key already.
+        The delivery is read twice, once for its keys alone; it is written to the shared folder before unless `stored` says
+        that it comes from a table, perhaps with dear columns added that its keys do not need.
         Where `state` is given, a row whose state is older than that of the stored row is left out, so that deliveries may
         come in any order, and rows of the same state do not count as changed. Rows without a key are refused.
         """
@@ -61,19 +64,19 @@ class Collection:
             raise ValueError(f"no collection at {self._root}: create it first")
         bucket = F.pmod(F.xxhash64(self._key), F.lit(buckets)).cast("int")
         coming = rows.select(*names, bucket.alias(_BUCKET))
-        seen = Observation()
-        # the delivery is read twice below, and may be dear to compute
-        path = run_dir(self._spark, "delivery")
-        coming.observe(
-            seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(self._key).isNull()).alias("keyless"),
+        if not stored:
+            path = run_dir(self._spark, "delivery")
+            coming.write.parquet(path)
+            coming = self._spark.read.schema(self._table_schema()).parquet(path)
+        seen = coming.agg(
+            F.count("*").alias("rows"), F.count_if(F.col(self._key).isNull()).alias("keyless"),
             F.collect_set(_BUCKET).alias("buckets"),
-        ).write.parquet(path)
-        if seen.get["keyless"]:
-            raise ValueError(f"{seen.get['keyless']} rows without {self._key}; nothing was written")
-        if not seen.get["rows"]:
+        ).first()
+        if seen.keyless:
+            raise ValueError(f"{seen.keyless} rows without {self._key}; nothing was written")
+        if not seen.rows:
             return 0
-        coming = self._spark.read.schema(self._table_schema()).parquet(path)
-        return self._rewrite(coming, self.held_in(seen.get["buckets"]), state)
+        return self._rewrite(coming, self.held_in(seen.buckets), state)
 
     def read(self) -> DataFrame:
         """The row of every key."""

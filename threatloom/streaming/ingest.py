@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from threatloom.operators.embed import Encoder, hashed_tokens
 from threatloom.plans.threats import answering, cve_state, record_order, threat_points
+from threatloom.session import stored
 from threatloom.sources.collection import Collection
 from threatloom.sources.feed import FEED_LINES, well_formed, with_id
 
@@ -54,7 +55,9 @@ def run_available(
     collection.create()
 
     def apply(records: DataFrame, batch_id: int) -> None:
-        collection.upsert(threat_points(records, encoder), unique=True, state=cve_state())
+        # what the stream gives is computed once for each action
+        points = threat_points(stored(records, "records"), encoder)
+        collection.upsert(points, unique=True, stored=True, state=cve_state())
 
     query = (
         newest_records(stream).writeStream.outputMode("update").foreachBatch(apply)
