@@ -198,3 +198,51 @@ def test_a_named_file_needs_no_suffix(spark, tmp_path):
     assert [r.name for r in all_functions(named).collect()] == ["f"]
     both = read_sources(spark, [str(tmp_path), str(tmp_path / "a.cc")])
     assert sorted(r.name for r in all_functions(both).collect()) == ["f", "g"]
+
+
+PROBES = {
+    "words": lambda n: "word\n" * n + "f(int a) { return 1; }",
+    "blank lines": lambda n: "\n" * n + "int f(int a) { return 1; }",
+    "attributes": lambda n: "__attribute__((x)) " * n + "int f(int a) { return 1; }",
+    "brackets": lambda n: "<" * n + " int f(int a) { return 1; }",
+    "nested brackets": lambda n: "T" + "<" * n + ">" * n + " f(int a) { return 1; }",
+    "square brackets": lambda n: "[[" * n + " int f(int a) { return 1; }",
+    "escaped quotes": lambda n: '"' + '\\"' * n + "\nint f(int a) { return 1; }",
+    "hashes": lambda n: "x" + " #" * n + "\nint f(int a) { return 1; }",
+}
+
+
+@pytest.mark.parametrize("probe", PROBES)
+def test_extraction_takes_time_in_proportion_to_the_text(probe):
+    from time import perf_counter
+
+    from threatloom.operators.extract import _function_spans
+
+    def seconds(n):
+        text = PROBES[probe](n)
+        took = []
+        for _ in range(3):
+            start = perf_counter()
+            list(_function_spans(text))
+            took.append(perf_counter() - start)
+        return min(took)
+
+    # four times the text in far less than sixteen times the time; a quadratic pass over it would take many seconds
+    assert seconds(80_000) < 8 * seconds(20_000) + 0.05
+
+
+def test_extraction_sees_through_attributes_and_templates():
+    from threatloom.operators.extract import _function_spans
+
+    text = (
+        "[[nodiscard]] int a(int x) { return 1; }\n"
+        "std::map<int, std::vector<T> > b(void) const noexcept { return {}; }\n"
+        "__attribute__((format(printf, 1, 2))) static void c(char *s) __attribute__((cold)) { }\n"
+        "namespace n { int d() { if (x) { } while (y) { } return 2; } }\n"
+        "alignas(8) int e(int (*f)(int), int g[[maybe_unused]]) { return '}'; }\n"
+        "#define M(x) {\\\n  {\n"
+        "int h() { /* } */ return 0; } // {\n"
+        "int unclosed() { \n"
+    )
+    found = [(n, first, last) for n, _, first, last in _function_spans(text)]
+    assert found == [("a", 1, 1), ("b", 2, 2), ("c", 3, 3), ("d", 4, 4), ("e", 5, 5), ("h", 8, 8)]

@@ -22,21 +22,22 @@ from threatloom.functions.text import label_from_name
 _LABELLED = re.compile(LABELLED_HEADER, re.MULTILINE | re.IGNORECASE)
 _BRACE = re.compile(r"[{}]")
 
-# Comments, preprocessor lines and literals: braces in them do not count.
-_NOT_CODE = re.compile(
-    r"//(?:\\\n|[^\n])*|/\*.*?(?:\*/|\Z)|^[ \t]*#(?:\\\r?\n|[^\n])*"
-    r'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'',
-    re.DOTALL | re.MULTILINE,
-)
+# Comments, preprocessor lines and literals: braces in them do not count. A literal may lack its end.
+_NOT_CODE_START = re.compile(r"""[/"'#]""")
+_COMMENT = re.compile(r"/(?:/(?:\\\n|[^\n])*|\*.*?(?:\*/|\Z))", re.DOTALL)
+_DIRECTIVE = re.compile(r"#(?:\\\r?\n|[^\n])*")
+_LITERALS = {
+    '"': re.compile(r'"(?:\\.|[^"\\\n])*("?)', re.DOTALL),
+    "'": re.compile(r"'(?:\\.|[^'\\\n])*('?)", re.DOTALL),
+}
 # What may stand in a header besides specifiers, name and parameters.
-_ATTRIBUTE = re.compile(r"\b(?:__attribute__|__declspec|alignas|_Alignas)\s*\(|\[\[")
-_TEMPLATE = re.compile(r"<[^<>(){};]*>")
+_HEADER_TOKEN = re.compile(r"\b(?:__attribute__|__declspec|alignas|_Alignas)\s*\(|\[\[|[()<>]")
 _AFTER = re.compile(r"\s*(?:(?:const|volatile|noexcept|override|final)\b\s*)*")
 _NAME = re.compile(r"(?<![\w:*&])[A-Za-z_]\w*\Z")
-_BOUNDARY = re.compile(r"[;{}]")
 _PAREN = re.compile(r"[()]")
 _NOT_NEWLINE = re.compile(r"[^\n]")
-_NO_SPECIFIER = "()*&=,:#~[]<>+-/!?|^%."
+_MARKED = re.compile(r"<|\[\[|__attribute__|__declspec|alignas|_Alignas")
+_NO_SPECIFIER = frozenset("()*&=,:#~[]<>+-/!?|^%.")
 _KEYWORDS = frozenset(("if", "for", "while", "switch", "return", "else", "do", "sizeof", "case"))
 
 Finder = Callable[[str], Iterable[tuple]]
@@ -113,8 +114,38 @@ def labelled_functions(files: DataFrame, *, text: str = "text", carry: Sequence[
     )
 
 
-def _blanked(hit: re.Match) -> str:
-    return _NOT_NEWLINE.sub(" ", hit.group())
+def _code_only(text: str) -> str:
+    """The text with comments, preprocessor lines and literals blanked, places and line ends unchanged.
+
+    One pass from left to right. What was scanned in vain is not scanned again: behind a literal without an end no quote of
+    its kind can end one, and behind a word no `#` of the line begins a directive.
+    """
+    parts, done, at, worded, open_until = [], 0, 0, -1, {}
+    while hit := _NOT_CODE_START.search(text, at):
+        start, mark = hit.start(), hit.group()
+        at = start + 1
+        if mark == "/":
+            found = _COMMENT.match(text, start)
+        elif mark == "#":
+            found = None
+            if start > worded:
+                if text[text.rfind("\n", 0, start) + 1 : start].strip(" \t"):
+                    end = text.find("\n", start)
+                    worded = end if end >= 0 else len(text)
+                else:
+                    found = _DIRECTIVE.match(text, start)
+        elif start < open_until.get(mark, 0):
+            found = None
+        else:
+            found = _LITERALS[mark].match(text, start)
+            if not found.group(1):
+                open_until[mark], found = found.end(), None
+        if found:
+            at = found.end()
+            span = found.group()
+            parts += text[done:start], _NOT_NEWLINE.sub(" ", span) if "\n" in span else " " * len(span)
+            done = at
+    return "".join([*parts, text[done:]]) if parts else text
 
 
 def _groups(header: str) -> list[tuple[int, int]]:
@@ -132,27 +163,57 @@ def _groups(header: str) -> list[tuple[int, int]]:
 
 
 def _without_attributes(header: str) -> str:
-    """The header with attributes and template arguments blanked, places unchanged."""
-    groups = None
-    for hit in reversed(list(_ATTRIBUTE.finditer(header))):
-        if hit.group() == "[[":
-            end = header.find("]]", hit.end()) + 2
+    """The header with attributes and template arguments blanked, places unchanged.
+
+    One pass with a stack of open parentheses, which tells those of attributes, and the angle brackets open between them:
+    template arguments hold no parentheses but those of attributes.
+    """
+    spans: list[tuple[int, int]] = []
+    parens: list[tuple[int, list[int]] | None] = []
+    angles: list[int] = []
+    at, closed = 0, True
+    while hit := _HEADER_TOKEN.search(header, at):
+        token, at = hit.group(), hit.end()
+        if token == "[[":
+            end = header.find("]]", at) if closed else -1
+            closed = end >= 0
+            if closed:
+                spans.append((hit.start(), end + 2))
+                at = end + 2
+        elif token == "<":
+            angles.append(hit.start())
+        elif token == ">":
+            if angles:
+                spans.append((angles.pop(), at))
+        elif token == "(":
+            parens.append(None)
+            angles = []
+        elif token == ")":
+            attribute = parens.pop() if parens else None
+            angles = []
+            if attribute:
+                start, angles = attribute
+                spans.append((start, at))
         else:
-            groups = groups if groups is not None else _groups(header)
-            end = next((close + 1 for opening, close in groups if opening == hit.end() - 1), 0)
-        if end > hit.start():
-            header = header[: hit.start()] + _NOT_NEWLINE.sub(" ", header[hit.start():end]) + header[end:]
-    before = None
-    while before != header:
-        before, header = header, _TEMPLATE.sub(_blanked, header)
-    return header
+            parens.append((hit.start(), angles))
+            angles = []
+    if not spans:
+        return header
+    # spans lie apart or within each other
+    spans.sort()
+    parts, done = [], 0
+    for start, end in spans:
+        if end > done:
+            parts += header[done:start], " " * (end - max(start, done))
+            done = end
+    return "".join([*parts, header[done:]])
 
 
 def _definition(header: str) -> tuple[str, int] | None:
     """Name and place of the first specifier of a function whose body begins after `header`."""
     if "(" not in header:
         return None
-    clean = _without_attributes(header)
+    clean = _without_attributes(header) if _MARKED.search(header) else header
     groups = _groups(clean)
     if not groups or not _AFTER.fullmatch(clean, groups[-1][1] + 1):
         return None
@@ -162,7 +223,7 @@ def _definition(header: str) -> tuple[str, int] | None:
         return None
     # specifiers are words, perhaps with a scope; anything else ends what belongs to this definition
     specifiers = head[: name.start()].replace("::", "__")
-    first = max((specifiers.rfind(c) for c in _NO_SPECIFIER), default=-1) + 1
+    first = next((len(specifiers) - at for at, c in enumerate(reversed(specifiers)) if c in _NO_SPECIFIER), 0)
     words = specifiers[first:].split()
     if not words or words[0] in _KEYWORDS:
         return None
@@ -170,26 +231,29 @@ def _definition(header: str) -> tuple[str, int] | None:
 
 
 def _function_spans(text: str) -> Iterator[tuple]:
-    code_only = _NOT_CODE.sub(_blanked, text)
-    partner = None
-    line, counted_to, begin = 1, 0, 0
-    # the texts between boundaries do not overlap, so each is looked at once
-    for boundary in _BOUNDARY.finditer(code_only):
-        header_at, begin = begin, boundary.end()
-        found = _definition(code_only[header_at:boundary.start()]) if boundary.group() == "{" else None
-        if found is None:
-            continue
-        if partner is None:
-            partner = closing_braces(code_only)
-        closing = partner.get(boundary.start())
-        if closing is None:
-            continue
-        name, offset = found
-        start = header_at + offset
-        line += text.count("\n", counted_to, start)
-        counted_to = start
-        code = text[start:closing + 1]
-        yield name, code, line, line + code.count("\n")
+    code_only = _code_only(text)
+    found: list[list] = []  # name, start, place of the closing brace, in order of the opening braces
+    opened: list[list | None] = []
+    begin = 0
+    # the texts between braces do not overlap, so each is looked at once
+    for brace in _BRACE.finditer(code_only):
+        at, definition = brace.start(), None
+        if code_only[at] == "{":
+            header_at = max(begin, code_only.rfind(";", begin, at) + 1)
+            if named := _definition(code_only[header_at:at]):
+                definition = [named[0], header_at + named[1], None]
+                found.append(definition)
+            opened.append(definition)
+        elif opened and (definition := opened.pop()):
+            definition[2] = at
+        begin = at + 1
+    line, counted_to = 1, 0
+    for name, start, closing in found:
+        if closing is not None:
+            line += text.count("\n", counted_to, start)
+            counted_to = start
+            code = text[start:closing + 1]
+            yield name, code, line, line + code.count("\n")
 
 
 def all_functions(files: DataFrame, *, text: str = "text", path: str = "file_path") -> DataFrame:
