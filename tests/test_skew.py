@@ -80,7 +80,7 @@ def test_span_join_on_a_hot_key(hot):
     assert all(r.at == r.id if r.id % 2 == 0 else r.at == r.id + 3 for r in rows)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_cells": 0, "block_rows": 300}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_cells": 1, "cells": 5}])
 def test_knn_in_a_collection_of_copies(spark, options):
     copies = spark.range(3000).select(
         "id", F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(

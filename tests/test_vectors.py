@@ -1,11 +1,14 @@
 """Encoding, exact top-k, votes and verification."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from threatloom.functions.vectors import cosine
 from threatloom.operators.embed import embed_text, hashed_tokens
+from threatloom.operators import knn
+from threatloom.operators.enrich import attach_matches
 from threatloom.operators.knn import knn_join
 from threatloom.operators.vote import keep_verified, vote
 from threatloom.plans.verify import verify_findings
@@ -34,9 +37,9 @@ def random_vectors(n, dim, seed):
     return [(i, [float(x) for x in rng.integers(-2, 3, dim)]) for i in range(n)]
 
 
-# collection broadcast, queries broadcast (160 elements against 244), small blocks, one block
+# collection broadcast, queries broadcast (160 elements against 244), cells with chunks of 10 and of 25 queries
 @pytest.mark.parametrize(
-    "options", [{}, {"broadcast_cells": 200}, {"broadcast_cells": 0, "block_rows": 7}, {"broadcast_cells": 0}]
+    "options", [{}, {"broadcast_cells": 200}, {"broadcast_cells": 40, "cells": 3}, {"broadcast_cells": 100, "cells": 7}]
 )
 def test_knn_equals_brute_force(spark, options):
     queries, corpus = random_vectors(40, 4, 1), random_vectors(60, 4, 2)
@@ -59,6 +62,75 @@ def test_knn_edges(spark, options):
     assert knn_join(queries.limit(0), corpus, 5, **options).count() == 0
 
 
+def clustered(n, seed):
+    """Vectors near one of eight directions of sixteen."""
+    rng = np.random.default_rng(seed)
+    return [(i, [float(x) for x in np.eye(16)[i % 8] + rng.normal(0, 0.03, 16)]) for i in range(n)]
+
+
+def test_far_cells_are_not_read(spark, monkeypatch):
+    left_out = []
+    real = knn.needed_cells
+
+    def seen(queries, near, own, pivots, reach, k):
+        needed = real(queries, near, own, pivots, reach, k)
+        left_out.append((len(needed), len(reach) - len(set(own) & set(reach))))
+        return needed
+
+    monkeypatch.setattr(knn, "needed_cells", seen)
+    queries, corpus = clustered(40, 3), clustered(400, 4)
+    found = knn_join(
+        spark.createDataFrame(queries, "query_id long, embedding array<float>"), spark.createDataFrame(corpus, VECTORS),
+        3, broadcast_cells=16 * 10, cells=24,
+    ).collect()
+    got = {(r.query_id, r.rank): (r.id, pytest.approx(r.score, abs=1e-6)) for r in found}
+    assert got == brute_force(queries, corpus, 3)
+    # pairs of a chunk and a cell that are dropped, beside the chunk's own cells
+    needed, others = (sum(x) for x in zip(*left_out))
+    assert len(left_out) > 2 and needed < 0.5 * others
+
+
+def test_a_pruned_cell_is_not_opened(spark):
+    pivots = np.eye(3)
+    queries = pa.table({"query_id": [1], "vector": [[1.0, 0.1, 0.0]]})
+    near = pa.table({"query_id": [1], "score": [0.9], "rank": [1]})
+    assert knn.needed_cells(queries, near, [0], pivots, {0: 0.1, 1: 0.2, 2: 1.3}, 1) == {2}
+    # one match of two wanted: nothing may be dropped
+    assert knn.needed_cells(queries, near, [0], pivots, {0: 0.1, 1: 0.2, 2: 1.3}, 2) == {1, 2}
+
+
+def test_enrichment_scans_vectors_and_payloads_once(spark, tmp_path):
+    rows = spark.range(200).select("id", F.concat(F.lit("word"), "id").alias("text"))
+    points = embed_text(rows, "text").select("id", "embedding", F.struct("text").alias("payload"))
+    points.write.parquet(f"{tmp_path}/points")
+    collection = spark.read.parquet(f"{tmp_path}/points")
+    found = rows.limit(20).select(F.col("text").alias("description"))
+    scans = []
+    real = type(collection).toArrow
+
+    def counted(frame):
+        scans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return real(frame)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(collection), "toArrow", counted)
+        matched = attach_matches(found, collection, k=2)
+    assert len(scans) == 1 and "payload" not in scans[0] and "embedding" in scans[0]
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    of_points = [line for line in plan.splitlines() if "FileScan" in line and "/points" in line]
+    assert len(of_points) == 1 and "embedding" not in of_points[0]
+    assert all(r.cve_matches[0].text == r.description for r in matched.collect())
+
+
+def test_verification_joins_findings_once(spark):
+    snippets = embed_text(spark.createDataFrame([(1, "a b", "safe"), (2, "a c", "vulnerable")], "id long, text string, label string"), "text")
+    points = snippets.select("id", "embedding", F.struct("label").alias("payload"))
+    findings = spark.createDataFrame([("f", "a b")], "name string, code string")
+    plan = verify_findings(findings, points, k=2)._jdf.queryExecution().optimizedPlan().toString()
+    # matches with payloads, their ids with the entries, findings with the outcome
+    assert plan.count("Join ") == 3
+
+
 def test_cosine_of_a_zero_vector_is_null(spark):
     df = spark.createDataFrame([([1.0, 1.0], [0.0, 0.0]), ([1.0, 1.0], [2.0, 2.0])], "a array<float>, b array<float>")
     assert [r.s for r in df.select(F.round(cosine("a", "b"), 9).alias("s")).collect()] == [None, 1.0]

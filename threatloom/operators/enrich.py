@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.constants import MATCHES_PER_FINDING
@@ -13,18 +13,33 @@ from threatloom.operators.knn import knn_join
 from threatloom.session import stored
 
 
-def collect_matches(matches: DataFrame, corpus: DataFrame, *, corpus_id: str = "id", payload: str = "payload", out: str) -> DataFrame:
-    """(query_id, ordered array of payloads) from the output of `knn_join`.
+#: At most so many ids of matched entries (some 20 bytes each) are broadcast; more are shuffled.
+BROADCAST_IDS = 1_000_000
+
 
-    At most `k` rows per query are collected.
+def matched_entries(matches: DataFrame, corpus: DataFrame, *, corpus_id: str = "id", payload: str = "payload") -> DataFrame:
+    """Rows of `knn_join` output with the payload of the entry found.
+
+    Only entries that are matched leave their place: their ids, few of which are broadcast, are met by a projection of id and
+    payload, without the vectors. `matches` is read twice, so it should be stored.
     """
-    payloads = corpus.select(F.col(corpus_id).alias("id"), F.col(payload).alias("__payload"))
-    ranked = F.array_sort(F.collect_list(F.struct("rank", F.struct("id", "__payload").alias("__hit"))))
-    return (
-        matches.join(payloads, "id")
-        .groupBy("query_id")
-        .agg(F.transform(ranked, lambda m: m["__hit"]["__payload"]).alias(out))
-    )
+    ids = matches.select("id").distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    entries = corpus.select(F.col(corpus_id).cast("long").alias("id"), F.col(payload).alias("payload"))
+    return matches.join(entries.join(ids, "id", "left_semi"), "id")
+
+
+def ordered_payloads(out: str) -> Column:
+    """Aggregate of `matched_entries`: the payloads of a query, best first, at most `k` of them."""
+    ranked = F.array_sort(F.collect_list(F.struct("rank", F.struct("id", "payload").alias("hit"))))
+    return F.transform(ranked, lambda m: m["hit"]["payload"]).alias(out)
+
+
+def collect_matches(matches: DataFrame, corpus: DataFrame, *, corpus_id: str = "id", payload: str = "payload", out: str) -> DataFrame:
+    """(query_id, ordered array of payloads) from the stored output of `knn_join`."""
+    entries = matched_entries(matches, corpus, corpus_id=corpus_id, payload=payload)
+    return entries.groupBy("query_id").agg(ordered_payloads(out))
 
 
 def attach_matches(
@@ -45,7 +60,7 @@ def attach_matches(
     distinct = findings.select(text).where(F.col(text).isNotNull()).distinct()
     probes = distinct.select(F.md5(text).alias("query_id"), text)
     encoded = stored(embed_text(probes, text, encoder=encoder).select("query_id", "embedding"), "probes")
-    matches = knn_join(encoded, collection, k, **knn_options)
+    matches = stored(knn_join(encoded, collection, k, **knn_options), "matches")
     nearest = collect_matches(matches, collection, out=out)
     joined = findings.withColumn("query_id", F.md5(text)).join(nearest, "query_id", "left").drop("query_id")
     empty = F.array().cast(joined.schema[out].dataType)

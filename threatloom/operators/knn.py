@@ -3,10 +3,14 @@
 Scoring is a matrix product per block inside Arrow batches. A collection small
 enough to broadcast goes to the queries, and nothing is shuffled. Failing that,
 queries few enough to broadcast go to the collection: each partition keeps its
-best `k` per query and only those are shuffled. If both sides are large, they
-are cut into blocks of bounded size and every (query block, collection block)
-cell is one task-sized group that keeps its best `k` per query; a ranked window
-merges the cells. No path writes out pairs beyond those `k`.
+best `k` per query and only those are shuffled. If both sides are large, the
+collection is written once, without a shuffle, as one folder per cell, the
+vectors nearest to one of a number of pivots, and the queries go to it in chunks
+of near vectors, each small enough to broadcast. A chunk reads the cells of its
+own queries first. That gives each query a k-th best score, and by the largest
+angle in a cell between its vectors and the pivot, all cells that can hold nothing
+better are left out: their files are not opened. No path writes out pairs beyond
+the best `k`, and none loses any.
 
 Scores are rounded before ranking, so that the result does not depend on the
 order in which a product was summed; ties go to the smaller id.
@@ -15,20 +19,26 @@ order in which a product was summed; ties go to the smaller id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatloom.operators.dedup import limit_per_group
+from threatloom.session import run_dir, stored
 
 SCORE_DIGITS = 6
 # vector elements of a side that is broadcast: 32,768 vectors of 384, 100 MB per Python worker
 BROADCAST_CELLS = 12 << 20
-BLOCK_ROWS = 16_384
+# pivots per side of which both are large; as many folders and, for each vector, products
+CELLS = 256
+_CHUNKS_AT_ONCE = 4
+# angles near zero are known to about this much
+_ROUNDING = 1e-6
 # scores computed at once, 64 MB
 _SCORED_CELLS = 8 << 20
 
@@ -43,7 +53,7 @@ def knn_join(
     corpus_id: str = "id",
     corpus_vector: str = "embedding",
     broadcast_cells: int = BROADCAST_CELLS,
-    block_rows: int = BLOCK_ROWS,
+    cells: int = CELLS,
 ) -> DataFrame:
     """(query_id, id, score, rank) of the `k` most similar rows, rank 1 first.
 
@@ -59,16 +69,16 @@ def knn_join(
         T.StructField("score", T.DoubleType()),
         T.StructField("rank", T.IntegerType()),
     ])
-    corpus_rows, dim = _shape(usable_right, "collection")
-    if corpus_rows * dim <= broadcast_cells:
-        return _with_corpus_broadcast(usable_left, usable_right, k, schema)
+    small = _small_table(usable_right, broadcast_cells)
+    if small is not None:
+        return _with_corpus_broadcast(usable_left, small, k, schema)
+    _, dim = _shape(usable_right, "collection")
     query_rows, query_dim = _shape(usable_left, "queries")
     if query_rows and query_dim != dim:
         raise ValueError(f"queries have {query_dim} dimensions, the collection {dim}")
     if query_rows * dim <= broadcast_cells:
         return _with_queries_broadcast(usable_left, usable_right, k, schema)
-    blocks = _blocks(query_rows, block_rows), _blocks(corpus_rows, block_rows)
-    return _by_blocks(usable_left, usable_right, k, schema, blocks)
+    return _by_cells(usable_left, usable_right, k, schema, cells, max(1, broadcast_cells // max(1, dim)))
 
 
 def _shape(side: DataFrame, what: str) -> tuple[int, int]:
@@ -81,13 +91,23 @@ def _shape(side: DataFrame, what: str) -> tuple[int, int]:
     return seen.rows, seen.most or 0
 
 
-def _blocks(rows: int, block_rows: int) -> int:
-    return max(1, -(-rows // block_rows))
+def _small_table(side: DataFrame, most: int) -> pa.Table | None:
+    """All rows of a side of at most so many vector elements, in one pass after a look at one row; None if it has more."""
+    first = side.select(F.size("vector").alias("dim")).first()
+    rows = most // max(1, first.dim) if first else 0
+    if first and not rows:
+        return None
+    table = side.limit(rows + 1).toArrow()
+    if len(table) > rows:
+        return None
+    sizes = set(pc.unique(pc.list_value_length(table["vector"])).to_pylist())
+    if len(table) and (len(sizes) > 1 or 0 in sizes):
+        raise ValueError(f"vectors of the collection have between {min(sizes)} and {max(sizes)} dimensions")
+    return table
 
 
-def _with_corpus_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    # its size was checked by the caller
-    ids, matrix = _unit_rows(corpus.toArrow(), "id")
+def _with_corpus_broadcast(queries: DataFrame, corpus: pa.Table, k: int, schema: T.StructType) -> DataFrame:
+    ids, matrix = _unit_rows(corpus, "id")
     shared = queries.sparkSession.sparkContext.broadcast((ids.to_numpy(), matrix))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +120,12 @@ def _with_corpus_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema
 
 def _with_queries_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
     # its size was checked by the caller
-    table = queries.toArrow()
-    shared = queries.sparkSession.sparkContext.broadcast(_unit_rows(table, "query_id"))
+    return _merged(_partial_best(queries.toArrow(), corpus, k, schema), k)
+
+
+def _partial_best(queries: pa.Table, corpus: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+    """The best `k` of each query in each partition of the collection."""
+    shared = corpus.sparkSession.sparkContext.broadcast(_unit_rows(queries, "query_id"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors = shared.value
@@ -115,30 +139,139 @@ def _with_queries_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schem
         kept, rank = _ranked(*best, k)
         yield from _as_table(query_ids, *(column[kept] for column in best), rank, schema).to_batches()
 
-    return _merged(corpus.mapInArrow(score, schema), k)
+    return corpus.mapInArrow(score, schema)
+
+
+def _pivots(corpus: DataFrame, cells: int) -> np.ndarray:
+    """Unit vectors of some rows of the collection, by a hash of their ids."""
+    usable = corpus.where(F.exists("vector", lambda x: x != 0))
+    rows = usable.orderBy(F.xxhash64("id"), "id").limit(cells).toArrow()
+    return _unit_rows(rows, "id")[1]
+
+
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0)) if len(vectors) else np.zeros((0, len(pivots)))
 
 
-def _by_blocks(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, blocks: tuple[int, int]) -> DataFrame:
-    query_blocks, corpus_blocks = blocks
+def _celled(side: DataFrame, key: str, pivots: np.ndarray) -> DataFrame:
+    """Rows with the nearest pivot and the angle to it; zero vectors have neither and are left out."""
+    shared = side.sparkSession.sparkContext.broadcast(pivots)
+    schema = T.StructType([
+        side.schema[key], T.StructField("vector", side.schema["vector"].dataType),
+        T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType()),
+    ])
 
-    def block(column: str, count: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).select([key, "vector"])
+            usable = pc.fill_null(_usable(table), False)
+            kept = table.filter(usable)
+            angles = _angles(_unit_rows(kept, key)[1], shared.value)
+            cell = angles.argmin(axis=1) if len(angles) else np.zeros(0, np.int64)
+            kept = kept.append_column("cell", pa.array(cell.astype(np.int32)))
+            kept = kept.append_column("angle", pa.array(angles[np.arange(len(cell)), cell].astype(np.float64)))
+            yield from kept.to_batches()
 
-    left = queries.select(
-        "*", block("query_id", query_blocks).alias("q_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1))).alias("c_block"),
-    )
-    right = corpus.select(
-        "*", block("id", corpus_blocks).alias("c_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q_block"),
-    )
+    return side.select(key, "vector").mapInArrow(assign, schema)
 
-    def score(some_queries: pa.Table, some_corpus: pa.Table) -> pa.Table:
-        ids, matrix = _unit_rows(some_corpus, "id")
-        return _best(some_queries, ids.to_numpy(), matrix, k, schema)
 
-    cell = ["q_block", "c_block"]
-    return _merged(left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(score, schema), k)
+def _usable(table: pa.Table) -> pa.Array:
+    """Which rows have a vector other than zero."""
+    lists = table["vector"].combine_chunks()
+    flat = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    matrix = flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+    return pa.array((matrix != 0).any(axis=1) if len(lists) else np.zeros(0, bool))
+
+
+def _by_cells(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, cells: int, chunk_rows: int) -> DataFrame:
+    spark = corpus.sparkSession
+    pivots = _pivots(corpus, cells)
+    if not len(pivots):
+        return spark.createDataFrame([], schema)
+    path = run_dir(spark, "cells")
+    # each task writes a file per cell it meets: the collection is not shuffled
+    placed = _celled(corpus, "id", pivots)
+    placed.write.partitionBy("cell").parquet(path)
+    stored_cells = spark.read.schema(placed.schema).parquet(path)
+    # a row per cell: how far its vectors lie from the pivot at most
+    reach = {r.cell: r.angle for r in stored_cells.groupBy("cell").agg(F.max("angle").alias("angle")).collect()}
+    asked = stored(_celled(queries, "query_id", pivots), "queries")
+    counts = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}
+
+    def answer(chunk: tuple[list[int], int, int]) -> str | None:
+        some_cells, slices, part = chunk
+        rows = asked.where(F.col("cell").isin(some_cells))
+        if slices > 1:
+            rows = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == part)
+        table = rows.select("query_id", "vector").toArrow()
+        return _chunk_best(table, some_cells, stored_cells, pivots, reach, k, schema) if len(table) else None
+
+    chunks = _chunks({cell: counts[cell] for cell in _chain(pivots) if cell in counts}, chunk_rows)
+    # the jobs of a chunk are short; those of several fill the cluster
+    with ThreadPoolExecutor(_CHUNKS_AT_ONCE) as pool:
+        parts = [path for path in pool.map(answer, chunks) if path]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def _chain(pivots: np.ndarray) -> list[int]:
+    """The pivots, each followed by the nearest of those left."""
+    left, order = set(range(1, len(pivots))), [0]
+    while left:
+        near = pivots @ pivots[order[-1]]
+        order.append(max(left, key=lambda cell: (near[cell], -cell)))
+        left.remove(order[-1])
+    return order
+
+
+def _chunks(counts: dict[int, int], rows: int) -> Iterator[tuple[list[int], int, int]]:
+    """Cells of queries, put together in their order up to a number of rows; a cell of more is cut into slices."""
+    held, size = [], 0
+    for cell, count in counts.items():
+        if count > rows:
+            slices = -(-2 * count // rows)
+            yield from (([cell], slices, part) for part in range(slices))
+            continue
+        if size + count > rows:
+            yield held, 1, 0
+            held, size = [], 0
+        held.append(cell)
+        size += count
+    if held:
+        yield held, 1, 0
+
+
+def _chunk_best(
+    queries: pa.Table, own: list[int], collection: DataFrame, pivots: np.ndarray, reach: dict[int, float], k: int, schema: T.StructType
+) -> str:
+    """The best `k` of each query of a chunk, as a table; its own cells are read first, then those that may hold better."""
+    spark = collection.sparkSession
+    # at most k rows per query of the chunk
+    near = _merged(_partial_best(queries, collection.where(F.col("cell").isin(own)), k, schema), k).toArrow()
+    best = spark.createDataFrame(near, schema)
+    if rest := sorted(needed_cells(queries, near, own, pivots, reach, k)):
+        far = _partial_best(queries, collection.where(F.col("cell").isin(rest)), k, schema)
+        best = _merged(best.unionByName(far), k)
+    path = run_dir(spark, "best")
+    best.write.parquet(path)
+    return path
+
+
+def needed_cells(
+    queries: pa.Table, near: pa.Table, own: list[int], pivots: np.ndarray, reach: dict[int, float], k: int
+) -> set[int]:
+    """Cells besides `own` in which some query may find a vector as good as its k-th best so far.
+
+    A vector at most `reach` away from a pivot is no nearer to a query than the query's angle to the pivot less that reach.
+    """
+    ids, vectors = _unit_rows(queries, "query_id")
+    kth = {i: s for i, s, r in zip(*(near[c].to_pylist() for c in ("query_id", "score", "rank"))) if r == k}
+    # a score may have been rounded up, and ties count
+    floor = np.array([kth.get(i, -2.0) for i in ids.to_pylist()]) - 2 * 10.0**-SCORE_DIGITS
+    nearest = _angles(vectors, pivots)
+    return {
+        cell for cell, most in reach.items()
+        if cell not in own and (np.cos(np.maximum(nearest[:, cell] - most - _ROUNDING, 0.0)) >= floor).any()
+    }
 
 
 def _merged(partial: DataFrame, k: int) -> DataFrame:

@@ -11,8 +11,15 @@ FALSE_POSITIVE = "false_positive"
 AMBIGUOUS = "ambiguous"
 
 
-def vote(matches: DataFrame, labels: DataFrame, k: int, *, definite: float = DEFINITE_CONFIDENCE) -> DataFrame:
-    """(query_id, verdict, confidence) from `knn_join` output and (id, label) of the snippets.
+def vote(
+    matches: DataFrame, labels: DataFrame, k: int, *, definite: float = DEFINITE_CONFIDENCE
+) -> DataFrame:
+    """(query_id, verdict, confidence) from `knn_join` output and (id, label) of the snippets."""
+    return labelled_vote(matches.join(labels.select("id", "label"), "id"), k, definite=definite)
+
+
+def labelled_vote(matches: DataFrame, k: int, *aggregates: Column, definite: float = DEFINITE_CONFIDENCE) -> DataFrame:
+    """(query_id, verdict, confidence) of matches with their label, and further aggregates of the same rows.
 
     Similarities below zero count as zero. The label with the larger similarity
     sum wins (a draw is vulnerable), confidence is its sum over `k`; below
@@ -23,8 +30,8 @@ def vote(matches: DataFrame, labels: DataFrame, k: int, *, definite: float = DEF
     def total(label: str) -> Column:
         return F.sum(F.when(F.col("label") == label, weight).otherwise(0.0))
 
-    sums = matches.join(labels.select("id", "label"), "id").groupBy("query_id").agg(
-        total(VULNERABLE).alias("for_vulnerable"), total(SAFE).alias("for_safe")
+    sums = matches.groupBy("query_id").agg(
+        total(VULNERABLE).alias("for_vulnerable"), total(SAFE).alias("for_safe"), *aggregates
     )
     confidence = F.greatest("for_vulnerable", "for_safe") / k
     definite_verdict = F.when(F.col("for_vulnerable") >= F.col("for_safe"), VULNERABLE).otherwise(FALSE_POSITIVE)
@@ -32,6 +39,7 @@ def vote(matches: DataFrame, labels: DataFrame, k: int, *, definite: float = DEF
         "query_id",
         F.when(F.round(confidence, 6) >= definite, definite_verdict).otherwise(AMBIGUOUS).alias("verdict"),
         F.round(confidence, 6).alias("confidence"),
+        *sums.columns[3:],
     )
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from threatloom.constants import AMBIGUOUS_KEPT_ABOVE, DEFINITE_CONFIDENCE, MATCHES_PER_FINDING
 from threatloom.operators.embed import Encoder, embed_text, hashed_tokens
-from threatloom.operators.enrich import collect_matches
+from threatloom.operators.enrich import matched_entries, ordered_payloads
 from threatloom.operators.knn import knn_join
-from threatloom.operators.vote import keep_verified, vote
+from threatloom.operators.vote import keep_verified, labelled_vote
 from threatloom.session import stored
 
 
@@ -25,18 +25,17 @@ def verify_findings(
     definite: float = DEFINITE_CONFIDENCE,
     ambiguous_above: float = AMBIGUOUS_KEPT_ABOVE,
 ) -> DataFrame:
-    """Kept findings with verdict, confidence and the payloads that decided.
+    """Kept findings with verdict, confidence and the payloads that decided, best first.
 
     `snippets` is the stored collection (id, embedding, payload). Each distinct
-    code text is looked up once. An empty corpus lets every finding pass.
+    code text is looked up once; one aggregate of its matches gives its votes and payloads. An empty corpus lets every
+    finding pass.
     """
     keyed = findings.withColumn("query_id", F.md5(text))
-    probes = findings.select(text).distinct().withColumn("query_id", F.md5(text))
+    probes = findings.select(text).where(F.col(text).isNotNull()).distinct().withColumn("query_id", F.md5(text))
     encoded = stored(embed_text(probes, text, encoder=encoder).select("query_id", "embedding"), "probes")
-    # read twice below: by the vote and for the payloads
     matches = stored(knn_join(encoded, snippets, k), "matches")
-    labels = snippets.select("id", F.col("payload.label").alias("label"))
-    verdicts = vote(matches, labels, k, definite=definite)
-    nearest = collect_matches(matches, snippets, out="top_matches")
-    judged = keyed.join(verdicts, "query_id", "left").join(nearest, "query_id", "left").drop("query_id")
+    labelled = matched_entries(matches, snippets).withColumn("label", F.col("payload.label"))
+    verdicts = labelled_vote(labelled, k, ordered_payloads("top_matches"), definite=definite)
+    judged = keyed.join(verdicts, "query_id", "left").drop("query_id")
     return keep_verified(judged, definite=definite, ambiguous_above=ambiguous_above)

@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.functions import verdicts as vd
+from threatloom.operators.embed import embed_text
 from threatloom.operators.findings import explode_verdicts, findings_of, report_rows
 from threatloom.operators.score import join_responses, score_batches
 from threatloom.operators.stats import severity_summary, severity_totals
 from threatloom.plans.scan import scan_with_responses
-from threatloom.plans.threats import ingest_threats
+from threatloom.plans.threats import ingest_threats, threat_records
+from threatloom.plans.verify import verify_findings
 from threatloom.queries.snippets import sql_token_weights
 from threatloom.queries.standins import ANSWERS, FINDINGS_SQL, VERDICTS_SQL, feed, table
 from threatloom.queries.threats import TEXT_SQL, THREAT_ROWS_SQL
 from threatloom.schemas import CVE_POINT
-from threatloom.session import run_dir
+from threatloom.session import run_dir, stored
 from threatloom.sources.collection import Collection
+from threatloom.sources.feed import with_text
 from threatloom.sources.state import Watermark
 
 
@@ -187,7 +190,7 @@ def sql_float_weights(source: str, key: str, text: str) -> str:
     return f"(SELECT {key}, bucket, cast(cast(weight AS FLOAT) AS DOUBLE) AS w FROM {sql_token_weights(source, key, text)})"
 
 
-SCAN_FINDINGS = f"""
+_SCORED = f"""
     WITH probe AS {sql_float_weights(f"(SELECT description, description AS body FROM {_PROBES})", "description", "body")},
     entry AS {sql_float_weights(_CORPUS, "id", "text")},
     probe_norm AS (SELECT description, sqrt(sum(w * w)) AS len FROM probe GROUP BY 1),
@@ -198,13 +201,48 @@ SCAN_FINDINGS = f"""
                       round(coalesce(d.dot, 0) / (p.len * e.len), 6) AS score
                FROM probe_norm p CROSS JOIN entry_norm e
                LEFT JOIN dots d ON d.description = p.description AND d.id = e.id),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY description ORDER BY score DESC, id) AS rank FROM scored),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY description ORDER BY score DESC, id) AS rank FROM scored)"""
+SCAN_FINDINGS = f"""{_SCORED},
     best AS (SELECT r.description, string_agg(c.cve_id, ',' ORDER BY r.rank) AS cves
              FROM ranked r JOIN {_CORPUS} c USING (id) WHERE rank <= 5 GROUP BY 1)
     SELECT f.function_name, f.file_path, 3 AS start_line, 6 AS end_line, f.cwe_id, f.severity, f.description,
            f.pos AS verdict_pos, coalesce(b.cves, '') AS cves
     FROM {FINDINGS_SQL} f LEFT JOIN best b USING (description)"""
 
+# similarities of the stand-ins are middling
+_DEFINITE, _AMBIGUOUS_ABOVE = 0.45, 0.3
+
+
+def verify_findings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings judged by their nearest records, of which the severe ones count as vulnerable."""
+    records = with_text(stored(threat_records(feed(spark, sf_dir, heavy=True)), "records"))
+    label = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "vulnerable").otherwise("safe")
+    snippets = embed_text(records, "text").select(
+        "id", "embedding", F.struct(label.alias("label"), "cve_id").alias("payload")
+    )
+    findings = stored(findings_of(_answered(spark, sf_dir)), "findings")
+    kept = verify_findings(
+        findings, stored(snippets, "snippets"), text="description", definite=_DEFINITE, ambiguous_above=_AMBIGUOUS_ABOVE
+    )
+    return kept.select(
+        "function_name", "cwe_id", "verdict_pos", "verdict", "confidence",
+        F.coalesce(F.array_join("top_matches.cve_id", ","), F.lit("")).alias("cves"),
+    )
+
+
+VERIFY_FINDINGS = f"""{_SCORED},
+    votes AS (SELECT r.description, string_agg(c.cve_id, ',' ORDER BY r.rank) AS cves,
+                     sum(CASE WHEN c.severity IN ('CRITICAL', 'HIGH') THEN greatest(r.score, 0) ELSE 0 END) AS v,
+                     sum(CASE WHEN c.severity IN ('CRITICAL', 'HIGH') THEN 0 ELSE greatest(r.score, 0) END) AS s
+              FROM ranked r JOIN {THREAT_ROWS_SQL} c USING (id) WHERE rank <= 5 GROUP BY 1),
+    judged AS (SELECT *, round(greatest(v, s) / 5, 6) AS confidence,
+                      CASE WHEN round(greatest(v, s) / 5, 6) < {_DEFINITE} THEN 'ambiguous'
+                           WHEN v >= s THEN 'vulnerable' ELSE 'false_positive' END AS verdict FROM votes)
+    SELECT f.function_name, f.cwe_id, f.pos AS verdict_pos, j.verdict, j.confidence, coalesce(j.cves, '') AS cves
+    FROM {FINDINGS_SQL} f LEFT JOIN judged j USING (description)
+    WHERE j.verdict IS NULL OR j.verdict = 'vulnerable'
+       OR (j.verdict = 'ambiguous' AND j.confidence > {_AMBIGUOUS_ABOVE})"""
+
 
 QUERIES = {
     "json_fallback": (json_fallback, JSON_FALLBACK),
@@ -217,4 +255,5 @@ QUERIES = {
     "responses_join": (responses_join, RESPONSES_JOIN),
     "score_responses": (score_responses, SCORE_RESPONSES),
     "scan_findings": (scan_findings, SCAN_FINDINGS),
+    "verify_findings": (verify_findings_query, VERIFY_FINDINGS),
 }

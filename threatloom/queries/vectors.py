@@ -13,6 +13,7 @@ from threatloom.operators.enrich import collect_matches
 from threatloom.operators.knn import knn_join
 from threatloom.operators.vote import keep_verified, vote
 from threatloom.queries.standins import table
+from threatloom.session import stored
 
 _K = 5
 # The test vectors are far apart, so their votes are weak.
@@ -54,13 +55,14 @@ KNN_TOPK = f"SELECT query_id, id, score, rank FROM {_RANKED} WHERE rank <= {_K}"
 
 
 def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As `knn_topk`, over the blocks used when both sides are too large to broadcast."""
-    return knn_join(_probes(spark, sf_dir), _collection(spark, sf_dir), _K, broadcast_cells=0, block_rows=512)
+    """As `knn_topk`, over the cells and chunks used when both sides are too large to broadcast."""
+    return knn_join(_probes(spark, sf_dir), _collection(spark, sf_dir), _K, broadcast_cells=64 * 450, cells=16)
 
 
 def enrich_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     collection = _collection(spark, sf_dir)
-    nearest = collect_matches(knn_join(_probes(spark, sf_dir), collection, _K), collection, out="matches")
+    matches = stored(knn_join(_probes(spark, sf_dir), collection, _K), "matches")
+    nearest = collect_matches(matches, collection, out="matches")
     return nearest.select("query_id", F.array_join("matches.name", ",").alias("names"))
 
 
