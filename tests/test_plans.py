@@ -55,7 +55,7 @@ def test_span_join_has_no_cross_join(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey")
     points = orders.select("o_custkey", F.col("o_orderkey").alias("at"), F.lit(1).alias("n"))
     spans = orders.select("o_custkey", F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 9).alias("b"))
-    text = plan(first_point_in_span(spans, points, ["o_custkey"], start="a", end="b", position="at", value=["n"], bin_width=100))
+    text = plan(first_point_in_span(spans, points, ["o_custkey"], start="a", end="b", position="at", value=["n"], bin_rows=100))
     assert "Cartesian" not in text and "NestedLoop" not in text
 
 

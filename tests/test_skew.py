@@ -8,6 +8,7 @@ from threatloom.operators.embed import embed_text
 from threatloom.operators.enrich import attach_matches
 from threatloom.operators.knn import knn_join
 from threatloom.sources.collection import Collection
+from threatloom.operators import range_join
 from threatloom.operators.range_join import first_point_in_span
 
 ROWS = 120_000
@@ -70,7 +71,7 @@ def test_span_join_on_a_hot_key(hot):
     points = hot.select("key", F.col("id").alias("at"), F.col("id").alias("name")).where("id % 2 = 0")
     spans = hot.select("key", "id", F.col("id").alias("a"), (F.col("id") + 7).alias("b"))
     found = first_point_in_span(
-        spans, points, ["key"], start="a", end="b", position="at", value=["name"], bin_width=500
+        spans, points, ["key"], start="a", end="b", position="at", value=["name"], bin_rows=5000
     )
     # ids of the hot key go up in threes, so the next even one is at most three away; other keys only hit themselves
     rows = found.select("key", "id", "at").collect()
@@ -80,6 +81,26 @@ def test_span_join_on_a_hot_key(hot):
     assert all(r.at == r.id if r.id % 2 == 0 else r.at == r.id + 3 for r in rows)
 
 
+def test_bins_of_one_key_are_bounded(spark):
+    """A hundred thousand points of one key, most of them close together: no bin holds many more rows than the bound."""
+    at = F.when(F.col("id") < 90_000, F.col("id")).otherwise(F.col("id") * 1_000_000)
+    points = spark.range(100_000).select(F.lit("k").alias("key"), at.alias("at"), F.col("id").alias("name"))
+    spans = points.where("name % 10 = 0").select("key", (F.col("at") - 3).alias("a"), (F.col("at") + 1).alias("b"))
+    binned = range_join._binned(
+        spans.select("key", F.col("a").alias("__pos")),
+        points.select("key", F.col("at").alias("__pos"), F.struct("at", "name").alias("__point")), ["key"], 22,
+    )
+    sizes = [r["count"] for r in binned.groupBy("__bin").count().collect()]
+    assert sum(sizes) == 110_000 and len(sizes) >= 20 and max(sizes) <= 2 * 5_000
+    found = first_point_in_span(
+        spans, points, ["key"], start="a", end="b", position="at", value=["name"], bin_rows=5_000
+    )
+    # three below a point lies another one, but for the first and those far apart
+    rows = {r.b - 1: r.at for r in found.collect()}
+    assert len(rows) == 10_000
+    assert all(hit == (max(p - 3, 0) if p < 90_000 else p) for p, hit in rows.items())
+
+
 @pytest.mark.parametrize("options", [{}, {"broadcast_cells": 1, "cells": 5}])
 def test_knn_in_a_collection_of_copies(spark, options):
     copies = spark.range(3000).select(

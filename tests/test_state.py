@@ -111,15 +111,15 @@ def test_sequence_of_upserts_equals_a_dict(spark, tmp_path, buckets):
 @given(
     spans=st.lists(st.tuples(st.integers(0, 1), st.integers(0, 60), st.integers(1, 50)), min_size=1, max_size=30),
     points=st.lists(st.tuples(st.integers(0, 1), st.integers(0, 100)), max_size=30),
-    width=st.sampled_from([1, 7, 1000]),
+    rows=st.sampled_from([3, 7, 1000]),
 )
-def test_first_point_equals_brute_force(spark, spans, points, width):
+def test_first_point_equals_brute_force(spark, spans, points, rows):
     span_rows = [(n, key, start, start + length) for n, (key, start, length) in enumerate(spans)]
     point_rows = [(key, at, n) for n, (key, at) in enumerate(points)]
     found = first_point_in_span(
         spark.createDataFrame(span_rows, "span long, key int, a long, b long"),
         spark.createDataFrame(point_rows, "key int, at long, name long"),
-        ["key"], start="a", end="b", position="at", value=["name"], bin_width=width,
+        ["key"], start="a", end="b", position="at", value=["name"], bin_rows=rows,
     ).collect()
     expected = {}
     for n, key, a, b in span_rows:

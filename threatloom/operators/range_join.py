@@ -1,4 +1,9 @@
-"""First point inside each span, without pairing spans with points."""
+"""First point inside each span, without pairing spans with points.
+
+Starts and points are sorted by key and position once, in as many ranges as their number asks for, so that a key with most of
+the rows has many bins and a bin of any key has a bounded number of rows. The next point is searched for at two levels: in the
+bin of a start, and, from one row per bin, in the bins after it.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threatloom.session import stored
+
+#: Starts and points of one bin, about; a task's window holds one bin at a time.
+BIN_ROWS = 200_000
+
 
 def first_point_in_span(
     spans: DataFrame,
@@ -18,20 +28,19 @@ def first_point_in_span(
     end: str,
     position: str,
     value: Sequence[str],
-    bin_width: int,
+    bin_rows: int = BIN_ROWS,
 ) -> DataFrame:
     """Spans with the `value` columns of the first point in [start, end); spans without one are dropped.
 
-    Positions are whole numbers; points are ordered by position, then by `value`.
-    Starts and points are reduced to distinct positions and each key is cut into
-    bins of `bin_width` positions, so a sorted pass over one bin has at most twice
-    that many rows however hot its key is. A second pass, over one row per bin,
-    finds the next point beyond a bin.
+    Positions are whole numbers; points are ordered by position, then by `value`. Spans without a start, end or key and
+    points without a position or key match nothing.
     """
     point = F.struct(F.col(position).alias("at"), *value)
-    marks = points.groupBy(*keys, F.col(position).cast("long").alias("__pos")).agg(F.min(point).alias("__point"))
-    starts = spans.select(*keys, F.col(start).cast("long").alias("__pos")).distinct()
-    in_bin = _next_in_bin(_binned(starts, bin_width), _binned(marks, bin_width), keys)
+    named = points.where(F.col(position).isNotNull())
+    marks = named.groupBy(*keys, F.col(position).cast("long").alias("__pos")).agg(F.min(point).alias("__point"))
+    starts = spans.where(F.col(start).isNotNull()).select(*keys, F.col(start).cast("long").alias("__pos"))
+    bins = max(1, -(-(_distinct(starts, keys) + _distinct(named.select(*keys, F.col(position).alias("__pos")), keys)) // bin_rows))
+    in_bin = _next_in_bin(_binned(starts.distinct(), marks, keys, bins), keys)
     beyond = _next_beyond_bin(in_bin, keys)
     nearest = (
         in_bin.where("__is_start")
@@ -47,22 +56,32 @@ def first_point_in_span(
     )
 
 
-def _binned(positions: DataFrame, width: int) -> DataFrame:
-    return positions.withColumn("__bin", F.floor(F.col("__pos") / width).cast("long"))
+def _distinct(positions: DataFrame, keys: Sequence[str]) -> int:
+    """About how many positions there are, without gathering them; they need not be distinct."""
+    return positions.agg(F.approx_count_distinct(F.struct(*keys, "__pos"))).first()[0]
 
 
-def _next_in_bin(starts: DataFrame, marks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every start and mark of a bin with the nearest mark at or after it in the bin, or null."""
+def _binned(starts: DataFrame, marks: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+    """Starts and marks with the number of their bin, one of `bins` ranges of (key, position) with about as many of them.
+
+    Stored, as the ranges are drawn from a sample and have to be the same for all that follows.
+    """
     both = starts.withColumn("__is_start", F.lit(True)).unionByName(
         marks.withColumn("__is_start", F.lit(False)), allowMissingColumns=True
     )
+    dealt = both.repartitionByRange(bins, *keys, "__pos").withColumn("__bin", F.spark_partition_id())
+    return stored(dealt, "bins")
+
+
+def _next_in_bin(binned: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every start and mark of a bin with the nearest mark at or after it in the bin, or null."""
     # walking backwards, the last mark seen is the next one; at one position the mark comes first
     backwards = (
         Window.partitionBy(*keys, "__bin")
         .orderBy(F.col("__pos").desc(), "__is_start")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return both.withColumn("__next", F.last("__point", ignorenulls=True).over(backwards))
+    return binned.withColumn("__next", F.last("__point", ignorenulls=True).over(backwards))
 
 
 def _next_beyond_bin(in_bin: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -57,7 +57,7 @@ def range_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     first = first_point_in_span(
         spans, points, ["user_id"], start="at", end="until", position="bought_at", value=["purchase_id"],
-        bin_width=24 * _HOUR,
+        bin_rows=20_000,
     )
     return first.select("event_id", "purchase_id", (F.col("bought_at") - F.col("at")).alias("waited"))
 
