@@ -2,13 +2,15 @@
 
 import sys
 
+import os
+
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from threatloom.functions.templates import prompt
 from threatloom.operators.findings import findings_of, report_rows, shown_ids
-from threatloom.operators.score import join_responses, score_text
+from threatloom.operators.score import answer_collection, join_responses, one_by_one, score_open, score_text
 from threatloom.plans.scan import prompts, scan_with_model, scan_with_responses
 from threatloom.schemas import CVE_POINT
 
@@ -91,12 +93,13 @@ def test_join_responses_keeps_unanswered(spark):
 
 
 def responder():
-    def answer(text):
-        if "strcpy" in text:
-            return 'Found: {"vulnerabilities": [{"cwe_id": "CWE-120", "severity": "high", "description": "strcpy into buffer"}]}'
-        return '{"vulnerabilities": []}'
+    return one_by_one(answer_about_strcpy)
 
-    return answer
+
+def answer_about_strcpy(text):
+    if "strcpy" in text:
+        return 'Found: {"vulnerabilities": [{"cwe_id": "CWE-120", "severity": "high", "description": "strcpy into buffer"}]}'
+    return '{"vulnerabilities": []}'
 
 
 @pytest.fixture(scope="module")
@@ -116,25 +119,80 @@ def threats(spark):
 CODE = "void copy(char *a, char *b)\n{\n    strcpy(a, b);\n}\n\nint safe_one(int a)\n{\n    return a + 1;\n}\n"
 
 
-def test_scan(spark, threats):
+def test_scan(spark, threats, tmp_path):
     files = spark.createDataFrame([("x.c", CODE)], "file_path string, text string")
-    found = scan_with_model(files, responder, threats, k=2)
+    found = scan_with_model(files, responder, threats, answer_collection(spark, str(tmp_path / "answers")), k=2)
     [row] = found.collect()
     assert (row.function_name, row.start_line, row.end_line, row.file_path) == ("copy", 1, 4, "x.c")
     assert [m.cve_id for m in row.cve_matches] == ["CVE-0", "CVE-1"]
     assert report_rows(found).first().related_cves == "CVE-0, CVE-1"
 
-    responses = prompts(files).select("file_path", "name", "start_line", F.lit(responder()("strcpy")).alias("response"))
+    responses = prompts(files).select("file_path", "name", "start_line", F.lit(answer_about_strcpy("strcpy")).alias("response"))
     stored = scan_with_responses(files, responses, threats.limit(0))
     assert {(r.function_name, len(r.cve_matches)) for r in stored.collect()} == {("copy", 0), ("safe_one", 0)}
     assert {r.related_cves for r in report_rows(stored).collect()} == {"none"}
 
 
-def test_scan_without_functions(spark, threats):
+def test_scan_without_functions(spark, threats, tmp_path):
     files = spark.createDataFrame([("x.c", "int a;")], "file_path string, text string")
-    assert scan_with_model(files, responder, threats).count() == 0
+    answers = answer_collection(spark, str(tmp_path / "answers"))
+    assert scan_with_model(files, responder, threats, answers).count() == 0
 
 
 def test_point_schema(threats):
     assert [f.name for f in threats.schema] == CVE_POINT.fieldNames()
     assert threats.schema["embedding"].dataType == CVE_POINT["embedding"].dataType
+
+
+def noting(folder, fail_on="", only=None):
+    """A responder that notes each prompt it is asked in a file, fails on some and breaks the job on others."""
+    import uuid
+    from pathlib import Path
+
+    def start():
+        def answer(asked):
+            Path(folder, uuid.uuid4().hex).write_text("\n".join(asked))
+            if only is not None and any(p not in only for p in asked):
+                os._exit(1)
+            return [ValueError("no") if p == fail_on else p.upper() for p in asked]
+
+        return answer
+
+    return start
+
+
+def asked_in(folder):
+    return sorted(line for f in folder.iterdir() for line in f.read_text().split("\n"))
+
+
+def test_a_second_run_asks_nothing(spark, tmp_path):
+    first, second, third = (tmp_path / n for n in ("first", "second", "third"))
+    for folder in (first, second, third):
+        folder.mkdir()
+    answers = answer_collection(spark, str(tmp_path / "answers"), buckets=4)
+    rows = [(i, f"p{i % 20}") for i in range(60)] + [(60, None), (61, "bad")]
+    df = spark.createDataFrame(rows, "i int, p string").withColumn("response", F.lit("own"))
+    got = {r.i: (r.response, r.response_error) for r in score_open(df, "p", noting(str(first), "bad"), answers, wave_prompts=8).collect()}
+    assert got == {i: (None, "ValueError: no") if p == "bad" else (p and p.upper(), None) for i, p in rows}
+    assert asked_in(first) == sorted({p for _, p in rows if p})
+    # what has failed is asked again, and nothing else
+    again = score_open(df, "p", noting(str(second)), answers)
+    assert asked_in(second) == ["bad"] and again.where("response_error IS NOT NULL").count() == 0
+    assert {r.i: r.response for r in again.collect()} == {i: p and p.upper() for i, p in rows}
+    score_open(df, "p", noting(str(third)), answers).collect()
+    assert asked_in(third) == []
+
+
+def test_a_broken_run_keeps_the_waves_before(spark, tmp_path):
+    folder, after = tmp_path / "asked", tmp_path / "after"
+    folder.mkdir()
+    after.mkdir()
+    answers = answer_collection(spark, str(tmp_path / "answers"), buckets=4)
+    df = spark.createDataFrame([(f"p{i}",) for i in range(40)], "p string")
+    waves = df.select("p", F.pmod(F.xxhash64(F.sha2("p", 256)), F.lit(4)).alias("wave")).collect()
+    done = {r.p for r in waves if r.wave < 2}
+    with pytest.raises(Exception):
+        score_open(df, "p", noting(str(folder), only=done), answers, wave_prompts=10)
+    assert {r.response for r in answers.read().collect()} == {p.upper() for p in done}
+    assert score_open(df, "p", noting(str(after)), answers).where("response = upper(p)").count() == 40
+    assert asked_in(after) == sorted({r.p for r in waves} - done)

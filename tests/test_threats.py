@@ -4,6 +4,7 @@ import json
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from threatloom.operators.match import by_target, limit_queries, matched_queries, modified_between, query_ranks
@@ -215,3 +216,15 @@ def test_stream_gives_the_full_load_in_any_order(spark, tmp_path, order):
     ingest_threats(read_feed(spark, str(folder)), full, Watermark(spark, str(tmp_path / "w")))
     assert stored == {r.cve_id: r.description for r in full.read().select("payload.*").collect()}
     assert stored["CVE-1"] == "A buffer overflow, last" and set(stored) == {"CVE-1", "CVE-2", "CVE-4"}
+
+
+def test_lines_put_aside_are_kept_and_counted(spark, tmp_path):
+    path = land(tmp_path / "feed", [cve("CVE-1"), cve("CVE-2"), {**cve("CVE-3"), "id": None}], '{"id": "CVE-4", "desc\nnonsense\n')
+    seen = Observation()
+    feed = read_feed(spark, path, quarantine=str(tmp_path / "aside"), seen=seen)
+    assert {r.id for r in feed.collect()} == {"CVE-1", "CVE-2"}
+    assert seen.get == {"rows": 5, "malformed": 2, "nameless": 1}
+    aside = {(r.reason, r.line) for r in spark.read.json(str(tmp_path / "aside")).collect()}
+    assert {line for reason, line in aside if reason == "malformed"} == {'{"id": "CVE-4", "desc', "nonsense"}
+    [(_, record)] = [a for a in aside if a[0] == "without id"]
+    assert json.loads(record)["lastModified"] == "2024-01-01" and len(aside) == 3

@@ -246,3 +246,25 @@ def test_extraction_sees_through_attributes_and_templates():
     )
     found = [(n, first, last) for n, _, first, last in _function_spans(text)]
     assert found == [("a", 1, 1), ("b", 2, 2), ("c", 3, 3), ("d", 4, 4), ("e", 5, 5), ("h", 8, 8)]
+
+
+def test_files_that_cannot_be_read(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from threatloom.sources.tree import scan_files, unread_files
+
+    for name, text in (("a.c", b"int a;"), ("b.c", b"int \xff;"), ("c.c", b"int c;")):
+        (tmp_path / name).write_bytes(text)
+    seen = Observation()
+    assert scan_tree(spark, str(tmp_path), seen=seen).count() == 3
+    scan_tree(spark, str(tmp_path), seen=(again := Observation())).collect()
+    assert again.get == {"rows": 3, "repaired": 1}
+    lenient, strict = (scan_files(spark, str(tmp_path), strict=s).select("path", F.length("content").alias("n")) for s in (False, True))
+    (tmp_path / "c.c").unlink()  # listed, then gone
+    rows = lenient.collect()
+    assert {r.path.split("/")[-1] for r in rows} == {"a.c", "b.c"}
+    with pytest.raises(Exception, match="c.c"):
+        strict.collect()
+    (tmp_path / "c.c").write_bytes(b"int c;")
+    read = spark.createDataFrame(rows)
+    assert [(r.path.split("/")[-1], r.bytes, r.reason) for r in unread_files(spark, str(tmp_path), read).collect()] == [("c.c", 6, "unreadable")]

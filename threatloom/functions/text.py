@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.constants import RECORD_ID_DIGITS, SAFE, SHORT_ID_DIGITS, SNIPPET_CHARS, UNKNOWN, VULNERABLE
+from threatloom.constants import (
+    MIN_FUNCTION_CHARS,
+    RECORD_ID_DIGITS,
+    SAFE,
+    SHORT_ID_DIGITS,
+    SNIPPET_CHARS,
+    TARGET_CWES,
+    UNKNOWN,
+    VULNERABLE,
+)
 
 # Unicode white space plus the four information separators that count as blank too.
 _BLANK = r"[\s\x1c-\x1f]"
@@ -41,6 +52,16 @@ def cwe_from_path(path: Column) -> Column:
     return F.when(digits != "", F.concat(F.lit("CWE-"), digits)).otherwise(F.lit(UNKNOWN))
 
 
+def of_target(cwe_id: Column, targets: Sequence[str] = TARGET_CWES) -> Column:
+    """True for weaknesses in scope; null and others are not."""
+    return F.coalesce(cwe_id.isin(*targets), F.lit(False))
+
+
+def long_enough(code: Column, least: int = MIN_FUNCTION_CHARS) -> Column:
+    """True for functions of at least so many characters."""
+    return F.coalesce(F.length(code) >= least, F.lit(False))
+
+
 def label_from_name(name: Column) -> Column:
     """`bad` marks a vulnerable function and wins over `good`, which marks a safe one."""
     lowered = F.lower(name)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from threatloom.constants import LABELLED_HEADER, MIN_FUNCTION_CHARS
-from threatloom.functions.text import label_from_name
+from threatloom.constants import LABELLED_HEADER
+from threatloom.functions.text import label_from_name, long_enough
 
 _LABELLED = re.compile(LABELLED_HEADER, re.MULTILINE | re.IGNORECASE)
 _BRACE = re.compile(r"[{}]")
@@ -270,6 +270,6 @@ def all_functions(files: DataFrame, *, text: str = "text", path: str = "file_pat
         T.StructField("end_line", T.IntegerType()),
     ])
     functions = spans(files, _function_spans, found, text=text, carry=[path])
-    return functions.where(F.length("code") >= MIN_FUNCTION_CHARS).select(
+    return functions.where(long_enough(F.col("code"))).select(
         "name", "code", "start_line", "end_line", F.col(path).alias("file_path")
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.constants import CVE_IDS_SHOWN, TARGET_CWES
+from threatloom.constants import CVE_IDS_SHOWN
+from threatloom.functions.text import of_target
 from threatloom.functions.verdicts import (
     finding_cwe,
     finding_description,
@@ -31,7 +32,7 @@ def normalised_verdicts(exploded: DataFrame) -> DataFrame:
         finding_severity(F.col("verdict.severity")).alias("severity"),
         finding_description(F.col("verdict.description")).alias("description"),
     )
-    return rows.where(F.col("cwe_id").isin(*TARGET_CWES))
+    return rows.where(of_target(F.col("cwe_id")))
 
 
 def findings_of(answered: DataFrame, language: Column | None = None) -> DataFrame:

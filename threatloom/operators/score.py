@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threatloom.session import stored
+from threatloom.sources.collection import Collection
+
 Responder = Callable[[str], str]
 #: Answers to a list of prompts, in their order; an answer may be an exception.
 BatchResponder = Callable[[Sequence[str]], Sequence["str | Exception | None"]]
 
 PROMPTS_PER_CALL = 32
+#: Prompts whose answers are kept together; as many may be asked again after a run has broken off.
+WAVE_PROMPTS = 200_000
 ERROR_CHARS = 500
 
 
@@ -75,6 +80,44 @@ def score_batches(
     return scored.withColumns({out: F.col("__scored.answer"), error: F.col("__scored.error")}).drop("__scored")
 
 
+def answer_collection(spark: SparkSession, root: str, buckets: int = 64) -> Collection:
+    """Answers of one model and prompt version, kept by a hash of the prompt."""
+    schema = T.StructType([T.StructField("prompt_id", T.StringType()), T.StructField("response", T.StringType())])
+    return Collection(spark, root, schema, key="prompt_id", buckets=buckets)
+
+
+def score_open(
+    df: DataFrame, prompt: str, responder: Callable[[], BatchResponder], answers: Collection, out: str = "response",
+    error: str = "response_error", prompts_per_call: int = PROMPTS_PER_CALL, wave_prompts: int = WAVE_PROMPTS,
+) -> DataFrame:
+    """As `score_batches`, asking only about distinct prompts that have no answer yet.
+
+    Prompts are asked in waves, and the answers of each are kept before the next begins, so that a run that breaks off or
+    is repeated asks about what is left. Failures are not kept: they are errors of this run, and asked again by the next.
+    """
+    spark = df.sparkSession
+    answers.create()
+    keyed = stored(df.withColumn("prompt_id", F.sha2(F.col(prompt).cast("string"), 256)), "prompts")
+    asked = keyed.where(F.col(prompt).isNotNull()).select("prompt_id", F.col(prompt).alias("prompt"))
+    held = answers.read().select("prompt_id")
+    still_open = stored(asked.dropDuplicates(["prompt_id"]).join(held, "prompt_id", "left_anti"), "open-prompts")
+    waves = -(-still_open.count() // wave_prompts)
+    failed: list[DataFrame] = []
+    for wave in range(waves):
+        some = still_open.where(F.pmod(F.xxhash64("prompt_id"), F.lit(waves)) == wave)
+        scored = stored(
+            score_batches(some, "prompt", responder, "response", "error", prompts_per_call).drop("prompt"), "wave"
+        )
+        answers.upsert(scored.where("error IS NULL").select("prompt_id", "response"), unique=True, stored=True)
+        failed.append(scored.where("error IS NOT NULL").select("prompt_id", F.col("error").alias(error)))
+    errors = spark.createDataFrame([], f"prompt_id string, `{error}` string")
+    for some_failed in failed:
+        errors = errors.union(some_failed)
+    found = answers.read().select("prompt_id", F.col("response").alias(out))
+    joined = keyed.drop(*[c for c in (out, error) if c in df.columns]).join(found, "prompt_id", "left")
+    return joined.join(errors, "prompt_id", "left").drop("prompt_id")
+
+
 def join_responses(df: DataFrame, responses: DataFrame, on: Sequence[str], out: str = "response") -> DataFrame:
     """Add stored answers by key; null where there is none."""
     stored = responses.select(*on, F.col("response").alias(out))

@@ -46,6 +46,12 @@ def count_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def observed(df: DataFrame, seen: Observation) -> DataFrame:
-    """Let the row count of a stage be read off whatever action runs it, without a pass of its own."""
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+def observed(df: DataFrame, seen: Observation | None, **counted: Column) -> DataFrame:
+    """Let the row count of a stage be read off whatever action runs it, without a pass of its own.
+
+    `counted` adds counts of the rows for which a condition holds. Without an observation nothing is done.
+    """
+    if seen is None:
+        return df
+    counts = [F.count_if(F.coalesce(condition, F.lit(False))).alias(name) for name, condition in counted.items()]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts)

@@ -14,8 +14,9 @@ from threatloom.operators.embed import Encoder, hashed_tokens
 from threatloom.operators.enrich import attach_matches
 from threatloom.operators.extract import all_functions
 from threatloom.operators.findings import findings_of
-from threatloom.operators.score import Responder, join_responses, score_text
+from threatloom.operators.score import BatchResponder, join_responses, score_open
 from threatloom.session import stored
+from threatloom.sources.collection import Collection
 
 
 def prompts(files: DataFrame) -> DataFrame:
@@ -24,15 +25,16 @@ def prompts(files: DataFrame) -> DataFrame:
 
 
 def scan_with_model(
-    files: DataFrame, responder: Callable[[], Responder], threats: DataFrame,
+    files: DataFrame, responder: Callable[[], BatchResponder], threats: DataFrame, answers: Collection,
     *, k: int = MATCHES_PER_FINDING, encoder: Callable[[], Encoder] = hashed_tokens, failures: str = "report",
 ) -> DataFrame:
     """Findings with their nearest threats, asking a text model about each function.
 
-    The answers are stored first, so that no function is asked about twice. Functions about which the model
-    failed are counted in a warning or, with `failures="raise"`, end the scan.
+    Answers are kept in `answers` (see `answer_collection`), so that no code is asked about twice, in this scan or another;
+    `one_by_one` makes a responder of one that takes single prompts. Functions about which the model failed are counted in a
+    warning or, with `failures="raise"`, end the scan; the next scan asks about them again.
     """
-    answered = stored(score_text(prompts(files), "prompt", responder), "answers")
+    answered = stored(score_open(prompts(files), "prompt", responder, answers), "answers")
     failed = answered.where(F.col("response_error").isNotNull())
     if example := failed.select("response_error").first():
         message = f"the model failed on {failed.count()} functions, for example: {example[0]}"

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import json
+import re
+import warnings
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatloom.constants import TARGET_CWES
 from threatloom.functions import verdicts as vd
 from threatloom.operators.embed import embed_text
 from threatloom.operators.findings import explode_verdicts, findings_of, report_rows
-from threatloom.operators.score import join_responses, score_batches
+from threatloom.operators.score import answer_collection, join_responses, score_batches
 from threatloom.operators.stats import severity_summary, severity_totals
-from threatloom.plans.scan import scan_with_responses
+from threatloom.plans.scan import scan_with_model, scan_with_responses
 from threatloom.plans.threats import ingest_threats, threat_records
 from threatloom.plans.verify import verify_findings
 from threatloom.queries.snippets import sql_token_weights
-from threatloom.queries.standins import ANSWERS, FINDINGS_SQL, VERDICTS_SQL, feed, table
+from threatloom.queries.standins import (
+    ANSWER_CWES,
+    ANSWER_LEVELS,
+    ANSWERS,
+    FINDINGS_SQL,
+    VERDICTS_SQL,
+    feed,
+    sql_in,
+    table,
+)
 from threatloom.queries.threats import TEXT_SQL, THREAT_ROWS_SQL
 from threatloom.schemas import CVE_POINT
 from threatloom.session import run_dir, stored
@@ -209,6 +222,48 @@ SCAN_FINDINGS = f"""{_SCORED},
            f.pos AS verdict_pos, coalesce(b.cves, '') AS cves
     FROM {FINDINGS_SQL} f LEFT JOIN best b USING (description)"""
 
+def _field_model() -> Callable[[Sequence[str]], list[str | Exception]]:
+    """A stand-in for a text model: its answers, and its failures, depend on the one number in the code."""
+
+    def answer(prompts: Sequence[str]) -> list[str | Exception]:
+        out: list[str | Exception] = []
+        for text in prompts:
+            k = int(re.search(r"return k \+ (\d+);", text).group(1))
+            verdict = {"cwe_id": ANSWER_CWES[k % 6], "severity": ANSWER_LEVELS[k % 4],
+                       "description": f"buffer overflow by field {k % 10}"}
+            told = json.dumps({"vulnerabilities": [verdict]}) if k % 3 else "No issues found in this function."
+            out.append(TimeoutError(f"field {k}") if k % 10 == 9 else told)
+        return out
+
+    return answer
+
+
+def scan_with_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source texts put to a model, in a scan that begins where one of half the files has ended, with the nearest threats."""
+    root = run_dir(spark, "scan")
+    records = with_text(stored(threat_records(feed(spark, sf_dir, heavy=True)), "records"))
+    threats = stored(embed_text(records, "text").select("id", "embedding", F.struct("cve_id").alias("payload")), "threats")
+    files = stored(ANSWERS.frame(spark, sf_dir, heavy=True).select("event_id", "file_path", "text"), "files")
+    answers = answer_collection(spark, f"{root}/answers", buckets=8)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the model fails on purpose
+        scan_with_model(files.where("event_id % 2 = 0"), _field_model, threats, answers)
+        found = scan_with_model(files, _field_model, threats, answers)
+    return found.select(
+        "function_name", "file_path", "start_line", "end_line", "cwe_id", "severity", "description",
+        F.array_join("cve_matches.cve_id", ",").alias("cves"),
+    )
+
+
+SCAN_WITH_MODEL = f"""{_SCORED},
+    best AS (SELECT r.description, string_agg(c.cve_id, ',' ORDER BY r.rank) AS cves
+             FROM ranked r JOIN {_CORPUS} c USING (id) WHERE rank <= 5 GROUP BY 1)
+    SELECT name AS function_name, file_path, 3 AS start_line, 6 AS end_line, replace(upper(cwe_a), ' ', '-') AS cwe_id,
+           upper(level_a) AS severity, 'buffer overflow by field ' || cast(k % 10 AS VARCHAR) AS description,
+           coalesce(b.cves, '') AS cves
+    FROM {ANSWERS.sql()} a LEFT JOIN best b ON b.description = 'buffer overflow by field ' || cast(a.k % 10 AS VARCHAR)
+    WHERE k % 3 <> 0 AND k % 10 <> 9 AND replace(upper(cwe_a), ' ', '-') IN {sql_in(TARGET_CWES)}"""
+
 # similarities of the stand-ins are middling
 _DEFINITE, _AMBIGUOUS_ABOVE = 0.45, 0.3
 
@@ -255,5 +310,6 @@ QUERIES = {
     "responses_join": (responses_join, RESPONSES_JOIN),
     "score_responses": (score_responses, SCORE_RESPONSES),
     "scan_findings": (scan_findings, SCAN_FINDINGS),
+    "scan_with_model": (scan_with_model_query, SCAN_WITH_MODEL),
     "verify_findings": (verify_findings_query, VERIFY_FINDINGS),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.constants import ID_CODE_CHARS, PROMPT_HEAD, PROMPT_TAIL, TARGET_CWES, TREE_SOURCE
@@ -176,7 +176,7 @@ def point_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def target_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = [f"Brand#{n}" for n in range(1, 16)]
-    return table(spark, sf_dir, "part").where(F.col("p_brand").isin(*wanted)).select("p_partkey", "p_brand")
+    return table(spark, sf_dir, "part").where(tx.of_target(F.col("p_brand"), wanted)).select("p_partkey", "p_brand")
 
 
 TARGET_FILTER = f"""SELECT p_partkey, p_brand FROM part
@@ -194,7 +194,7 @@ BLANK_FILTER = rf"""SELECT doc_id, md5(regexp_replace(code_2, '^\s+|\s+$', '', '
 
 def min_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat_ws(" ", "p_name", "p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).where(F.length("name") >= 20)
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).where(tx.long_enough(F.col("name")))
 
 
 MIN_LENGTH = """SELECT p_partkey, name FROM (SELECT p_partkey, p_name || ' ' || p_type AS name FROM part)
@@ -318,20 +318,12 @@ COUNT_BY_SOURCE = "SELECT source, count(*) AS n FROM documents GROUP BY source"
 
 
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = dataset_a_raw(spark, sf_dir)
-    cwe = tx.normalize_cwe(tx.first_usable(raw, ("CWE ID", "cwe_id")))
-    flags = raw.select(
-        tx.not_blank(tx.first_usable(raw, ("func", "func_before"))).alias("has_code"),
-        cwe.isin(*TARGET_CWES).alias("in_scope"),
-        tx.label_from_target(raw, ("target",)).isNotNull().alias("labelled"),
-    )
-    counts = flags.agg(
-        F.count("*").alias("read"),
-        F.count_if("has_code").alias("with_code"),
-        F.count_if(F.col("has_code") & F.col("in_scope")).alias("in_scope"),
-        F.count_if(F.col("has_code") & F.col("in_scope") & F.col("labelled")).alias("labelled"),
-    )
-    return counts.unpivot([], ["read", "with_code", "in_scope", "labelled"], "stage", "n")
+    """Rows of a dataset after each filter, observed while the dataset is read once."""
+    seen = Observation()
+    dataset_a(dataset_a_raw(spark, sf_dir), seen=seen).write.format("noop").mode("overwrite").save()
+    counts = seen.get
+    stages = [("read", "rows"), ("with_code", "with_code"), ("in_scope", "in_scope"), ("labelled", "labelled")]
+    return spark.createDataFrame([(stage, counts[name]) for stage, name in stages], "stage string, n long")
 
 
 _FLAGS = f"""(SELECT regexp_matches(coalesce(nullif(code_1, ''), nullif(code_2, ''), ''), '[^\\s]') AS has_code,

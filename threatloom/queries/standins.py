@@ -240,8 +240,8 @@ FLAT_MIXED_SQL = flat_cves_sql(MIXED_FEED)
 
 # --- answers of a text model: one function per event -----------------------------------------
 
-_ANSWER_CWES = ("CWE-120", "cwe 120", "cwe-78", "CWE-79", "Cwe 416", "CWE-20")
-_ANSWER_LEVELS = ("high", "Critical", "LOW", "info")
+ANSWER_CWES = ("CWE-120", "cwe 120", "cwe-78", "CWE-79", "Cwe 416", "CWE-20")
+ANSWER_LEVELS = ("high", "Critical", "LOW", "info")
 
 
 def _verdict(cwe: str, severity: str, description: str) -> str:
@@ -258,10 +258,10 @@ ANSWERS = StandIn(
         {
             "file_path": f"'src/' || event_type || '/f_' || {text_of('event_id')} || '.c'",
             "name": f"'fn_' || {text_of('event_id')}",
-            "cwe_a": pick("k % 6", _ANSWER_CWES),
-            "cwe_b": pick("(k + 1) % 6", _ANSWER_CWES),
-            "level_a": pick("k % 4", _ANSWER_LEVELS),
-            "level_b": pick("(k + 3) % 4", _ANSWER_LEVELS),
+            "cwe_a": pick("k % 6", ANSWER_CWES),
+            "cwe_b": pick("(k + 1) % 6", ANSWER_CWES),
+            "level_a": pick("k % 4", ANSWER_LEVELS),
+            "level_b": pick("(k + 3) % 4", ANSWER_LEVELS),
             "about_a": f"'unchecked length in ' || event_type || ' step ' || {text_of('k % 20')}",
             "about_b": f"'buffer overflow by field ' || {text_of('k % 10')}",
         },

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.constants import KEYWORD_GROUPS, TARGET_CWES
@@ -45,6 +45,33 @@ def cve_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 CVE_FEED = f"SELECT {_SHOWN_SQL} FROM {FLAT_CVES_SQL} WHERE published NOT LIKE '%7'"
 
 
+def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed with lines cut short and records without an id: what is put aside, and why; the rest is counted as it is read."""
+    root = run_dir(spark, "rejects")
+    records = nested_feed(FEED.frame(spark, sf_dir))
+    last = F.right("published", F.lit(1))
+    line = F.to_json(F.struct("*"))
+    nameless = F.to_json(F.struct(*records.columns[1:]))
+    landed = F.when(last == "7", F.expr("left(line, length(line) - 1)")).when(last == "8", F.col("nameless")).otherwise(F.col("line"))
+    lines = records.select(line.alias("line"), nameless.alias("nameless"), "published", last.alias("last"))
+    lines.select(landed.alias("value")).write.text(f"{root}/feed")
+    seen = Observation()
+    kept = read_feed(spark, f"{root}/feed", quarantine=f"{root}/rejects", seen=seen)
+    kept.write.format("noop").mode("overwrite").save()
+    aside = spark.read.schema("reason string, line string").json(f"{root}/rejects").groupBy("reason").agg(F.count("*").alias("n"))
+    counts = seen.get
+    observed = [("lines", counts["rows"]), ("lines malformed", counts["malformed"]), ("lines without id", counts["nameless"])]
+    return aside.unionByName(spark.createDataFrame(observed, "reason string, n long"))
+
+
+_LANDED = f"(SELECT right(modified, 1) AS last FROM {FEED.sql()})"
+FEED_REJECTS = f"""SELECT 'malformed' AS reason, count(*) AS n FROM {_LANDED} WHERE last = '7' HAVING n > 0
+    UNION ALL SELECT 'without id', count(*) AS n FROM {_LANDED} WHERE last = '8' HAVING n > 0
+    UNION ALL SELECT 'lines', count(*) FROM {_LANDED}
+    UNION ALL SELECT 'lines malformed', count(*) FROM {_LANDED} WHERE last = '7'
+    UNION ALL SELECT 'lines without id', count(*) FROM {_LANDED} WHERE last = '8'"""
+
+
 def cve_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(flatten_cves(feed(spark, sf_dir)))
 
@@ -216,6 +243,7 @@ TEXT_SQL = _TEXT_SQL
 
 QUERIES = {
     "cve_feed": (cve_feed, CVE_FEED),
+    "feed_rejects": (feed_rejects, FEED_REJECTS),
     "cve_flatten": (cve_flatten, CVE_FLATTEN),
     "cve_text": (cve_text_query, CVE_TEXT),
     "by_target": (by_target_query, BY_TARGET),

@@ -2,27 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatloom.constants import CPE_KEPT, UNKNOWN
 from threatloom.functions.templates import cve_text
 from threatloom.functions.text import record_id
+from threatloom.operators.stats import observed
 from threatloom.schemas import CVE_FEED
 
 # The corrupt-record column has to be declared for malformed lines to be told apart.
 FEED_LINES = T.StructType([*CVE_FEED.fields, T.StructField("_corrupt_record", T.StringType())])
 
 
-def well_formed(lines: DataFrame) -> DataFrame:
-    """Records of lines read with `FEED_LINES`: malformed lines and records without an id are skipped."""
-    return lines.where(F.col("_corrupt_record").isNull() & F.col("id").isNotNull()).drop("_corrupt_record")
+MALFORMED, NAMELESS = "malformed", "without id"
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Well-formed records of a folder of JSON lines."""
-    return well_formed(spark.read.schema(FEED_LINES).option("mode", "PERMISSIVE").json(path))
+def reject_reason() -> Column:
+    """Why a line read with `FEED_LINES` is no record, or null."""
+    return F.when(F.col("_corrupt_record").isNotNull(), MALFORMED).when(F.col("id").isNull(), NAMELESS)
+
+
+def well_formed(lines: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Records of lines read with `FEED_LINES`: malformed lines and records without an id are skipped.
+
+    The observation counts `rows`, `malformed` and `nameless` of whatever action runs.
+    """
+    counted = observed(lines, seen, malformed=reject_reason() == MALFORMED, nameless=reject_reason() == NAMELESS)
+    return counted.where(reject_reason().isNull()).drop("_corrupt_record")
+
+
+def feed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of JSON lines, the malformed ones as `_corrupt_record`."""
+    return spark.read.schema(FEED_LINES).option("mode", "PERMISSIVE").json(path)
+
+
+def rejected(lines: DataFrame) -> DataFrame:
+    """(reason, line) of what `well_formed` skips: the line itself, or the record as it was understood."""
+    record = F.to_json(F.struct(*[f.name for f in CVE_FEED.fields]))
+    return lines.select(reject_reason().alias("reason"), F.coalesce("_corrupt_record", record).alias("line")).where(
+        F.col("reason").isNotNull()
+    )
+
+
+def read_feed(
+    spark: SparkSession, path: str, *, quarantine: str | None = None, seen: Observation | None = None
+) -> DataFrame:
+    """Well-formed records of a folder of JSON lines.
+
+    With `quarantine`, the folder of a JSON-lines table, all other lines are added to it with the reason, at once. With an
+    observation they are counted by whatever action reads the records.
+    """
+    lines = feed_lines(spark, path)
+    if quarantine is not None:
+        rejected(lines).write.mode("append").json(quarantine)
+    return well_formed(lines, seen)
 
 
 def flatten_cves(feed: DataFrame, *, severity_at: int = 1, score_at: int = 2) -> DataFrame:

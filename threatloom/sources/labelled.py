@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threatloom import constants as const
@@ -14,10 +14,12 @@ from threatloom.functions.text import (
     label_from_target,
     normalize_cwe,
     not_blank,
+    of_target,
     record_id,
     stable_id,
     truncate,
 )
+from threatloom.operators.stats import observed
 
 SNIPPET_COLUMNS = (
     "id", "id_key", "code_snippet", "label", "cwe_id", "source",
@@ -34,6 +36,7 @@ def labelled_rows(
     source_rank: int,
     row_order: str | None = None,
     id_chars: int | None = None,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """Normalise one dataset to snippet rows.
 
@@ -42,7 +45,8 @@ def labelled_rows(
 
     Rows with blank code, a weakness out of scope, or a target other than 0/1
     are dropped. `row_order` names a LONG column giving the dataset's row order;
-    without one, rows are ordered by content so that re-runs agree.
+    without one, rows are ordered by content so that re-runs agree. An observation counts the rows read (`rows`) and
+    those left after each filter: `with_code`, `in_scope`, `labelled`.
     """
     raw, columns, row_order = _unambiguous(raw, columns, row_order)
     slots = {
@@ -53,9 +57,10 @@ def labelled_rows(
         "order_pos": F.col(row_order) if row_order else F.lit(0).cast("long"),
     }
     rows = raw.select(*[column.alias(name) for name, column in slots.items()])
-    kept = rows.where(
-        not_blank(F.col("code")) & F.col("cwe_id").isin(*const.TARGET_CWES) & F.col("label").isNotNull()
-    )
+    with_code = not_blank(F.col("code"))
+    in_scope = with_code & of_target(F.col("cwe_id"))
+    labelled = in_scope & F.col("label").isNotNull()
+    kept = observed(rows, seen, with_code=with_code, in_scope=in_scope, labelled=labelled).where(labelled)
     order_text = F.lit("") if row_order else F.md5("code")
     return snippet_rows(
         kept,
@@ -84,17 +89,21 @@ def _unambiguous(
     return raw.toDF(*renamed.values()), present, renamed[row_order] if row_order else None
 
 
-def dataset_a(raw: DataFrame, row_order: str | None = None, id_chars: int | None = None) -> DataFrame:
+def dataset_a(
+    raw: DataFrame, row_order: str | None = None, id_chars: int | None = None, seen: Observation | None = None
+) -> DataFrame:
     return labelled_rows(
         raw, const.DATASET_A_COLUMNS, source=const.DATASET_A_SOURCE,
-        id_prefix=const.DATASET_A_PREFIX, source_rank=1, row_order=row_order, id_chars=id_chars,
+        id_prefix=const.DATASET_A_PREFIX, source_rank=1, row_order=row_order, id_chars=id_chars, seen=seen,
     )
 
 
-def dataset_b(raw: DataFrame, row_order: str | None = None, id_chars: int | None = None) -> DataFrame:
+def dataset_b(
+    raw: DataFrame, row_order: str | None = None, id_chars: int | None = None, seen: Observation | None = None
+) -> DataFrame:
     return labelled_rows(
         raw, const.DATASET_B_COLUMNS, source=const.DATASET_B_SOURCE,
-        id_prefix=const.DATASET_B_PREFIX, source_rank=2, row_order=row_order, id_chars=id_chars,
+        id_prefix=const.DATASET_B_PREFIX, source_rank=2, row_order=row_order, id_chars=id_chars, seen=seen,
     )
 
 

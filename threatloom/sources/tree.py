@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.functions.text import cwe_from_path, language_of, relative_to
+from threatloom.operators.stats import observed
 
 SOURCE_SUFFIXES = ("c", "cpp")
 
 
 def scan_files(
-    spark: SparkSession, path: str | Sequence[str], suffixes: Sequence[str] | None = SOURCE_SUFFIXES, strict: bool = False
+    spark: SparkSession, path: str | Sequence[str], suffixes: Sequence[str] | None = SOURCE_SUFFIXES, strict: bool = True
 ) -> DataFrame:
     """(location, path, content) of every file below `path` with one of the suffixes, or of every file.
 
-    Files that vanish or cannot be read give no rows or, with `strict`, end the job.
+    A file that vanishes or cannot be read ends the job; without `strict` it gives no row, and `unread_files` tells which.
     The glob prunes the listing, and so does a filter on `location`, the path as
     file metadata: files ruled out by either are never opened.
     """
@@ -39,6 +40,20 @@ def scan_files(
     )
 
 
+def unread_files(
+    spark: SparkSession, path: str | Sequence[str], read: DataFrame, suffixes: Sequence[str] | None = SOURCE_SUFFIXES
+) -> DataFrame:
+    """(path, bytes, reason) of files that are listed below `path` but not among the stored rows `read` (path).
+
+    A file is listed without being opened.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+    if suffixes is not None:
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
+    listed = reader.load(path).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), F.col("length").alias("bytes"))
+    return listed.join(read.select("path").distinct(), "path", "left_anti").withColumn("reason", F.lit("unreadable"))
+
+
 def raw_text(content: Column) -> Column:
     """UTF-8 text with undecodable bytes replaced, line ends kept."""
     return F.make_valid_utf8(content.cast("string"))
@@ -49,9 +64,16 @@ def read_text(content: Column) -> Column:
     return F.regexp_replace(raw_text(content), r"\r\n?", "\n")
 
 
-def scan_tree(spark: SparkSession, root: str, suffixes: Sequence[str] = SOURCE_SUFFIXES) -> DataFrame:
-    """Source files with text, and the weakness, language and relative path their location tells."""
-    files = scan_files(spark, root, suffixes)
+def scan_tree(
+    spark: SparkSession, root: str, suffixes: Sequence[str] = SOURCE_SUFFIXES, *, strict: bool = True,
+    seen: Observation | None = None,
+) -> DataFrame:
+    """Source files with text, and the weakness, language and relative path their location tells.
+
+    An observation counts the files read (`rows`) and those with bytes that are no UTF-8, which are replaced (`repaired`).
+    """
+    files = scan_files(spark, root, suffixes, strict)
+    files = observed(files, seen, repaired=~F.is_valid_utf8(F.col("content").cast("string")))
     path = F.col("path")
     return files.select(
         relative_to(path, F.lit(root)).alias("rel_path"),
@@ -68,7 +90,7 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 
 def read_sources(
-    spark: SparkSession, path: str | Sequence[str], suffixes: Sequence[str] = SOURCE_SUFFIXES, strict: bool = False
+    spark: SparkSession, path: str | Sequence[str], suffixes: Sequence[str] = SOURCE_SUFFIXES, strict: bool = True
 ) -> DataFrame:
     """(file_path, text) of one file, several, or a whole tree, line ends kept.
 
