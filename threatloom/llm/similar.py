@@ -4,7 +4,7 @@ The join is exact. Two sets of similarity t share at least t of each of them, so
 share one of the first n - ceil(t n) + 1 of each (prefix filter). The order puts shingles of rare cells first: shingles are
 hashed into `CELLS` cells whose counts are taken over all documents, so that a common passage is a key of few documents.
 
-1. Each document gives its set of hashed shingles, the set's digest and its keys; documents of equal sets are one node.
+1. Each document gives the digest of its set of hashed shingles and its keys; documents of equal sets are one node.
 2. In each key's bucket, nodes are paired with the first one that is not too short for them; pairs are verified by their
    sets, and verified ones joined into components.
 3. Of buckets of three and more, pairs of nodes in different components are verified too. So a large group of near copies
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.llm.components import connected_components
-from threatloom.llm.scratch import is_small, store
+from threatloom.llm.scratch import drop_table, is_small, store, write_table
 
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
@@ -71,8 +71,12 @@ def _cells(shingle: int):
     return run
 
 
-def _sets(shingle: int, similarity: float, ranks):
-    """Per document: its node, how many shingles it has, its keys and its set."""
+def _node_of(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw, 7)
+
+
+def _keyed(shingle: int, similarity: float, ranks):
+    """Per document: its node, how many shingles it has, and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = ranks.value
@@ -83,20 +87,39 @@ def _sets(shingle: int, similarity: float, ranks):
                 own = shingle_set(text.as_py(), shingle)
                 order = np.lexsort((own, counts[(own % np.uint64(CELLS)).astype(np.int64)]))
                 keys = own[order[: len(own) - _least_shared(len(own), similarity) + 1]] if len(own) else own
-                raw = own.tobytes()
-                rows.append((xxhash.xxh64_intdigest(raw, 7), len(own), keys.view(np.int64), raw))
-                held += len(own)
+                rows.append((_node_of(own.tobytes()), len(own), keys.view(np.int64)))
+                held += len(keys)
                 if held > _FLUSH or at == len(ids) - 1:
-                    nodes, sizes, keyed, raws = zip(*rows)
+                    nodes, sizes, keyed = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(begin, len(rows)), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                         pa.array(sizes, pa.int32()), pa.array(list(keyed), pa.list_(pa.int64())), pa.array(raws, pa.binary())],
-                        names=["doc_id", "node", "n", "keys", "members"])
+                         pa.array(sizes, pa.int32()), pa.array(list(keyed), pa.list_(pa.int64()))],
+                        names=["doc_id", "node", "n", "keys"])
                     begin, held, rows = at + 1, 0, []
 
     return run
 
 
+def _sets(shingle: int):
+    """Node and set of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+            for at, text in enumerate(batch.column("text")):
+                raw = shingle_set(text.as_py(), shingle).tobytes()
+                rows.append((_node_of(raw), raw))
+                held += len(raw)
+                if held > 8 * _FLUSH or at == batch.num_rows - 1:
+                    nodes, raws = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(raws, pa.binary())], names=["node", "members"])
+                    held, rows = 0, []
+
+    return run
+
+
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """Whole buckets of sorted rows, columns as arrays; a bucket may lie across batches."""
     held: tuple[np.ndarray, ...] | None = None
@@ -184,6 +207,21 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float, name: s
     return store(both.select("a", "b", "one", "two").mapInArrow(_verified(similarity), "a long, b long"), name)
 
 
+def _paired_sets(texts: DataFrame, every: DataFrame, shared: DataFrame, shingle: int) -> DataFrame:
+    """Node and set of the nodes that share a key with another, made again from one text of each."""
+    wanted = store(shared.select("node").distinct(), "paired-nodes")
+    few = is_small(wanted, BROADCAST_ROWS)
+    nodes = F.broadcast(wanted) if few else wanted
+    of_node = every.select("doc_id", "node").join(nodes, "node", "left_semi")
+    # an id may be null, which a struct keeps
+    first = of_node.groupBy("node").agg(F.min(F.struct("doc_id")).alias("one")).select(F.col("one.doc_id").alias("_id"))
+    ids = store(first.distinct(), "paired-ids")
+    chosen = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    made = chosen.select("text").mapInArrow(_sets(shingle), "node long, members binary")
+    # an id may stand for other texts as well
+    return made.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
+
+
 def similar_groups(documents: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """`doc_id`, `node` and `component_id`, the smallest doc_id reachable by similar pairs, of every row."""
     spark = documents.sparkSession
@@ -193,25 +231,21 @@ def similar_groups(documents: DataFrame, shingle: int = SIMILAR_SHINGLE, similar
     counts, found = np.zeros(CELLS, np.int64), cells.toArrow()  # at most a row per cell
     counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     ranks = spark.sparkContext.broadcast(counts)
+    # sets are not kept: they are as large as the texts, and only those of pairs are wanted
     every = store(
-        texts.mapInArrow(_sets(shingle, similarity, ranks),
-                         f"doc_id {id_type}, node long, n int, keys array<long>, members binary"),
-        "shingle-sets",
+        texts.mapInArrow(_keyed(shingle, similarity, ranks), f"doc_id {id_type}, node long, n int, keys array<long>"),
+        "shingle-keys",
     )
-    # equal sets have equal members: any of them will do
     distinct = every.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    dealt = every.select(F.explode("keys").alias("key"), "n", "node")
-    shared = store(
-        dealt.repartition("key").dropDuplicates(["key", "node"]).withColumn(
-            "size", F.count("*").over(Window.partitionBy("key"))
-        ).where("size > 1"),
-        "shared-shingles",
+    # one row per set before keys are dealt: a key gets no more rows from a text with many copies
+    once = every.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    dealt = once.select(F.explode("keys").alias("key"), "n", "node")
+    shared_path = write_table(
+        dealt.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"), "shared-shingles",
     )
-    # only sets of paired nodes are fetched, each node's once
-    wanted = store(shared.select("node").distinct(), "paired-nodes")
-    few = is_small(wanted, BROADCAST_ROWS)
-    sets = every.select("node", "members").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
-    sets = store(sets.groupBy("node").agg(F.first("members").alias("members")), "paired-sets")
+    shared = spark.read.schema("key long, n int, node long, size long").parquet(shared_path)
+    sets_path = write_table(_paired_sets(texts, every, shared, shingle), "paired-sets")
+    sets = spark.read.schema("node long, members binary").parquet(sets_path)
 
     def sorted_buckets(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "n", "node")
@@ -227,6 +261,9 @@ def similar_groups(documents: DataFrame, shingle: int = SIMILAR_SHINGLE, similar
     )
     crossing = sorted_buckets(more).mapInArrow(_crossing(similarity), "a long, b long")
     links = links.union(_similar_pairs(crossing, sets, similarity, "similar-crossing"))
+    # both were read for the last time
+    drop_table(spark, sets_path)
+    drop_table(spark, shared_path)
     roots = connected_components(links)
     members = store(
         distinct.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
