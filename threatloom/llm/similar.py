@@ -5,8 +5,8 @@ share one of the first n - ceil(t n) + 1 of each (prefix filter). The order puts
 hashed into `CELLS` cells whose counts are taken over all documents, so that a common passage is a key of few documents.
 
 1. Each document gives the digest of its set of hashed shingles and its keys; documents of equal sets are one node.
-2. In each key's bucket, nodes are paired with the first one that is not too short for them; pairs are verified by their
-   sets, and verified ones joined into components.
+2. In each key's bucket, nodes are paired with the first one that is not too short for them; pairs that share enough of some
+   more shingles in that order are verified by their sets, and verified ones joined into components.
 3. Of buckets of three and more, pairs of nodes in different components are verified too. So a large group of near copies
    gives few pairs, and no similar pair is left out.
 """
@@ -28,6 +28,8 @@ from threatloom.llm.scratch import drop_table, is_small, store, write_table
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 CELLS = 1 << 18
+#: Share of a set that is kept beside its keys, to leave out pairs before their sets are made.
+AHEAD = 0.15
 #: At most so many rows (node and component) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Hashes of one batch of sets, and pairs of one batch of candidates.
@@ -75,8 +77,16 @@ def _node_of(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw, 7)
 
 
+def _ahead(n: int) -> int:
+    """How many shingles two similar sets share at least among those that are kept of them.
+
+    If sets share all but r of the n shingles of one, they share l among its first r + l, and so for the other.
+    """
+    return max(1, math.ceil(AHEAD * n))
+
+
 def _keyed(shingle: int, similarity: float, ranks):
-    """Per document: its node, how many shingles it has, and its keys."""
+    """Per document: its node, how many shingles it has, its first shingles, and how many of these are its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = ranks.value
@@ -86,15 +96,16 @@ def _keyed(shingle: int, similarity: float, ranks):
             for at, text in enumerate(batch.column("text")):
                 own = shingle_set(text.as_py(), shingle)
                 order = np.lexsort((own, counts[(own % np.uint64(CELLS)).astype(np.int64)]))
-                keys = own[order[: len(own) - _least_shared(len(own), similarity) + 1]] if len(own) else own
-                rows.append((_node_of(own.tobytes()), len(own), keys.view(np.int64)))
-                held += len(keys)
+                spare = len(own) - _least_shared(len(own), similarity)
+                first = own[order[: spare + _ahead(len(own))]]
+                rows.append((_node_of(own.tobytes()), len(own), first.view(np.int64), min(len(first), spare + 1)))
+                held += len(first)
                 if held > _FLUSH or at == len(ids) - 1:
-                    nodes, sizes, keyed = zip(*rows)
+                    nodes, sizes, firsts, keyed = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(begin, len(rows)), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                         pa.array(sizes, pa.int32()), pa.array(list(keyed), pa.list_(pa.int64()))],
-                        names=["doc_id", "node", "n", "keys"])
+                         pa.array(sizes, pa.int32()), pa.array(list(firsts), pa.list_(pa.int64())), pa.array(keyed, pa.int32())],
+                        names=["doc_id", "node", "n", "first", "keyed"])
                     begin, held, rows = at + 1, 0, []
 
     return run
@@ -198,25 +209,56 @@ def _verified(similarity: float):
     return run
 
 
-def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float, name: str) -> DataFrame:
-    """Those of the pairs `a`, `b` that are similar, stored."""
-    pairs = store(pairs.distinct(), f"{name}-pairs")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a").join(
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that share as many of the shingles kept of them as similar sets do."""
+    for batch in batches:
+        near = []
+        for n, one, m, two in zip(*(batch.column(c) for c in ("n", "one", "m", "two"))):
+            x, y = (v.values.to_numpy() for v in (one, two))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            near.append(shared >= min(_ahead(n.as_py()), _ahead(m.as_py()), len(x), len(y)))
+        yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
+
+
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _few(rows: DataFrame, name: str) -> DataFrame:
+    """A stored table, to be broadcast if it is small."""
+    kept = store(rows, name)
+    return F.broadcast(kept) if is_small(kept, BROADCAST_ROWS) else kept
+
+
+def _similar_pairs(pairs: DataFrame, texts: DataFrame, every: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs `a`, `b` that are similar, stored.
+
+    Their first shingles, which are at hand, leave out what shares a passage only; nothing similar is lost by that. The sets
+    of the rest are made again from one text each.
+    """
+    pairs = store(pairs.distinct(), "pairs")
+    firsts = every.select("node", "n", "first").join(_few(_nodes_of(pairs), "paired-nodes"), "node", "left_semi").groupBy(
+        "node").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    firsts = store(firsts, "paired-firsts")
+    both = pairs.join(firsts.select(F.col("node").alias("a"), "n", F.col("first").alias("one")), "a").join(
+        firsts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("first").alias("two")), "b"
+    )
+    left = store(both.select("a", "b", "n", "one", "m", "two").mapInArrow(_promising, "a long, b long"), "promising")
+    sets = store(_sets_of(_nodes_of(left), texts, every, shingle), "paired-sets")
+    whole = left.join(sets.select(F.col("node").alias("a"), F.col("members").alias("one")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("members").alias("two")), "b"
     )
-    return store(both.select("a", "b", "one", "two").mapInArrow(_verified(similarity), "a long, b long"), name)
+    return store(whole.select("a", "b", "one", "two").mapInArrow(_verified(similarity), "a long, b long"), "similar-pairs")
 
 
-def _paired_sets(texts: DataFrame, every: DataFrame, shared: DataFrame, shingle: int) -> DataFrame:
-    """Node and set of the nodes that share a key with another, made again from one text of each."""
-    wanted = store(shared.select("node").distinct(), "paired-nodes")
-    few = is_small(wanted, BROADCAST_ROWS)
-    nodes = F.broadcast(wanted) if few else wanted
+def _sets_of(nodes: DataFrame, texts: DataFrame, every: DataFrame, shingle: int) -> DataFrame:
+    """Node and set of some nodes, made again from one text of each."""
+    nodes = _few(nodes, "wanted-nodes")
     of_node = every.select("doc_id", "node").join(nodes, "node", "left_semi")
     # an id may be null, which a struct keeps
     first = of_node.groupBy("node").agg(F.min(F.struct("doc_id")).alias("one")).select(F.col("one.doc_id").alias("_id"))
-    ids = store(first.distinct(), "paired-ids")
-    chosen = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    ids = _few(first.distinct(), "wanted-ids")
+    chosen = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     made = chosen.select("text").mapInArrow(_sets(shingle), "node long, members binary")
     # an id may stand for other texts as well
     return made.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
@@ -233,25 +275,23 @@ def similar_groups(documents: DataFrame, shingle: int = SIMILAR_SHINGLE, similar
     ranks = spark.sparkContext.broadcast(counts)
     # sets are not kept: they are as large as the texts, and only those of pairs are wanted
     every = store(
-        texts.mapInArrow(_keyed(shingle, similarity, ranks), f"doc_id {id_type}, node long, n int, keys array<long>"),
+        texts.mapInArrow(_keyed(shingle, similarity, ranks), f"doc_id {id_type}, node long, n int, first array<long>, keyed int"),
         "shingle-keys",
     )
     distinct = every.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     # one row per set before keys are dealt: a key gets no more rows from a text with many copies
-    once = every.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = every.select("node", "n", F.slice("first", F.lit(1), F.col("keyed")).alias("keys"))
+    once = keyed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     dealt = once.select(F.explode("keys").alias("key"), "n", "node")
     shared_path = write_table(
         dealt.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"), "shared-shingles",
     )
     shared = spark.read.schema("key long, n int, node long, size long").parquet(shared_path)
-    sets_path = write_table(_paired_sets(texts, every, shared, shingle), "paired-sets")
-    sets = spark.read.schema("node long, members binary").parquet(sets_path)
-
     def sorted_buckets(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "n", "node")
 
     stars = sorted_buckets(shared.select("key", "n", "node")).mapInArrow(_stars(similarity), "a long, b long")
-    links = _similar_pairs(stars, sets, similarity, "similar-stars")
+    links = _similar_pairs(stars, texts, every, shingle, similarity)
     parts = connected_components(links).select(F.col("a").alias("node"), F.col("b").alias("part"))
     if is_small(parts, BROADCAST_ROWS):
         parts = F.broadcast(parts)
@@ -260,10 +300,8 @@ def similar_groups(documents: DataFrame, shingle: int = SIMILAR_SHINGLE, similar
         .select("key", "n", "node", F.coalesce("part", "node").alias("part"))
     )
     crossing = sorted_buckets(more).mapInArrow(_crossing(similarity), "a long, b long")
-    links = links.union(_similar_pairs(crossing, sets, similarity, "similar-crossing"))
-    # both were read for the last time
-    drop_table(spark, sets_path)
-    drop_table(spark, shared_path)
+    links = links.union(_similar_pairs(crossing, texts, every, shingle, similarity))
+    drop_table(spark, shared_path)  # read for the last time
     roots = connected_components(links)
     members = store(
         distinct.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
