@@ -18,7 +18,12 @@ class Cluster:
     """A session on a cluster, as far as the shared folder is concerned."""
 
     class sparkContext:
-        master = "yarn"
+        master, applicationId = "yarn", "application-0"
+        folder = None
+
+        @classmethod
+        def getCheckpointDir(cls):
+            return cls.folder
 
     def __init__(self, folder=None):
         self.conf = Setting(folder)
@@ -30,6 +35,12 @@ def test_a_cluster_names_its_folder():
         shared_dir(Cluster())
 
 
+def test_the_folder_of_the_context_is_used(monkeypatch):
+    monkeypatch.setattr(Cluster.sparkContext, "folder", "hdfs://name/checkpoints/1/")
+    assert shared_dir(Cluster()) == "hdfs://name/checkpoints/1"
+    assert shared_dir(Cluster("hdfs://name/shared")) == "hdfs://name/shared"
+
+
 def test_runs_get_folders_of_their_own(spark):
     assert run_dir(spark, "x") != run_dir(spark, "x")
     assert run_dir(spark, "x").startswith(shared_dir(spark))

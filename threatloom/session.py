@@ -31,7 +31,7 @@ def build_session(app_name: str = "threatloom", master: str | None = None, **set
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir` of the session.
+    """Folder every executor can reach: `spark.checkpoint.dir` of the session, or the checkpoint folder of its context.
 
     A single-machine session without that setting gets a folder of its own.
     """
@@ -39,9 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     if context.applicationId not in _local_dirs:
+        if folder := context.getCheckpointDir():
+            return folder.rstrip("/")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         path = tempfile.mkdtemp(prefix="threatloom-")
         context.setCheckpointDir(path)
         _local_dirs[context.applicationId] = path
