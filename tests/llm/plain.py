@@ -32,7 +32,7 @@ def chained_xxh64(*parts):
     return seed - (1 << 64) if seed >= 1 << 63 else seed
 
 
-def log_ratios(docs, trusted, buckets, smoothing):
+def log_ratios(docs, trusted, buckets, smoothing, relative):
     """doc_id -> mean log ratio of its n-grams."""
     raw, target, grams = np.zeros(buckets), np.zeros(buckets), {}
     for doc_id, text in docs.items():
@@ -43,6 +43,7 @@ def log_ratios(docs, trusted, buckets, smoothing):
         np.add.at(raw, held, 1)
         if doc_id in trusted:
             np.add.at(target, held, 1)
+    smoothing = max(smoothing, relative * target.sum() / buckets)
     ratio = np.log((target + smoothing) / (raw * target.sum() / raw.sum() + smoothing))
     return {d: ratio[g].mean() if g else 0.0 for d, g in grams.items()}
 

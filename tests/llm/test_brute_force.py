@@ -244,7 +244,7 @@ def test_log_ratio(spark, texts):
     docs = dict(list(texts.items())[:80])
     trusted = set(list(docs)[::3])
     buckets = 64
-    ratios = plain.log_ratios(docs, trusted, buckets, quality_rules.SMOOTHING)
+    ratios = plain.log_ratios(docs, trusted, buckets, quality_rules.SMOOTHING, quality_rules.RELATIVE_SMOOTHING)
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
     for row in quality_rules.quality_rules(frame, ids, buckets=buckets).collect():
@@ -252,35 +252,52 @@ def test_log_ratio(spark, texts):
         assert row.kept == (not row.base_failed and row.log_ratio >= quality_rules.THRESHOLD)
 
 
-def test_buckets_grow_with_the_documents(spark):
+def test_buckets_grow_with_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "BUCKET_BYTES", 4 << 20)
     draw = random.Random(4)
     docs = {i: " ".join(f"v{draw.randrange(10**9)}" for _ in range(5000)) for i in range(250)}
     docs |= {250: None, 251: "", 252: "one", 253: docs[1]}
     frame = spark.createDataFrame([*docs.items(), (1, docs[1]), (1, "other text"), (None, docs[2])], "doc_id long, text string")
     trusted = set(range(0, 250, 3))
     buckets = quality_rules.bucket_number(frame)
-    assert buckets == 1 << 15  # 2.5 million distinct n-grams, at most 128 a bucket
+    assert buckets == 1 << 15  # 13 MB of text, three times as much
     ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
     rows = quality_rules.quality_rules(frame, ids).collect()
     assert len(rows) == len(docs) + 3
     # the same by the plain version, over the same rows: repeated ones under ids of their own
     every = {**docs, "again": docs[1], "other": "other text", "null": docs[2]}
-    mean = plain.log_ratios(every, trusted, buckets, quality_rules.SMOOTHING)
+    mean = plain.log_ratios(every, trusted, buckets, quality_rules.SMOOTHING, quality_rules.RELATIVE_SMOOTHING)
     for row in rows:
         key = "null" if row.doc_id is None else "other" if row.text == "other text" else row.doc_id
         assert row.log_ratio == pytest.approx(mean[key], abs=2e-6)
 
 
-@pytest.mark.parametrize("broadcast", [0, 10**6])
-def test_joined_ratios_equal_the_constant(spark, texts, monkeypatch, broadcast):
+def test_verdicts_hold_as_the_corpus_grows(spark, texts, monkeypatch):
+    """Eight times the text in twice the buckets: the documents both corpora hold are judged alike."""
+    monkeypatch.setattr(quality_rules, "BUCKET_BYTES", 1 << 20)
+    draw, words = random.Random(11), [w for t in texts.values() for w in t.split()]
+    junk = [f"{w}%%%" for w in sorted(set(words))[:300]]
+
+    def text_of(bad):
+        return " ".join(draw.choice(junk if bad and draw.random() < 0.7 else words) for _ in range(250))
+
+    docs = {n: text_of(n % 10 == 0) for n in range(4000)}
+    trusted = spark.createDataFrame([(n,) for n in docs if n % 10 and n % 3 == 0], "doc_id long")
+    kept, sizes = [], []
+    for many in (500, 4000):
+        frame = spark.createDataFrame([(n, docs[n]) for n in range(many)], "doc_id long, text string")
+        sizes.append(quality_rules.bucket_number(frame))
+        found = quality_rules.quality_rules(frame, trusted)
+        kept.append({r.doc_id for r in found.where("kept AND doc_id < 500").collect()})
+    assert sizes == [1 << 14, 1 << 15]
+    assert kept[0] == kept[1] == {n for n in range(500) if n % 10}
+
+
+def test_scoring_shuffles_no_documents(spark, texts):
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    ids = spark.createDataFrame([(i,) for i in list(texts)[::3]], "doc_id long")
-    want = {r.doc_id: r.log_ratio for r in quality_rules.quality_rules(frame, ids, buckets=1 << 10).collect()}
-    monkeypatch.setattr(quality_rules, "BUCKETS", 1 << 8)
-    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", broadcast)
-    monkeypatch.setattr(quality_rules, "BROADCAST_BUCKETS", broadcast)
-    got = {r.doc_id: r.log_ratio for r in quality_rules.quality_rules(frame, ids, buckets=1 << 10).collect()}
-    assert got == pytest.approx(want, abs=1e-9)
+    scored = quality_rules.quality_rules(frame, spark.createDataFrame([(i,) for i in list(texts)[::3]], "doc_id long"))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
 
 
 # -- secrets -----------------------------------------------------------------------------------------------------

@@ -36,7 +36,8 @@ def test_columns(stages):
 def test_quality(spark, sf_dir, stages):
     docs = texts_of(stages["documents"])
     trusted = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality == 1}
-    ratios = plain.log_ratios(docs, trusted, quality_rules.BUCKETS, quality_rules.SMOOTHING)
+    ratios = plain.log_ratios(docs, trusted, quality_rules.BUCKETS, quality_rules.SMOOTHING,
+                              quality_rules.RELATIVE_SMOOTHING)
     want = {d for d, t in docs.items() if not plain.base_failed(t) and ratios[d] >= quality_rules.THRESHOLD}
     close = {d for d in docs if abs(ratios[d] - quality_rules.THRESHOLD) < 2e-6}
     got = texts_of(stages["quality_rules"])

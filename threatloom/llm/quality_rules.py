@@ -1,8 +1,10 @@
 """Quality rules: word and line rules, and the log-likelihood ratio of hashed n-grams (native).
 
-Trusted documents give one multinomial over hashed word n-grams, all documents another. The buckets grow in number with the
-distinct n-grams, so that a bucket holds as many of them at every size; beyond `BUCKETS` their ratios are a stored table that
-is joined to the n-grams. A document is kept if it passes
+Trusted documents give one multinomial over hashed word n-grams, all documents another. An n-gram of frequency f tells
+itself from the rest of its bucket if f exceeds what a bucket holds of the rest, one in as many as there are buckets; so a
+verdict depends on their number, not on how many n-grams share one. The number grows with the cube root of the text: what is
+gathered grows with the corpus, and the ratios stay small enough for one constant of the plan (4 million of them at 100 TB), so
+that every document is scored within its row, at every size alike. A document is kept if it passes
 the rules and its mean log ratio per n-gram reaches a fixed threshold; no random draw is made.
 
 Nulls and empty texts have no words and fail the rules; a null doc_id is reported like any other and is never trusted.
@@ -21,11 +23,9 @@ from threatloom.llm.scratch import is_small, once, store
 
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: The least number of buckets, whose ratios are one constant of the plan; more are counted and joined.
+#: Buckets for up to `BUCKET_BYTES` of text; from there their number grows with the cube root of the text.
 BUCKETS = 1 << 14
-#: At most so many distinct n-grams a bucket, as estimated from one in `_SLICE` of them.
-LOAD = 128
-_SLICE = 16
+BUCKET_BYTES = 32 << 20
 #: Added to the trusted count of each bucket and to the count expected of raw text of that size, so that buckets with few
 #: trusted words say little and small sets of trusted documents reject no clean text.
 SMOOTHING = 50.0
@@ -36,9 +36,6 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: At most so many trusted ids are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: At most so many buckets (64 MB), and so many rows of a ratio per document, are broadcast; more are joined by a shuffle.
-BROADCAST_BUCKETS = 2_000_000
-BROADCAST_ROWS = 250_000
 
 
 def split_words(text: Column) -> Column:
@@ -135,17 +132,14 @@ def _grams(documents: DataFrame) -> DataFrame:
 
 
 def bucket_number(documents: DataFrame) -> int:
-    """The power of two that holds the documents' distinct n-grams at `LOAD` a bucket, and `BUCKETS` at least."""
-    # the low bits tell the bucket; a slice by the high bits is independent of it
-    distinct = (
-        _grams(documents.select("text")).where(F.shiftrightunsigned("h", 40) % F.lit(_SLICE) == 0)
-        .agg(F.approx_count_distinct("h", 0.02)).first()[0] * _SLICE
-    )
-    return max(BUCKETS, 1 << max(0, math.ceil(distinct / LOAD) - 1).bit_length())
+    """A power of two that grows with the cube root of the bytes of text, from `BUCKETS` on."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    times = (max(size, BUCKET_BYTES) / BUCKET_BYTES) ** (1 / 3)
+    return BUCKETS << math.ceil(math.log2(times) - 1e-9)
 
 
 def ratio_table(documents: DataFrame, trusted: DataFrame, buckets: int, smoothing: float = SMOOTHING,
-                relative: float = 0.0) -> DataFrame:
+                relative: float = RELATIVE_SMOOTHING) -> DataFrame:
     """Per bucket that occurs, `micro`: millionths of the log of the smoothed trusted over the raw probability.
 
     Counted over all documents and stored. Smoothing is at least `relative` times the mean trusted count of a bucket.
@@ -168,61 +162,32 @@ def ratio_table(documents: DataFrame, trusted: DataFrame, buckets: int, smoothin
     return counts.select("bucket", F.round(ratio * 1e6).cast("long").alias("micro"))
 
 
-def joined_ratios(documents: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
-    """`_doc`, `_th` (hash of the text) and mean log ratio of every document with words; sums are of whole numbers."""
-    named = documents.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_th"), "text")
-    grams = _grams(named).select("_doc", "_th", F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"))
-    if is_small(table, BROADCAST_BUCKETS):
-        # the n-grams stay where they are
-        met = grams.join(F.broadcast(table), "bucket").withColumn("n", F.lit(1).cast("long"))
-    else:
-        met = grams.groupBy("_doc", "_th", "bucket").agg(F.count("*").alias("n")).join(table, "bucket")
-    return met.groupBy("_doc", "_th").agg(
-        (F.sum(F.col("micro") * F.col("n")) / F.sum("n") / F.lit(1e6)).alias("log_ratio")
-    )
-
-
-def mean_ratio(words: str, ratios: list[float]) -> Column:
-    """Mean log ratio over a document's n-grams; 0 without words."""
-    w, n = F.col(words), len(ratios)
-    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded to one constant
+def mean_ratio(words: str, micros: list[int]) -> Column:
+    """Mean log ratio over a document's n-grams, from the millionths of each bucket; 0 without words."""
+    w, n = F.col(words), len(micros)
+    table = F.from_json(F.lit(json.dumps(micros, separators=(",", ":"))), "array<int>")  # folded to one constant
 
     def add(acc: Column, i: Column) -> Column:
         one, two = _buckets(w, i, n)
         return acc + F.get(table, one) + F.get(table, two)
 
-    total = F.aggregate(_places(w), F.lit(0.0), add)
-    return F.coalesce(total / (F.lit(2.0) * F.size(w)), F.lit(0.0))
+    total = F.aggregate(_places(w), F.lit(0).cast("long"), add)
+    return F.coalesce(total / (F.lit(2) * F.size(w)) / F.lit(1e6), F.lit(0.0))
 
 
 def quality_rules(documents: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD,
                   buckets: int | None = None) -> DataFrame:
     """Every document with its counts, `base_failed`, `log_ratio` and `kept`; the document's columns stay first.
 
-    The number of buckets follows the documents unless it is given. Names that a document's further columns share with the
+    The number of buckets follows the amount of text unless it is given. Names that a document's further columns share with the
     result are replaced by the result's.
     """
-    relative = RELATIVE_SMOOTHING if buckets is None else 0.0
     buckets = buckets or bucket_number(documents)
-    if buckets <= BUCKETS:
-        relative = 0.0  # as many n-grams as fit the least buckets are what `SMOOTHING` is set for
-    table = ratio_table(documents, trusted, buckets, relative=relative)
+    micros = [0] * buckets
+    for row in ratio_table(documents, trusted, buckets).collect():  # a row per bucket
+        micros[row.bucket] = row.micro
     ruled = rule_columns(documents.withColumn("_words", split_words(F.col("text"))), "text")
-    if buckets <= BUCKETS:
-        ratios = [0.0] * buckets
-        for row in table.collect():
-            ratios[row.bucket] = row.micro / 1e6
-        scored = ruled.withColumn("log_ratio", mean_ratio("_words", ratios)).drop("_words")
-    else:
-        scores = store(joined_ratios(documents, table, buckets), "log-ratios")
-        few = is_small(scores, BROADCAST_ROWS)
-        scored = (
-            ruled.withColumn("_own", F.xxhash64("text")).drop("_words", "log_ratio")
-            .join(F.broadcast(scores) if few else scores,
-                  F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_th")), "left")
-            .withColumn("log_ratio", F.coalesce("log_ratio", F.lit(0.0)))
-            .drop("_own", "_doc", "_th")
-        )
+    scored = ruled.withColumn("log_ratio", mean_ratio("_words", micros)).drop("_words")
     return scored.withColumn("kept", once(~F.col("base_failed") & (F.col("log_ratio") >= threshold)))
 
 
