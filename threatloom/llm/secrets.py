@@ -1,8 +1,11 @@
 """Secret scan: three base patterns, and a linear-chain conditional random field that tags tokens.
 
-The field tags white-space separated tokens as begin, inside or outside of a secret, from their shape, their neighbours
-and features of the file. It is trained on a bounded sample of documents in which the base patterns mark the secrets, and
-decoded line by line with Viterbi. Lines in which every token speaks for `outside` by more than the transitions of any
+The field tags white-space separated tokens as begin, inside or outside of a secret, from their shape, two neighbours on
+each side and features of the file. It is trained on a bounded sample of documents in which the base patterns mark the secrets.
+Since it is to find what the patterns do not, each such secret is also shown in forms that no pattern reads: its name hidden or
+another one, its sign another one, its value in another alphabet, within a URL or alone. Texts without secrets
+give windows at any place, at tokens with digits, and with names of secrets that nothing follows. Of held-out windows without
+secrets none may be tagged: `outside` gets the margin that needs. Texts are decoded line by line with Viterbi. Lines in which every token speaks for `outside` by more than the transitions of any
 other path can gain need no decoding: their best path is known.
 
 Base spans always stay; spans of the field that meet a base span are left out. Spans are in code points, the end is
@@ -12,10 +15,11 @@ secret, the field adds none.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -25,6 +29,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatloom.llm.scratch import store
+
 KINDS = ("assign", "access", "hex", "crf")
 #: Documents expected in the training sample, and the most windows of each kind taken from it.
 TRAINING_DOCS = 16_000
@@ -67,7 +73,10 @@ _OWN = len(_LENGTHS) + 1 + 16 + len(_SHARES) + 1 + len(_CHANGES) + 1 + 3
 #: what a token is to its neighbours: nothing, name, assignment sign, name with sign, has digits, any other
 _ROLES = 6
 _FILE = 3
-_N_FEATURES = _OWN + 2 * _ROLES + _FILE
+#: places of the neighbours whose roles are features
+_NEAR = (-1, 1, -2, 2)
+_OF_FILE = _OWN + len(_NEAR) * _ROLES
+_N_FEATURES = _OF_FILE + _FILE
 _STRIPPED = "\"'`.,;:()[]{}<>!?"
 
 
@@ -147,9 +156,10 @@ def _design(tokens: list[str], begin: int, end: int, of_file: list[int]) -> np.n
     out = np.zeros((end - begin, _N_FEATURES), np.float32)
     for n in range(begin, end):
         out[n - begin, list(own_features(tokens[n])[0])] = 1
-        out[n - begin, _OWN + (own_features(tokens[n - 1])[1] if n else 0)] = 1
-        out[n - begin, _OWN + _ROLES + (own_features(tokens[n + 1])[1] if n + 1 < len(tokens) else 0)] = 1
-        out[n - begin, [_OWN + 2 * _ROLES + f for f in of_file]] = 1
+        for k, step in enumerate(_NEAR):
+            near = own_features(tokens[n + step])[1] if 0 <= n + step < len(tokens) else 0
+            out[n - begin, _OWN + k * _ROLES + near] = 1
+        out[n - begin, [_OF_FILE + f for f in of_file]] = 1
     return out
 
 
@@ -180,7 +190,7 @@ def train(sequences: list[tuple[list[str], int, int, list[int], list[int]]], rou
     flat = x.reshape(-1, _N_FEATURES)
     for turn in range(1, rounds + 1):
         moves, first = params[1] + banned, params[2] + ban_first
-        emit = (flat @ params[0]).reshape(size, steps, 3)
+        emit = (flat @ params[0].astype(np.float32)).reshape(size, steps, 3).astype(float)
         ahead, back = np.zeros_like(emit), np.zeros_like(emit)
         ahead[:, 0] = first + emit[:, 0]
         for t in range(1, steps):
@@ -195,7 +205,7 @@ def train(sequences: list[tuple[list[str], int, int, list[int], list[int]]], rou
         joint = ahead[:, :-1, :, None] + moves + (emit[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None]
         expected = (np.exp(np.minimum(joint, 0)) * pairs[..., None, None]).sum((0, 1))
         slopes = [
-            (flat.T @ (one_hot - own).reshape(-1, 3)) - ridge * size * params[0] / 100,
+            (flat.T @ (one_hot - own).reshape(-1, 3).astype(np.float32)) - ridge * size * params[0] / 100,
             gold_moves - expected - ridge * size * params[1] / 100,
             (one_hot - own)[:, 0].sum(0) - ridge * size * params[2] / 100,
         ]
@@ -225,8 +235,7 @@ class Tagger:
 
     def __init__(self, crf: Crf, bound: int = 300_000):
         self.crf, self.bound, self.gain = crf, bound, crf.gain()
-        self.before = crf.weights[_OWN : _OWN + _ROLES]
-        self.after = crf.weights[_OWN + _ROLES : _OWN + 2 * _ROLES]
+        self.near = [crf.weights[_OWN + k * _ROLES : _OWN + (k + 1) * _ROLES] for k in range(len(_NEAR))]
         self.emissions: dict[tuple[int, ...], np.ndarray] = {}
         self._clear(bound)
 
@@ -262,12 +271,11 @@ class Tagger:
         if not tokens:
             return []
         ids = self._look_up(tokens)
-        role = self.role[ids]
-        emit = self.own[ids] + self.crf.weights[[_OWN + 2 * _ROLES + f for f in file_features(text)]].sum(0)
-        emit[1:] += self.before[role[:-1]]
-        emit[0] += self.before[0]
-        emit[:-1] += self.after[role[1:]]
-        emit[-1] += self.after[0]
+        role = np.zeros(len(ids) + 4, np.int8)
+        role[2:-2] = self.role[ids]
+        emit = self.own[ids] + self.crf.weights[[_OF_FILE + f for f in file_features(text)]].sum(0)
+        for step, weights in zip(_NEAR, self.near):
+            emit += weights[role[2 + step : 2 + step + len(ids)]]
         open_tokens = np.flatnonzero(emit[:, OUTSIDE] - emit[:, 1:].max(1) <= self.gain)
         if not len(open_tokens):
             return []
@@ -298,8 +306,47 @@ class Tagger:
 
 # -- jobs --------------------------------------------------------------------------------------------------------
 
+#: Forms a known secret is also shown in, with the labels of their tokens: `n` a name, `w` a word of the text, `v` the value.
+_FORMS = (
+    ("{w} = \"{v}\"", "001"), ("{n} is {v}", "122"), ("{n} -> {v}", "122"), ("{n}: '{v}'", "12"), ("{n} {v}", "12"),
+    ("{w}_{n}={v}", "1"), ("https://{w}:{v}@{w}.example/{w}", "1"), ("{v}", "1"),
+)
+_OTHER_NAMES = ("pwd", "passphrase", "credential", "auth", "bearer", "password", "secret", "token", "api_key", "pass")
+
+
+def _value(seed: str) -> str:
+    """A value by a hash: base64, letters and digits, upper-case hex, or like a password, of 9 to 44 characters."""
+    raw = hashlib.sha256(seed.encode()).digest()
+    text = base64.b64encode(raw).decode()
+    plain = "".join(c for c in text if c.isalnum())
+    return (text, plain[: 16 + raw[1] % 20], raw.hex().upper()[: 24 + raw[1] % 20], plain[:9 + raw[1] % 6] + "7")[raw[0] % 4]
+
+
+def _disguised(tokens: list[str], lo: int, hi: int, seed: str) -> Iterator[tuple[int, list[str], list[int]]]:
+    """The window around a secret (tokens lo..hi) with the secret in each of the other forms: centre, tokens, labels."""
+    left, right = tokens[max(lo - WINDOW_TOKENS // 2, 0) : lo], tokens[hi : hi + WINDOW_TOKENS // 2]
+    words = [w for w in (t.strip(_STRIPPED) for t in left + right) if w.isalpha()] or ["it"]
+    for n, (form, labels) in enumerate(_FORMS):
+        mark = int(hashlib.sha1(f"{seed}{n}".encode()).hexdigest(), 16)
+        name = _OTHER_NAMES[mark % len(_OTHER_NAMES)]
+        name = (name, name.capitalize(), name.upper(), name)[mark // 16 % 4]
+        shown = form.format(n=name, w=words[mark // 64 % len(words)], v=_value(f"{seed}{n}")).split()
+        yield len(left), [*left, *shown, *right], [*[0] * len(left), *map(int, labels), *[0] * len(right)]
+
+
+def _window(tokens: list[str], labels: list[int], centre: int) -> dict:
+    begin = max(centre - WINDOW_TOKENS // 2, 0)
+    end = min(begin + WINDOW_TOKENS, len(tokens))
+    near = max(begin - 2, 0)
+    return {"tokens": tokens[near : end + 2], "begin": begin - near, "end": end - near, "labels": labels[begin:end]}
+
+
+#: kinds of training windows: clean at any place, secrets as they stand, in other forms, at digits, at names
+_PLACE, _KNOWN, _OTHER_FORM, _DIGITS, _NAME = range(5)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training windows: around each base span of a text, and one at a place its hash decides."""
+    """Training windows: around each base span of a text, as it stands and in other forms, and at places its hash decides."""
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
@@ -309,44 +356,81 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, spans = text.split(), base_spans(text)
             labels = [OUTSIDE] * len(tokens)
             starts = np.array([p[0] for p in places])
-            centres = []
+            digest = hashlib.sha1(text.encode()).hexdigest()
+            mark, found = int(digest, 16), []
             for start, _, end in spans:
                 lo = max(int(np.searchsorted(starts, start, "right")) - 1, 0)
                 hi = int(np.searchsorted(starts, end, "left"))
                 if any(labels[lo:hi]):
                     continue
                 labels[lo:hi] = [BEGIN, *[INSIDE] * (hi - lo - 1)]
-                centres.append(lo)
-            digest = hashlib.sha1(text.encode()).hexdigest()
-            for secret, centre in [*((1, c) for c in centres), (0, int(digest, 16) % len(tokens))]:
-                begin = max(centre - WINDOW_TOKENS // 2, 0)
-                end = min(begin + WINDOW_TOKENS, len(tokens))
-                near = max(begin - 1, 0)
-                rows.append({
-                    "tokens": tokens[near : end + 1], "begin": begin - near, "end": end - near,
-                    "of_file": file_features(text), "labels": labels[begin:end], "secret": secret,
-                    "rank": f"{digest}{centre:09d}",
+                found += [(_OTHER_FORM, *x) for x in _disguised(tokens, lo, hi, f"{digest}{lo}")]
+                found.append((_KNOWN, lo, tokens, labels))
+            found.append((_PLACE, mark % len(tokens), tokens, labels))
+            if not spans:
+                digits = [n for n, t in enumerate(tokens) if any("0" <= c <= "9" for c in t)]
+                if digits:
+                    found.append((_DIGITS, digits[mark % len(digits)], tokens, labels))
+                elif mark % 4 == 0:
+                    at = mark // 4 % len(tokens)
+                    named = [*tokens[max(at - 20, 0) : at], _OTHER_NAMES[mark % len(_OTHER_NAMES)], *tokens[at : at + 20]]
+                    found.append((_NAME, min(at, 20), named, [OUTSIDE] * len(named)))
+            for n, (kind, centre, own, tags) in enumerate(found):
+                rows.append(_window(own, tags, centre) | {
+                    "of_file": file_features(text if own is tokens else " ".join(own)), "kind": kind,
+                    "rank": f"{digest}{centre:09d}{n:06d}",
                 })
         yield pa.RecordBatch.from_pylist(rows, pa.schema([
             ("tokens", pa.list_(pa.string())), ("begin", pa.int32()), ("end", pa.int32()),
-            ("of_file", pa.list_(pa.int32())), ("labels", pa.list_(pa.int32())), ("secret", pa.int32()),
+            ("of_file", pa.list_(pa.int32())), ("labels", pa.list_(pa.int32())), ("kind", pa.int32()),
             ("rank", pa.string())]))
 
 
+def _with_margin(crf: Crf, clean: Sequence[tuple]) -> Crf:
+    """The field with the least margin for `outside` that leaves windows without secrets untagged."""
+    emits = [_design(tokens, begin, end, of_file) @ crf.weights for tokens, begin, end, of_file, _ in clean]
+    margin = 0.0
+    while margin < 16 and any(any(viterbi(e + [margin, 0, 0], crf)) for e in emits):
+        margin += 1.0
+    weights = crf.weights.copy()
+    weights[: len(_LENGTHS) + 1, OUTSIDE] += margin  # each token has exactly one length
+    return crf._replace(weights=weights)
+
+
 def fit(documents: DataFrame, docs: int = TRAINING_DOCS, windows: int = TRAINING_WINDOWS) -> Crf | None:
-    """Train on the texts of about `docs` documents that a hash chooses, each once, and at most `windows` windows of each kind."""
+    """Train on the texts of about `docs` documents that a hash chooses, each once, and at most `windows` windows of each kind.
+
+    A fifth of the windows without secrets is held out for the margin.
+    """
     total = documents.count()
     share = int(min(1.0, docs / max(total, 1)) * 1_000_000)
     chosen = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share
     sample = documents.select("text").where(chosen).distinct()  # copies would crowd out other texts
-    found = sample.mapInArrow(
-        _windows, "tokens array<string>, begin int, end int, of_file array<int>, labels array<int>, secret int, rank string"
-    )
+    found = store(sample.mapInArrow(
+        _windows, "tokens array<string>, begin int, end int, of_file array<int>, labels array<int>, kind int, rank string"
+    ), "secret-windows")
     rows = []
-    for secret in (1, 0):  # bounded by `windows`
-        rows += found.where(F.col("secret") == secret).orderBy("rank").limit(windows).collect()
-    rows.sort(key=lambda r: (r.rank, r.secret))
-    return train([(r.tokens, r.begin, r.end, list(r.of_file), list(r.labels)) for r in rows])
+    for kind in range(5):  # bounded by `windows`
+        rows += found.where(F.col("kind") == kind).orderBy("rank").limit(windows).collect()
+    rows.sort(key=lambda r: (r.rank, r.kind))
+    taught, held = [], []
+    for r in rows:
+        clean = r.kind != _OTHER_FORM and not any(r.labels)
+        aside = clean and int(r.rank[:4], 16) % 5 == 0
+        (held if aside else taught).append((r.tokens, r.begin, r.end, list(r.of_file), list(r.labels)))
+    crf = train(taught)
+    return crf and _with_margin(crf, held)
+
+
+def apart(own: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int]]:
+    """Those of the field's spans, which lie in order, that meet none of the base spans, in one pass over both."""
+    out, n, reach = [], 0, 0
+    for a, b in own:
+        while n < len(spans) and spans[n][0] < b:
+            reach = max(reach, spans[n][2])
+            n += 1
+        out += [(a, b)] if reach <= a else []
+    return out
 
 
 _taggers: dict[str, Tagger | None] = {}
@@ -366,9 +450,7 @@ def _scanner(key: str, crf: Broadcast):
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
                 if tagger:
-                    spans += [
-                        (a, 3, b) for a, b in tagger.spans(text) if not any(a < end and start < b for start, _, end in spans)
-                    ]
+                    spans += [(a, 3, b) for a, b in apart(tagger.spans(text), spans)]
                 rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], names=batch.schema.names)
 
