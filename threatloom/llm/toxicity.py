@@ -106,8 +106,15 @@ class Matcher:
                 excepted.append((begin, end))
             elif begin not in best or weight > best[begin][0]:
                 best[begin] = (weight, line.index(" ", begin + 1))
-        kept = {b: x for b, x in best.items() if not any(p <= b and x[1] <= q for p, q in excepted)}
-        return sum(w for w, _ in kept.values()), len(folded), [(b + 1, e) for b, (_, e) in sorted(kept.items())]
+        excepted.sort()
+        kept, n, reach = [], 0, -1  # one pass over both: the furthest end of the phrases begun so far
+        for begin, (weight, end) in sorted(best.items()):
+            while n < len(excepted) and excepted[n][0] <= begin:
+                reach = max(reach, excepted[n][1])
+                n += 1
+            if reach < end:
+                kept.append((weight, begin + 1, end))
+        return sum(w for w, _, _ in kept), len(folded), [(b, e) for _, b, e in kept]
 
 
 def features(total: float, words: int) -> tuple[float, float]:
