@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import io
+import time
 import zipfile
 import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threatloom.llm import rule_ensemble, toxicity, warc
@@ -67,6 +70,44 @@ def test_foreign_packages(tmp_path):
     assert [r["record_id"] for r in found] == list("01234") and [len(r["payload"]) for r in found] == [0, 1, 2, 3, 4]
 
 
+def _package(path, name, data, how=zipfile.ZIP_STORED):
+    with zipfile.ZipFile(path, "w") as package:
+        package.writestr(name, data, how)
+    return str(path)
+
+
+def _records(sizes):
+    return [warc.warc_record(str(i), "u", b"p" * n, hashlib.sha1(b"p" * n).hexdigest(), None) for i, n in enumerate(sizes)]
+
+
+@pytest.mark.parametrize("range_bytes", [64, 700, 4 << 20])
+def test_plain_archives(spark, tmp_path, monkeypatch, range_bytes):
+    monkeypatch.setattr(warc, "RANGE_BYTES", range_bytes)
+    sizes = [0, 1, 5000, 3, 700]
+    path = _package(tmp_path / "plain.wacz", "archive/a.warc", b"".join(_records(sizes)))
+    rows = warc.read_records(warc.record_index(spark.createDataFrame([(path,)], "package string"))).collect()
+    assert sorted((r.record_id, len(r.payload)) for r in rows) == [(str(i), n) for i, n in enumerate(sizes)]
+
+
+def test_archives_that_lose_records_raise(tmp_path):
+    plain, packed = b"".join(_records([10, 2000])), b"".join(map(warc.gzip_member, _records([10, 2000])))
+    for name, data, how, message in [
+        ("archive/a.warc.gz", packed, zipfile.ZIP_DEFLATED, "compressed"), ("archive/a.warc", plain, zipfile.ZIP_DEFLATED, "compressed"),
+        ("archive/a.warc.gz", packed[:-9], zipfile.ZIP_STORED, "cut off"), ("archive/a.warc", plain[:-9], zipfile.ZIP_STORED, "cut off"),
+        ("archive/a.warc", plain + b"tail", zipfile.ZIP_STORED, "no record"),
+    ]:
+        path = _package(tmp_path / "lossy.wacz", name, data, how)
+        with pytest.raises(ValueError, match=f"lossy.wacz.*{message}"):
+            list(warc.package_entries(path))
+
+
+def test_own_columns_of_pages(spark, pages):
+    clashing = pages.selectExpr("*", "'x' AS refers_to", "'y' AS digest", "1 AS _bytes", "2 AS _n")
+    manifest = warc.write_packages(clashing, run_dir(spark, "warc"))
+    rows = warc.read_records(warc.record_index(manifest)).collect()
+    assert len(rows) == len(PAGES) and {r.refers_to for r in rows} == {None, "3", "9"}
+
+
 @pytest.mark.parametrize("data", [b"", b"no zip at all, but long enough to look for the end record"])
 def test_broken_packages(tmp_path, data):
     path = tmp_path / "broken.zip"
@@ -95,6 +136,31 @@ def test_exceptions_cover_hits():
     assert toxicity.Matcher(toxicity.Lexicon({}, {})).hits("anything")[0] == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "abc", "ba", "cab", "bab", "c"]), max_size=30))
+def test_hits_by_brute_force(words):
+    lexicon = toxicity.Lexicon({"ab": 1.0, "cab": 2.0}, {"ba": 0.5, "ab": 0.25}, ("ab c", "c ab ba", "bab bab"))
+    phrases = [p.split() for p in lexicon.exceptions]
+    covered, total, hits = set(), 0.0, 0
+    for i in range(len(words)):
+        for p in phrases:
+            covered |= set(range(i, i + len(p))) if words[i : i + len(p)] == p else set()
+    for i, word in enumerate(words):
+        weights = [lexicon.words[word]] if word in lexicon.words else []
+        weights += [w for stem, w in lexicon.stems.items() if word.startswith(stem)]
+        if weights and i not in covered:
+            total, hits = total + max(weights), hits + 1
+    got = toxicity.Matcher(lexicon).hits(" ".join(words))
+    assert (got[0], got[1], len(got[2])) == (pytest.approx(total), len(words), hits)
+
+
+def test_many_phrases_in_one_text():
+    matcher = toxicity.Matcher(toxicity.Lexicon({toxicity.fold("trash"): 3.0}, {}, ("trash can",)))
+    began = time.monotonic()
+    assert matcher.hits("trash can " * 100_000 + "trash")[0] == 3.0
+    assert time.monotonic() - began < 20  # hours if each hit met each phrase
+
+
 @pytest.mark.parametrize("module, label", [(toxicity, "toxic"), (rule_ensemble, "quality")])
 def test_held_out(spark, module, label):
     sf_dir = "/root/testdata/sf0.01"

@@ -150,7 +150,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
     Only ids and digests are shuffled to find the groups; a group of any size is one aggregate.
     """
     payload = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    sized = pages.withColumns({"digest": F.sha1(payload), "_bytes": F.octet_length(payload)})
+    sized = pages.select("id", "url", "text").withColumns({"digest": F.sha1(payload), "_bytes": F.octet_length(payload)})
     keys = sized.where(F.col("_bytes") >= min_bytes).select("id", "digest", "_bytes")
     last = keys.groupBy("digest", "_bytes").agg(F.max("id").alias("refers_to"), F.count("*").alias("_n")).where("_n > 1")
     revisits = keys.join(last, ["digest", "_bytes"]).where("id <> refers_to").select("id", "digest", "refers_to")
@@ -198,7 +198,8 @@ def central_directory(uri: str) -> tuple[bytes, int]:
 
 
 def stored_members(uri: str) -> dict[str, Member]:
-    """Stored members by name, with the place of their data. Others cannot be read by ranges and are left out."""
+    """Stored members by name, with the place of their data. Archives and indexes must be stored, since they are read by ranges;
+    other members may be compressed and are left out."""
     directory, _ = central_directory(uri)
     found, at = {}, 0
     while at + 46 <= len(directory):
@@ -224,6 +225,8 @@ def stored_members(uri: str) -> dict[str, Member]:
             if local[:4] != b"PK\x03\x04":
                 raise ValueError(f"{uri}: no local header of {name}")
             found[name] = Member(name, offset + 30 + sum(struct.unpack_from("<2H", local, 26)), size)
+        elif name.startswith("archive/") or name == INDEX:
+            raise ValueError(f"{uri}: {name} is compressed and cannot be read by ranges")
         at += 46 + names + extras + notes
     return found
 
@@ -241,12 +244,36 @@ def _scanned(uri: str, member: Member) -> Iterator[tuple[int, int]]:
             data = packer.unused_data
             yield begin, at - len(data) - begin
             begin, packer = at - len(data), zlib.decompressobj(31)
+    if begin < done:
+        raise ValueError(f"{uri}: the last record of {member.name} is cut off")
+
+
+def _scanned_plain(uri: str, member: Member) -> Iterator[tuple[int, int]]:
+    """Places of the records of an uncompressed archive, by their lengths."""
+    at, held, data = 0, 0, b""  # `data` begins at `held`
+    while at < member.size:
+        end = data.find(b"\r\n\r\n", at - held) if at < held + len(data) else -1
+        if end < 0:
+            size, data = max(RANGE_BYTES, 2 * (len(data) if held == at else 0)), b""
+            held, data = at, read_range(uri, member.offset + at, min(size, member.size - at))
+            end = data.find(b"\r\n\r\n")
+            if end < 0 and len(data) < member.size - at:
+                continue
+        head = data[at - held : max(end, 0)].split(b"\r\n")
+        sizes = [int(x.split(b":", 1)[1]) for x in head if x.lower().startswith(b"content-length:")]
+        if not head[0].startswith(b"WARC/1.") or len(sizes) != 1:
+            raise ValueError(f"{uri}: no record at {at} of {member.name}")
+        length = end - (at - held) + 4 + sizes[0] + 4
+        if at + length > member.size:
+            raise ValueError(f"{uri}: the last record of {member.name} is cut off")
+        yield at, length
+        at += length
 
 
 def package_entries(uri: str) -> Iterator[tuple[int, int]]:
     """Absolute place and length of every record of a package."""
     members = stored_members(uri)
-    archives = [m for n, m in members.items() if n.startswith("archive/") and n.endswith(".warc.gz")]
+    archives = [m for n, m in members.items() if n.startswith("archive/") and n.endswith((".warc.gz", ".warc"))]
     index = members.get(INDEX)
     if index and [m.name for m in archives] == [ARCHIVE]:
         base = archives[0].offset
@@ -255,7 +282,7 @@ def package_entries(uri: str) -> Iterator[tuple[int, int]]:
             yield base + entry["offset"], entry["length"]
         return
     for member in archives:
-        for offset, length in _scanned(uri, member):
+        for offset, length in (_scanned if member.name.endswith(".gz") else _scanned_plain)(uri, member):
             yield member.offset + offset, length
 
 
@@ -314,7 +341,8 @@ def _reader(with_payload: bool):
         data = read_range(uri, first, places[-1][0] + places[-1][1] - first)
         rows = []
         for offset, length in places:
-            row = parse_record(zlib.decompress(data[offset - first : offset - first + length], 31))
+            record = data[offset - first : offset - first + length]
+            row = parse_record(zlib.decompress(record, 31) if record[:2] == b"\x1f\x8b" else record)
             rows.append(row if with_payload else row | {"payload": None})
         return pa.RecordBatch.from_pylist(rows, _RECORD_TYPE)
 
