@@ -146,3 +146,28 @@ def test_older_states_are_left_out(spark, tmp_path):
     for rows in ([(1, 5), (2, 5)], [(1, 4), (2, 6), (3, None)], [(1, 5), (2, 1), (3, 1)]):
         collection.upsert(spark.createDataFrame(rows, schema), state=F.col("v"))
     assert sorted(tuple(r) for r in collection.read().collect()) == [(1, 5), (2, 6), (3, 1)]
+
+
+def test_large_deliveries_add_late_columns_where_they_are_written(spark, tmp_path, monkeypatch):
+    """Beyond the rows of one task: a first delivery is not shuffled, later ones are dealt in slices of buckets, without the late column."""
+    from threatloom.sources import collection as module
+
+    monkeypatch.setattr(module, "TASK_ROWS", 20)
+    schema = T.StructType([*SCHEMA.fields, T.StructField("w", T.StringType())])
+    collection = Collection(spark, str(tmp_path / "c"), schema, buckets=2)
+    collection.create()
+    frames = []
+
+    def add(df, out, wanted):
+        frames.append(df)
+        return df.withColumn(out, F.when(wanted, F.concat(F.lit("late "), "v")))
+
+    def deliver(pairs):
+        return collection.upsert(spark.createDataFrame(pairs, SCHEMA), state=F.col("v"), late=("w", add))
+
+    assert deliver([(i, "a") for i in range(200)]) == 200
+    assert "Exchange" not in plan(frames[0])
+    assert deliver([(i, "b" if i % 3 else "a") for i in range(100, 260)]) == 160 - 33
+    want = {i: "b" if i >= 100 and i % 3 else "a" for i in range(260)}
+    assert {r.id: (r.v, r.w) for r in collection.read().collect()} == {i: (v, f"late {v}") for i, v in want.items()}
+    assert len(list((tmp_path / "c").glob("data/key_bucket=*/*.parquet"))) > 2
