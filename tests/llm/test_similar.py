@@ -61,3 +61,26 @@ def test_stage_equals_all_pairs(spark, sf_dir, seed):
     assert sorted(r.doc_id for r in simhash.stage(spark, frame, sf_dir).collect()) == sorted(set(want))
     # fingerprints within four bits do not tell these groups
     assert components(texts) != plain.components([plain.fingerprint(t) for t in texts], 4)
+
+
+def test_links_of_fingerprints_come_first(spark, sf_dir, monkeypatch):
+    """The stage's first candidates are the links of the pivot tables; the exact join is left what they leave apart."""
+    texts = near_copies(random.Random(3), 120)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, verified, own, close = [], [], similar._similar_pairs, simhash.near_links
+
+    def links(marks):
+        asked.append({r.fp for r in marks.collect()})
+        return close(marks)
+
+    def pairs(candidates, *rest):
+        kept = own(candidates, *rest)
+        verified.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(simhash, "near_links", links)
+    monkeypatch.setattr(similar, "_similar_pairs", pairs)
+    kept = sorted(r.doc_id for r in simhash.stage(spark, frame, sf_dir).collect())
+    assert kept == sorted(set(components(texts)))
+    assert [{fp % (1 << 64) for fp in fps} for fps in asked] == [{plain.fingerprint(t) for t in texts}]
+    assert len(verified) == 3 and verified[0] > 0

@@ -11,8 +11,9 @@ blocks. Each distinct fingerprint is dealt to the 15 buckets of its block pairs;
 bucket only links that join two parts are emitted. A bucket of more than `BUCKET` fingerprints is dealt as pairs of
 chunks, so that no task holds more than two chunks of one bucket at once.
 
-The pipeline's stage does not go by fingerprints, which say little about a similarity of 0.8: `one_per_group` joins documents
-by the exact similarity of their sets of shingles (module `similar`).
+The pipeline's stage takes the links of fingerprints as its candidates and verifies them by the exact similarity of the
+documents' sets of shingles. A similarity of 0.8 may lie beyond four bits, so `one_per_group` then looks for similar pairs among
+documents that these links leave apart (module `similar`).
 
 A null or empty text has fingerprint zero and links like any other. Rows that share a doc_id are one document with
 several texts; each row is reported. A null doc_id never becomes a component's id unless all its members have none.
@@ -219,9 +220,9 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE_WORDS, bits: in
 def one_per_group(documents: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Documents without their near-duplicates: of each component of similar documents the smallest doc_id stays.
 
-    Of rows that share a doc_id the one with the smallest text stays; rows without a doc_id all stay.
+    Fingerprints linked through the pivot tables are verified first, an exact join finds what they leave apart. Of rows that share a doc_id the one with the smallest text stays; rows without a doc_id all stay.
     """
-    groups = similar_groups(documents, shingle, similarity)
+    groups = similar_groups(documents, shingle, similarity, (fingerprint, near_links))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("text")
     rows = documents.select("doc_id", "text", F.struct("*").alias("_row"))  # apart from the names used here

@@ -4,6 +4,8 @@ The join is exact. Two sets of similarity t share at least t of each of them, so
 share one of the first n - ceil(t n) + 1 of each (prefix filter). The order puts shingles of rare cells first: shingles are
 hashed into `CELLS` cells whose counts are taken over all documents, so that a common passage is a key of few documents.
 
+0. Links between documents that a method such as op7's fingerprints has found may be given; they are verified by the
+   documents' sets and joined first, so that the join looks only for what they leave apart.
 1. Each document gives the digest of its set of hashed shingles and its keys; documents of equal sets are one node.
 2. In each key's bucket, nodes are paired with the first one that is not too short for them; pairs that share enough of some
    more shingles in that order are verified by their sets, and verified ones joined into components.
@@ -14,7 +16,7 @@ hashed into `CELLS` cells whose counts are taken over all documents, so that a c
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from threatloom.llm.components import connected_components
 from threatloom.llm.scratch import drop_table, is_small, store, write_table
 
+#: A mark of a text, and links `a`, `b` between marks of a column `fp` that are close.
+Marks = tuple[Callable[[str | None], int], Callable[[DataFrame], DataFrame]]
+
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 CELLS = 1 << 18
@@ -85,8 +90,8 @@ def _ahead(n: int) -> int:
     return max(1, math.ceil(AHEAD * n))
 
 
-def _keyed(shingle: int, similarity: float, ranks):
-    """Per document: its node, how many shingles it has, its first shingles, and how many of these are its keys."""
+def _keyed(shingle: int, similarity: float, ranks, mark: Callable[[str | None], int]):
+    """Per document: its node, how many shingles it has, its first shingles, how many of these are its keys, and its mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = ranks.value
@@ -98,14 +103,15 @@ def _keyed(shingle: int, similarity: float, ranks):
                 order = np.lexsort((own, counts[(own % np.uint64(CELLS)).astype(np.int64)]))
                 spare = len(own) - _least_shared(len(own), similarity)
                 first = own[order[: spare + _ahead(len(own))]]
-                rows.append((_node_of(own.tobytes()), len(own), first.view(np.int64), min(len(first), spare + 1)))
+                rows.append((_node_of(own.tobytes()), len(own), first.view(np.int64), min(len(first), spare + 1), mark(text.as_py())))
                 held += len(first)
                 if held > _FLUSH or at == len(ids) - 1:
-                    nodes, sizes, firsts, keyed = zip(*rows)
+                    nodes, sizes, firsts, keyed, marks = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(begin, len(rows)), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                         pa.array(sizes, pa.int32()), pa.array(list(firsts), pa.list_(pa.int64())), pa.array(keyed, pa.int32())],
-                        names=["doc_id", "node", "n", "first", "keyed"])
+                         pa.array(sizes, pa.int32()), pa.array(list(firsts), pa.list_(pa.int64())), pa.array(keyed, pa.int32()),
+                         pa.array(np.array(marks, np.uint64).view(np.int64))],
+                        names=["doc_id", "node", "n", "first", "keyed", "fp"])
                     begin, held, rows = at + 1, 0, []
 
     return run
@@ -151,10 +157,13 @@ def _pair_batch(a: list, b: list) -> pa.RecordBatch:
 
 
 def _stars(similarity: float):
-    """Pairs of each node with the first of its bucket that is not too short for it; rows sorted by key, n and node."""
+    """Pairs of each node with the first of its bucket that is not too short for it, if not in one component already.
+
+    Rows are sorted by key, n and node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sizes, nodes in _bucketed(batches):
+        for keys, sizes, nodes, parts in _bucketed(batches):
             edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
             a, b = [], []
             for begin, end in zip(edge[:-1][np.diff(edge) > 1].tolist(), edge[1:][np.diff(edge) > 1].tolist()):
@@ -162,7 +171,7 @@ def _stars(similarity: float):
                 for at in range(begin + 1, end):
                     if sizes[hub] < _least_shared(int(sizes[at]), similarity):
                         hub = at
-                    elif nodes[at] != nodes[hub]:
+                    elif parts[at] != parts[hub]:
                         a.append(nodes[hub])
                         b.append(nodes[at])
             yield _pair_batch(a, b)
@@ -264,8 +273,25 @@ def _sets_of(nodes: DataFrame, texts: DataFrame, every: DataFrame, shingle: int)
     return made.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
 
 
-def similar_groups(documents: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """`doc_id`, `node` and `component_id`, the smallest doc_id reachable by similar pairs, of every row."""
+def _marked_pairs(every: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs of nodes with equal marks, or with linked ones, each mark standing for its smallest node."""
+    marked = store(every.select("fp", "node").distinct(), "marked-nodes")
+    first = store(marked.groupBy("fp").agg(F.min("node").alias("least")), "marks")
+    equal = marked.join(first, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    found = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("least").alias("one")), "a").join(
+        first.select(F.col("fp").alias("b"), F.col("least").alias("two")), "b"
+    )
+    linked = found.where("one <> two").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+    return equal.union(linked)
+
+
+def similar_groups(
+    documents: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, marks: Marks | None = None
+) -> DataFrame:
+    """`doc_id`, `node` and `component_id`, the smallest doc_id reachable by similar pairs, of every row.
+
+    With `marks`, links between close marks are candidates before all others.
+    """
     spark = documents.sparkSession
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
@@ -275,7 +301,10 @@ def similar_groups(documents: DataFrame, shingle: int = SIMILAR_SHINGLE, similar
     ranks = spark.sparkContext.broadcast(counts)
     # sets are not kept: they are as large as the texts, and only those of pairs are wanted
     every = store(
-        texts.mapInArrow(_keyed(shingle, similarity, ranks), f"doc_id {id_type}, node long, n int, first array<long>, keyed int"),
+        texts.mapInArrow(
+            _keyed(shingle, similarity, ranks, marks[0] if marks else lambda text: 0),
+            f"doc_id {id_type}, node long, n int, first array<long>, keyed int, fp long",
+        ),
         "shingle-keys",
     )
     distinct = every.groupBy("node").agg(F.min("doc_id").alias("first_id"))
@@ -290,15 +319,20 @@ def similar_groups(documents: DataFrame, shingle: int = SIMILAR_SHINGLE, similar
     def sorted_buckets(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "n", "node")
 
-    stars = sorted_buckets(shared.select("key", "n", "node")).mapInArrow(_stars(similarity), "a long, b long")
-    links = _similar_pairs(stars, texts, every, shingle, similarity)
-    parts = connected_components(links).select(F.col("a").alias("node"), F.col("b").alias("part"))
-    if is_small(parts, BROADCAST_ROWS):
-        parts = F.broadcast(parts)
-    more = (
-        shared.where("size > 2").join(parts, "node", "left")
-        .select("key", "n", "node", F.coalesce("part", "node").alias("part"))
-    )
+    def parted(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+        """Rows of buckets with the component of each node."""
+        if links is None:
+            return rows.select("key", "n", "node", F.col("node").alias("part"))
+        parts = connected_components(links).select(F.col("a").alias("node"), F.col("b").alias("part"))
+        if is_small(parts, BROADCAST_ROWS):
+            parts = F.broadcast(parts)
+        return rows.join(parts, "node", "left").select("key", "n", "node", F.coalesce("part", "node").alias("part"))
+
+    links = _similar_pairs(_marked_pairs(every, marks[1]), texts, every, shingle, similarity) if marks else None
+    stars = sorted_buckets(parted(shared, links)).mapInArrow(_stars(similarity), "a long, b long")
+    found = _similar_pairs(stars, texts, every, shingle, similarity)
+    links = found if links is None else links.union(found)
+    more = parted(shared.where("size > 2"), links)
     crossing = sorted_buckets(more).mapInArrow(_crossing(similarity), "a long, b long")
     links = links.union(_similar_pairs(crossing, texts, every, shingle, similarity))
     drop_table(spark, shared_path)  # read for the last time
