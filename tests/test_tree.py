@@ -268,3 +268,31 @@ def test_files_that_cannot_be_read(spark, tmp_path):
     (tmp_path / "c.c").write_bytes(b"int c;")
     read = spark.createDataFrame(rows)
     assert [(r.path.split("/")[-1], r.bytes, r.reason) for r in unread_files(spark, str(tmp_path), read).collect()] == [("c.c", 6, "unreadable")]
+
+
+def test_packed_trees_are_scanned_like_plain_ones(spark, tmp_path):
+    """Gzip files count by the name and content of the file in them, bytes that are no UTF-8 and odd names included."""
+    import gzip
+
+    from threatloom.sources.tree import scan_tree as scan
+
+    files = {"CWE121_a/x +%41.cpp": b"void f_bad(void)\r\n{\n}\n\xff", "plain/y.c": b"int g;\r", "plain/z.h": b"no"}
+    for name, content in files.items():
+        for root, data, end in (("plain", content, ""), ("packed", gzip.compress(content), ".gz")):
+            target = tmp_path / root / (name + end)
+            target.parent.mkdir(parents=True, exist_ok=True)
+            target.write_bytes(data)
+    plain, packed = (
+        sorted(tuple(r) for r in scan(spark, str(tmp_path / root), packed=root == "packed").collect()) for root in ("plain", "packed")
+    )
+    assert plain == packed and len(plain) == 2
+
+
+def test_landed_tree_is_small(spark, sf_dir, tmp_path, monkeypatch):
+    """The tree of `scan_tree` is written in gzip files."""
+    from threatloom.queries import QUERIES, snippets
+
+    monkeypatch.setattr(snippets, "run_dir", lambda session, name: str(tmp_path / name))
+    assert QUERIES["scan_tree"](spark, sf_dir).count()
+    landed = list(tmp_path.glob("tree/cwe_dir=*/[!_.]*"))
+    assert landed and {f.suffix for f in landed} == {".gz"}

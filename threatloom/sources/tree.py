@@ -14,22 +14,33 @@ SOURCE_SUFFIXES = ("c", "cpp")
 
 
 def scan_files(
-    spark: SparkSession, path: str | Sequence[str], suffixes: Sequence[str] | None = SOURCE_SUFFIXES, strict: bool = True
+    spark: SparkSession, path: str | Sequence[str], suffixes: Sequence[str] | None = SOURCE_SUFFIXES, strict: bool = True,
+    packed: bool = False,
 ) -> DataFrame:
     """(location, path, content) of every file below `path` with one of the suffixes, or of every file.
 
+    With `packed` the files are gzip files, whose `path` and content are those of the files in them.
+
     A file that vanishes or cannot be read ends the job; without `strict` it gives no row, and `unread_files` tells which.
     The glob prunes the listing, and so does a filter on `location`, the path as
     file metadata: files ruled out by either are never opened.
     """
     reader = (
-        spark.read.format("binaryFile")
+        spark.read.format("text" if packed else "binaryFile")
         .option("recursiveFileLookup", "true")
         .option("ignoreMissingFiles", str(not strict).lower())
         .option("ignoreCorruptFiles", str(not strict).lower())
     )
     if suffixes is not None:
-        reader = reader.option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}" + (".gz" if packed else ""))
+    if packed:
+        # bytes of whole files; the path of file metadata is encoded as in a URI
+        own = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        return reader.option("wholetext", "true").load(path).select(
+            F.col("_metadata.file_path").alias("location"),
+            F.regexp_replace(F.regexp_replace(own, r"^file:/*", "/"), r"\.gz$", "").alias("path"),
+            F.col("value").cast("binary").alias("content"),
+        )
     return (
         reader.load(path)
         .select(
@@ -66,13 +77,13 @@ def read_text(content: Column) -> Column:
 
 def scan_tree(
     spark: SparkSession, root: str, suffixes: Sequence[str] = SOURCE_SUFFIXES, *, strict: bool = True,
-    seen: Observation | None = None,
+    seen: Observation | None = None, packed: bool = False,
 ) -> DataFrame:
     """Source files with text, and the weakness, language and relative path their location tells.
 
     An observation counts the files read (`rows`) and those with bytes that are no UTF-8, which are replaced (`repaired`).
     """
-    files = scan_files(spark, root, suffixes, strict)
+    files = scan_files(spark, root, suffixes, strict, packed)
     files = observed(files, seen, repaired=~F.is_valid_utf8(F.col("content").cast("string")))
     path = F.col("path")
     return files.select(
