@@ -181,3 +181,23 @@ def test_ragged_vectors_are_refused(spark, vectors):
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
     with pytest.raises(ValueError, match="dimensions"):
         knn_join(queries, corpus, 1, broadcast_cells=10)
+
+
+def test_texts_are_encoded_in_slices(spark, monkeypatch):
+    """A batch of long texts is shown to the encoder in bounded parts, with the same vectors; skipped nulls have none."""
+    import numpy as np
+    import pyarrow as pa
+
+    from threatloom.operators import embed
+
+    monkeypatch.setattr(embed, "_SLICE_BYTES", 100)
+    texts = pa.array(["a b " * n for n in range(30)] + [None, ""])
+    parts = list(embed._slices(texts))
+    assert [t for part in parts for t in part.to_pylist()] == texts.to_pylist()
+    assert len(parts) > 10
+    encode = embed.hashed_tokens()
+    got = embed._list_array([embed._float_rows(encode, part) for part in parts], np.zeros(32, bool))
+    assert got.to_pylist() == embed._float_rows(embed.hashed_tokens(), texts).tolist()
+    frame = spark.createDataFrame([("a b",), (None,), ("",)], "text string")
+    rows = {r.text: r.embedding for r in embed.embed_text(frame, "text", skip_null=True).collect()}
+    assert rows[None] is None and len(rows["a b"]) == len(rows[""]) == 384
