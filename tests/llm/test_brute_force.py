@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,6 +58,19 @@ def test_ids_of_any_text(text):
     assert own.encode(text).tolist() == own._whole.encode(text, add_special_tokens=False).ids
 
 
+def test_documents_of_a_slice(texts, monkeypatch):
+    """Texts cut into words together have the ids of the whole tokenizer, odd ones too."""
+    own = tokens.word_bpe()
+    odd = ["", None, " a\x01b c", "x\x00y", "ελλάς ΣΑΣ don't it's\u2026\u2014", "a\u00a0b\u2003c\u0085d", "İstanbul ŉ ǅ xİ. i",
+           f"{own._special[0]} x", " \n lead", "e\u0301 café", "a\x1cb", "tail  ", "9.5%,'s'", "日本語 テスト mixed日本"]
+    given = [*odd, *texts.values()]
+    monkeypatch.setattr(tokens, "_SLICE_BYTES", 2_000)
+    got = [ids.tolist() for ids in own.documents(pa.array(given))]
+    assert got == [[*own._whole.encode(t or "", add_special_tokens=False).ids, tokens.EOT_ID] for t in given]
+    assert [ids.tolist() for ids in own.documents(pa.array(given)[4:9])] == got[4:9]
+    assert list(own.documents(pa.array([], pa.string()))) == []
+
+
 # -- packing -----------------------------------------------------------------------------------------------------
 
 def check_pieces(pieces, texts, capacity):

@@ -124,11 +124,11 @@ def _shard(folder: str, number: int, documents: list[tuple[int | None, np.ndarra
 
 def _writer(folder: str, tokenizer: str | None, capacity: int, shard_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_bpe(tokenizer).document
+        encode = word_bpe(tokenizer).documents
         held, tokens, rows = [], 0, []
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                held.append((doc_id, encode(text)))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
+                held.append((doc_id, ids))
                 tokens += len(held[-1][1])
                 if tokens >= shard_tokens:
                     rows.append(_shard(folder, len(rows), held, capacity))
