@@ -73,6 +73,20 @@ def test_documents_of_a_slice(texts, monkeypatch):
 
 # -- packing -----------------------------------------------------------------------------------------------------
 
+def test_open_windows_are_merged_in_small_batches():
+    """What is merged leaves in batches of bounded size, with its ids, however large the batch that came."""
+    lengths = np.sort(np.random.default_rng(1).integers(1, 64, 5_000))[::-1]
+    lists = [np.full(n, i, np.int32) for i, n in enumerate(lengths.tolist())]
+    rows, none = len(lists), pa.array([0] * len(lists))
+    columns = [pa.array(range(rows)), none, pa.array(lengths), none, pa.array(lengths), none, none, pa.array(lists, pa.list_(pa.int32())),
+               pa.array([True] * rows), none]
+    batch = pa.RecordBatch.from_arrays(columns, names=[name for name, _ in packing._FIELDS])
+    given = list(packing._merged(64, 4)(iter([batch])))
+    assert max(len(b) for b in given) <= 512
+    got = {r["doc_id"]: r["ids"] for b in given for r in b.to_pylist()}
+    assert got == {i: ids.tolist() for i, ids in enumerate(lists)}
+
+
 def check_pieces(pieces, texts, capacity):
     own = tokens.word_bpe()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

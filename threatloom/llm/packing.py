@@ -28,6 +28,8 @@ CAPACITY = 2048
 OPEN_WINDOWS = 128
 #: Partitions whose open windows are merged in one task.
 MERGED_PARTITIONS = 64
+#: Pieces of emitted windows that are given on at once, and rows of open windows that are read at once.
+_GIVEN, _READ = 512, 512
 
 _FIELDS = [
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -90,32 +92,41 @@ class WindowPacker:
         return self.take_done()
 
 
-def _rows(placed: list[tuple[tuple, int, int]], is_open: bool, group: int) -> pa.RecordBatch:
-    columns = [
-        pa.array([(*piece[:5], sequence, offset, piece[5], is_open, group)[i] for piece, sequence, offset in placed], kind)
-        for i, (_, kind) in enumerate(_FIELDS)
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in _FIELDS])
+def _id_lists(parts: list[np.ndarray | None]) -> pa.Array:
+    if not parts or parts[0] is None:
+        return pa.nulls(len(parts), pa.list_(pa.int32()))
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), pa.int32()))
+
+
+def _rows(placed: list[tuple[tuple, int, int]], is_open: bool, group: int) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(placed), _GIVEN):
+        some = placed[at : at + _GIVEN]
+        values = [(*piece[:5], sequence, offset, None, is_open, group) for piece, sequence, offset in some]
+        columns = [
+            _id_lists([piece[5] for piece, _, _ in some]) if name == "ids" else pa.array(column, kind)
+            for column, (name, kind) in zip(zip(*values), _FIELDS)
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in _FIELDS])
 
 
 def _packed(tokenizer: str | None, capacity: int, open_windows: int, with_ids: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
-        encode = word_bpe(tokenizer).document
+        encode = word_bpe(tokenizer).documents
         packer = WindowPacker(capacity, open_windows, partition << 32)
         group = partition // MERGED_PARTITIONS
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
                 total = len(ids)
                 for start in range(0, total, capacity):
                     part = ids[start : start + capacity]
                     kept = part.astype(np.int32) if with_ids else None
                     packer.add((doc_id, start, len(part), ids_crc32(part), total, kept), len(part))
-            if len(packer.done) >= 4096:
-                yield _rows(packer.take_done(), False, group)
-        yield _rows(packer.take_done(), False, group)
-        yield _rows(packer.take_open(), True, group)
+                if len(packer.done) >= _GIVEN:
+                    yield from _rows(packer.take_done(), False, group)
+        yield from _rows(packer.take_done(), False, group)
+        yield from _rows(packer.take_open(), True, group)
 
     return pack
 
@@ -123,19 +134,21 @@ def _packed(tokenizer: str | None, capacity: int, open_windows: int, with_ids: b
 def _merged(capacity: int, open_windows: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, packer = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
+        for batch in (part.slice(at, _READ) for part in batches for at in range(0, len(part), _READ)):
+            # ids stay arrays: as Python numbers they would take ten times as much
+            for row, ids in zip(batch.drop_columns(["ids"]).to_pylist(), batch.column("ids")):
                 if row["merge_group"] != group:
                     if packer:
-                        yield _rows(packer.take_open(), False, group)
+                        yield from _rows(packer.take_open(), False, group)
                     group = row["merge_group"]
                     packer = WindowPacker(capacity, open_windows, 1 << 62 | group << 32)
-                piece = tuple(row[name] for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"))
+                kept = ids.values.to_numpy().copy() if ids.is_valid else None  # a view would hold its whole batch
+                piece = (*(row[name] for name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), kept)
                 packer.add(piece, row["length"])
             if packer:
-                yield _rows(packer.take_done(), False, group)
+                yield from _rows(packer.take_done(), False, group)
         if packer:
-            yield _rows(packer.take_open(), False, group)
+            yield from _rows(packer.take_open(), False, group)
 
     return merge
 
