@@ -171,3 +171,21 @@ def test_large_deliveries_add_late_columns_where_they_are_written(spark, tmp_pat
     want = {i: "b" if i >= 100 and i % 3 else "a" for i in range(260)}
     assert {r.id: (r.v, r.w) for r in collection.read().collect()} == {i: (v, f"late {v}") for i, v in want.items()}
     assert len(list((tmp_path / "c").glob("data/key_bucket=*/*.parquet"))) > 2
+
+
+def test_stream_lands_files_of_bounded_size(spark, sf_dir, monkeypatch):
+    """More records land as more files, written without a sort, read in as many turns, with the same rows."""
+    from threatloom.queries import state
+
+    plain = sorted(map(str, state.stream_ingest(spark, sf_dir).collect()))
+    turns, written = [], []
+    run, stream = state.run_available, state.feed_stream
+    monkeypatch.setattr(state, "_FILE_RECORDS", 50)
+    monkeypatch.setattr(state, "feed_stream", lambda s, path, max_files: (turns.append(max_files), stream(s, path, max_files))[1])
+    monkeypatch.setattr(state, "run_available", lambda stream, collection, checkpoint: (
+        written.append(spark.read.text(checkpoint.removesuffix("checkpoint") + "landed").select("file").distinct().count()),
+        run(stream, collection, checkpoint),
+    ))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert sorted(map(str, state.stream_ingest(spark, sf_dir).collect())) == plain
+    assert turns == [-(-rows // 200)] and written[0] > 4
