@@ -201,3 +201,17 @@ def test_texts_are_encoded_in_slices(spark, monkeypatch):
     frame = spark.createDataFrame([("a b",), (None,), ("",)], "text string")
     rows = {r.text: r.embedding for r in embed.embed_text(frame, "text", skip_null=True).collect()}
     assert rows[None] is None and len(rows["a b"]) == len(rows[""]) == 384
+
+
+def test_vectors_of_a_batch_leave_in_slices(spark):
+    """Short texts are cut by their number, as their vectors take more than they do; the rows of a large batch are all there."""
+    import pyarrow as pa
+
+    from threatloom.operators import embed
+
+    texts = pa.array(["a b"] * 5_000)
+    parts = [len(part) for part in embed._slices(texts)]
+    assert max(parts) <= 1_025 and sum(parts) == 5_000
+    frame = spark.range(5_000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("w"), F.col("id") % 7)).alias("text"))
+    got = embed.embed_text(frame.coalesce(1), "text", skip_null=True).select("id", "text", F.size("embedding").alias("n"))
+    assert got.where("(text IS NULL) <> (n IS NULL OR n < 0)").count() == 0 and got.where("n = 384").count() == 3_333
