@@ -228,3 +228,25 @@ def test_lines_put_aside_are_kept_and_counted(spark, tmp_path):
     assert {line for reason, line in aside if reason == "malformed"} == {'{"id": "CVE-4", "desc', "nonsense"}
     [(_, record)] = [a for a in aside if a[0] == "without id"]
     assert json.loads(record)["lastModified"] == "2024-01-01" and len(aside) == 3
+
+
+def test_feed_columns_are_computed_once(spark, sf_dir):
+    """What a record's fields are made of stands once in the plan, however often flattening and matching read them."""
+    from threatloom.plans.threats import answering
+    from threatloom.queries.standins import feed
+
+    plan = answering(feed(spark, sf_dir, heavy=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1
+
+
+def test_first_query_is_the_least_rank(spark, sf_dir):
+    from threatloom.operators.match import first_query, query_ranks
+    from threatloom.queries.standins import feed
+    from threatloom.sources.feed import flatten_cves
+
+    columns = [F.col("cwe_ids"), F.col("description"), F.col("severity")]
+    flat = flatten_cves(feed(spark, sf_dir))
+    odd = flat.limit(3).withColumns({"cwe_ids": F.array(F.lit(None).cast("string")), "severity": F.lit(None).cast("string")})
+    both = flat.unionByName(odd).select(first_query(*columns).alias("first"), query_ranks(*columns).alias("ranks"))
+    assert both.where(~F.col("first").eqNullSafe(F.get("ranks", F.lit(0)))).count() == 0
+    assert both.where("first IS NULL").count() >= 3 and both.where("first > 0").count()
