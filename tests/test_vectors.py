@@ -99,6 +99,57 @@ def test_a_pruned_cell_is_not_opened(spark):
     assert knn.needed_cells(queries, near, [0], pivots, {0: 0.1, 1: 0.2, 2: 1.3}, 2) == {1, 2}
 
 
+def test_small_chunks_share_a_pass(spark, monkeypatch):
+    """The collection is not read again for each chunk of queries; vectors and results are the same in one pass and in several."""
+    reads = []
+    real = knn._partial_best
+
+    def seen(*args, **options):
+        reads.append(1)
+        return real(*args, **options)
+
+    monkeypatch.setattr(knn, "_partial_best", seen)
+    queries, corpus = random_vectors(90, 6, 5), random_vectors(120, 6, 6)
+    left = spark.createDataFrame(queries, "query_id long, embedding array<float>").repartition(2)
+    right = spark.createDataFrame(corpus, VECTORS).repartition(3)
+    want = brute_force(queries, corpus, 4)
+    # 30 chunks of 3 queries: their own cells, then the others
+    for elements, most in ((knn.BROADCAST_CELLS, 2), (6 * 30, 20)):
+        monkeypatch.setattr(knn, "_PASS_CELLS", elements, raising=False)
+        reads.clear()
+        rows = knn_join(left, right, 4, broadcast_cells=18, cells=5).collect()
+        assert {(r.query_id, r.rank): (r.id, pytest.approx(r.score, abs=1e-9)) for r in rows} == want
+        assert 0 < len(reads) <= most
+
+
+def test_scores_too_near_for_single_precision():
+    """Differences below what a product in single precision shows decide the order; many blocks, ties and unusable rows."""
+    rng = np.random.default_rng(8)
+    base, other = rng.normal(size=(2, 1, 32))
+    side = other - (other @ base.T) / (base @ base.T) * base
+    angles = 0.01 + np.repeat(rng.permutation(2_500), 2) * 2e-7
+    matrix = base / np.linalg.norm(base) * np.cos(angles)[:, None] + side / np.linalg.norm(side) * np.sin(angles)[:, None]
+    ids = rng.permutation(5_000)
+    vectors = np.concatenate([base / np.linalg.norm(base), matrix[:600]])
+    owner, found, score = knn._best_indices(vectors, ids, matrix, 7)
+    kept, _ = knn._ranked(owner, found, score, 7)
+    for query in (0, 1, 300, 600):
+        scores = np.round(matrix @ vectors[query], 6)
+        want = np.lexsort((ids, -scores))[:7]
+        of_query = kept[owner[kept] == query]
+        assert found[of_query].tolist() == ids[want].tolist() and score[of_query] == pytest.approx(scores[want], abs=1e-9)
+
+
+def test_vectors_without_a_direction_hide_no_others(spark):
+    bad = [(100, [float("inf"), 0.0]), (101, [float("nan"), 1.0]), (102, [0.0, 0.0])]
+    queries, corpus = random_vectors(12, 2, 9), random_vectors(20, 2, 10)
+    left = spark.createDataFrame(queries + bad, "query_id long, embedding array<float>").coalesce(1)
+    right = spark.createDataFrame(corpus + bad, VECTORS).coalesce(1)
+    for options in ({}, {"broadcast_cells": 8, "cells": 3}):
+        rows = knn_join(left, right, 3, **options).collect()
+        assert {(r.query_id, r.rank): (r.id, pytest.approx(r.score, abs=1e-9)) for r in rows} == brute_force(queries, corpus, 3)
+
+
 def test_enrichment_scans_vectors_and_payloads_once(spark, tmp_path):
     rows = spark.range(200).select("id", F.concat(F.lit("word"), "id").alias("text"))
     points = embed_text(rows, "text").select("id", "embedding", F.struct("text").alias("payload"))
