@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from threatloom.functions.text import first_usable, label_from_target, not_blank, strip, truncate
 from threatloom.operators.dedup import first_wins, limit_per_group
 from threatloom.operators.stats import coverage, severity_summary, severity_totals
-from threatloom.plans.corpus import build_corpus, dedup_snippets
+from threatloom.plans import corpus
+from threatloom.plans.corpus import build_corpus, dedup_snippets, stored_unique
 from threatloom.schemas import SNIPPET_POINT
 from threatloom.sources.collection import Collection
 from threatloom.sources.labelled import dataset_a, dataset_b
@@ -146,6 +147,25 @@ def test_build_corpus_stores_points(spark, rows_a, tmp_path):
     assert by_key.count() == again.count()
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 1])
+@pytest.mark.parametrize("dedup_on", ["id", "id_key", "file_path"])
+def test_only_rows_that_share_their_id_are_compared(spark, monkeypatch, limit, dedup_on):
+    """The rows are those of `dedup_snippets`; but for many shared ids nothing is shuffled or sorted on the way to them."""
+    monkeypatch.setattr(corpus, "BROADCAST_IDS", limit)
+    rows = dataset_a(spark.range(300).select(
+        F.concat(F.lit("int f"), F.when(F.col("id") < 200, F.col("id")).otherwise(F.col("id") % 9), F.lit(";")).alias("func"),
+        F.lit("CWE-20").alias("CWE ID"), (F.col("id") % 2).cast("int").alias("target"),
+        F.concat(F.lit("CVE-"), F.col("id") % 2).alias("CVE ID"),
+    ), id_chars=6)
+    unique = stored_unique(rows.repartition(5), dedup_on)
+    key = lambda row: tuple(row)
+    assert sorted(unique.collect(), key=key) == sorted(dedup_snippets(rows, dedup_on).collect(), key=key)
+    text = unique._jdf.queryExecution().executedPlan().toString()
+    assert not any(name in text for name in ("Exchange hash", "Sort", "Window"))
+    spread = limit > 1 and dedup_on != "file_path"
+    assert ("snippets-" in text) == spread and ("unique-" in text) == (not spread)
+
+
 def test_stage_counts_are_observed(spark, rows_a):
     from threatloom.operators.stats import observed
 

@@ -189,3 +189,36 @@ def test_stream_lands_files_of_bounded_size(spark, sf_dir, monkeypatch):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert sorted(map(str, state.stream_ingest(spark, sf_dir).collect())) == plain
     assert turns == [-(-rows // 200)] and written[0] > 4
+
+
+@pytest.mark.parametrize("as_bytes", [True, False])
+def test_vectors_are_stored_as_bytes(spark, tmp_path, as_bytes):
+    """Vectors are read as they were delivered, late or not; a collection that was created with arrays goes on with them."""
+    from threatloom.operators.embed import embed_text
+
+    schema = T.StructType([*SCHEMA.fields, T.StructField("e", T.ArrayType(T.FloatType()))])
+    root = tmp_path / "c"
+    collection = Collection(spark, str(root), schema, buckets=2)
+    if as_bytes:
+        collection.create()
+    else:
+        (root / "settings").mkdir(parents=True)
+        (root / "settings" / "part.json").write_text('{"buckets":2}\n')
+        empty = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("key_bucket", T.IntegerType())]))
+        empty.write.partitionBy("key_bucket").parquet(str(root / "data"))
+    collection.upsert(spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", None), (3, "c", [])], schema))
+
+    def add(df, out, wanted):
+        texts = df.withColumn("text", F.when(wanted, F.col("v")))
+        return embed_text(texts, "text", out, skip_null=True, packed=True).drop("text")
+
+    assert collection.upsert(spark.createDataFrame([(2, "word"), (4, "other words")], SCHEMA), late=("e", add)) == 2
+    collection.insert(spark.createDataFrame([(5, "d", [0.5] * 3)], schema))
+    read = collection.read()
+    assert read.schema == schema
+    found = {r.id: (r.v, r.e) for r in read.collect()}
+    assert found[1] == ("a", [1.0, 0.0]) and found[3] == ("c", []) and found[5] == ("d", [0.5] * 3)
+    assert [max(found[2][1]), sum(found[2][1]), len(found[2][1])] == [1.0, 1.0, 384] and len(found[4][1]) == 384
+    assert {r.id for r in collection.held_in([0, 1]).where(F.size("e") == 384).collect()} == {2, 4}
+    kind = spark.read.parquet(str(root / "data")).schema["e"].dataType
+    assert kind == (T.BinaryType() if as_bytes else schema["e"].dataType)

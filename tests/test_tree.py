@@ -296,3 +296,27 @@ def test_landed_tree_is_small(spark, sf_dir, tmp_path, monkeypatch):
     assert QUERIES["scan_tree"](spark, sf_dir).count()
     landed = list(tmp_path.glob("tree/cwe_dir=*/[!_.]*"))
     assert landed and {f.suffix for f in landed} == {".gz"}
+
+
+@pytest.mark.parametrize("size", [40, 1 << 20])
+def test_labelled_functions_of_many_texts_equal_those_of_each(monkeypatch, size):
+    """Lines and braces are found in slices of texts, with what the plain pattern finds in each text by itself."""
+    import random
+
+    import pyarrow as pa
+
+    from threatloom.operators import extract
+
+    monkeypatch.setattr(extract, "_SLICE_BYTES", size)
+    pieces = [
+        "void", "int", "char", "char *", "char*", "static", "static void", "INT", "\u0131nt", "\u017ftatic", "bad", "goodG2B", "a_BAD_1", "x", "(", "()",
+        "(int a,\n int b)", ")", "{", "}", "{ }", "}\n", ";", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0c", "\x1c", "\x85", "é",
+        "void a_bad() {", "int b_good()\n{\n", "static\nvoid\nc_bad()", " " * 70 + "int q_bad()",
+    ]
+    dice = random.Random(7)
+    texts = ["".join(dice.choice(pieces) + dice.choice(["", " ", "\n"]) for _ in range(dice.randrange(25))) for _ in range(4000)]
+    texts += [None, "", FILES["CWE121_Stack/s01/a_bad.c"].decode(), "}}" + FILES["CWE78_OS/c.c"].decode(), "void bad()\n{{{}"]
+    plain = [(at, hit) for at, text in enumerate(texts) if text for hit in extract._labelled_spans(text)]
+    assert list(extract._labelled_in(pa.array(texts, pa.string()))) == plain
+    assert len(plain) > 500
+    assert list(extract._labelled_in(pa.array([], pa.string()))) == []

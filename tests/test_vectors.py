@@ -266,3 +266,41 @@ def test_vectors_of_a_batch_leave_in_slices(spark):
     frame = spark.range(5_000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("w"), F.col("id") % 7)).alias("text"))
     got = embed.embed_text(frame.coalesce(1), "text", skip_null=True).select("id", "text", F.size("embedding").alias("n"))
     assert got.where("(text IS NULL) <> (n IS NULL OR n < 0)").count() == 0 and got.where("n = 384").count() == 3_333
+
+
+def test_packed_vectors_keep_every_bit():
+    """Sparse, dense and ragged vectors, negative zeros, infinities and NaN come back as they were; nulls stay null."""
+    from threatloom.functions import vectors as module
+
+    rng = np.random.default_rng(1)
+    dense, sparse = rng.random((6, 9), np.float32), np.zeros((5, 300), np.float32)
+    dense[0, 0], dense[1, 1], dense[2] = -0.0, np.nan, 0.0
+    sparse[0, 3], sparse[1, 299], sparse[3, 0], sparse[3, 7] = -0.0, np.inf, np.nan, 0.25
+    parts = [dense, sparse, np.zeros((1, 0), np.float32), np.zeros((1, 70_000), np.float32)]
+    empty = np.array([False] * 4 + [True] + [False] * 9 + [True])
+    packed = module.pack_rows(parts, empty)
+    assert len(packed[6].as_py()) < 4 * 300 and packed.is_null().to_pylist() == empty.tolist()
+    bits = np.concatenate([part.reshape(-1) for part in parts]).tobytes()
+    for form in (packed, module._pack_lists(module.unpack_rows(packed))):
+        vectors = module.unpack_rows(form)
+        assert vectors.flatten().to_numpy().tobytes() == bits and vectors.is_null().to_pylist() == empty.tolist()
+        assert [len(v) for v in vectors.drop_null().to_pylist()] == [9] * 6 + [300] * 5 + [0, 70_000]
+    assert module.unpack_rows(module.pack_rows([], np.ones(2, bool))).to_pylist() == [None, None]
+    with pytest.raises(ValueError, match="null"):
+        module._pack_lists(pa.array([[1.0, None]], pa.list_(pa.float32())))
+
+
+def test_encoder_counts_tokens():
+    """As counted one by one, over texts with letters that only lower-casing makes ASCII, blanks of all kinds and long tokens."""
+    import hashlib
+    import re
+
+    texts = ["", None, "a b a", "Straße \u212aelvin I\u0307x \u0130y", "x" * 100 + "\x00y\x1c9\u00a0z", " lead\ttrail ", "ÀB-c_D", "aA" * 40]
+    want = np.zeros((len(texts), 16))
+    for row, text in enumerate(texts):
+        for token in re.findall("[a-z0-9]+", (text or "").lower()):
+            want[row, int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 16] += 1
+    lengths = np.sqrt((want * want).sum(1))[:, None]
+    want = np.divide(want, lengths, out=want, where=lengths > 0).astype(np.float32)
+    assert (np.asarray(hashed_tokens(16)(texts), np.float32) == want).all()
+    assert hashed_tokens(16)([]).shape == (0, 16)
