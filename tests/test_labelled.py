@@ -166,6 +166,25 @@ def test_only_rows_that_share_their_id_are_compared(spark, monkeypatch, limit, d
     assert ("snippets-" in text) == spread and ("unique-" in text) == (not spread)
 
 
+def test_texts_stay_in_place_when_labels_are_joined(spark, sf_dir, monkeypatch):
+    """Labels of bounded number go to the texts, whatever size Spark takes for small; of more, both sides are dealt by key."""
+    from threatloom.queries import standins
+
+    found = []
+    for limit in (2_000_000, 10):
+        monkeypatch.setattr(standins, "BROADCAST_ROWS", limit)
+        with_setting = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            raw = standins.dataset_a_raw(spark, sf_dir)
+            text = raw._jdf.queryExecution().executedPlan().toString()
+            found.append(sorted(map(str, raw.collect())))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_setting)
+        assert ("Exchange hash" in text) == (limit == 10)
+    assert found[0] == found[1] and found[0]
+
+
 def test_stage_counts_are_observed(spark, rows_a):
     from threatloom.operators.stats import observed
 
